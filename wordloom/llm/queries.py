@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import quality, simhash
+import public_tokenizers
+
+from wordloom.llm import bpe, quality, simhash
 from wordloom.session import table
 
 
@@ -20,6 +22,12 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("failed").alias("failed_rules"))
 
 
+def op9_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    rows = bpe.decode(bpe.encode(table(spark, folder, "documents"), vocabulary), vocabulary)
+    return rows.select("doc_id", "n_tokens", bpe.sha256_hex(F.col("ids")).alias("ids_sha256"), bpe.sha256_hex(F.col("decoded")).alias("decoded_sha256"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -58,7 +66,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op8_quality_rules, op9_bpe_encoding)}
 
 
 def oracle_sql() -> dict[str, str]:
