@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wordloom.llm import bpe, quality, simhash
+from wordloom.llm import bpe, decontaminate, pii, quality, simhash, token_store, warc
 from wordloom.session import table
 
 
@@ -17,6 +17,21 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    rows = token_store.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pii.spans(table(spark, folder, "documents"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return rows.select("doc_id", *counts, F.sha2(pii.rendered(F.col("base")), 256).alias("base_sha256"), pii.rendered(F.col("spans")).alias("spans"))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.apply_policy(quality.ledger(table(spark, folder, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("failed").alias("failed_rules"))
@@ -28,6 +43,10 @@ def op9_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", bpe.sha256_hex(F.col("ids")).alias("ids_sha256"), bpe.sha256_hex(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -66,7 +85,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op8_quality_rules, op9_bpe_encoding)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_token_store, op6_warc, op7_pii, op8_quality_rules, op9_bpe_encoding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
