@@ -40,6 +40,7 @@ PIECE_CHARS = 1 << 20
 BATCH_BYTES = 4 << 20
 GROUP_ROWS = 256
 NEVER = np.int32(2**31 - 1)
+SHORT = 64  # letters that are merged without a heap
 
 
 def byte_letters() -> dict[int, str]:
@@ -71,7 +72,8 @@ class WordBpe:
             self.texts[i] = token.encode()
         self.first = [vocab[c] for _, c in sorted((b, c) for c, b in letter.items())]
         self.last = [vocab[c + suffix] for _, c in sorted((b, c) for c, b in letter.items())]
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # by pair, its rank
+        self.results: list[int] = []  # by rank, the token made
         right = np.full(n, -1, np.int32)
         left = np.full(n, -1, np.int32)
         made = np.full(n, -1, np.int32)
@@ -79,10 +81,11 @@ class WordBpe:
             a, b, z = vocab[a], vocab[b], vocab[a + b]
             if made[z] >= 0 or max(made[a], made[b]) >= rank:
                 raise ValueError("merges must make each token once, after its parts")
-            self.merges[a << 16 | b] = (rank, z)
+            self.merges[a << 16 | b] = rank
+            self.results.append(z)
             left[z], right[z], made[z] = a, b, rank
         self.keys = np.array(sorted(self.merges), np.uint32)
-        self.key_ranks = np.array([self.merges[int(k)][0] for k in self.keys], np.int32)
+        self.key_ranks = np.array([self.merges[int(k)] for k in self.keys], np.int32)
         self.right_edge = self._edge(right, made)
         self.left_edge = self._edge(left, made)
         self.inner: dict[bytes, int] = {}
@@ -105,6 +108,7 @@ class WordBpe:
     def _forget(self) -> None:
         self.cache: dict[str, bytes] = {w: self.packed[i] for w, i in self.special.items()}
         self.verdicts: dict[int, bool] = {}
+        self.assigned: set[str] = set()  # characters known to Python's Unicode version, as met
         self._patterns = self._library = None
 
     def __getstate__(self) -> dict:
@@ -129,25 +133,24 @@ class WordBpe:
         if ends:
             ids[-1] = self.last[data[-1]]
         n = len(ids)
+        if n <= SHORT:
+            return self._merge_short(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
 
         def offer(i: int) -> None:
             k = after[i]
-            if k < n and (m := self.merges.get(ids[i] << 16 | ids[k])):
-                heap.append((m[0], i, ids[i], ids[k], m[1])) if not ready else heapq.heappush(heap, (m[0], i, ids[i], ids[k], m[1]))
+            if k < n and (rank := self.merges.get(ids[i] << 16 | ids[k])) is not None:
+                heapq.heappush(heap, (rank, i, ids[i], ids[k]))
 
-        ready = False
         for i in range(n - 1):
             offer(i)
-        heapq.heapify(heap)
-        ready = True
         while heap:
-            _, i, a, b, z = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             k = after[i]
             if ids[i] != a or k >= n or ids[k] != b:
                 continue
-            ids[i], ids[k] = z, -1
+            ids[i], ids[k] = self.results[rank], -1
             after[i] = after[k]
             if after[i] < n:
                 before[after[i]] = i
@@ -156,6 +159,23 @@ class WordBpe:
             offer(i)
         return [x for x in ids if x >= 0]
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """The same for few letters, without a heap."""
+        rank_of, results, none = self.merges.get, self.results, int(NEVER)
+        ranks = [rank_of(a << 16 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == none:
+                break
+            i = ranks.index(rank)
+            ids[i : i + 2] = [results[rank]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of(ids[i - 1] << 16 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = rank_of(ids[i] << 16 | ids[i + 1], none)
+        return ids
+
     def propose(self, data: bytes) -> list[int]:
         """Greedy longest match."""
         out, at, n = [], 0, len(data)
@@ -215,7 +235,7 @@ class WordBpe:
             self.cache[w] = b"".join([packed[i] for i in t])
 
     def patterns(self) -> tuple:
-        """Split, characters that Python's Unicode version doesn't know, white space, special tokens."""
+        """Split, white space, special tokens."""
         if self._patterns is None:
             import re
 
@@ -223,15 +243,17 @@ class WordBpe:
 
             special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
             split = SPLIT.replace(r"\s", " ")
-            unknown = ranges(c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) == "Cn")
-            self._patterns = regex.compile(split), re.compile(f"[{unknown}]"), re.compile(WHITE), special
+            self._patterns = regex.compile(split), re.compile(WHITE), special
         return self._patterns
 
     def words(self, text: str) -> list[str]:
         """The words of a text; a special token stands for itself."""
-        split, unknown, white, special = self.patterns()
-        if not text.isascii() and unknown.search(text):
-            return self._library_words(text)
+        split, white, special = self.patterns()
+        if not text.isascii() and not self.assigned.issuperset(text):
+            new = set(text) - self.assigned
+            if any(unicodedata.category(c) == "Cn" for c in new):
+                return self._library_words(text)
+            self.assigned |= new
         out: list[str] = []
         at = 0
         for m in special.finditer(text) if special else ():
@@ -249,7 +271,7 @@ class WordBpe:
         library = self._library
         back = {c: b for b, c in byte_letters().items()}
         out: list[str] = []
-        special, at = self.patterns()[3], 0
+        special, at = self.patterns()[2], 0
 
         def plain(part: str) -> None:
             for word, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part)):
@@ -306,17 +328,6 @@ class WordBpe:
         return b" ".join([texts[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-def ranges(chars) -> str:
-    """The inside of a regex class for ascending characters."""
-    runs: list[list[int]] = []
-    for c in map(ord, chars):
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
-
-
 def pieces(text: str) -> Iterator[str]:
     """The text in pieces of bounded length, cut at blanks (a longer word stays whole)."""
     at = 0
