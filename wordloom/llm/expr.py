@@ -41,10 +41,8 @@ def found_spans(text: Column, pattern: str) -> Column:
     def placed(hits: Column) -> Column:
         gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("bigint")), F.lit(1), F.size(hits))
         sizes = F.transform(hits, lambda m: F.length(m).cast("bigint"))
-        return let(
-            F.arrays_zip(hits.alias("m"), gaps.alias("g"), sizes.alias("n"), prefix_sums(gaps).alias("gs"), prefix_sums(sizes).alias("ns")),
-            lambda z: F.transform(z, lambda x: F.struct((x["3"] + x["4"] - x["2"]).alias("s"), (x["3"] + x["4"]).alias("e"), x["0"].alias("m"))),
-        )
+        ends = F.zip_with(prefix_sums(gaps), prefix_sums(sizes), lambda g, n: g + n)
+        return F.zip_with(hits, ends, lambda m, e: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("m")))
 
     empty = F.array().cast("array<struct<s:bigint,e:bigint,m:string>>")
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) == 0, empty).otherwise(placed(hits)))

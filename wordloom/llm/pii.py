@@ -7,8 +7,8 @@ ids) are seeds. A *candidate* is a token with a digit that follows a cue, either
 graph of patterns and instances, seeds start with score 1; a pattern's score is the mean score of
 its instances, shrunk for small support, an instance's score is one minus the product of (1 - score)
 over its patterns, and a few rounds of both follow. Candidates of patterns that score at least
-``MIN_SCORE`` and hold at least ``MIN_SEEDS`` distinct seeds become spans of kind ``secret``, unless
-they overlap a base span. Patterns never cross lines and matching never looks back over a run, so
+``MIN_SCORE`` and hold at least ``MIN_SEEDS`` distinct seeds become spans of kind ``secret``, as do
+the secret seeds themselves, unless they overlap a base span. Patterns never cross lines and matching never looks back over a run, so
 scanning is linear in the text.
 
 Documents are keyed by (doc_id, hash of the text) in the graph, so repeated rows share their spans.
@@ -44,7 +44,7 @@ IP_PART = r"^0*+(?:[0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 CUE = r"(?<![A-Za-z0-9_])(?:[A-Za-z_]{2,24}\x20?[=:]\x20?[\"']?|[A-Za-z]{2,24}\x20[A-Za-z]{2,24}\x20)"
 TOKEN = r"(?=[A-Za-z0-9@._%+/-]{0,79}[0-9])[A-Za-z0-9+][A-Za-z0-9@._%+/-]{6,79}(?![A-Za-z0-9@_%+/])"
 CANDIDATE = f"({CUE})({TOKEN})"
-SEED = r"^(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{12,20})$"
+SEED = r"^(?:[0-9a-f]{16,64}|[0-9A-F]{16,64}|AKIA[0-9A-Z]{12,20})$"
 
 ROUNDS = 3
 MIN_SCORE = 0.7
@@ -135,9 +135,10 @@ def with_spans(scanned: DataFrame) -> DataFrame:
     stored: it is read twice."""
     found = scanned.where(F.size("candidates") > 0).select("doc_id", "text_hash", "base", F.explode("candidates").alias("c")).distinct()
     found = found.select("doc_id", "text_hash", "c.*", _overlaps(F.col("base"), F.col("c.s"), F.col("c.e")).alias("known"))
-    seeds = found.select("cue", "token", (F.col("known") | F.col("token").rlike(SEED)).alias("seed"))
+    found = found.withColumn("plain", F.col("token").rlike(SEED))
+    seeds = found.select("cue", "token", (F.col("known") | F.col("plain")).alias("seed"))
     trusted = stored(trusted_patterns(seeds), "pii-patterns")
-    new = found.where(~F.col("known")).join(trusted.select("cue"), "cue")
+    new = found.where(~F.col("known")).join(trusted.select("cue", F.lit(True).alias("trusted")), "cue", "left").where(F.col("plain") | F.col("trusted"))
     span = F.struct(F.col("s"), F.lit(len(KINDS)).alias("k"), F.col("e"))
     by_doc = new.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(span).alias("more"))
     joined = scanned.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")

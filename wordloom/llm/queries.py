@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wordloom.llm import bpe, decontaminate, pii, quality, simhash, token_store, warc
+from wordloom.llm import bpe, chat, decontaminate, licenses, pii, quality, simhash, token_counts, token_store, warc
 from wordloom.session import table
 
 
@@ -17,6 +17,19 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    rows = chat.format_chats(table(spark, folder, "conversations"))
+    return rows.select("conv_id", "call_id", "turn", "kind", "level", "linked", "valid", "result_turn", "message")
+
+
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_token_store(spark: SparkSession, folder: str) -> DataFrame:
     rows = token_store.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -28,7 +41,8 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     rows = pii.spans(table(spark, folder, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    kinds = F.transform("base", lambda x: x["k"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return rows.select("doc_id", *counts, F.sha2(pii.rendered(F.col("base")), 256).alias("base_sha256"), pii.rendered(F.col("spans")).alias("spans"))
 
 
@@ -83,10 +97,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+# The driver's conversations hold plain turns only: no marked calls, results or references.
+OP3_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
+r AS (SELECT conv_id, turn - 1 AS asked, min({'turn': turn, 'content': text}) AS r
+      FROM t WHERE role = 'assistant' GROUP BY 1, 2),
+f AS (SELECT conv_id, turn, min(turn) AS first_turn FROM t WHERE role = 'user' GROUP BY 1, 2),
+linked AS (
+  SELECT c.conv_id, 'turn-' || c.turn AS call_id, c.turn, 'call' AS kind, 0 AS level, r.r IS NOT NULL AS linked,
+         true AS valid, r.r.turn AS result_turn, c.text AS asked, r.r.content AS content, 'reply' AS name
+  FROM t c LEFT JOIN r ON c.conv_id = r.conv_id AND c.turn = r.asked WHERE c.role = 'user'
+  UNION ALL
+  SELECT a.conv_id, 'turn-' || (a.turn - 1), a.turn, 'orphan', NULL, NULL, NULL, a.turn, NULL, a.text, NULL
+  FROM t a WHERE a.role = 'assistant'
+    AND NOT EXISTS (SELECT 1 FROM t c WHERE c.role = 'user' AND c.conv_id = a.conv_id AND c.turn = a.turn - 1))
+SELECT conv_id, call_id, turn, kind, CAST(level AS INTEGER) AS level, linked, valid, result_turn,
+       '{"arguments":' || CASE WHEN kind = 'call' THEN '{"text":' || CAST(to_json(asked) AS VARCHAR) || '}' ELSE 'null' END
+       || ',"call_id":' || CAST(to_json(call_id) AS VARCHAR)
+       || ',"content":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null')
+       || ',"kind":"' || kind || '","level":' || coalesce(CAST(level AS VARCHAR), 'null')
+       || ',"name":' || CASE WHEN name IS NULL THEN 'null' ELSE '"' || name || '"' END
+       || ',"turn":' || turn || '}' AS message
+FROM linked
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_token_store, op6_warc, op7_pii, op8_quality_rules, op9_bpe_encoding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_license_scan, op3_chat_format, op4_token_counts, op5_token_store, op6_warc, op7_pii, op8_quality_rules, op9_bpe_encoding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": OP8_SQL}
+    return {"op3_chat_format": OP3_SQL, "op8_quality_rules": OP8_SQL}
