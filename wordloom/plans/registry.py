@@ -22,8 +22,11 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from wordloom.plans import queries as _  # noqa: F401  registers them
+
     return _queries
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return _sql
