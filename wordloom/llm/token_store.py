@@ -30,7 +30,8 @@ from wordloom.session import new_folder, ship_package
 
 SHARD_BYTES = 64 << 20
 SHARD_DOCS = 1 << 20
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
+JOINED_WORDS = 2000
 GROUP_CHARS = 1 << 20
 NO_KEY = -(1 << 63)
 SLOT = np.dtype([("mark", "<u4"), ("offset", "<u8"), ("count", "<u4"), ("copies", "<u4")])
@@ -38,18 +39,56 @@ SLOT = np.dtype([("mark", "<u4"), ("offset", "<u8"), ("count", "<u4"), ("copies"
 
 class LibraryEncoder:
     """Ids by the tokenizers library. Texts are cut at ASCII white space, which no token crosses
-    with the tokenizers served here, and each distinct word is encoded once."""
+    with the tokenizers served here, and each distinct word is encoded once. With a vocabulary that
+    marks word ends, unseen words of letters are encoded together and told apart by their ends."""
 
     def __init__(self, spec: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
         self.cache: dict[bytes, bytes] = {}
         self.wide = self.library.get_vocab_size() > 1 << 16
+        self.kind = "<u4" if self.wide else "<u2"
+        j = json.loads(spec)
+        suffix = j["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.library.get_vocab_size(), bool)
+            self.ends[[i for t, i in j["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.lowers = any(n["type"] == "Lowercase" for n in (j["normalizer"] or {}).get("normalizers", []))
+
+    def learn(self, words: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        rest = range(len(words))
+        if self.ends is not None:
+            plain = [i for i, t in enumerate(texts) if t.isalpha()]
+            rest = [i for i, t in enumerate(texts) if not t.isalpha()]
+            groups = [plain[a : a + JOINED_WORDS] for a in range(0, len(plain), JOINED_WORDS)]
+            found = self.library.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
+            for g, e in zip(groups, found):
+                ids = np.array(e.ids, self.kind)
+                stops = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+                if len(stops) != len(g):  # a letter whose lower case isn't one: each on its own
+                    rest += g
+                    continue
+                data = ids.tobytes()
+                for i, a, b in zip(g, [0, *stops], stops):
+                    self.cache[words[i]] = data[a:b]
+        found = self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, found):
+            self.cache[words[i]] = np.array(e.ids, self.kind).tobytes()
+
+    def split(self, text: bytes) -> list[bytes]:
+        # ASCII letters may be lowered first, but for special tokens and combining marks (their
+        # lead bytes in UTF-8), which compose with some lower-case letters only
+        if self.lowers and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()
+        return text.split()
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as bytes of the store's width."""
-        kind = "<u4" if self.wide else "<u2"
         out: list[bytes] = []
         at = 0
         while at < len(texts):
@@ -57,14 +96,12 @@ class LibraryEncoder:
             while stop < len(texts) and (size < GROUP_CHARS or stop == at):
                 size += len(texts[stop])
                 stop += 1
-            words = [t.split() for t in texts[at:stop]]
+            words = [self.split(t) for t in texts[at:stop]]
             if len(self.cache) > CACHE_WORDS:
-                self.cache = {}
+                self.cache.clear()
             cache = self.cache
-            new = list({w for ws in words for w in ws if w not in cache})
-            found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for w, e in zip(new, found):
-                cache[w] = np.array(e.ids, kind).tobytes()
+            if new := [w for w in set().union(*words) if w not in cache]:
+                self.learn(new)
             out += [b"".join([cache[w] for w in ws]) for ws in words]
             at = stop
         return out
