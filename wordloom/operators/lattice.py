@@ -245,6 +245,19 @@ def error_sweep(arcs: DataFrame, references: DataFrame, factors: list[float]) ->
     return out
 
 
+def rescore(arcs: DataFrame, bigrams: DataFrame, floor: float = 1e-6, start: str = "^") -> DataFrame:
+    """Lattices composed with a bigram model (ctx, w, p): a state is a state and the label that led
+    to it, given as src_label and dst_label. Unseen bigrams have probability ``floor``. Two
+    equi-joins: each arc with those that follow it, and with its probability."""
+    before = arcs.select("utt", F.col("dst").alias("src"), F.col("label").alias("src_label")).distinct()
+    before = before.unionByName(arcs.where("src = 0").select("utt", "src").distinct().withColumn("src_label", F.lit(start)))
+    wide = arcs.join(before, ["utt", "src"])
+    probs = bigrams.select(F.col("ctx").alias("src_label"), F.col("w").alias("label"), "p")
+    rows = wide.join(probs, ["src_label", "label"], "left")
+    weight = F.col("weight") - F.log(F.coalesce("p", F.lit(floor)))
+    return rows.select("utt", "src", "src_label", "dst", F.col("label").alias("dst_label"), "label", weight.alias("weight"))
+
+
 def draw(arcs: DataFrame) -> DataFrame:
     """(utt, dot): each lattice as Graphviz text."""
     line = F.format_string('  %d -> %d [label="%s/%.4f"];', "src", "dst", F.replace(F.col("label"), F.lit('"'), F.lit('\\"')), "weight")

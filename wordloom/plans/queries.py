@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import symbols as S
-from wordloom.operators import align, lattice, lexicon, ngrams, sampler, segment
+from wordloom.operators import align, generate, lattice, lexicon, ngrams, sampler, segment
 from wordloom.plans.registry import register
-from wordloom.session import table
+from wordloom.session import new_folder, stored, table
 from wordloom.sources import lattices, sinks, text
+from wordloom.streaming import segmenting
 
 D, THETA = ngrams.DISCOUNT, ngrams.STRENGTH
 BEAM = 3
@@ -560,3 +561,43 @@ def seating_totals(spark: SparkSession, folder: str) -> DataFrame:
     totals = lambda x, name: x.groupBy("k").agg(F.sum("n").alias("n_words"), F.sum(F.size("tables")).alias("n_tables"), F.count_distinct("ctx").alias("n_contexts")).withColumn("model", F.lit(name))
     return totals(words, "word").unionByName(totals(chars, "character"))
 
+
+
+# --- streams ----------------------------------------------------------------------------------
+
+
+@register("stream_lexicon", f"WITH {LEXICON} SELECT word, n FROM lex")
+def stream_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    """Word counts kept over a stream of documents."""
+    source = table(spark, folder, "documents")
+    rows = segmenting.table_stream(spark, folder, "documents", source.schema)
+    where = new_folder(spark, "stream-lexicon")
+    segmenting.count_stream(rows, f"{where}/out", f"{where}/checkpoint").awaitTermination()
+    return segmenting.latest_counts(spark, f"{where}/out")
+
+
+@register("stream_segmentation")
+def stream_segmentation(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns as a stream, segmented with the lexicon of the documents."""
+    source = table(spark, folder, "conversations")
+    rows = segmenting.table_stream(spark, folder, "conversations", source.schema)
+    rows = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt"), S.letters(F.col("text")).alias("text"))
+    where = new_folder(spark, "stream-segmentation")
+    costs = stored(segment.unigram_costs(document_lexicon(spark, folder)), "stream-costs")
+    segmenting.segment_stream(rows, costs, LETTER_COST, LONGEST, f"{where}/out", f"{where}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{where}/out").select("utt", F.round("cost", 6).alias("cost"))
+
+
+@register("rescored_lattices")
+def rescored_lattices(spark: SparkSession, folder: str) -> DataFrame:
+    """Sausages with a letter bigram model of the documents on top."""
+    probs = ngrams.predictive(char_levels(spark, folder, 2))
+    return lattice.rescore(sausages(spark, folder), probs.select("ctx", "w", "p"))
+
+
+@register("generate_words")
+def generate_words(spark: SparkSession, folder: str) -> DataFrame:
+    """10,000 words from the letter trigrams of the document lexicon's words."""
+    lex = document_lexicon(spark, folder)
+    levels = ngrams.levels(ngrams.char_ngrams(lex.select(F.concat("word", F.lit("$")).alias("s")), F.col("s"), 3), 3)
+    return generate.words(ngrams.predictive(levels).select("ctx", "w", "p"), 3, 10_000, seed=1)
