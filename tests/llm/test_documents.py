@@ -1,0 +1,372 @@
+"""Training-data operators against brute force, with nulls, empty and long texts, ties, repeated
+rows, empty tables and clashing column names."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from wordloom.llm import bpe, decontaminate, licenses, pii, quality, simhash, token_counts, token_store
+from wordloom.llm.components import connected_components
+from wordloom.llm.perfect_hash import PerfectHash
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, words string, fingerprint string, m string"
+
+
+def docs(spark, texts, start=0):
+    """Texts with columns whose names operators use themselves."""
+    return spark.createDataFrame([(None if isinstance(t, tuple) else i + start, t[0] if isinstance(t, tuple) else t, "w", "f", "m") for i, t in enumerate(texts)], SCHEMA)
+
+
+RNG = random.Random(11)
+VOCAB = ["the", "and", "thner", "Onre", "été", "ñga", "über", "x.", "is,", "a", "42", "B"]
+LONG = " ".join(RNG.choices(VOCAB, k=6000))
+ODD = [None, "", " \t\n", "one", "One two", "A b c d", LONG, LONG, LONG + " end", "😀 é\n\nß  x", (LONG,), ("null id",), "\x1f\x0b\x0c a b", "word " * 40]
+
+
+# --- SimHash ----------------------------------------------------------------------------------
+
+
+def plain_fingerprint(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints, distance):
+    ids = list(range(len(prints)))
+
+    def root(i):
+        while ids[i] != i:
+            i = ids[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= distance:
+                a, b = sorted((root(i), root(j)))
+                ids[b] = a
+    return [root(i) for i in range(len(prints))]
+
+
+@pytest.mark.parametrize("limit", [8192, 3])
+def test_simhash_matches_all_pairs(spark, limit):
+    texts = ODD + [" ".join(RNG.choices(VOCAB, k=30)) for _ in range(40)]
+    rows = docs(spark, texts)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.fingerprint, r.component_id) for r in simhash.near_duplicates(rows, bucket_limit=limit).collect())
+    keyed = [(i, t) for i, t in enumerate(texts) if not isinstance(t, tuple)]
+    every = [t[0] if isinstance(t, tuple) else t for t in texts]
+    roots = plain_components([plain_fingerprint(t) for t in every], 4)
+    least = {}
+    for (i, _), r in zip(keyed, [roots[i] for i, _ in keyed]):
+        least[r] = min(i, least.get(r, i))
+    expected = sorted((i if not isinstance(t, tuple) else -1, f"{plain_fingerprint(every[i]):016x}", least.get(roots[i])) for i, t in enumerate(texts))
+    assert got == expected
+
+
+@pytest.mark.parametrize("limit", [1000, 40, 2])
+def test_links_connect_as_all_pairs_do(spark, limit):
+    base = [RNG.getrandbits(64) for _ in range(6)]
+    prints = list(dict.fromkeys(base + [b ^ sum(1 << x for x in RNG.sample(range(64), RNG.randint(0, 5))) for b in base for _ in range(25)]))
+    rows = spark.createDataFrame([(simhash._signed(p),) for p in prints], "print long").repartition(3)
+    found = simhash.links(rows, bucket_limit=limit)
+    roots = {r.node % 2**64: r.root for r in connected_components(found).collect()}
+    expected = plain_components(prints, 4)
+    groups = {}
+    for p, r in zip(prints, expected):
+        groups.setdefault(r, set()).add(p)
+    got = {}
+    for p in prints:
+        got.setdefault(roots.get(p, ("alone", p)), set()).add(p)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    chain = [(i, i + 1) for i in range(40)]
+    star = [(100, 100 + i) for i in range(1, 30)]
+    rows = spark.createDataFrame([*chain, *star, (7, 7), (200, None), (1, 0)], "a long, b long")
+    got = {r.node: r.root for r in connected_components(rows).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_document_of_each_group_stays(spark):
+    rows = docs(spark, [LONG, LONG, "other words that are here", LONG + " x", (LONG,), None]).unionByName(docs(spark, [LONG]))
+    got = simhash.keep_one(rows)
+    assert got.columns == rows.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == [(False, 0), (False, 2), (False, 5), (True, 0)]
+
+
+# --- quality ----------------------------------------------------------------------------------
+
+
+def plain_measures(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    spots = {}
+    for i in range(len(words) - 7):
+        spots.setdefault(tuple(words[i : i + 8]), []).append(i)
+    covered = {j for v in spots.values() if len(v) > 1 for i in v for j in range(i, i + 8)}
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_matches_plain_python(spark):
+    texts = ODD + ["a b\na b\n\na b", "x " * 9, "a b c d e f g h " * 3, "# $ % & | < > * end"] + ["\n".join(" ".join(RNG.choices("abc", k=RNG.randint(0, 20))) for _ in range(4)) for _ in range(30)]
+    got = quality.apply_policy(quality.ledger(docs(spark, texts))).collect()
+    every = [t[0] if isinstance(t, tuple) else t for t in texts]
+    expected = sorted(map(str, [(*plain_measures(t),) for t in every]))
+    assert sorted(str((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) for r in got) == expected
+    for r in got:
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+        assert not (r.base_failed and r.kept)
+    kept = quality.keep_good(docs(spark, texts))
+    assert kept.columns == docs(spark, []).columns and kept.count() == sum(r.kept for r in got)
+    table = {r.rule: (r.n_failed, r.n_only) for r in quality.ablation(quality.ledger(docs(spark, texts))).collect()}
+    assert table["few_words"][0] == sum(r.n_words < 20 for r in got)
+    assert quality.ledger(docs(spark, [])).count() == 0
+
+
+# --- personal data ----------------------------------------------------------------------------
+
+RX = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for n, (kind, rx) in enumerate(RX.items()):
+        for m in re.finditer(rx, text or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")) or kind == "card" and not (14 <= len(d) <= 19 and luhn) or kind == "phone" and not 10 <= len(d) <= 15:
+                continue
+            out.append((m.start(), n, m.end(), kind))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+PRIVATE = [
+    "a@b.c_d@e.f x@y..z a.b@c.d.e@f.g.h", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 1.2.3 999.1.1.1.1", "4349000490986231 4349-0004-9098-6231 4349 0004  9098",
+    "+1 (269) 555-3296 4524132264652876 +12", "😀 é@x.y 😀 q@x.y +1 (269) 555-3296", "a" * 3000 + "@", "9" * 5000, "@" * 50, "+1" + " " * 500, "x@a.b " * 700 + "1.1.1.1",
+]
+
+
+def test_base_spans_match_plain_patterns(spark):
+    mixed = ["".join(RNG.choices(["a", "@", ".", "1", "23", "-", " ", "+", "(", "4349000490986231", "é", "\n", "b.c", "255"], k=60)) for _ in range(150)]
+    texts = PRIVATE + ODD + mixed
+    rows = pii.spans(docs(spark, texts)).select(pii.rendered(F.col("base")).alias("b")).collect()
+    every = [t[0] if isinstance(t, tuple) else t for t in texts]
+    assert sorted(r.b for r in rows) == sorted(map(plain_spans, every))
+    assert pii.spans(docs(spark, [])).count() == 0
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    seeds = [f"note here login: {'%032x' % RNG.getrandbits(128)} and more" for _ in range(12)]
+    unseen = ["note here login: zq-77-plumb and more", "nothing of interest here 12345678"]
+    texts = [*seeds, *unseen]
+    found = {r.doc_id: r.s for r in pii.spans(docs(spark, texts)).select("doc_id", pii.rendered(F.col("spans")).alias("s")).collect()}
+    at = texts[12].index("zq-77-plumb")
+    assert found[12] == f"secret:{at}:{at + 11}" and found[13] == ""
+
+
+def test_redaction(spark):
+    rows = docs(spark, ["mail q@x.y now", "clean", None, "+1 (269) 555-3296 4524132264652876", ("q@x.y",)]).withColumn("n_chars", F.lit(7))
+    got = sorted((r.text or "", r.n_chars) for r in pii.redact(rows).collect())
+    assert got == sorted([("", 7), ("mail [EMAIL] now", 16), ("clean", 5), ("[EMAIL]", 7), ("+1 (269) 555-3296 4524132264652876", 34)])
+
+
+# --- tokens -----------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(WORD_BPE)
+
+
+PIECES = [*"aabbeinrst'’sΣİÉé漢 \t\x1c\x85123!?-ﬁ😀", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "the", "ing", "aaaa", "ß", "H̱"]
+FUZZ = ["".join(RNG.choices(PIECES, k=RNG.randint(0, 25))) for _ in range(400)]
+
+
+def test_bpe_is_the_librarys(spark, library):
+    texts = FUZZ + ODD + ["ab" * 5000, "'s't <|endoftext|>"]
+    every = [t[0] if isinstance(t, tuple) else t for t in texts]
+    ids = [library.encode(t or "", add_special_tokens=False).ids for t in every]
+    expected = sorted((len(i), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(i, skip_special_tokens=False).encode()).hexdigest()) for i in ids)
+    rows = bpe.decode(bpe.encode(docs(spark, texts), WORD_BPE), WORD_BPE)
+    got = rows.select("n_tokens", bpe.sha256_hex(F.col("ids")).alias("a"), bpe.sha256_hex(F.col("decoded")).alias("b")).collect()
+    assert sorted(tuple(r) for r in got) == expected
+
+
+def test_pair_check_is_exact():
+    model = bpe.WordBpe(open(WORD_BPE, encoding="utf-8").read())
+    tokens = RNG.sample([(d, i) for d, i in model.inner.items()], 400)
+    after = RNG.sample([(d, i) for d, i in model.ending.items()], 400)
+    pairs = [(a, b) for a, b in zip(tokens, after)]
+    got = model.compatible(np.array([a[1] << 16 | b[1] for a, b in pairs]))
+    assert got.tolist() == [model.merge(a[0] + b[0]) == [a[1], b[1]] for a, b in pairs]
+
+
+def test_unsupported_tokenizer_is_refused():
+    with pytest.raises(ValueError):
+        bpe.WordBpe(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+
+
+def test_token_store_round_trip(spark, library, tmp_path):
+    texts = FUZZ[:60] + [t for t in ODD if not isinstance(t, tuple)]
+    rows = docs(spark, texts).unionByName(docs(spark, ["again"], 3)).unionByName(docs(spark, [("no id",)]))
+    folder = f"file://{tmp_path}/store"
+    token_store.write(rows, WORD_BPE, folder, 2, shard_bytes=300)
+    got = sorted(token_store.read(spark, folder).collect(), key=lambda r: r.start)
+    ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 2]
+    assert [r.doc_id for r in got] == [None, *sorted([*range(len(texts)), 3])]
+    start = 0
+    for r in got:
+        assert r.start == start and r.n_tokens * 4 == len(r.ids)
+        start += r.n_tokens
+    store = token_store.Store(folder)
+    for i in (0, 5, len(texts) - 1):
+        assert store.get(i) == [ids(texts[i])]
+    assert sorted(store.get(3)) == sorted([ids(texts[3]), ids("again")])
+    assert store.get(10**12) == []
+    single = {r.doc_id: zlib.crc32(r.ids) for r in got if r.doc_id not in (None, 3)}
+    assert single == {i: zlib.crc32(np.array(ids(t), "<u4").tobytes()) for i, t in enumerate(texts) if i != 3}
+    empty = f"file://{tmp_path}/empty"
+    token_store.write(docs(spark, []), WORD_BPE, empty, 2)
+    assert token_store.read(spark, empty).count() == 0
+
+
+def test_perfect_hash():
+    keys = np.array(RNG.sample(range(-(10**15), 10**15), 5000), np.int64)
+    table, _ = PerfectHash.load(PerfectHash.build(keys).dump())
+    assert sorted(table.index(keys).tolist()) == list(range(5000))
+    with pytest.raises(ValueError):
+        PerfectHash.build(np.array([1, 1]))
+    assert PerfectHash.build(np.empty(0, np.int64)).index(np.array([5])).tolist() == [-1]
+
+
+def greedy(word, initial, continuation):
+    at, n = 0, 0
+    while at < len(word):
+        end = next((e for e in range(len(word), at, -1) if word[at:e] in (initial if at == 0 else continuation)), None)
+        if end is None:
+            return -1
+        at, n = end, n + 1
+    return n
+
+
+def test_automaton_counts_greedy_pieces(spark):
+    for _ in range(300):
+        some = lambda: {bytes(RNG.choices(b"abc", k=RNG.randint(1, 4))) for _ in range(RNG.randint(1, 6))}
+        initial, continuation = some(), some()
+        automaton = token_counts.LongestMatch(sorted(initial), sorted(continuation))
+        for _ in range(10):
+            word = bytes(RNG.choices(b"abc", k=RNG.randint(0, 9)))
+            assert automaton.count(word) == greedy(word, initial, continuation)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    initial, continuation = map(set, token_counts.byte_pieces(open(path, encoding="utf-8").read()))
+    texts = [t for t in ODD if not isinstance(t, tuple)]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs(spark, texts), path).collect()}
+    plain = lambda t: sum(greedy(b" " + w, initial, continuation) for w in re.split(rb"[\x20\x09-\x0D]+", (t or "").encode()) if w)
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
+# --- decontamination --------------------------------------------------------------------------
+
+
+def semi_global(pattern, text):
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, c in enumerate(text, 1):
+            new.append(min(row[j - 1] + (p != c), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_windows_within_budget_are_found():
+    letters = "abcdefgh "
+    item = decontaminate.normalise("".join(RNG.choices(letters, k=260)))
+    index = decontaminate.Index([(1, item)])
+    for _ in range(60):
+        text = list(item[RNG.randint(0, 40) : RNG.randint(150, 260)])
+        for _ in range(RNG.randint(0, 22)):
+            at = RNG.randrange(len(text))
+            text[at : at + RNG.choice([0, 1])] = RNG.choice([[], ["z"]])
+        text = decontaminate.normalise("".join(RNG.choices(letters, k=90)) + " " + "".join(text) + " " + "".join(RNG.choices(letters, k=70)))
+        expected = any(semi_global(item[s : s + 80], text) <= 6 for s in decontaminate.starts(len(item), 80))
+        assert bool(decontaminate.regions(index, text)) == expected
+
+
+def test_alignment_in_a_band():
+    for _ in range(60):
+        e = RNG.randint(0, 4)
+        pattern = RNG.choices("abc", k=20)
+        text = RNG.choices("abc", k=20 + 4 * e)
+        code = lambda s: np.array([[ord(c) for c in s]])
+        cost, first, end = decontaminate.aligned(code(pattern), code(text), e)
+        free = semi_global(pattern, text)
+        assert cost[0] >= free
+        if cost[0] <= e:
+            assert semi_global(pattern, text[first[0] : end[0]]) <= cost[0]
+
+
+def test_contaminated_documents_go(spark):
+    passage = "The quick brown fox jumps over the lazy dog while seven wizards quietly brew strong purple tea in the old stone tower."
+    bench = spark.createDataFrame([(1, passage), (2, None), (3, "short"), (1, passage)], "item_id long, text string")
+    texts = ["Intro. " + passage.upper().replace(" ", "\n ") + " outro", "x " + passage.replace("wizards", "wisards") + " y", "clean text about foxes and dogs", None, "", (passage,), LONG]
+    rows = docs(spark, texts).unionByName(docs(spark, ["clean again"], 0))
+    hits = decontaminate.find(rows, bench).collect()
+    assert sorted({(r.doc_id if r.doc_id is not None else -1, r.item_id) for r in hits}) == [(-1, 1), (0, 1), (1, 1)]
+    one = next(r for r in hits if r.doc_id == 1)
+    assert texts[1][one.start : one.end].startswith("The quick") and texts[1][one.start : one.end].endswith("tower")
+    grouped = decontaminate.find(rows, bench, group_chars=50)
+    assert sorted(map(str, grouped.collect())) == sorted(map(str, hits))
+    kept = decontaminate.drop_contaminated(rows, bench)
+    assert kept.columns == rows.columns and sorted(r.text or "" for r in kept.collect()) == sorted(["", "", "clean again", texts[2], LONG])
+    assert decontaminate.drop_contaminated(rows, bench.limit(0)).count() == rows.count()
+
+
+# --- licenses ---------------------------------------------------------------------------------
+
+
+def test_licenses(spark):
+    texts = ["Some words.\nReleased under the MIT License.\nmore", "This work is licensed under the GNU General Public License version 3", "my driving license", None, "", "x" * 5000 + " Licensed under CC BY-NC 4.0. " + "y" * 5000, licenses.TEMPLATES["MIT-text"]]
+    rows = docs(spark, texts).unionByName(docs(spark, [("Licensed under the Apache License, Version 2.0.",)]))
+    got = {(r.doc_id if r.doc_id is not None else -1): r for r in licenses.scan(rows).collect()}
+    assert {k: r.license for k, r in got.items()} == {0: "MIT", 1: "GPL-3.0", 2: None, 5: "CC-BY-NC-4.0", 6: "MIT", -1: "Apache-2.0"}
+    assert texts[0][got[0].start : got[0].end] == "Released under the MIT License." and got[0].n_differences == 0
+    assert got[5].end - got[5].start <= licenses.BLOCK_CHARS + 30
+
+
+# --- pipeline ---------------------------------------------------------------------------------
+
+
+def test_pipeline_follows_its_stages(spark, tmp_path):
+    good = [" ".join(f"w{RNG.randint(0, 400)}" for _ in range(60)) for _ in range(8)]
+    passage = " ".join(f"bench{RNG.randint(0, 400)}" for _ in range(30))
+    texts = [*good, good[0], "too short", good[1] + " " + passage, good[2] + " and mail q@x.yz", "dup dup " * 40]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    folder = f"file://{tmp_path}"
+    docs_ = rows
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs_ = stage(spark, docs_, folder)
+        assert docs_.columns == rows.columns
+    kept = {r.doc_id: r.text for r in docs_.collect()}
+    assert 8 not in kept and 9 not in kept and 10 not in kept and 12 not in kept
+    assert set(range(8)) <= set(kept)
+    if 11 in kept:
+        assert "[EMAIL]" in kept[11] and "q@x.yz" not in kept[11]
+    out = corpus_pipeline.run(spark, folder)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(kept)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "personal_data", "encoding"]
