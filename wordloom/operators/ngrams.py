@@ -41,16 +41,21 @@ def word_ngrams(rows: DataFrame, words: Column, order: int) -> DataFrame:
     return counted.select(F.regexp_extract("g", r"^(.*?) ?[^ ]+$", 1).alias("ctx"), F.regexp_extract("g", r"([^ ]+)$", 1).alias("w"), "n")
 
 
-def lower(level: DataFrame) -> DataFrame:
+#: The parent of a context: without its oldest letter, or its oldest word.
+LETTER_PARENT = "substring(ctx, 2)"
+WORD_PARENT = "regexp_replace(ctx, '^[^ ]* ?', '')"
+
+
+def lower(level: DataFrame, parent: str = LETTER_PARENT) -> DataFrame:
     """The level below: parent context, word, number of contexts that the word occurs in."""
-    return level.groupBy(F.expr("substring(ctx, 2)").alias("ctx"), "w").agg(F.count(F.lit(1)).alias("n"))
+    return level.groupBy(F.expr(parent).alias("ctx"), "w").agg(F.count(F.lit(1)).alias("n"))
 
 
-def levels(top: DataFrame, order: int) -> list[DataFrame]:
+def levels(top: DataFrame, order: int, parent: str = LETTER_PARENT) -> list[DataFrame]:
     """Counts by level, the highest order first, the empty context last."""
     out = [top]
     for _ in range(order - 1):
-        out.append(lower(out[-1]))
+        out.append(lower(out[-1], parent))
     return out
 
 
@@ -64,7 +69,7 @@ def back_off(discount: float, strength: float) -> Column:
     return (F.lit(strength) + F.lit(discount) * F.col("t_u")) / (F.lit(strength) + F.col("c_u"))
 
 
-def predictive(all_levels: list[DataFrame], discount: float = DISCOUNT, strength: float = STRENGTH, base: Column | None = None) -> DataFrame:
+def predictive(all_levels: list[DataFrame], discount: float = DISCOUNT, strength: float = STRENGTH, base: Column | None = None, parent: str = LETTER_PARENT) -> DataFrame:
     """(ctx, w, n, p) for the seen n-grams of the highest level; ``base`` is the probability of a
     word under the base measure (by default uniform over the words of the lowest level plus one)."""
     lowest = all_levels[-1]
@@ -78,7 +83,7 @@ def predictive(all_levels: list[DataFrame], discount: float = DISCOUNT, strength
         own = level if level is not lowest else rows
         own = own.join(totals(level), "ctx")
         if probs is not None:
-            own = own.withColumn("parent", F.expr("substring(ctx, 2)")).join(probs.select(F.col("ctx").alias("parent"), "w", F.col("p").alias("base")), ["parent", "w"]).drop("parent")
+            own = own.withColumn("parent", F.expr(parent)).join(probs.select(F.col("ctx").alias("parent"), "w", F.col("p").alias("base")), ["parent", "w"]).drop("parent")
         p = (F.col("n") - F.lit(discount) + (F.lit(strength) + F.lit(discount) * F.col("t_u")) * F.col("base")) / (F.lit(strength) + F.col("c_u"))
         probs = own.select("ctx", "w", "n", p.alias("p"))
     return probs

@@ -276,6 +276,17 @@ def perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_logs(spark, folder).agg(F.sum("n_known").alias("n_known"), F.round(F.exp(-F.sum("loglik") / F.sum("n_known")), 4).alias("perplexity"))
 
 
+WORD_BIGRAMS = f"""g2 AS (SELECT t[i] AS ctx, t[i + 1] AS w, count(*) AS n FROM (SELECT t, unnest(range(1, len(t))) AS i FROM (SELECT list_append(list_prepend('</s>', {WORDS}), '</s>') AS t FROM conversations)) GROUP BY 1, 2),
+{KN2[len(GRAMS2) + 2:]}"""
+
+
+@register("word_bigram_prob", f"WITH {WORD_BIGRAMS} SELECT ctx, w, n, round(p, 9) AS p FROM p2")
+def word_bigram_prob(spark: SparkSession, folder: str) -> DataFrame:
+    top = ngrams.word_ngrams(table(spark, folder, "conversations"), S.words(F.col("text")), 2)
+    levels = ngrams.levels(top, 2, ngrams.WORD_PARENT)
+    return ngrams.predictive(levels, parent=ngrams.WORD_PARENT).withColumn("p", F.round("p", 9))
+
+
 # --- lexicon ----------------------------------------------------------------------------------
 
 
@@ -321,7 +332,7 @@ def poisson_scale(spark: SparkSession, folder: str) -> DataFrame:
     lex = document_lexicon(spark, folder)
     mean = lexicon.mean_length(lexicon.length_histogram(lex))
     shares = lexicon.length_histogram(lex.withColumn("n", F.lit(1)))
-    rows = lexicon.length_scale(F.col("mean"), shares.crossJoin(F.broadcast(mean)).withColumnRenamed("share", "share"))  # one row on the right
+    rows = lexicon.length_scale(F.col("mean"), shares.crossJoin(F.broadcast(mean)))  # one row on the right
     return rows.select("length", F.round("scale", 6).alias("scale"))
 
 
@@ -601,3 +612,12 @@ def generate_words(spark: SparkSession, folder: str) -> DataFrame:
     lex = document_lexicon(spark, folder)
     levels = ngrams.levels(ngrams.char_ngrams(lex.select(F.concat("word", F.lit("$")).alias("s")), F.col("s"), 3), 3)
     return generate.words(ngrams.predictive(levels).select("ctx", "w", "p"), 3, 10_000, seed=1)
+
+
+@register("length_modulation")
+def length_modulation(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of lengths of 10,000 words drawn from letter trigrams, and the factor that brings them
+    to the Poisson of the lexicon's mean."""
+    mean = lexicon.mean_length(lexicon.length_histogram(document_lexicon(spark, folder)))
+    shares = generate.length_shares(stored(generate_words(spark, folder), "generated"))
+    return lexicon.length_scale(F.col("mean"), shares.crossJoin(F.broadcast(mean)))  # one row on the right

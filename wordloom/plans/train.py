@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wordloom.config import Options
 from wordloom.functions import symbols as S
-from wordloom.operators import align, lattice, lexicon, sampler
+from wordloom.operators import align, lattice, lexicon, ngrams, sampler
 from wordloom.sources import sinks, text
 
 #: Symbols are coded as single characters from here on, so that words are plain strings.
@@ -102,10 +102,22 @@ def segment(spark: SparkSession, options: Options) -> Run:
     run.timed("read", began)
 
     alphabet = table.where("not reserved").count()
+    fixed = None
+    if options.init_transcription:
+        fixed = text.transcription(text.sentences(text.lines(spark, [options.init_transcription])))
+    elif options.word_sentences:
+        spoken = text.sentences(text.lines(spark, [options.word_sentences])).select(F.col("name").alias("utt"), F.col("symbols").alias("words"))
+        known = lexicon.disambiguated(text.pronunciations(text.lines(spark, [options.pronunciations])))
+        fixed = text.transcription(text.spoken(spoken, known).drop("words"))
+    if fixed is not None:  # these sentences stay in the model for good
+        code = F.map_from_entries(F.collect_list(F.struct("sym", "code")))
+        codes = table.agg(code.alias("codes"))  # a symbol table is small
+        letters = lambda w: F.array_join(F.transform(w, lambda s: F.coalesce(F.try_element_at(F.col("codes"), s), s)), "")
+        fixed = fixed.crossJoin(F.broadcast(codes)).select(F.transform("words", letters).alias("words")).cache()
     state = sampler.start(sentences, options.known_n, options.unknown_n)
     for n in range(1, options.iterations + 1):
         began = time.time()
-        state = sampler.iterate(state, options.seed, options.batches, options.max_word_length, alphabet, options.beam_width, options.uses_viterbi(n), options.characters_off(n))
+        state = sampler.iterate(state, options.seed, options.batches, options.max_word_length, alphabet, options.beam_width, options.uses_viterbi(n), options.characters_off(n), fixed=fixed, modulation=options.word_length_modulation)
         run.timed("sampling", began)
         began = time.time()
         if options.evaluates(n):
@@ -118,7 +130,10 @@ def segment(spark: SparkSession, options: Options) -> Run:
                     names = S.symbol_table(pairs.select(F.explode(F.concat("ref", "hyp")).alias("sym")).select("sym", F.col("sym").alias("at")))
                     sinks.operation_lines(align.edit_operations(pairs), names).select("value").write.text(sinks.iteration_path(where, "EditOperations", n))
         run.timed("evaluation", began)
-        if options.switch.iteration == n:
+        if options.switch.iteration == n:  # tables are drawn anew from here on, which is the retraining
             state = sampler.switch_orders(state, options.switch.known_n, options.switch.unknown_n)
+    if options.rescored_folder and arcs is not None:
+        levels = ngrams.levels(ngrams.word_ngrams(utts, F.col("symbols"), 2), 2, ngrams.WORD_PARENT)
+        lattice.rescore(arcs, ngrams.predictive(levels, parent=ngrams.WORD_PARENT).select("ctx", "w", "p"), start="</s>").write.parquet(f"{options.rescored_folder}/rescored")
     run.state = state
     return run
