@@ -162,24 +162,17 @@ def aligned(pattern: np.ndarray, text: np.ndarray, edits: int) -> tuple[np.ndarr
     alignment in the band, and its first and last column (the end exclusive)."""
     n, w = pattern.shape
     width = 4 * edits + 1
-    cost = np.zeros((n, width), np.int64)
-    first = np.broadcast_to(np.arange(width), (n, width)).copy()
+    # edits in the high bits, the first column in the low ones: of equal edits the longest match
+    one = np.int64(1 << 32)
+    steps = np.arange(width) * one
+    row = np.broadcast_to(np.arange(width), (n, width)).astype(np.int64)
     for i in range(w):
-        straight = cost + (pattern[:, i : i + 1] != text[:, i : i + width])
-        best, origin = straight, first
-        skip = np.full_like(cost, w + width)
-        skip[:, :-1] = cost[:, 1:] + 1
-        shifted = np.concatenate((first[:, 1:], first[:, -1:]), axis=1)
-        better = skip < best
-        best, origin = np.where(better, skip, best), np.where(better, shifted, origin)
-        for t in range(1, width):  # characters of the text that the pattern lacks
-            more = best[:, t - 1] + 1 < best[:, t]
-            best[:, t] = np.where(more, best[:, t - 1] + 1, best[:, t])
-            origin[:, t] = np.where(more, origin[:, t - 1], origin[:, t])
-        cost, first = best, origin
-    end = cost.argmin(axis=1)
-    rows = np.arange(n)
-    return cost[rows, end], first[rows, end], end + w
+        new = row + (pattern[:, i : i + 1] != text[:, i : i + width]) * one
+        np.minimum(new[:, :-1], row[:, 1:] + one, out=new[:, :-1])  # the text lacks a character
+        row = np.minimum.accumulate(new - steps, axis=1) + steps  # the pattern lacks some
+    end = (row >> 32).argmin(axis=1)
+    best = row[np.arange(n), end]
+    return best >> 32, best & (one - 1), end + w
 
 
 def regions(index: Index, text: str) -> list[tuple[int, int, int, int]]:
