@@ -16,6 +16,7 @@ long shard, since documents aren't cut; extra columns are ignored.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,13 +31,19 @@ from wordloom.session import new_folder, ship_package
 
 SHARD_BYTES = 64 << 20
 SHARD_DOCS = 1 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000  # in each of two generations
 JOINED_WORDS = 2000
+SIGNS = frozenset(b"!#$%&()*+,-./:;<=>?@[]^_{|}~")
 GROUP_CHARS = 1 << 20
 NO_KEY = -(1 << 63)
 SLOT = np.dtype([("mark", "<u4"), ("offset", "<u8"), ("count", "<u4"), ("copies", "<u4")])
 
 
+def letters_only(word: str) -> bool:
+    """Whether a word is letters before and after normalising (some letters turn into a letter and a mark)."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class LibraryEncoder:
     """Ids by the tokenizers library. Texts are cut at ASCII white space, which no token crosses
     with the tokenizers served here, and each distinct word is encoded once. With a vocabulary that
@@ -49,6 +56,7 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_str(spec)
         self.cache: dict[bytes, bytes] = {}
+        self.aged: dict[bytes, bytes] = {}
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
         j = json.loads(spec)
@@ -60,6 +68,18 @@ class LibraryEncoder:
         self.lowers = any(n["type"] == "Lowercase" for n in (j["normalizer"] or {}).get("normalizers", []))
 
     def learn(self, words: list[bytes]) -> None:
+        if self.ends is None:
+            return self._learn(words)
+        # a word of letters and one sign of ASCII is two tokens' worth of known parts
+        signed = [w for w in words if len(w) > 1 and w[-1] in SIGNS and letters_only(w[:-1].decode("utf-8", "replace"))]
+        parts = {x for w in signed for x in (w[:-1], w[-1:])}
+        cache, aged = self.cache, self.aged
+        cache.update((w, aged[w]) for w in parts if w in aged)
+        self._learn([w for w in parts.union(words).difference(signed) if w not in cache])
+        for w in signed:
+            self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1:]]
+
+    def _learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
         rest = range(len(words))
         if self.ends is not None:
@@ -97,11 +117,12 @@ class LibraryEncoder:
                 size += len(texts[stop])
                 stop += 1
             words = [self.split(t) for t in texts[at:stop]]
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            cache = self.cache
+            if len(self.cache) > CACHE_WORDS:  # words met since the last time come back from the aged ones
+                self.aged, self.cache = self.cache, {}
+            cache, aged = self.cache, self.aged
             if new := [w for w in set().union(*words) if w not in cache]:
-                self.learn(new)
+                cache.update((w, aged[w]) for w in new if w in aged)
+                self.learn([w for w in new if w not in cache])
             out += [b"".join([cache[w] for w in ws]) for ws in words]
             at = stop
         return out
