@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.session import stored
+
 DISCOUNT, STRENGTH = 0.5, 0.1
 
 
@@ -22,10 +24,8 @@ def char_ngrams(rows: DataFrame, text: Column, order: int, pad: str = "^") -> Da
     """(ctx, w, n): counts of each letter after its ``order - 1`` predecessors, padded at the start.
     Partial counts are combined before the shuffle."""
     body = F.concat(F.lit(pad * (order - 1)), text)
-    chars = F.split(body, "")
-    grams = chars
-    for k in range(1, order):
-        grams = F.zip_with(F.slice(grams, F.lit(1), F.greatest(F.size(grams) - 1, F.lit(0))), F.slice(chars, F.lit(1 + k), F.greatest(F.size(chars) - k, F.lit(0))), lambda a, b: F.concat(a, b))
+    # a look-ahead matches at every place and takes no letters
+    grams = F.regexp_extract_all(body, F.lit(f"(?s)(?=(.{{{order}}}))"), F.lit(1))
     one = rows.where(F.length(text) > 0).select(F.explode(grams).alias("g"))
     counted = one.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.expr(f"substring(g, 1, {order - 1})").alias("ctx"), F.expr(f"substring(g, {order})").alias("w"), "n")
@@ -52,8 +52,9 @@ def lower(level: DataFrame, parent: str = LETTER_PARENT) -> DataFrame:
 
 
 def levels(top: DataFrame, order: int, parent: str = LETTER_PARENT) -> list[DataFrame]:
-    """Counts by level, the highest order first, the empty context last."""
-    out = [top]
+    """Counts by level, the highest order first, the empty context last. The highest counts are
+    written once, since every level and total derives from them; texts are read once."""
+    out = [stored(top, "ngrams")]
     for _ in range(order - 1):
         out.append(lower(out[-1], parent))
     return out
