@@ -46,7 +46,7 @@ def drop_weights(arcs: DataFrame) -> DataFrame:
 def sausage(rows: DataFrame, utt: Column, symbols: Column, alternative_weight: float = 2.0) -> DataFrame:
     """A chain lattice from symbols a to z: each letter at weight 0 and the next letter of the
     alphabet at ``alternative_weight``."""
-    spelled = rows.select(utt.alias("utt"), F.posexplode(symbols).alias("src", "label")).withColumn("dst", F.col("src") + 1)
+    spelled = rows.select(utt.alias("utt"), F.posexplode(symbols).alias("src", "label")).withColumn("src", F.col("src").cast("bigint")).withColumn("dst", F.col("src") + 1)
     other = F.when(F.col("label") == "z", F.lit("a")).otherwise(F.chr(F.ascii("label") + 1))
     choice = F.explode(F.array(F.struct(F.col("label").alias("l"), F.lit(0.0).alias("w")), F.struct(other.alias("l"), F.lit(float(alternative_weight)).alias("w")))).alias("c")
     return spelled.select("utt", "src", "dst", choice).select("utt", "src", "dst", F.col("c.l").alias("label"), F.col("c.w").alias("weight"))

@@ -513,7 +513,7 @@ def beam_topk(spark: SparkSession, folder: str) -> DataFrame:
     "timed_words",
     f"""WITH w AS (SELECT {UTT} AS utt, {WORDS} AS ws FROM conversations),
 x AS (SELECT utt, i - 1 AS word_no, ws[i] AS word, list_sum(list_transform(ws[1:i - 1], lambda y: length(y))) AS before FROM (SELECT utt, ws, unnest(range(1, len(ws) + 1)) AS i FROM w))
-SELECT utt, CAST(word_no AS INTEGER) AS word_no, word, round(coalesce(before, 0) * 0.1, 6) AS start_t, round((coalesce(before, 0) + length(word)) * 0.1, 6) AS end_t FROM x""",
+SELECT utt, CAST(word_no AS INTEGER) AS word_no, word, CAST(round(coalesce(before, 0) * 0.1, 6) AS DOUBLE) AS start_t, CAST(round((coalesce(before, 0) + length(word)) * 0.1, 6) AS DOUBLE) AS end_t FROM x""",
 )
 def timed_words(spark: SparkSession, folder: str) -> DataFrame:
     """Words of turns from their letters' arcs, each letter a tenth of a second."""
