@@ -75,8 +75,7 @@ def predictive(all_levels: list[DataFrame], discount: float = DISCOUNT, strength
     word under the base measure (by default uniform over the words of the lowest level plus one)."""
     lowest = all_levels[-1]
     if base is None:
-        size = lowest.agg((F.count(F.lit(1)) + 1).alias("size"))
-        rows = lowest.crossJoin(F.broadcast(size)).withColumn("base", 1.0 / F.col("size"))  # one row on the right
+        rows = lowest.withColumn("base", F.lit(1.0 / (lowest.count() + 1)))
     else:
         rows = lowest.withColumn("base", base)
     probs = None

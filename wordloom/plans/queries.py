@@ -330,9 +330,9 @@ SELECT length, round(exp(-(mean - 2) + (length - 2) * ln(mean - 2) - lgamma(leng
 )
 def poisson_scale(spark: SparkSession, folder: str) -> DataFrame:
     lex = document_lexicon(spark, folder)
-    mean = lexicon.mean_length(lexicon.length_histogram(lex))
+    mean = lexicon.mean_length(lexicon.length_histogram(lex)).first()["mean"]
     shares = lexicon.length_histogram(lex.withColumn("n", F.lit(1)))
-    rows = lexicon.length_scale(F.col("mean"), shares.crossJoin(F.broadcast(mean)))  # one row on the right
+    rows = lexicon.length_scale(F.lit(mean), shares)
     return rows.select("length", F.round("scale", 6).alias("scale"))
 
 
@@ -618,6 +618,6 @@ def generate_words(spark: SparkSession, folder: str) -> DataFrame:
 def length_modulation(spark: SparkSession, folder: str) -> DataFrame:
     """Share of lengths of 10,000 words drawn from letter trigrams, and the factor that brings them
     to the Poisson of the lexicon's mean."""
-    mean = lexicon.mean_length(lexicon.length_histogram(document_lexicon(spark, folder)))
+    mean = lexicon.mean_length(lexicon.length_histogram(document_lexicon(spark, folder))).first()["mean"]
     shares = generate.length_shares(stored(generate_words(spark, folder), "generated"))
-    return lexicon.length_scale(F.col("mean"), shares.crossJoin(F.broadcast(mean)))  # one row on the right
+    return lexicon.length_scale(F.lit(mean), shares)

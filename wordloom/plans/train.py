@@ -110,10 +110,10 @@ def segment(spark: SparkSession, options: Options) -> Run:
         known = lexicon.disambiguated(text.pronunciations(text.lines(spark, [options.pronunciations])))
         fixed = text.transcription(text.spoken(spoken, known).drop("words"))
     if fixed is not None:  # these sentences stay in the model for good
-        code = F.map_from_entries(F.collect_list(F.struct("sym", "code")))
-        codes = table.agg(code.alias("codes"))  # a symbol table is small
-        letters = lambda w: F.array_join(F.transform(w, lambda s: F.coalesce(F.try_element_at(F.col("codes"), s), s)), "")
-        fixed = fixed.crossJoin(F.broadcast(codes)).select(F.transform("words", letters).alias("words")).cache()
+        rows = table.select("sym", "code").collect()  # a symbol table is small
+        codes = F.map_from_arrays(F.array(*(F.lit(r.sym) for r in rows)), F.array(*(F.lit(r.code) for r in rows)))
+        letters = lambda w: F.array_join(F.transform(w, lambda s: F.coalesce(F.try_element_at(codes, s), s)), "")
+        fixed = fixed.select(F.transform("words", letters).alias("words")).cache()
     state = sampler.start(sentences, options.known_n, options.unknown_n)
     for n in range(1, options.iterations + 1):
         began = time.time()
