@@ -324,8 +324,11 @@ class WordBpe:
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids: tokens joined by blanks, in UTF-8."""
-        texts = self.texts
-        return b" ".join([texts[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return decoded(ids, self.texts)
+
+
+def decoded(ids: bytes, texts: list[bytes]) -> bytes:
+    return b" ".join([texts[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -386,17 +389,17 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """Adds the column decoded (text) to doc_id, n_tokens and ids."""
     spark = encoded.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(WordBpe(open(vocabulary, encoding="utf-8").read()))
+    shared = spark.sparkContext.broadcast(WordBpe(open(vocabulary, encoding="utf-8").read()).texts)
     kind = encoded.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        texts = shared.value
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for key, n, ids in zip(*(batch.column(i) for i in range(3))):
                     data = ids.as_py()
-                    yield key.as_py(), n.as_py(), data, model.decode(data or b"")
+                    yield key.as_py(), n.as_py(), data, decoded(data or b"", texts)
 
         from pyspark.sql.pandas.types import to_arrow_type
 
