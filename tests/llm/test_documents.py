@@ -347,6 +347,23 @@ def test_licenses(spark):
     assert got[5].end - got[5].start <= licenses.BLOCK_CHARS + 30
 
 
+def prose(n, seed):
+    own = random.Random(seed)
+    return "".join(own.choices("abcdefghijklmnopqrstuvwyzABCDEFGHIJ      ", k=n))
+
+
+@pytest.mark.parametrize("around", [20, 200, 1000, 3000])
+def test_licenses_inside_prose(around):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, notice in licenses.TEMPLATES.items():
+        text = f"{prose(around, name)} {notice} {prose(around, name + '2')}"
+        got = scanner.judge(text)
+        assert [(r[2], r[4]) for r in got] == [(licenses.license_of(name), 0)]
+        assert text[got[0][0] : got[0][1]] == notice
+    for text in ("It was Released under the new License. So", "Licensed under CC BY-SA 4.0."):
+        assert [r[2] for r in scanner.judge(text)] == [None]
+
+
 # --- pipeline ---------------------------------------------------------------------------------
 
 

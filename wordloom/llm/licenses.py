@@ -1,13 +1,16 @@
 """License scans by conditional compression.
 
-A document's lines that carry a license word are its candidate blocks (neighbouring ones join). A
-block is compressed alone and with each template as a zstandard raw dictionary; templates are ranked
-by the share of the size that the dictionary saves. Winners are confirmed by exact wording: the
-block's words are aligned with the template's, and the words inserted, deleted and replaced are
-counted. A block is confirmed if those are at most ``MAX_DIFFERENCE`` of the template's words.
-
-Defined cases: null and empty texts have no blocks; equal savings go to the template with fewer
-wording differences, then to the first name; a block that no template confirms is reported with a
+A document's lines that carry a license word are its candidate blocks (neighbouring ones join).
+Notices in a block are found by exact wording: the part of the block's words nearest to a template
+is aligned with it, and the words inserted, deleted and replaced are counted. A part is confirmed if
+those are at most ``MAX_DIFFERENCE`` of the template's words and its naming words (``NAMING``) are
+there, however much text stands around it. Each part is compressed alone and with its template as a
+zstandard raw dictionary; the share of the size that the dictionary saves is measured on the part
+only, ranks confirmed templates of equal wording, and ranks templates for blocks without a notice.
+
+Defined cases: null and empty texts have no blocks; of confirmed templates the one with most matching
+words counts, then the higher saving, then the first name; a confirmed part's own place is reported,
+closing punctuation included; a block that no template confirms is reported whole with a
 null license; repeated rows give repeated results; null doc_ids pass through; a very long line is
 cut around its license words, so a block's size is bounded; extra columns are ignored.
 """
@@ -15,9 +18,10 @@ cut around its license words, so a block's size is bounded; extra columns are ig
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,11 +49,16 @@ TEMPLATES = {
 CUE = r"(?i)licen[sc]e|copyright|creative commons|public domain|redistribut|hereby granted|\bCC0\b"
 _CUE = re.compile(CUE)
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
+_CLOSING = re.compile(r"[^\w\s]*")
 
 BLOCK_CHARS = 2000
 TRIED = 3
 MAX_DIFFERENCE = 0.2
-MIN_SAVING = 0.2
+#: Words without which a notice isn't the template's, however alike the rest is.
+NAMING = {
+    "Apache-2.0": ("apache", "2.0"), "Apache-2.0-header": ("apache", "2.0"), "CC-BY-4.0": ("attribution", "4.0"), "CC-BY-NC-4.0": ("by-nc", "4.0"),
+    "CC-BY-SA-4.0": ("attribution-sharealike", "4.0"), "GPL-2.0": ("gnu", "2"), "GPL-3.0": ("gnu", "3"), "GPL-3.0-header": ("gnu", "3"), "MIT": ("mit",), "MPL-2.0": ("mozilla", "2.0"),
+}
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -72,18 +81,29 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def differences(block: list[str], template: list[str]) -> tuple[int, int, int]:
-    """Words inserted, deleted and replaced to make the template from the part of the block that
-    best fits; text around that part isn't counted."""
-    ops = SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
-    while ops and ops[0][0] == "insert":
-        ops = ops[1:]
-    while ops and ops[-1][0] == "insert":
-        ops = ops[:-1]
-    added = sum(j2 - j1 for tag, i1, i2, j1, j2 in ops if tag == "insert")
-    gone = sum(i2 - i1 for tag, i1, i2, j1, j2 in ops if tag == "delete")
-    changed = sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in ops if tag == "replace")
-    return added, gone, changed
+def _placed_words(text: str, start: int, end: int) -> tuple[list[str], list[tuple[int, int]]]:
+    """Words of a part of the text, and their places in it."""
+    hits = [(m.group().lower(), m.span()) for m in _WORD.finditer(text, start, end)]
+    return [w for w, _ in hits], [p for _, p in hits]
+
+
+def edits(template: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each end in the block (exclusive, from 0): the least words inserted, deleted and replaced
+    between the template and a part of the block that ends there, and the part's start."""
+    n = len(block)
+    one = np.int64(1 << 32)
+    # edits in the high bits, the distance from the end in the low ones: of equal edits the shortest part
+    steps = np.arange(n + 1) * one
+    row = n - np.arange(n + 1, dtype=np.int64)
+    for word in template:
+        new = row + one
+        np.minimum(new[1:], row[:-1] + (block != word) * one, out=new[1:])
+        row = np.minimum.accumulate(new - steps) + steps
+    return row >> 32, n - (row & (one - 1))
+
+
+def _base(word: str) -> str:
+    return word.removesuffix(".0")
 
 
 class Scanner:
@@ -92,29 +112,74 @@ class Scanner:
 
         self.plain = zstd.ZstdCompressor(level=3)
         self.texts = {k: words(v) for k, v in sorted(templates.items())}
+        self.counts = {k: Counter(v) for k, v in self.texts.items()}
+        self.codes = {w: n for n, w in enumerate(sorted({w for v in self.texts.values() for w in v}))}
+        self.coded = {k: self.code(v) for k, v in self.texts.items()}
         self.known = {}
         for k, v in sorted(templates.items()):
             data = zstd.ZstdCompressionDict(v.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
             self.known[k] = zstd.ZstdCompressor(level=3, dict_data=data)
         self.seen: dict[str, tuple] = {}
 
-    def judge(self, block: str) -> tuple[str | None, float, int | None, int]:
-        """(license or None, saving, words that differ, words of the best template)."""
+    def code(self, own: list[str]) -> np.ndarray:
+        return np.array([self.codes.get(w, -1) for w in own], np.int64)
+
+    def saving(self, name: str, block: str) -> float:
+        data = block.encode("utf-8", "replace")
+        return 1 - len(self.known[name].compress(data)) / len(self.plain.compress(data))
+
+    def confirmed(self, text: str, own: list[str], places: list[tuple[int, int]]) -> tuple | None:
+        """The best confirmed part of some words of the text: (matching words, saving, template,
+        first word, last word (exclusive), words that differ)."""
+        found = []
+        coded = self.code(own)
+        counts = Counter(own)
+        bases = set(map(_base, own))
+        for name, template in self.texts.items():
+            limit = int(MAX_DIFFERENCE * len(template))
+            naming = set(map(_base, NAMING.get(name, ())))
+            if not naming <= bases or (self.counts[name] & counts).total() < len(template) - limit:
+                continue
+            cost, start = edits(self.coded[name], coded)
+            ends = np.flatnonzero(cost <= limit)
+            for end in ends[np.argsort(cost[ends], kind="stable")].tolist():
+                a = int(start[end])
+                if a < end and naming <= set(map(_base, own[a:end])):
+                    saving = self.saving(name, text[places[a][0] : places[end - 1][1]])
+                    found.append((len(template) - int(cost[end]), saving, name, a, end, int(cost[end])))
+                    break
+        return min(found, key=lambda x: (-x[0], -x[1], x[2]), default=None)
+
+    def unconfirmed(self, block: str) -> tuple[float, int, int]:
+        """(saving, words that differ, words of the template) of the template nearest to a block."""
         if block in self.seen:
             return self.seen[block]
-        data = block.encode("utf-8", "replace")
-        alone = len(self.plain.compress(data))
-        savings = sorted(((1 - len(c.compress(data)) / alone, k) for k, c in self.known.items()), key=lambda x: (-x[0], x[1]))
-        own = words(block)
-        best = min((sum(differences(own, self.texts[k])), -saving, k) for saving, k in savings[:TRIED])
-        wrong, saving, name = best[0], -best[1], best[2]
-        size = len(self.texts[name])
-        good = saving >= MIN_SAVING and wrong <= MAX_DIFFERENCE * size
-        found = (name.removesuffix("-header").removesuffix("-text") if good else None, round(saving, 6), wrong, size)
+        savings = sorted(((self.saving(k, block), k) for k in self.known), key=lambda x: (-x[0], x[1]))
+        own = self.code(words(block))
+        wrong, saving, name = min((int(edits(self.coded[k], own)[0].min()), -saving, k) for saving, k in savings[:TRIED])
+        found = (round(-saving, 6), wrong, len(self.texts[name]))
         if len(self.seen) < 100_000:
             self.seen[block] = found
         return found
 
+    def judge(self, text: str) -> list[tuple[int, int, str | None, float, int, int]]:
+        """(start, end, license or None, saving, words that differ, words of the template)."""
+        out = []
+        for a, b in blocks(text):
+            own, places = _placed_words(text, a, b)
+            best = self.confirmed(text, own, places)
+            if best is None:
+                out.append((a, b, None, *self.unconfirmed(text[a:b])))
+                continue
+            _, saving, name, first, last, wrong = best
+            stop = _CLOSING.match(text, places[last - 1][1], b).end()
+            out.append((places[first][0], stop, license_of(name), round(saving, 6), wrong, len(self.texts[name])))
+        return out
+
+
+def license_of(template: str) -> str:
+    return template.removesuffix("-header").removesuffix("-text")
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, start, end (code points), license (null: none confirmed), saving, n_differences and
@@ -131,9 +196,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             owner, rows = [], []
             for n, data in enumerate(batch.column(1)):
                 text = data.as_py().decode("utf-8", "replace")
-                for a, b in blocks(text):
-                    owner.append(n)
-                    rows.append((a, b, *scanner.judge(text[a:b])))
+                found = scanner.judge(text)
+                owner += [n] * len(found)
+                rows += found
             if rows:
                 keys = batch.column(0).take(pa.array(owner, pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", *names])
