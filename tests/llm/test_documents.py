@@ -4,6 +4,7 @@ rows, empty tables and clashing column names."""
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -364,6 +365,28 @@ def test_licenses_inside_prose(around):
         assert [r[2] for r in scanner.judge(text)] == [None]
 
 
+@pytest.mark.parametrize("width, mark", [(40, ""), (70, "# "), (76, " * ")])
+def test_licenses_in_wrapped_lines(width, mark):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, notice in licenses.TEMPLATES.items():
+        wrapped = "\n".join(mark + line for line in textwrap.wrap(notice, width, break_long_words=False, break_on_hyphens=False))
+        text = f"{prose(300, name)}\n{wrapped}\n{prose(300, name + '2')}"
+        assert [(r[2], r[4]) for r in scanner.judge(text)] == [(licenses.license_of(name), 0)]
+
+
+def test_every_license_of_a_block_is_reported():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0"]
+    for between in ("\n", " ", " my driving license ", f" {prose(500, 'm')} "):
+        text = f"{mit}{between}{apache}"
+        got = [(r[2], text[r[0] : r[1]]) for r in scanner.judge(text)]
+        assert [x for x in got if x[0]] == [("MIT", mit), ("Apache-2.0", apache)]
+        assert [x[1].strip() for x in got if not x[0]] == (["my driving license"] if "driving" in between else [])
+    every = "\n".join(licenses.TEMPLATES.values()) * 5
+    assert [r[2] for r in scanner.judge(every)] == [licenses.license_of(k) for k in licenses.TEMPLATES] * 5
+    assert [r[:3] for r in scanner.judge("my driving license")] == [(0, 18, None)]
+
+
 # --- pipeline ---------------------------------------------------------------------------------
 
 

@@ -1,22 +1,24 @@
 """License scans by conditional compression.
 
 A document's lines that carry a license word are its candidate blocks (neighbouring ones join).
-Notices in a block are found by exact wording: the part of the block's words nearest to a template
-is aligned with it, and the words inserted, deleted and replaced are counted. A part is confirmed if
+Notices in a block and in as many words around it as the longest template has are found by exact
+wording: the part of the words nearest to a template is aligned with it, and the words inserted, deleted and replaced are counted. A part is confirmed if
 those are at most ``MAX_DIFFERENCE`` of the template's words and its naming words (``NAMING``) are
-there, however much text stands around it. Each part is compressed alone and with its template as a
+there, however much text stands around it. A confirmed part is taken out and what lies on either
+side is searched again, so each notice is a row of its own. Each part is compressed alone and with its template as a
 zstandard raw dictionary; the share of the size that the dictionary saves is measured on the part
 only, ranks confirmed templates of equal wording, and ranks templates for blocks without a notice.
 
 Defined cases: null and empty texts have no blocks; of confirmed templates the one with most matching
 words counts, then the higher saving, then the first name; a confirmed part's own place is reported,
-closing punctuation included; a block that no template confirms is reported whole with a
-null license; repeated rows give repeated results; null doc_ids pass through; a very long line is
+closing punctuation included; a block without a confirmed part, or what such parts leave of it if
+that has a cue, is reported with a null license; repeated rows give repeated results; null doc_ids pass through; a very long line is
 cut around its license words, so a block's size is bounded; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -46,12 +48,16 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-CUE = r"(?i)licen[sc]e|copyright|creative commons|public domain|redistribut|hereby granted|\bCC0\b"
+# words of a cue may stand on two lines, with a comment mark between
+_GAP = r"[\x20\t\r\n#*/;>%-]+"
+CUE = rf"(?i)licen[sc]e|copyright|creative{_GAP}commons|public{_GAP}domain|redistribut|hereby{_GAP}granted|\bCC0\b"
 _CUE = re.compile(CUE)
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 _CLOSING = re.compile(r"[^\w\s]*")
 
 BLOCK_CHARS = 2000
+#: Characters on either side of a block in which the words of a notice are looked for.
+REACH_CHARS = 8000
 TRIED = 3
 MAX_DIFFERENCE = 0.2
 #: Words without which a notice isn't the template's, however alike the rest is.
@@ -115,6 +121,8 @@ class Scanner:
         self.counts = {k: Counter(v) for k, v in self.texts.items()}
         self.codes = {w: n for n, w in enumerate(sorted({w for v in self.texts.values() for w in v}))}
         self.coded = {k: self.code(v) for k, v in self.texts.items()}
+        # words on either side of a block that a notice with a word in it can reach
+        self.reach = max(len(v) + int(MAX_DIFFERENCE * len(v)) for v in self.texts.values())
         self.known = {}
         for k, v in sorted(templates.items()):
             data = zstd.ZstdCompressionDict(v.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
@@ -162,19 +170,48 @@ class Scanner:
             self.seen[block] = found
         return found
 
-    def judge(self, text: str) -> list[tuple[int, int, str | None, float, int, int]]:
-        """(start, end, license or None, saving, words that differ, words of the template)."""
-        out = []
-        for a, b in blocks(text):
-            own, places = _placed_words(text, a, b)
+    def notices(self, text: str, own: list[str], places: list[tuple[int, int]]) -> Iterator[tuple]:
+        """(matching words, saving, template, start, end (after closing punctuation), words that differ) of
+        the confirmed parts of some words of the text: the best, then those of what lies on either side."""
+        rest = [(own, places)]
+        while rest:
+            own, places = rest.pop()
             best = self.confirmed(text, own, places)
-            if best is None:
-                out.append((a, b, None, *self.unconfirmed(text[a:b])))
-                continue
-            _, saving, name, first, last, wrong = best
-            stop = _CLOSING.match(text, places[last - 1][1], b).end()
-            out.append((places[first][0], stop, license_of(name), round(saving, 6), wrong, len(self.texts[name])))
-        return out
+            if best:
+                match, saving, name, a, b, wrong = best
+                yield match, saving, name, places[a][0], _CLOSING.match(text, places[b - 1][1]).end(), wrong
+                rest += [(own[:a], places[:a]), (own[b:], places[b:])]
+
+    def judge(self, text: str) -> list[tuple[int, int, str | None, float, int, int]]:
+        """(start, end, license or None, saving, words that differ, words of the template), in order."""
+        around = blocks(text)
+        found = set()
+        for a, b in around:
+            own, places = _placed_words(text, max(0, a - REACH_CHARS), min(len(text), b + REACH_CHARS))
+            first = bisect.bisect_left(places, (a, 0)) - self.reach
+            last = bisect.bisect_left(places, (b, 0)) + self.reach
+            found.update(self.notices(text, own[max(0, first) : last], places[max(0, first) : last]))
+        # neighbouring blocks look at the same words: of overlapping parts the best stays
+        kept: list[tuple] = []
+        for x in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+            at = bisect.bisect_left(kept, x[3], key=lambda y: y[3])
+            if (at == 0 or kept[at - 1][4] <= x[3]) and (at == len(kept) or x[4] <= kept[at][3]):
+                kept.insert(at, x)
+        out = [(a, b, license_of(name), round(saving, 6), wrong, len(self.texts[name])) for _, saving, name, a, b, wrong in kept]
+        starts = [x[3] for x in kept]
+        for a, b in around:
+            at = max(0, bisect.bisect_left(starts, a) - 1)
+            while a < b:
+                stop = kept[at][3] if at < len(kept) else b
+                piece = text[a : min(b, stop)]
+                if _CUE.search(piece):
+                    left = a + len(piece) - len(piece.lstrip("\n")) if kept else a
+                    piece = piece.strip("\n") if kept else piece
+                    out.append((left, left + len(piece), None, *self.unconfirmed(piece)))
+                if at == len(kept):
+                    break
+                a, at = max(a, kept[at][4]), at + 1
+        return sorted(out, key=lambda x: x[:2])
 
 
 def license_of(template: str) -> str:
