@@ -2,8 +2,9 @@
 
 Base spans: e-mail addresses, IP addresses, card numbers and phone numbers by fixed patterns and
 checks. Bootstrapping: the base entities and self-evident secrets (long hexadecimal strings, key
-ids) are seeds. A *candidate* is a token with a digit that follows a cue, either ``name = "`` or
-``name:`` or two plain words; its cue is the *pattern*, its text the *instance*. Over the bipartite
+ids) are seeds, wherever they stand. A *candidate* is a token with a digit, of any length, that
+follows a cue, either ``name = "`` or ``name:`` or two plain words; its cue is the *pattern*, its
+text the *instance*. Seeds behind a cue are instances whatever their shape. Over the bipartite
 graph of patterns and instances, seeds start with score 1; a pattern's score is the mean score of
 its instances, shrunk for small support, an instance's score is one minus the product of (1 - score)
 over its patterns, and a few rounds of both follow. Candidates of patterns that score at least
@@ -42,9 +43,12 @@ NEEDS = {"email": "@", "phone": "+"}
 IP_PART = r"^0*+(?:[0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
 CUE = r"(?<![A-Za-z0-9_])(?:[A-Za-z_]{2,24}\x20?[=:]\x20?[\"']?|[A-Za-z]{2,24}\x20[A-Za-z]{2,24}\x20)"
-TOKEN = r"(?=[A-Za-z0-9@._%+/-]{0,79}[0-9])[A-Za-z0-9+][A-Za-z0-9@._%+/-]{6,79}(?![A-Za-z0-9@_%+/])"
+CUE_CHARS = 50
+TOKEN = r"(?=[A-Za-z@._%+/-]*+[0-9])[A-Za-z0-9+][A-Za-z0-9@._%+/-]{6,}+"
 CANDIDATE = f"({CUE})({TOKEN})"
-SEED = r"^(?:[0-9a-f]{16,64}|[0-9A-F]{16,64}|AKIA[0-9A-Z]{12,20})$"
+SEED = r"^(?:[0-9a-f]{16,}+|[0-9A-F]{16,}+|AKIA[0-9A-Z]{12,20})$"
+#: A seed anywhere. Digits alone are no evident secret without a cue.
+BARE_SEED = r"(?<![A-Za-z0-9_])(?:(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])(?:[0-9a-f]{16,}+|[0-9A-F]{16,}+)|AKIA[0-9A-Z]{12,20}+)(?![A-Za-z0-9_])"
 
 ROUNDS = 3
 MIN_SCORE = 0.7
@@ -80,27 +84,48 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """All base spans of a text as structs (s, k, e), k being the place in KINDS, sorted."""
+HITS = "array<struct<s:bigint,k:int,e:bigint,m:string,l:string>>"
 
-    def of(kind: str) -> Column:
-        hits = F.filter(found_spans(text, PATTERNS[kind]), lambda x: _valid(kind, x["m"]))
-        spans = F.transform(hits, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e")))
-        has = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9]")
-        return F.when(has, spans).otherwise(F.array().cast(SPANS))
 
-    return F.array_sort(F.concat(*(of(k) for k in KINDS)))
+def _hits(text: Column) -> Column:
+    """Base spans and seeds of a text as structs (s, k, e, m, l), k being the place in KINDS (seeds:
+    one more), with the matched text and the characters before it; sorted."""
 
+    def of(k: int, kind: str) -> Column:
+        pattern = PATTERNS.get(kind, BARE_SEED)
+        hits = F.filter(found_spans(text, pattern, CUE_CHARS + 2), lambda x: _valid(kind, x["m"]))
+        spans = F.transform(hits, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["m"].alias("m"), x["l"].alias("l")))
+        has = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9]" if kind != FOUND else "[0-9A-Fa-f]{16}|AKIA")
+        return F.when(has, spans).otherwise(F.array().cast(HITS))
 
-def _candidates(text: Column) -> Column:
-    """Structs (s, e, cue, token) of the candidates of a text."""
+    return F.array_sort(F.concat(*(of(k, kind) for k, kind in enumerate((*KINDS, FOUND)))))
+
+
+def _base(hits: Column) -> Column:
+    """The base spans among hits, as structs (s, k, e)."""
+    return F.transform(F.filter(hits, lambda x: x["k"] < len(KINDS)), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+
+
+def _cue(text: Column) -> Column:
+    return F.lower(F.regexp_replace(text, r"\x20+", " "))
+
+
+def _candidates(text: Column, hits: Column) -> Column:
+    """Structs (s, e, cue, token, plain) of the candidates of a text, and of its base spans behind a
+    cue and its seeds, whatever their shape (cue null: none). plain: a seed by its own form."""
 
     def split(hit: Column) -> Column:
         cue = F.regexp_extract(hit["m"], f"^{CANDIDATE}$", 1)
-        return let(cue, lambda c: F.struct((hit["s"] + F.length(c)).alias("s"), hit["e"].alias("e"), F.lower(F.regexp_replace(c, r"\x20+", " ")).alias("cue"), F.substring(hit["m"], F.length(c) + 1, F.length(hit["m"])).alias("token")))
+        token = lambda c: F.substring(hit["m"], F.length(c) + 1, F.length(hit["m"]))
+        return let(cue, lambda c: F.struct((hit["s"] + F.length(c)).alias("s"), hit["e"].alias("e"), _cue(c).alias("cue"), token(c).alias("token"), token(c).rlike(SEED).alias("plain")))
+
+    def own(x: Column) -> Column:
+        cue = F.nullif(F.regexp_extract(x["l"], f"{CUE}$", 0), F.lit(""))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), _cue(cue).alias("cue"), x["m"].alias("token"), (x["k"] == len(KINDS)).alias("plain"))
 
-    empty = F.array().cast("array<struct<s:bigint,e:bigint,cue:string,token:string>>")
-    return F.when(text.rlike("[0-9]"), F.transform(found_spans(text, CANDIDATE), split)).otherwise(empty)
+    empty = F.array().cast("array<struct<s:bigint,e:bigint,cue:string,token:string,plain:boolean>>")
+    behind = F.filter(F.transform(hits, own), lambda x: x["plain"] | x["cue"].isNotNull())
+    return F.concat(F.when(text.rlike("[0-9]"), F.transform(found_spans(text, CANDIDATE), split)).otherwise(empty), behind)
 
 
 def _overlaps(spans: Column, s: Column, e: Column) -> Column:
@@ -111,7 +136,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base (spans) and candidates of each row; one pass over the texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("body"))
-    return rows.select("doc_id", "text_hash", base_spans(F.col("body")).alias("base"), _candidates(F.col("body")).alias("candidates"))
+    rows = rows.select("*", _hits(F.col("body")).alias("hits"))
+    return rows.select("doc_id", "text_hash", _base(F.col("hits")).alias("base"), _candidates(F.col("body"), F.col("hits")).alias("candidates"))
 
 
 def trusted_patterns(candidates: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
@@ -133,10 +159,13 @@ def trusted_patterns(candidates: DataFrame, rounds: int = ROUNDS, min_score: flo
 def with_spans(scanned: DataFrame) -> DataFrame:
     """doc_id, text_hash, base and spans (all spans, sorted) of the rows of ``scan``, which must be
     stored: it is read twice."""
-    found = scanned.where(F.size("candidates") > 0).select("doc_id", "text_hash", "base", F.explode("candidates").alias("c")).distinct()
-    found = found.select("doc_id", "text_hash", "c.*", _overlaps(F.col("base"), F.col("c.s"), F.col("c.e")).alias("known"))
-    found = found.withColumn("plain", F.col("token").rlike(SEED))
-    seeds = found.select("cue", "token", (F.col("known") | F.col("plain")).alias("seed"))
+    found = scanned.where(F.size("candidates") > 0).select("doc_id", "text_hash", "base", F.explode("candidates").alias("c"))
+    # a span found in two ways is one row
+    found = found.groupBy("doc_id", "text_hash", "base", F.col("c.s").alias("s"), F.col("c.e").alias("e")).agg(F.max(F.struct("c.cue", "c.token")).alias("c"), F.max("c.plain").alias("plain"))
+    found = found.select("doc_id", "text_hash", "s", "e", "c.*", "plain", _overlaps(F.col("base"), F.col("s"), F.col("e")).alias("known"))
+    # of spans that start together, as a seed and the token it begins, one is an instance: the seed
+    one = F.max(F.struct((F.col("known") | F.col("plain")).alias("seed"), "e", "cue", "token")).alias("i")
+    seeds = found.where(F.col("cue").isNotNull()).groupBy("doc_id", "text_hash", "s").agg(one).select("i.cue", "i.token", "i.seed")
     trusted = stored(trusted_patterns(seeds), "pii-patterns")
     new = found.where(~F.col("known")).join(trusted.select("cue", F.lit(True).alias("trusted")), "cue", "left").where(F.col("plain") | F.col("trusted"))
     span = F.struct(F.col("s"), F.lit(len(KINDS)).alias("k"), F.col("e"))
