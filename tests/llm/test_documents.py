@@ -324,6 +324,21 @@ def test_windows_within_budget_are_found():
         assert bool(decontaminate.regions(index, text)) == expected
 
 
+def test_excerpts_at_every_place_are_found():
+    letters = "abcdefgh "
+    item = decontaminate.normalise("".join(RNG.choices(letters, k=260)))
+    index = decontaminate.Index([(1, item)])
+    for size in (50, 60, 74, 79, 85):
+        for at in range(len(item) - size + 1):
+            quote = item[at : at + size]
+            if quote != quote.strip():
+                continue
+            text = f"{'xyz ' * 20}{quote} {'zyx ' * 20}"
+            got = decontaminate.regions(index, text)
+            assert len(got) == 1 and got[0][0] == 1 and got[0][1] <= 80 and got[0][2] >= 80 + size
+    assert decontaminate.regions(index, f"xyz {item[100:140]} xyz") == []
+
+
 def test_alignment_in_a_band():
     for _ in range(60):
         e = RNG.randint(0, 4)

@@ -1,11 +1,12 @@
 """Benchmark decontamination by q-gram counts in diagonal bands and banded alignment.
 
 Texts are lower-cased and every run of characters other than letters and digits becomes a blank. A
-benchmark item is covered by windows of ``WINDOW`` characters, a quarter apart (a shorter item is
-one window). A window of w characters is found in a document if some region of it lies within
+benchmark item is covered by windows of ``WINDOW`` characters at every place (a shorter item is one
+window). A window of w characters is found in a document if some region of it lies within
 ``e = rate * w`` edits. By the q-gram lemma such a region shares at least ``w + 1 - q - q * e``
 q-grams with the window, all within a diagonal band of ``2 * e``; bands of that width, half
-overlapping, are counted, and only windows that reach the bound are aligned, in a band.
+overlapping, are counted, and only windows that reach the bound are aligned, in a band. Verbatim
+excerpts of ``EXCERPT`` characters or more are found at every place too, whatever stands around them.
 
 The index of the benchmark is broadcast in groups of bounded size, whatever the benchmark's size;
 each group is one pass over the documents. Documents are scanned in chunks that overlap by more
@@ -31,11 +32,15 @@ from wordloom.session import ship_package, stored
 
 Q = 10
 WINDOW = 80
+EXCERPT = 50
 RATE = 0.075
 MIN_ITEM = 30
 CHUNK = 1 << 20
 GROUP_CHARS = 2 << 20
 MAX_ITEM = 1 << 20
+#: Windows aligned at once, and runs looked at to save alignments.
+ALIGNED = 1024
+SKIPPED = 64
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -114,21 +119,41 @@ class Index:
         self.seen = np.zeros(1 << 20, bool)
         self.seen[hashes >> np.uint64(44)] = True
 
-    def windows(self, chars: np.ndarray) -> np.ndarray:
-        """Candidate rows (item, first place of the window, diagonal of the band's start)."""
-        none = np.empty((0, 3), np.int64)
+    def shared(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, place in it and place in the text of each shared q-gram."""
+        none = np.empty(0, np.int64)
         if not len(self.hashes):
-            return none
+            return none, none, none
         grams = qgram_hashes(chars)
         at = np.flatnonzero(self.seen[grams >> np.uint64(44)])
         low = np.searchsorted(self.hashes, grams[at], "left")
         count = np.searchsorted(self.hashes, grams[at], "right") - low
         total = int(count.sum())
-        if not total:
-            return none
         doc_at = np.repeat(at, count)
         entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(total)
-        item, place = self.item[entry], self.place[entry]
+        return self.item[entry], self.place[entry], doc_at
+
+    def excerpts(self, chars: np.ndarray, item: np.ndarray, place: np.ndarray, doc_at: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item, first place in it, first place in the text, length) of the verbatim excerpts."""
+        if len(item) <= EXCERPT - Q:
+            return []
+        order = np.lexsort((place, doc_at - place, item))
+        item, place, doc_at = item[order], place[order], doc_at[order]
+        joined = (np.diff(item) == 0) & (np.diff(place) == 1) & (np.diff(doc_at) == 1)
+        first = np.flatnonzero(np.append(True, ~joined))
+        size = np.diff(np.append(first, len(item))) + Q - 1
+        out = []
+        for k, n in zip(first[size >= EXCERPT].tolist(), size[size >= EXCERPT].tolist()):
+            i, p, d = int(item[k]), int(place[k]), int(doc_at[k])
+            if np.array_equal(self.chars[i][p : p + n], chars[d : d + n]):
+                out.append((i, p, d, n))
+        return out
+
+    def windows(self, item: np.ndarray, place: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
+        """Candidate rows (item, first place of the window, diagonal of the band's start)."""
+        none = np.empty((0, 3), np.int64)
+        if not len(item):
+            return none
         step = np.maximum(self.edits[item], 1)
         band = (doc_at - place) // step
         item, place = np.concatenate((item, item)), np.concatenate((place, place))
@@ -143,36 +168,47 @@ class Index:
         here, last = here[same], last[same]
         if not len(here):
             return none
-        out = set()
+        out = []
+        before, done = None, 0
         for i, b, first, end in zip(item[here].tolist(), band[here].tolist(), place[here].tolist(), (place[last] + Q).tolist()):
             width, size = int(self.width[i]), len(self.chars[i])
-            for s in starts(size, width):
-                if end - width <= s <= first:
-                    out.add((i, s, b * max(int(self.edits[i]), 1)))
-        return np.array(sorted(out), np.int64).reshape(-1, 3)
+            if (i, b) != before:
+                before, done = (i, b), 0
+            diagonal = b * max(int(self.edits[i]), 1)
+            low, high = max(end - width, done), min(first, size - width)
+            out += [(i, s, diagonal) for s in range(low, high + 1)]
+            done = max(done, high + 1)
+        return np.array(out, np.int64).reshape(-1, 3)
 
 
 def starts(size: int, width: int) -> list[int]:
     """First places of the windows over an item."""
-    return sorted({*range(0, size - width + 1, max(1, width // 4)), size - width})
+    return list(range(size - width + 1))
 
 
 def aligned(pattern: np.ndarray, text: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of ``pattern`` (n, w) against rows of ``text`` (n, w + 4 * edits): the least edits of an
     alignment in the band, and its first and last column (the end exclusive)."""
     n, w = pattern.shape
-    width = 4 * edits + 1
-    # edits in the high bits, the first column in the low ones: of equal edits the longest match
-    one = np.int64(1 << 32)
-    steps = np.arange(width) * one
-    row = np.broadcast_to(np.arange(width), (n, width)).astype(np.int64)
+    width = text.shape[1] - w + 1
+    # edits in the high bits, the first column in the low ones: of equal edits the longest match;
+    # a column of all windows is contiguous
+    one = np.int32(1 << 16)
+    pattern, text = np.ascontiguousarray(pattern.T), np.ascontiguousarray(text.T)
+    steps = (np.arange(width, dtype=np.int32) * one)[:, None]
+    row = np.repeat(np.arange(width, dtype=np.int32)[:, None], n, axis=1)
     for i in range(w):
-        new = row + (pattern[:, i : i + 1] != text[:, i : i + width]) * one
-        np.minimum(new[:, :-1], row[:, 1:] + one, out=new[:, :-1])  # the text lacks a character
-        row = np.minimum.accumulate(new - steps, axis=1) + steps  # the pattern lacks some
-    end = (row >> 32).argmin(axis=1)
-    best = row[np.arange(n), end]
-    return best >> 32, best & (one - 1), end + w
+        new = row + (text[i : i + width] != pattern[i]) * one
+        np.minimum(new[:-1], row[1:] + one, out=new[:-1])  # the text lacks a character
+        new -= steps  # the pattern lacks some: prefix minima by doubling
+        size = 1
+        while size < width:
+            np.minimum(new[size:], new[:-size], out=new[size:])
+            size *= 2
+        row = new + steps
+    end = (row >> 16).argmin(axis=0)
+    best = row[end, np.arange(n)]
+    return best >> 16, best & (one - 1), end + w
 
 
 def regions(index: Index, text: str) -> list[tuple[int, int, int, int]]:
@@ -183,9 +219,16 @@ def regions(index: Index, text: str) -> list[tuple[int, int, int, int]]:
     overlap = 2 * WINDOW
     for base in range(0, max(1, len(whole) - overlap), CHUNK):
         chars = whole[base : base + CHUNK + overlap]
-        found = index.windows(chars)
-        for w in np.unique(index.width[found[:, 0]]) if len(found) else ():
-            own = found[index.width[found[:, 0]] == w]
+        shared = index.shared(chars)
+        exact = index.excerpts(chars, *shared)
+        hits += [(index.ids[i], base + d, base + d + n, 0) for i, _, d, n in exact]
+        found = index.windows(*shared)
+        for i, p, d, n in sorted(exact, key=lambda x: -x[3])[:SKIPPED]:  # windows within an excerpt say no more
+            inside = (found[:, 0] == i) & (found[:, 1] >= p) & (found[:, 1] + index.width[i] <= p + n)
+            lag = d - p - found[:, 2]
+            found = found[~(inside & (lag >= 0) & (lag < 2 * max(int(index.edits[i]), 1)))]
+        pieces = ((w, found[index.width[found[:, 0]] == w]) for w in (np.unique(index.width[found[:, 0]]) if len(found) else ()))
+        for w, own in ((w, rows[k : k + ALIGNED]) for w, rows in pieces for k in range(0, len(rows), ALIGNED)):
             e = budget(int(w))
             left = own[:, 1] + own[:, 2] - e
             columns = left[:, None] + np.arange(w + 4 * e)
