@@ -10,132 +10,181 @@ shard by range, the slot by the hash, rejects strangers by the fingerprint, and
 Defined cases: a null or empty text is the end id alone; repeated doc_ids are kept next to each
 other, ordered by the hash of their text, and keyed access gives all of them; null doc_ids come
 first and have no key; an empty table gives a manifest without shards; a long document makes a
-long shard, since documents aren't cut; extra columns are ignored.
+long shard, since documents aren't cut; extra columns are ignored. Invalid UTF-8 counts as the
+replacement character.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import json
+import os
+import re
 import struct
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import files
+from wordloom.llm.bpe import NORMALIZERS, SPLIT
 from wordloom.llm.perfect_hash import PerfectHash
-from wordloom.session import new_folder, ship_package
+from wordloom.session import discard, new_folder, ship_package, stored
 
 SHARD_BYTES = 64 << 20
 SHARD_DOCS = 1 << 20
 CACHE_WORDS = 500_000  # in each of two generations
-JOINED_WORDS = 2000
-SIGNS = frozenset(b"!#$%&()*+,-./:;<=>?@[]^_{|}~")
-GROUP_CHARS = 1 << 20
+JOINED_PIECES = 2000
+GROUP_BYTES = 8 << 20
+GROUP_ROWS = 4096
 NO_KEY = -(1 << 63)
 SLOT = np.dtype([("mark", "<u4"), ("offset", "<u8"), ("count", "<u4"), ("copies", "<u4")])
 
-
-def letters_only(word: str) -> bool:
-    """Whether a word is letters before and after normalising (some letters turn into a letter and a mark)."""
-    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+#: The split pattern on ASCII bytes in lower case.
+ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: ASCII signs but the apostrophe, which begins contractions.
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library. Texts are cut at ASCII white space, which no token crosses
-    with the tokenizers served here, and each distinct word is encoded once. With a vocabulary that
-    marks word ends, unseen words of letters are encoded together and told apart by their ends."""
+    """Ids by the tokenizers library.
 
-    def __init__(self, spec: str):
-        import json
+    A file of the form that ``bpe`` describes (NFC, white space, lower case; pieces by a split
+    pattern; each piece merged on its own, with a mark at its end) lets texts be cut at ASCII white
+    space: each distinct word is cut into pieces by the file's own pattern, and each distinct piece
+    is encoded once, many of them in one call, told apart by the end marks. Words whose pieces
+    depend on Unicode's tables (combining marks, special tokens, letters that change when
+    normalised) are encoded whole. Texts for files of any other form are encoded whole.
+    """
 
+    def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
+        self.kind = "<u4" if self.library.get_vocab_size() > 1 << 16 else "<u2"
         self.cache: dict[bytes, bytes] = {}
         self.aged: dict[bytes, bytes] = {}
-        self.wide = self.library.get_vocab_size() > 1 << 16
-        self.kind = "<u4" if self.wide else "<u2"
-        j = json.loads(spec)
-        suffix = j["model"].get("end_of_word_suffix")
-        self.ends = None
-        if suffix:
+        self.cuts = self._cuts_at_white_space(json.loads(spec))
+        if self.cuts:
+            from tokenizers import pre_tokenizers
+
+            model = json.loads(spec)["model"]
             self.ends = np.zeros(self.library.get_vocab_size(), bool)
-            self.ends[[i for t, i in j["model"]["vocab"].items() if t.endswith(suffix)]] = True
-        self.lowers = any(n["type"] == "Lowercase" for n in (j["normalizer"] or {}).get("normalizers", []))
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(model["end_of_word_suffix"])]] = True
+            # pieces are normalised and split already
+            bare = json.loads(spec) | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
+            self.pieces = Tokenizer.from_str(json.dumps(bare))
+            self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    @staticmethod
+    def _cuts_at_white_space(j: dict) -> bool:
+        kinds = [n["type"] for n in (j["normalizer"] or {}).get("normalizers", [])]
+        steps = (j["pre_tokenizer"] or {}).get("pretokenizers", [])
+        split = [p["pattern"].get("Regex") for p in steps if p["type"] == "Split"]
+        stripped = any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in j["added_tokens"])
+        return j["model"]["type"] == "BPE" and bool(j["model"].get("end_of_word_suffix")) and kinds == NORMALIZERS and split == [SPLIT] and len(steps) == 2 and not stripped
+
+    @staticmethod
+    def pieces_of(word: bytes) -> list[bytes] | None:
+        """The pieces of a word, normalised; None for words that only the library can cut."""
+        if word.isascii():
+            return None if b"<|" in word else ASCII_PIECES.findall(word.lower())
+        body = word.strip(SIGNS)
+        at = word.find(body)
+        try:
+            letters = body.decode()
+        except UnicodeDecodeError:
+            return None
+        if not letters.isalpha():
+            return None
+        letters = unicodedata.normalize("NFC", letters).replace("Σ", "σ").lower()
+        if not letters.isalpha() or unicodedata.normalize("NFC", letters) != letters:
+            return None
+        before, after = word[:at], word[at + len(body) :]
+        return None if b"<|" in word else [x for x in (before, letters.encode(), after) if x]
 
     def learn(self, words: list[bytes]) -> None:
-        if self.ends is None:
-            return self._learn(words)
-        # a word of letters and one sign of ASCII is two tokens' worth of known parts
-        signed = [w for w in words if len(w) > 1 and w[-1] in SIGNS and letters_only(w[:-1].decode("utf-8", "replace"))]
-        parts = {x for w in signed for x in (w[:-1], w[-1:])}
+        """Encode words into the cache."""
         cache, aged = self.cache, self.aged
-        cache.update((w, aged[w]) for w in parts if w in aged)
-        self._learn([w for w in parts.union(words).difference(signed) if w not in cache])
-        for w in signed:
-            self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1:]]
-
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        rest = range(len(words))
-        if self.ends is not None:
-            plain = [i for i, t in enumerate(texts) if t.isalpha()]
-            rest = [i for i, t in enumerate(texts) if not t.isalpha()]
-            groups = [plain[a : a + JOINED_WORDS] for a in range(0, len(plain), JOINED_WORDS)]
-            found = self.library.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
-            for g, e in zip(groups, found):
-                ids = np.array(e.ids, self.kind)
-                stops = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
-                if len(stops) != len(g):  # a letter whose lower case isn't one: each on its own
-                    rest += g
-                    continue
-                data = ids.tobytes()
-                for i, a, b in zip(g, [0, *stops], stops):
-                    self.cache[words[i]] = data[a:b]
-        found = self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
-        for i, e in zip(rest, found):
-            self.cache[words[i]] = np.array(e.ids, self.kind).tobytes()
-
-    def split(self, text: bytes) -> list[bytes]:
-        # ASCII letters may be lowered first, but for special tokens and combining marks (their
-        # lead bytes in UTF-8), which compose with some lower-case letters only
-        if self.lowers and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
-            text = text.lower()
-        return text.split()
+        cut = {w: self.pieces_of(w) for w in words}
+        whole = [w for w, p in cut.items() if p is None]
+        new = []
+        for x in {x for p in cut.values() if p for x in p}:
+            if x not in cache:
+                if x in aged:
+                    cache[x] = aged[x]
+                else:
+                    new.append(x)
+        groups = [new[a : a + JOINED_PIECES] for a in range(0, len(new), JOINED_PIECES)]
+        for g, e in zip(groups, self.pieces.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+            if len(stops) != len(g):
+                raise ValueError("a piece isn't one word of the tokenizer")
+            data = ids.tobytes()
+            cache.update(zip(g, [data[a:b] for a, b in zip([0, *stops], stops)]))
+        for w, e in zip(whole, self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in whole], add_special_tokens=False)):
+            cache[w] = np.array(e.ids, self.kind).tobytes()
+        for w, p in cut.items():
+            if p is not None and (len(p) != 1 or p[0] != w):
+                cache[w] = b"".join([cache[x] for x in p])
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as bytes of the store's width."""
+        if not self.cuts:
+            found = self.library.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, self.kind).tobytes() for e in found]
         out: list[bytes] = []
         at = 0
         while at < len(texts):
             stop, size = at, 0
-            while stop < len(texts) and (size < GROUP_CHARS or stop == at):
+            while stop < len(texts) and (size < GROUP_BYTES or stop == at):
                 size += len(texts[stop])
                 stop += 1
-            words = [self.split(t) for t in texts[at:stop]]
-            if len(self.cache) > CACHE_WORDS:  # words met since the last time come back from the aged ones
-                self.aged, self.cache = self.cache, {}
-            cache, aged = self.cache, self.aged
-            if new := [w for w in set().union(*words) if w not in cache]:
-                cache.update((w, aged[w]) for w in new if w in aged)
-                self.learn([w for w in new if w not in cache])
-            out += [b"".join([cache[w] for w in ws]) for ws in words]
+            out += self._encode_group(texts[at:stop])
             at = stop
         return out
 
-
-_encoders: dict[int, LibraryEncoder] = {}
+    def _encode_group(self, texts: list[bytes]) -> list[bytes]:
+        # ASCII letters may be lowered first, but for special tokens and combining marks (their
+        # lead bytes in UTF-8), which compose with some lower-case letters only
+        texts = [t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        coded = lists.values.dictionary_encode()
+        words = coded.dictionary.view(pa.large_binary()).to_pylist()
+        if len(self.cache) > CACHE_WORDS:  # words met since the last time come back from the aged ones
+            self.aged, self.cache = self.cache, {}
+        cache, aged = self.cache, self.aged
+        if new := [w for w in words if w and w not in cache]:
+            cache.update((w, aged[w]) for w in new if w in aged)
+            if new := [w for w in new if w not in cache]:
+                self.learn(new)
+        known = [cache[w] if w else b"" for w in words]
+        width = np.dtype(self.kind).itemsize
+        # the ids of word after word: from the place of each word's ids among those of the distinct words
+        size = np.fromiter(map(len, known), np.int64, len(known)) // width
+        first = np.cumsum(size) - size
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[index]
+        ends = np.cumsum(n)
+        place = np.repeat(first[index] - (ends - n), n)
+        place += np.arange(len(place))
+        data = np.frombuffer(b"".join(known), self.kind)[place].tobytes()
+        bounds = (np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * width).tolist()
+        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+_encoders: dict[bytes, LibraryEncoder] = {}
 
 
 def _encoder(spec: str) -> LibraryEncoder:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = zlib.crc32(spec.encode())
+    key = hashlib.sha256(spec.encode()).digest()
     if key not in _encoders:
         _encoders[key] = LibraryEncoder(spec)
     return _encoders[key]
@@ -200,46 +249,63 @@ class ShardIndex:
         return np.where(known, at, -1)
 
 
-def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int, shard_bytes: int = SHARD_BYTES) -> dict:
-    """Encode and write all documents; returns the manifest (one small entry per shard)."""
+def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """doc_id, text_hash and ids (with the end id, in the store's width) of each row."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _encoder(shared.value)
+        end = int(end_id).to_bytes(np.dtype(model.kind).itemsize, "little")
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP_ROWS):
+                some = batch.slice(at, GROUP_ROWS)
+                ids = [x + end for x in model.encode_all([x or b"" for x in some.column(2).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(ids, pa.binary())], ["doc_id", "text_hash", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, ids binary")
+
+
+def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int, shard_bytes: int = SHARD_BYTES) -> dict:
+    """Encode and write all documents; returns the manifest (one small entry per shard).
+
+    Ids are stored before they are put in order: the ranges' sample then reads keys alone, the
+    exchange moves two bytes a token in place of texts, and a shard written again isn't encoded again.
+    """
+    width = np.dtype(_encoder(open(vocabulary, encoding="utf-8").read()).kind).itemsize
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model = _encoder(shared.value)
-        width = 4 if model.wide else 2
-        end = int(end_id).to_bytes(width, "little")
         part = TaskContext.get().partitionId()
         done, shard = [], None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for key, ids in zip(some.column(0).to_pylist(), model.encode_all([x or b"" for x in some.column(1).to_pylist()])):
-                    if shard is None:
-                        shard = _Shard(folder, f"shard-{part:06d}-{len(done):05d}", width)
-                    shard.add(key, ids + end)
-                    if shard.ids.size >= shard_bytes or len(shard.keys) >= SHARD_DOCS:
-                        done.append(shard.commit())
-                        shard = None
+            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if shard is None:
+                    shard = _Shard(folder, f"shard-{part:06d}-{len(done):05d}", width)
+                shard.add(key, ids.as_py())
+                if shard.ids.size >= shard_bytes or len(shard.keys) >= SHARD_DOCS:
+                    done.append(shard.commit())
+                    shard = None
         if shard is not None:
             done.append(shard.commit())
         rows = [[part] * len(done), list(range(len(done))), *([d[k] for d in done] for k in ("names", "n_docs", "n_ids", "first", "last"))]
         kinds = [pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["part", "seq", "names", "n_docs", "n_ids", "first", "last"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = stored(encoded(docs, vocabulary, end_id), "token-ids")
     # The text's hash orders repeated ids, and lets a much repeated id be dealt to several shards.
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
     shards = ordered.mapInArrow(run, "part int, seq int, names array<string>, n_docs bigint, n_ids bigint, first bigint, last bigint").collect()
+    discard(rows)
     start, entries = 0, []
     for s in sorted(shards, key=lambda s: (s.part, s.seq)):
         entries.append({"names": list(s.names), "n_docs": s.n_docs, "n_ids": s.n_ids, "first": s.first, "last": s.last, "start": start})
         start += s.n_ids
-    manifest = {"width": 4 if _encoder(shared.value).wide else 2, "end_id": end_id, "files": entries}
+    manifest = {"width": width, "end_id": end_id, "files": entries}
     files.write_manifest(folder, manifest)
     return manifest
 
@@ -282,18 +348,23 @@ class Store:
 
     def __init__(self, folder: str):
         self.folder, self.manifest = folder, files.read_manifest(folder)
+        self.shards = [e for e in self.manifest["files"] if e["first"] is not None]
+        self.lasts = [e["last"] for e in self.shards]
         self.indexes: dict[str, ShardIndex] = {}
 
     def get(self, doc_id: int) -> list[list[int]]:
-        """The ids of every document stored under doc_id."""
+        """The ids of every document stored under doc_id. The shards with the id are found by
+        bisection, since they are in ascending order."""
         out = []
         width = self.manifest["width"]
-        for e in self.manifest["files"]:
-            if e["first"] is None or not e["first"] <= doc_id <= e["last"]:
-                continue
+        for at in range(bisect.bisect_left(self.lasts, doc_id), len(self.shards)):
+            e = self.shards[at]
+            if e["first"] > doc_id:
+                break
             ids_name, index_name = e["names"]
-            index = self.indexes.setdefault(index_name, None) or ShardIndex(files.read_bytes(self.folder, index_name))
-            self.indexes[index_name] = index
+            if index_name not in self.indexes:
+                self.indexes[index_name] = ShardIndex(files.read_bytes(self.folder, index_name))
+            index = self.indexes[index_name]
             (slot,) = index.find(np.array([doc_id]))
             if slot < 0:
                 continue
