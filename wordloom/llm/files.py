@@ -1,8 +1,10 @@
 """Files that tasks write and read beside Spark's own formats, by URI (local, object store, HDFS).
 
-A task writes under a name of its own attempt and renames the file when it is whole; only names
-that came back to the driver enter the manifest, which is written last, to a temporary name, and
-renamed. A lost or repeated task can therefore leave files behind but never count twice.
+A task writes under a temporary name of its own attempt and renames the file to its final name,
+which depends on its place alone, when it is whole. A repeated task writes the same content under
+the same name; only names that came back to the driver enter the manifest, which is written last,
+to a temporary name, and renamed. What lost attempts leave stays in the temporary folder, which is
+removed with the commit.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ class Pending:
 
     def __init__(self, folder: str, stem: str, suffix: str):
         self.system, path = resolve(folder)
-        self.name = f"{stem}-{uuid.uuid4().hex}{suffix}"
+        self.name = f"{stem}{suffix}"
         self.final = f"{path}/{self.name}"
         self.system.create_dir(f"{path}/_temporary", recursive=True)
-        self.path = f"{path}/_temporary/{self.name}"
+        self.path = f"{path}/_temporary/{stem}-{uuid.uuid4().hex}{suffix}"
         self.out = self.system.open_output_stream(self.path, compression=None)
         self.size = 0
 
@@ -61,10 +63,8 @@ def write_manifest(folder: str, content: dict) -> None:
     """Commits: from here on the files named are the result; what lost attempts left goes."""
     write_bytes(folder, "manifest.json", json.dumps(content, sort_keys=True).encode())
     system, path = resolve(folder)
-    named = {name for f in content["files"] for name in f["names"]} | {"manifest.json"}
-    for found in system.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True)):
-        if found.is_file and found.base_name not in named:
-            system.delete_file(found.path)
+    if system.get_file_info(f"{path}/_temporary").type == fs.FileType.Directory:
+        system.delete_dir(f"{path}/_temporary")
 
 
 def read_manifest(folder: str) -> dict:

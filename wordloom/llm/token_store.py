@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from wordloom.llm import files
 from wordloom.llm.bpe import NORMALIZERS, SPLIT
 from wordloom.llm.perfect_hash import PerfectHash
-from wordloom.session import discard, new_folder, ship_package, stored
+from wordloom.session import new_folder, ship_package
 
 SHARD_BYTES = 64 << 20
 SHARD_DOCS = 1 << 20
@@ -249,58 +249,41 @@ class ShardIndex:
         return np.where(known, at, -1)
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id, text_hash and ids (with the end id, in the store's width) of each row."""
+def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int, shard_bytes: int = SHARD_BYTES) -> dict:
+    """Encode and write all documents; returns the manifest (one small entry per shard)."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _encoder(shared.value)
-        end = int(end_id).to_bytes(np.dtype(model.kind).itemsize, "little")
-        for batch in batches:
-            for at in range(0, batch.num_rows, GROUP_ROWS):
-                some = batch.slice(at, GROUP_ROWS)
-                ids = [x + end for x in model.encode_all([x or b"" for x in some.column(2).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(ids, pa.binary())], ["doc_id", "text_hash", "ids"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, ids binary")
-
-
-def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int, shard_bytes: int = SHARD_BYTES) -> dict:
-    """Encode and write all documents; returns the manifest (one small entry per shard).
-
-    Ids are stored before they are put in order: the ranges' sample then reads keys alone, the
-    exchange moves two bytes a token in place of texts, and a shard written again isn't encoded again.
-    """
-    width = np.dtype(_encoder(open(vocabulary, encoding="utf-8").read()).kind).itemsize
+    width = np.dtype(_encoder(shared.value).kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        model = _encoder(shared.value)
+        end = int(end_id).to_bytes(width, "little")
         part = TaskContext.get().partitionId()
         done, shard = [], None
         for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if shard is None:
-                    shard = _Shard(folder, f"shard-{part:06d}-{len(done):05d}", width)
-                shard.add(key, ids.as_py())
-                if shard.ids.size >= shard_bytes or len(shard.keys) >= SHARD_DOCS:
-                    done.append(shard.commit())
-                    shard = None
+            for at in range(0, batch.num_rows, GROUP_ROWS):
+                some = batch.slice(at, GROUP_ROWS)
+                for key, ids in zip(some.column(0).to_pylist(), model.encode_all([x or b"" for x in some.column(1).to_pylist()])):
+                    if shard is None:
+                        shard = _Shard(folder, f"shard-{part:06d}-{len(done):05d}", width)
+                    shard.add(key, ids + end)
+                    if shard.ids.size >= shard_bytes or len(shard.keys) >= SHARD_DOCS:
+                        done.append(shard.commit())
+                        shard = None
         if shard is not None:
             done.append(shard.commit())
         rows = [[part] * len(done), list(range(len(done))), *([d[k] for d in done] for k in ("names", "n_docs", "n_ids", "first", "last"))]
         kinds = [pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["part", "seq", "names", "n_docs", "n_ids", "first", "last"])
 
-    rows = stored(encoded(docs, vocabulary, end_id), "token-ids")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # The text's hash orders repeated ids, and lets a much repeated id be dealt to several shards.
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash")]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     shards = ordered.mapInArrow(run, "part int, seq int, names array<string>, n_docs bigint, n_ids bigint, first bigint, last bigint").collect()
-    discard(rows)
     start, entries = 0, []
     for s in sorted(shards, key=lambda s: (s.part, s.seq)):
         entries.append({"names": list(s.names), "n_docs": s.n_docs, "n_ids": s.n_ids, "first": s.first, "last": s.last, "start": start})
