@@ -9,7 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from wordloom.llm import chat, files, queries, warc
+from wordloom.llm import files, queries, warc
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -50,34 +50,6 @@ def test_a_broken_file_is_noticed():
         warc.parse(record[:-3])
 
 
-def test_chat_links(spark):
-    call = lambda i, args, name="reply": f'<tool_call>{json.dumps({"id": i, "name": name, "arguments": args})}</tool_call>'
-    rows = [
-        (1, 0, "assistant", call("a", {"text": "x"}) + call("b", {"text": {"$result": "a"}, "n": 1})),
-        (1, 1, "tool", json.dumps({"id": "b", "content": 'B "q" \n'})),
-        (1, 2, "tool", json.dumps({"id": "zz", "content": "o"})),
-        (2, 0, "assistant", call("c", {"text": {"$result": "d"}}) + call("d", {"text": {"$result": "c"}}, "nope")),
-        (3, 0, "user", None),
-        (3, 1, "assistant", "hi\x01\t\\ é\x7f"),
-        (3, 0, "user", None),
-        (4, 0, None, "x"),
-        (None, None, "user", "n"),
-    ]
-    messages = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, call_id string")
-    got = {(r.conv_id, r.call_id): r for r in chat.format_chats(messages).collect()}
-    assert chat.format_chats(messages).count() == 9
-    assert (got[1, "a"].level, got[1, "a"].linked, got[1, "a"].valid) == (0, False, True)
-    assert (got[1, "b"].level, got[1, "b"].linked, got[1, "b"].problems) == (1, True, ["unknown n"])
-    assert got[1, "zz"].kind == "orphan"
-    assert got[2, "c"].level is None and not got[2, "c"].valid and got[2, "d"].problems == ["unknown tool"]
-    assert got[3, "turn-0"].linked and json.loads(got[3, "turn-0"].message)["content"] == "hi\x01\t\\ é\x7f"
-    assert not got[4, "turn-0"].linked
-    for r in got.values():
-        m = json.loads(r.message)
-        assert r.message == json.dumps(m, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    assert chat.format_chats(messages.limit(0)).count() == 0
-
-
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="the driver's tables aren't here")
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):

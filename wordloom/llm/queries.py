@@ -23,7 +23,7 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = chat.format_chats(table(spark, folder, "conversations"))
-    return rows.select("conv_id", "call_id", "turn", "kind", "level", "linked", "valid", "result_turn", "message")
+    return rows.select("conv_id", "call_id", "turn", "kind", "role", "level", "place", "linked", "valid", "result_turn", "message")
 
 
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,27 +97,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-# The driver's conversations hold plain turns only: no marked calls, results or references.
+# The driver's conversations hold plain turns only: no marked calls or references.
 OP3_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
-r AS (SELECT conv_id, turn - 1 AS asked, min({'turn': turn, 'content': text}) AS r
-      FROM t WHERE role = 'assistant' GROUP BY 1, 2),
-f AS (SELECT conv_id, turn, min(turn) AS first_turn FROM t WHERE role = 'user' GROUP BY 1, 2),
+e AS (
+  SELECT *, role = 'user' AS asks, CASE role WHEN 'user' THEN turn ELSE turn - 1 END AS asked,
+         row_number() OVER (PARTITION BY conv_id, role, turn ORDER BY text) AS nth
+  FROM t WHERE role IN ('user', 'assistant') AND conv_id IS NOT NULL AND turn IS NOT NULL),
+first_answer AS (SELECT conv_id, asked, text, turn FROM e WHERE NOT asks AND nth = 1),
+questions AS (SELECT DISTINCT conv_id, asked FROM e WHERE asks),
 linked AS (
-  SELECT c.conv_id, 'turn-' || c.turn AS call_id, c.turn, 'call' AS kind, 0 AS level, r.r IS NOT NULL AS linked,
-         true AS valid, r.r.turn AS result_turn, c.text AS asked, r.r.content AS content, 'reply' AS name
-  FROM t c LEFT JOIN r ON c.conv_id = r.conv_id AND c.turn = r.asked WHERE c.role = 'user'
+  SELECT e.conv_id, e.asked, e.turn, CASE WHEN nth = 1 THEN 'call' ELSE 'repeated' END AS kind, e.role, 'reply' AS name,
+         CASE WHEN nth = 1 THEN 0 END AS level, CASE WHEN nth = 1 THEN a.turn IS NOT NULL END AS linked,
+         CASE WHEN nth = 1 THEN true END AS valid, CASE WHEN nth = 1 THEN a.turn END AS result_turn, e.text AS ask,
+         CASE WHEN nth = 1 THEN a.text END AS content
+  FROM e LEFT JOIN first_answer a ON e.conv_id = a.conv_id AND e.asked = a.asked WHERE asks
   UNION ALL
-  SELECT a.conv_id, 'turn-' || (a.turn - 1), a.turn, 'orphan', NULL, NULL, NULL, a.turn, NULL, a.text, NULL
-  FROM t a WHERE a.role = 'assistant'
-    AND NOT EXISTS (SELECT 1 FROM t c WHERE c.role = 'user' AND c.conv_id = a.conv_id AND c.turn = a.turn - 1))
-SELECT conv_id, call_id, turn, kind, CAST(level AS INTEGER) AS level, linked, valid, result_turn,
-       '{"arguments":' || CASE WHEN kind = 'call' THEN '{"text":' || CAST(to_json(asked) AS VARCHAR) || '}' ELSE 'null' END
-       || ',"call_id":' || CAST(to_json(call_id) AS VARCHAR)
+  SELECT e.conv_id, e.asked, e.turn, CASE WHEN nth = 1 THEN 'orphan' ELSE 'repeated' END, e.role, NULL, NULL, NULL, NULL, e.turn, NULL, e.text
+  FROM e LEFT JOIN questions q ON e.conv_id = q.conv_id AND e.asked = q.asked
+  WHERE NOT asks AND (nth > 1 OR q.asked IS NULL)
+  UNION ALL
+  SELECT conv_id, CASE role WHEN 'user' THEN turn ELSE turn - 1 END, turn, CASE role WHEN 'user' THEN 'call' ELSE 'orphan' END, role,
+         CASE role WHEN 'user' THEN 'reply' END, CASE role WHEN 'user' THEN 0 END, CASE role WHEN 'user' THEN false END,
+         CASE role WHEN 'user' THEN true END, CASE role WHEN 'assistant' THEN turn END,
+         CASE role WHEN 'user' THEN text END, CASE role WHEN 'assistant' THEN text END
+  FROM t WHERE role IN ('user', 'assistant') AND (conv_id IS NULL OR turn IS NULL)
+  UNION ALL
+  SELECT conv_id, NULL, turn, 'message', role, NULL, NULL, NULL, NULL, NULL, NULL, text
+  FROM t WHERE role NOT IN ('user', 'assistant', 'tool'))
+SELECT conv_id, 'turn-' || asked AS call_id, turn, kind, role, CAST(level AS INTEGER) AS level, turn AS place, linked, valid, result_turn,
+       '{"arguments":' || CASE WHEN ask IS NULL THEN 'null' ELSE '{"text":' || CAST(to_json(ask) AS VARCHAR) || '}' END
+       || ',"call_id":' || coalesce('"turn-' || asked || '"', 'null')
        || ',"content":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null')
        || ',"kind":"' || kind || '","level":' || coalesce(CAST(level AS VARCHAR), 'null')
        || ',"name":' || CASE WHEN name IS NULL THEN 'null' ELSE '"' || name || '"' END
-       || ',"turn":' || turn || '}' AS message
+       || ',"role":"' || role || '","turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '}' AS message
 FROM linked
 """
 
