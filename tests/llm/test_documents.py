@@ -91,6 +91,18 @@ def test_links_connect_as_all_pairs_do(spark, limit):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
 
 
+def test_more_documents_get_longer_keys():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**9, 5 * 10**10, 10**12)] == [6, 6, 6, 7, 8]
+    assert simhash.blocks_for(10, 0) == 2
+
+
+def test_near_duplicates_with_more_blocks(spark):
+    texts = [t for t in ODD if not isinstance(t, tuple)] + [" ".join(RNG.choices(VOCAB, k=9)) for _ in range(30)]
+    key = lambda **o: sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs(spark, texts), **o).collect())
+    assert key() == key(blocks=8)
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, 100 + i) for i in range(1, 30)]
@@ -289,7 +301,12 @@ def test_automaton_counts_greedy_pieces(spark):
         for _ in range(10):
             word = bytes(RNG.choices(b"abc", k=RNG.randint(0, 9)))
             assert automaton.count(word) == greedy(word, initial, continuation)
+    assert token_counts.LongestMatch([], []).count(b"ab") == -1
+    one, two = ([b"ab", b"b"], [b"z"]), ([b"aa", b"b"], [b"z"])
+    assert token_counts._automaton(token_counts.digest(one), one)[0].count(b"ab") == 1
+    assert token_counts._automaton(token_counts.digest(two), two)[0].count(b"ab") == -1
     path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_counts.count_tokens(docs(spark, []), path).count() == 0
     initial, continuation = map(set, token_counts.byte_pieces(open(path, encoding="utf-8").read()))
     texts = [t for t in ODD if not isinstance(t, tuple)]
     got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs(spark, texts), path).collect()}
@@ -366,6 +383,15 @@ def test_contaminated_documents_go(spark):
     kept = decontaminate.drop_contaminated(rows, bench)
     assert kept.columns == rows.columns and sorted(r.text or "" for r in kept.collect()) == sorted(["", "", "clean again", texts[2], LONG])
     assert decontaminate.drop_contaminated(rows, bench.limit(0)).count() == rows.count()
+    assert decontaminate.find(rows.limit(0), bench).count() == 0
+
+
+def test_short_items_are_found_verbatim(spark):
+    bench = spark.createDataFrame([(1, "What is nine?"), (2, "日本の首都はどこですか"), (3, "tiny"), (4, "what is NINE")], "item_id long, text string")
+    texts = ["So: what is  nine, they asked. What is nine", "what is nineteen", "「日本の首都はどこですか」", "a tiny thing", "日本の首都はどこですかね"]
+    got = sorted((r.doc_id, r.item_id, texts[r.doc_id][r.start : r.end]) for r in decontaminate.find(docs(spark, texts), bench).collect())
+    assert got == [(0, 1, "What is nine"), (0, 1, "what is  nine"), (0, 4, "What is nine"), (0, 4, "what is  nine"), (2, 2, "日本の首都はどこですか")]
+    assert {r.item_id for r in decontaminate.find(docs(spark, texts), bench, min_item=1).collect()} == {1, 2, 3, 4}
 
 
 # --- licenses ---------------------------------------------------------------------------------
@@ -397,6 +423,75 @@ def test_licenses_inside_prose(around):
         assert [r[2] for r in scanner.judge(text)] == [None]
 
 
+NEAR = [
+    ("This work is licensed under the GNU Lesser General Public License, version 2.", "LGPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 1.", "GPL-1.0"),
+    ("This work is licensed under the GNU General Public License, version 2.1.", None),
+    ("This work is licensed under the GNU Library General Public License, version 2.", None),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License.", None),
+    ("Licensed under CC BY-NC-SA 4.0.", None),
+    ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"),
+    ("Released under the BSD License.", None),
+    (licenses.TEMPLATES["BSD-2-Clause OR BSD-3-Clause"], "BSD-2-Clause OR BSD-3-Clause"),
+    ("This work is licenced under the GNU General Public License, version 2.0.", "GPL-2.0"),
+]
+
+
+@pytest.mark.parametrize("text, expected", NEAR)
+def test_relatives_are_told_apart(text, expected):
+    got = licenses.Scanner(licenses.TEMPLATES).judge(f"{prose(200, text)} {text} {prose(200, text + '2')}")
+    assert [r[2] for r in got if r[2]] == ([expected] if expected else [])
+    assert got if expected is None else len(got) == 1
+
+
+def plain_verdict(text):
+    """Every template against the nearest part of a text's words for each end, the plain way."""
+    own = licenses.words(text)
+    found = []
+    for name, notice in licenses.TEMPLATES.items():
+        template = licenses.words(notice)
+        limit = int(licenses.MAX_DIFFERENCE * len(template))
+        told = sorted(p for w in template for p in licenses.telling(w))
+        nearest = {}  # by end, the part with the least edits; of equal ones the shortest
+        for a in range(len(own)):
+            row = list(range(len(template) + 1))
+            for b in range(a, min(len(own), a + len(template) + limit)):
+                new = [row[0] + 1]
+                for j, w in enumerate(template, 1):
+                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (w != own[b])))
+                row = new
+                nearest[b] = min(nearest.get(b, (10**9, 0)), (row[-1], -a))
+        parts = [(edits, -a, b) for b, (edits, a) in nearest.items() if edits <= limit]
+        best = min(((e,) for e, a, b in parts if sorted(p for w in own[a : b + 1] for p in licenses.telling(w)) == told), default=None)
+        if best:
+            found.append((len(template) - best[0], name))
+    return licenses.license_of(max(found, key=lambda x: (x[0], [-ord(c) for c in x[1]]))[1]) if found else None
+
+
+def test_verdicts_are_the_plain_aligners():
+    """Notices with words lost, added and replaced: the same license, or none, as aligning all templates plainly."""
+    rng = random.Random(3)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    short = [v for v in licenses.TEMPLATES.values() if len(licenses.words(v)) < 45]
+    for _ in range(40):
+        own = rng.choice(short).split(" ")
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.choice([0, 1])] = rng.choice([[], ["zq"], ["version", "2"], ["Lesser"]])
+        text = "license " + " ".join(own)
+        got = [r[2] for r in scanner.judge(text) if r[2]]
+        assert got[:1] == ([plain_verdict(text)] if plain_verdict(text) else [])
+
+
+def test_license_scan_of_repeated_rows_and_none(spark):
+    rows = spark.createDataFrame([(1, "Released under the MIT License.", "a", "b")] * 3 + [(2, None, "a", "b")], "doc_id long, text string, license string, start string")
+    got = licenses.scan(rows).collect()
+    assert [(r.doc_id, r.license, r.start, r.n_differences) for r in got] == [(1, "MIT", 0, 0)] * 3
+    assert licenses.scan(rows.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("width, mark", [(40, ""), (70, "# "), (76, " * ")])
 def test_licenses_in_wrapped_lines(width, mark):
     scanner = licenses.Scanner(licenses.TEMPLATES)

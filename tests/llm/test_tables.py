@@ -31,11 +31,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert len(names) > 2
     first = gzip.decompress(files.read_bytes(folder, names[0]))
     assert first.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
-    assert b"WARC-Target-URI: http://x/1 y\r\n" in b"".join(gzip.decompress(files.read_bytes(folder, n)) for n in names)
+    assert b"WARC-Target-URI: http://x/1%0D%0Ay\r\n" in b"".join(gzip.decompress(files.read_bytes(folder, n)) for n in names)
     again = f"file://{tmp_path}/again"
     warc.write(pages, again, file_bytes=700)
     content = lambda f: [files.read_bytes(f, n) for e in files.read_manifest(f)["files"] for n in e["names"]]
     assert content(folder) == content(again)
+    assert names == [n for e in files.read_manifest(again)["files"] for n in e["names"]]
+    large = f"file://{tmp_path}/large"  # records above the roll size have a file each
+    warc.write(pages, large, file_bytes=10)
+    assert len(files.read_manifest(large)["files"]) == len(rows) and warc.read(spark, large).count() == len(rows)
     small = {r.page_id: r.record_type for r in warc.round_trip(pages.where("page_id > 0"), min_revisit_bytes=9).collect()}
     assert set(small.values()) == {"response"}
     assert warc.round_trip(pages.limit(0)).count() == 0

@@ -13,8 +13,9 @@ each group is one pass over the documents. Documents are scanned in chunks that
 than a window, so memory doesn't grow with a text.
 
 Defined cases: null and empty texts hold nothing; items of fewer than ``MIN_ITEM`` normalised
-characters are not searched, since they'd be found in clean texts; repeated items are searched
-once; each row is judged by its own text, rows with repeated or null doc_ids too; extra columns
+characters are searched verbatim, as whole words; those of fewer than ``min_item`` (a parameter) are
+not searched, since they'd be found in clean texts; repeated items are searched once; an empty
+benchmark finds nothing; very long texts are scanned in chunks; an empty table gives an empty table; each row is judged by its own text, rows with repeated or null doc_ids too; extra columns
 are ignored by ``find`` and kept by ``drop_contaminated``.
 """
 
@@ -35,6 +36,10 @@ WINDOW = 80
 EXCERPT = 50
 RATE = 0.075
 MIN_ITEM = 30
+#: Default of the parameter: shorter items aren't searched at all.
+SHORTEST = 8
+#: Groups of items that one pass over the documents searches.
+GROUPS_A_SCAN = 4
 CHUNK = 1 << 20
 GROUP_CHARS = 2 << 20
 MAX_ITEM = 1 << 20
@@ -97,12 +102,16 @@ def budget(width: int) -> int:
 class Index:
     """q-grams of items: (item, place) by hash."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], min_item: int = SHORTEST):
         self.ids: list[int] = []
         self.chars: list[np.ndarray] = []
+        self.short: list[tuple[int, str]] = []
         for item_id, text in items:
-            whole = codes(normalise(text))
+            plain = normalise(text)
+            whole = codes(plain)
             if len(whole) < MIN_ITEM:
+                if len(whole) >= max(min_item, 1):
+                    self.short.append((item_id, plain))
                 continue
             for at in range(0, max(1, len(whole) - WINDOW), MAX_ITEM - WINDOW):
                 self.ids.append(item_id)
@@ -119,6 +128,26 @@ class Index:
         self.seen = np.zeros(1 << 20, bool)
         self.seen[hashes >> np.uint64(44)] = True
 
+    def verbatim(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(item_id, start, end, 0) of the short items in a normalised text, as whole words."""
+        if not self.short:
+            return []
+        if not hasattr(self, "automaton"):
+            import ahocorasick
+
+            by_text: dict[str, list[int]] = {}
+            for item_id, plain in self.short:
+                by_text.setdefault(f" {plain} ", []).append(item_id)
+            self.automaton = ahocorasick.Automaton()
+            for plain, ids in by_text.items():
+                self.automaton.add_word(plain, (len(plain), ids))
+            self.automaton.make_automaton()
+        # places in the padded text are one more than in the text, and a match has a blank on either side
+        return [(i, end - size + 1, end - 1, 0) for end, (size, ids) in self.automaton.iter(f" {text} ") for i in ids]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "automaton"}
+
     def shared(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Item, place in it and place in the text of each shared q-gram."""
         none = np.empty(0, np.int64)
@@ -214,8 +243,9 @@ def aligned(pattern: np.ndarray, text: np.ndarray, edits: int) -> tuple[np.ndarr
 def regions(index: Index, text: str) -> list[tuple[int, int, int, int]]:
     """(item_id, start, end, edits) in the text's own characters, end exclusive: unions of verified
     windows, with the least edits of one window."""
-    whole = codes(normalise(text))
-    hits: list[tuple[int, int, int, int]] = []
+    plain = normalise(text)
+    whole = codes(plain)
+    hits: list[tuple[int, int, int, int]] = index.verbatim(plain)
     overlap = 2 * WINDOW
     for base in range(0, max(1, len(whole) - overlap), CHUNK):
         chars = whole[base : base + CHUNK + overlap]
@@ -252,7 +282,7 @@ def regions(index: Index, text: str) -> list[tuple[int, int, int, int]]:
     return [(i, at[a], at[b - 1] + 1, cost) for i, a, b, cost in merged]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, group_chars: int = GROUP_CHARS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, group_chars: int = GROUP_CHARS, min_item: int = SHORTEST) -> DataFrame:
     """doc_id, text_hash, item_id, start, end, edits: a row per region of a document."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -260,27 +290,32 @@ def find(docs: DataFrame, benchmark: DataFrame, group_chars: int = GROUP_CHARS)
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_chars))
-    rows = docs.where(F.length("text") >= Q).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    rows = docs.where(F.length("text") >= min(Q, max(min_item, 1))).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     schema = f"doc_id {kind.simpleString()}, text_hash bigint, item_id bigint, start bigint, end bigint, edits bigint"
 
-    def scan(index) -> DataFrame:
+    def scan(indexes: list) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 owner, found = [], []
                 for n, data in enumerate(batch.column(2)):
-                    got = regions(index.value, data.as_py().decode("utf-8", "replace"))
-                    owner += [n] * len(got)
-                    found += got
+                    text = data.as_py().decode("utf-8", "replace")
+                    for index in indexes:
+                        got = regions(index.value, text)
+                        owner += [n] * len(got)
+                        found += got
                 if found:
                     keys = batch.select([0, 1]).take(pa.array(owner, pa.int64()))
                     yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(c, pa.int64()) for c in zip(*found))], [c.split()[0] for c in schema.split(", ")])
 
         return rows.mapInArrow(run, schema)
 
-    out = None
-    for g in range(groups):  # each group's texts have a bounded size together
+    def shared(g: int):  # a group's texts have a bounded size together
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect()
-        part = scan(spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in own])))
+        return spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in own], min_item))
+
+    out = None
+    for first in range(0, groups, GROUPS_A_SCAN):
+        part = scan([shared(g) for g in range(first, min(first + GROUPS_A_SCAN, groups))])
         out = part if out is None else out.unionByName(part)
     return out
 

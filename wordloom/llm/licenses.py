@@ -2,9 +2,11 @@
 
 A document's lines that carry a license word are its candidate blocks (neighbouring ones join).
 Notices in a block and in as many words around it as the longest template has are found by exact
-wording: the part of the words nearest to a template is aligned with it, and the words inserted, deleted and replaced are counted. A part is confirmed if
-those are at most ``MAX_DIFFERENCE`` of the template's words and its naming words (``NAMING``) are
-there, however much text stands around it. A confirmed part is taken out and what lies on either
+wording: the part of the words nearest to a template is aligned with it, and the words inserted,
+deleted and replaced are counted. A part is confirmed if those are at most ``MAX_DIFFERENCE`` of the
+template's words and none of them tells licenses apart: names, versions and other numbers
+(``TELLING``) must be the template's, each as often, with the word that follows not going on with
+one. So a near relative, as another version, isn't confirmed, and stays a block without a license. A confirmed part is taken out and what lies on either
 side is searched again, so each notice is a row of its own. Each part is compressed alone and with its template as a
 zstandard raw dictionary; the share of the size that the dictionary saves is measured on the part
 only, ranks confirmed templates of equal wording, and ranks templates for blocks without a notice.
@@ -13,7 +15,8 @@ Defined cases: null and empty texts have no blocks; of confirmed templates the o
 words counts, then the higher saving, then the first name; a confirmed part's own place is reported,
 closing punctuation included; a block without a confirmed part, or what such parts leave of it if
 that has a cue, is reported with a null license; repeated rows give repeated results; null doc_ids pass through; a very long line is
-cut around its license words, so a block's size is bounded; extra columns are ignored.
+cut around its license words, so a block's size is bounded, but notices are looked for in the words
+around it too; an empty table gives an empty table; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,18 +37,35 @@ from wordloom.session import ship_package
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Apache-1.1": "Licensed under the Apache Software License, Version 1.1.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "BSD-2-Clause OR BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-4.0-header": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "GPL-1.0": "This work is licensed under the GNU General Public License, version 1.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.0": "This work is licensed under the GNU Lesser General Public License, version 2.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "WTFPL": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 # words of a cue may stand on two lines, with a comment mark between
@@ -58,13 +78,17 @@ _CLOSING = re.compile(r"[^\w\s]*")
 BLOCK_CHARS = 2000
 #: Characters on either side of a block in which the words of a notice are looked for.
 REACH_CHARS = 8000
-TRIED = 3
 MAX_DIFFERENCE = 0.2
-#: Words without which a notice isn't the template's, however alike the rest is.
-NAMING = {
-    "Apache-2.0": ("apache", "2.0"), "Apache-2.0-header": ("apache", "2.0"), "CC-BY-4.0": ("attribution", "4.0"), "CC-BY-NC-4.0": ("by-nc", "4.0"),
-    "CC-BY-SA-4.0": ("attribution-sharealike", "4.0"), "GPL-2.0": ("gnu", "2"), "GPL-3.0": ("gnu", "3"), "GPL-3.0-header": ("gnu", "3"), "MIT": ("mit",), "MPL-2.0": ("mozilla", "2.0"),
-}
+#: Parts of words that tell licenses apart.
+TELLING = frozenset("affero agpl apache artistic attribution boost bsd by cc cc0 commons creative eclipse epl free gnu gpl isc lesser lgpl library mit mozilla mpl nc nd noncommercial noderivatives noderivs public sa sharealike unencumbered unported wtfpl zlib".split())
+_NUMBER = re.compile(r"v?[0-9]+(?:\.[0-9]+)*")
+
+
+def telling(word: str) -> tuple[str, ...]:
+    """The parts of a word that tell licenses apart; numbers do, without closing zeros (2 is 2.0)."""
+    if _NUMBER.fullmatch(word):
+        return (_base(word.removeprefix("v")),)
+    return tuple(p if p in TELLING else _base(p) for p in word.split("-") if p in TELLING or _NUMBER.fullmatch(p))
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -121,6 +145,7 @@ class Scanner:
         self.counts = {k: Counter(v) for k, v in self.texts.items()}
         self.codes = {w: n for n, w in enumerate(sorted({w for v in self.texts.values() for w in v}))}
         self.coded = {k: self.code(v) for k, v in self.texts.items()}
+        self.telling = {k: Counter(p for w in v for p in telling(w)) for k, v in self.texts.items()}
         # words on either side of a block that a notice with a word in it can reach
         self.reach = max(len(v) + int(MAX_DIFFERENCE * len(v)) for v in self.texts.values())
         self.known = {}
@@ -142,17 +167,16 @@ class Scanner:
         found = []
         coded = self.code(own)
         counts = Counter(own)
-        bases = set(map(_base, own))
+        own_telling = [telling(w) for w in own]
         for name, template in self.texts.items():
             limit = int(MAX_DIFFERENCE * len(template))
-            naming = set(map(_base, NAMING.get(name, ())))
-            if not naming <= bases or (self.counts[name] & counts).total() < len(template) - limit:
+            if (self.counts[name] & counts).total() < len(template) - limit:
                 continue
             cost, start = edits(self.coded[name], coded)
             ends = np.flatnonzero(cost <= limit)
             for end in ends[np.argsort(cost[ends], kind="stable")].tolist():
                 a = int(start[end])
-                if a < end and naming <= set(map(_base, own[a:end])):
+                if a < end and Counter(p for ps in own_telling[a:end] for p in ps) == self.telling[name]:
                     saving = self.saving(name, text[places[a][0] : places[end - 1][1]])
                     found.append((len(template) - int(cost[end]), saving, name, a, end, int(cost[end])))
                     break
@@ -162,9 +186,8 @@ class Scanner:
         """(saving, words that differ, words of the template) of the template nearest to a block."""
         if block in self.seen:
             return self.seen[block]
-        savings = sorted(((self.saving(k, block), k) for k in self.known), key=lambda x: (-x[0], x[1]))
         own = self.code(words(block))
-        wrong, saving, name = min((int(edits(self.coded[k], own)[0].min()), -saving, k) for saving, k in savings[:TRIED])
+        wrong, saving, _, name = min((int(edits(v, own)[0].min()), -self.saving(k, block), len(v), k) for k, v in self.coded.items())
         found = (round(-saving, 6), wrong, len(self.texts[name]))
         if len(self.seen) < 100_000:
             self.seen[block] = found

@@ -14,8 +14,10 @@ Two members link exactly if they share a midpoint (for even distances), a midpoi
 number of members, and the work is linear in the bucket.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero, which links like
-any other; repeated rows share their component; null doc_ids get a component but never name one
-(a component of null ids only has component_id null); extra columns are ignored.
+any other; repeated rows share their component; of equal doc_ids and ties all rows stay, the
+smallest doc_id names the component; null doc_ids get a component but never name one (a component
+of null ids only has component_id null); a very long text is hashed in pieces; an empty table gives
+an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ from wordloom.session import ship_package, stored
 SHINGLE_WORDS = 4
 HASH_SEED = 42
 DISTANCE = 4
-BLOCKS = 6
+#: Members that a bucket of evenly spread fingerprints may have; decides the number of blocks.
+MEAN_BUCKET = 512
 BUCKET_LIMIT = 8192
 HASH_CHUNK = 1 << 15
 
@@ -80,7 +83,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprint_batches, f"doc_id {kind}, print bigint")
 
 
-def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
+def blocks_for(n: int, distance: int = DISTANCE) -> int:
+    """The number of blocks for n fingerprints: the least whose keys are long enough that a bucket
+    has about MEAN_BUCKET members. More documents get longer keys, and more combinations of blocks."""
+    blocks = distance + 2
+    while blocks < 32 and n > MEAN_BUCKET << (64 * (blocks - distance) // blocks):
+        blocks += 1
+    return blocks
+
+
+def block_masks(blocks: int, distance: int = DISTANCE) -> list[int]:
     """The unsigned bit mask of each combination of blocks that a linked pair may leave untouched."""
     if not 0 <= distance < blocks <= 64:
         raise ValueError("0 <= distance < blocks <= 64 is needed")
@@ -194,14 +206,14 @@ def _midpoints(batches: Iterator[pa.RecordBatch], masks: list[int], distance: in
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mids), own, np.int64)), pa.array(mids.view(np.int64))], ["print", "mid"])
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def links(prints: DataFrame, distance: int = DISTANCE, blocks: int | None = None, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Links (a, b) between distinct values of ``print``: enough of them that their connected
     components are those of all pairs that differ in at most ``distance`` bits."""
     if distance % 2:
         raise ValueError("the midpoints of large buckets need an even distance")
     spark = prints.sparkSession
     ship_package(spark)
-    masks = block_masks(blocks, distance)
+    masks = block_masks(blocks or blocks_for(prints.count(), distance), distance)
     keys = F.array(*(F.col("print").bitwiseAND(F.lit(_signed(m))) for m in masks))
     dealt = prints.select("print", F.posexplode(keys).alias("combo", "key")).select("combo", "key", "print")
     # one hash of both columns: a key of the zero block of one combination isn't that of another
@@ -218,11 +230,12 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, buc
     return near.unionByName(far.distinct())
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int | None = None, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id
     reachable over links, itself included)."""
     prints = stored(fingerprints(docs), "simhash-prints")
     classes = prints.groupBy("print").agg(F.min("doc_id").alias("first_id"))
+    blocks = blocks or blocks_for(prints.count(), distance)  # rows, of which the distinct ones are no more
     roots = connected_components(links(classes.select("print"), distance, blocks, bucket_limit))
     classes = classes.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
     classes = stored(classes, "simhash-classes")

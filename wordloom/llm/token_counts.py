@@ -10,12 +10,13 @@ word through it visits each letter once and adds the counts; pieces are never bu
 Words are runs of bytes other than the space and U+0009 to U+000D, a leading space counting as part
 of the word where the vocabulary marks word starts by one. Defined cases: a null or empty text has
 no tokens; a word that can't be cut counts as one unknown token; null doc_ids pass through;
-repeated rows are counted alike; long words cost time in proportion to their length; extra columns
-are ignored.
+repeated rows are counted alike; long words cost time in proportion to their length; an empty table
+gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -117,11 +118,12 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     ``vocabulary`` (read on the driver; the automaton's size is fixed by it)."""
     spark = docs.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(byte_pieces(open(vocabulary, encoding="utf-8").read()))
+    pieces = byte_pieces(open(vocabulary, encoding="utf-8").read())
+    shared = spark.sparkContext.broadcast((digest(pieces), pieces))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, cache = _automaton(shared.value)
+        automaton, cache = _automaton(*shared.value)
         for batch in batches:
             counts = np.zeros(batch.num_rows, np.int64)
             for n, text in enumerate(batch.column(1)):
@@ -134,12 +136,21 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint")
 
 
-_made: dict[int, tuple[LongestMatch, dict[bytes, int]]] = {}
+def digest(pieces: tuple[list[bytes], list[bytes]]) -> bytes:
+    """Tells vocabularies apart: the lengths and all bytes of all pieces."""
+    out = hashlib.sha256()
+    for own in pieces:
+        out.update(len(own).to_bytes(8, "little"))
+        for p in own:
+            out.update(len(p).to_bytes(4, "little") + p)
+    return out.digest()
 
 
-def _automaton(pieces: tuple[list[bytes], list[bytes]]) -> tuple[LongestMatch, dict[bytes, int]]:
+_made: dict[bytes, tuple[LongestMatch, dict[bytes, int]]] = {}
+
+
+def _automaton(key: bytes, pieces: tuple[list[bytes], list[bytes]]) -> tuple[LongestMatch, dict[bytes, int]]:
     """One automaton for each worker process and vocabulary."""
-    key = hash((len(pieces[0]), len(pieces[1]), pieces[0][-1], pieces[1][-1]))
     if key not in _made:
         _made[key] = (LongestMatch(*pieces), {})
     return _made[key]

@@ -282,7 +282,8 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int, shard_byte
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # The text's hash orders repeated ids, and lets a much repeated id be dealt to several shards.
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = rows.repartitionByRange(files.parts_for(size), *order).sortWithinPartitions(*order)
     shards = ordered.mapInArrow(run, "part int, seq int, names array<string>, n_docs bigint, n_ids bigint, first bigint, last bigint").collect()
     start, entries = 0, []
     for s in sorted(shards, key=lambda s: (s.part, s.seq)):

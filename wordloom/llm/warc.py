@@ -32,6 +32,7 @@ from wordloom.session import new_folder, ship_package, stored
 
 FILE_BYTES = 256 << 20
 READ_BYTES = 1 << 20
+SALT = 16
 DATE = "2000-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public namespace of URLs
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -47,8 +48,8 @@ def record_id(page_id: int | None, kind: str = "page") -> str:
 
 
 def _header(fields: list[tuple[str, str | None]]) -> bytes:
-    # a header value holds no line ends
-    lines = [f"{k}: {' '.join(v.split())}" for k, v in fields if v is not None]
+    # a header value holds no line ends: they are percent-encoded, all else stays
+    lines = [f"{k}: {v.replace(chr(13), '%0D').replace(chr(10), '%0A')}" for k, v in fields if v is not None]
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode("utf-8", "replace")
 
 
@@ -90,7 +91,11 @@ def with_references(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     keyed = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n"))
     shared = keyed.where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     shared = stored(shared.select(F.col("digest").alias("shared_digest"), "first_id"), "warc-shared")
-    joined = rows.join(shared, F.sha1("payload") == F.col("shared_digest"), "left")
+    # equal payloads, as all empty ones, share a digest: pages are dealt to SALT parts of it. A payload
+    # of its own meets no row of ``shared``, which holds repeated digests only
+    salted = shared.select("shared_digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")
+    joined = rows.withColumn("part", part).join(salted, (F.sha1("payload") == F.col("shared_digest")) & (F.col("part") == F.col("salt")), "left")
     return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
 
@@ -120,7 +125,8 @@ def write(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, file_bytes:
 
     # the payload's hash orders rows of one page_id and lets them be dealt to several files
     order = [F.col("page_id").asc_nulls_first(), F.xxhash64("payload", "url")]
-    ordered = with_references(pages, min_revisit_bytes).repartitionByRange(*order).sortWithinPartitions(*order)
+    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    ordered = with_references(pages, min_revisit_bytes).repartitionByRange(files.parts_for(size), *order).sortWithinPartitions(*order)
     found = sorted(ordered.mapInArrow(run, "part int, seq int, name string, n bigint").collect())
     manifest = {"files": [{"names": [f.name], "n_records": f.n} for f in found]}
     files.write_manifest(folder, manifest)
