@@ -105,7 +105,7 @@ def test_formats_round_trip(spark):
     df = spark.createDataFrame(GRAPH, ARCS)
     names = S.symbol_table(df.select(F.col("label").alias("sym"), F.col("label").alias("at")))
     expected = sorted((r[1], r[2], r[3], round(r[4], 5)) for r in GRAPH)
-    for back in (lattices.att(lattices.to_att(df))[0], lattices.named(lattices.openfst(lattices.to_openfst(df, names)), names), lattices.slf(lattices.to_slf(df))):
+    for back in (lattices.att(lattices.to_att(df))[0], lattices.named(lattices.openfst(lattices.to_openfst(df, names))[0], names), lattices.slf(lattices.to_slf(df))):
         assert sorted((r.src, r.dst, r.label, round(r.weight, 5)) for r in back.collect()) == expected
 
 
@@ -119,14 +119,80 @@ def test_slf_fields(spark):
     a, b = 2 / math.log(10) + 1 / math.log(10), 2.5 / math.log(10)
     assert got[0, 1, "aa"] == pytest.approx(-math.log(math.exp(-a) + math.exp(-b)))
     assert (1, 2, "<eps>") in got
-    times = {r.link: (r.start_t, r.end_t) for r in lattices.slf_timed(files).collect()}
-    assert times[2] == (0.1, 0.3)
+    timed = {(r.src, r.label): (r.start_t, r.end_t) for r in lattices.slf(files, node_times=True).collect()}
+    assert timed == {(0, "aa"): (0.0, 0.1), (1, "<eps>"): (0.1, 0.3)}
+
+
+def test_final_weights_become_arcs(spark):
+    text_ = "0 1 a a 0.5\n1 2 b b 0.5\n1 0.25\n2 0.75\n"
+    arcs, finals = lattices.att(spark.createDataFrame([(1, text_), (2, "0 1 c c\n1\n")], "utt long, content string"))
+    whole = lattice.with_final_arcs(arcs, finals)
+    got = [tuple(r) for r in whole.where("utt = 1").collect()]
+    assert paths(got) == {("a",): 0.75, ("a", "b"): 1.75}
+    assert [tuple(r) for r in whole.where("utt = 2").collect()] == [(2, 0, 1, "c", 0.0)]
+    data = lattices.encode_fst(1, {0: 0.5, 2: 1.0}, {1: [(7, 6, 0.25, 0)], 0: [(8, 7, 0.5, 2)]}, 3)
+    arcs, finals = lattices.openfst(spark.createDataFrame([(1, data)], "utt long, content binary"))
+    names = spark.createDataFrame([("x", 6), ("y", 7)], "sym string, id int")
+    fst = [tuple(r)[:5] for r in lattice.with_final_arcs(lattices.named(arcs, names).drop("ilabel"), finals).collect()]
+    assert paths(fst) == {("x",): 0.75, ("x", "y"): 1.75}
+
+
+def test_times_along_a_path(spark):
+    rows = [(1, 0, 1, "a", 0.1, 0.0, 0.1), (1, 0, 1, "b", 0.0, 0.0, 0.1), (1, 1, 2, "a", 0.0, 0.1, 0.3), (1, 1, 2, "<eps>", 0.0, 0.1, 0.3), (1, 2, 3, "c", 0.0, 0.3, 0.4)]
+    arcs = spark.createDataFrame(rows, f"{ARCS}, start_t double, end_t double")
+    free = lattice.remove_epsilon(arcs)
+    assert {(r.src, r.dst, r.label, r.start_t) for r in free.collect()} == {(0, 1, "a", 0.0), (0, 1, "b", 0.0), (1, 2, "a", 0.1), (1, 3, "c", 0.3), (2, 3, "c", 0.3)}
+    words = spark.createDataFrame([(1, [["a", "a"], ["c"]])], "utt long, words array<array<string>>")
+    got = lattice.word_times(lattice.timed_path(free, words)).orderBy("word_no").collect()
+    assert [(r.word, r.start_t, r.end_t) for r in got] == [("aa", 0.0, 0.3), ("c", 0.3, 0.4)]
+
+
+def test_rescored_paths_carry_the_model(spark):
+    from wordloom.operators.model import Nested
+
+    model = Nested(1, 2, 3, seed=1)
+    model.add(["ab", "c"])
+    letters = model.freeze().chars
+    got = lattice.rescored(spark.createDataFrame(GRAPH, ARCS), letters).collect()
+    steps = [((r.src, r.src_ctx), (r.dst, r.dst_ctx), r.label, r.weight) for r in got]
+    for labels, w in paths(GRAPH).items():
+        tail, cost = letters.first_tail(), w
+        for c in labels:
+            own, tail = letters.letter(c, tail)
+            cost += own
+        at = {(0, "</unk>"): 0.0}
+        found = []
+
+        def walk(state, rest, total):
+            own = [x for x in steps if x[0] == state]
+            if not own and not rest:
+                found.append(total)
+            for _, to, label, more in own:
+                if label == "<eps>":
+                    walk(to, rest, total + more)
+                elif rest and label == rest[0]:
+                    walk(to, rest[1:], total + more)
+
+        walk(next(iter(at)), labels, 0.0)
+        assert min(found) == pytest.approx(cost)
 
 
 def test_text_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("a b c \nb a\n")
     rows = {r.name.rpartition("/")[2]: r.symbols for r in text.sentences(text.lines(spark, [str(tmp_path / "a.txt")])).collect()}
     assert rows == {"a.txt_Line_1": ["a", "b", "c"], "a.txt_Line_2": ["b", "a"]}
+    long = [f"s{i} t" for i in range(3000)]
+    (tmp_path / "long.txt").write_text("\n".join(long) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        split = text.lines(spark, [str(tmp_path / "long.txt"), str(tmp_path / "a.txt")])
+        placed = text.numbered(split, spark, [str(tmp_path / "a.txt"), str(tmp_path / "long.txt")]).collect()
+        assert sorted((r.place, r.value) for r in placed) == [(1, "a b c "), (2, "b a"), *((i + 3, v) for i, v in enumerate(long))]
+        assert len({r.file for r in placed}) == 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
     (tmp_path / "bad.txt").write_text("a\n\nb\n")
     with pytest.raises(Exception, match="empty line"):
         text.sentences(text.lines(spark, [str(tmp_path / "bad.txt")])).collect()
@@ -164,24 +230,57 @@ def test_unigram_viterbi_broadcast_and_join_agree(spark):
     def every(t):
         if not t:
             yield []
-        for k in range(1, min(4, len(t)) + 1):
+        for k in range(1, len(t) + 1):
             for rest in every(t[k:]):
                 yield [t[:k], *rest]
 
     expected = {i: round(min(map(cost, every(t))), 9) for i, t in enumerate(texts)}
     for limit in (1000, 0):
-        got = {r.utt: round(r.cost, 9) for r in segment.viterbi_unigram(df, costs, 3.0, 4, limit).collect()}
-        assert got == expected
+        found = segment.viterbi_unigram(df, costs, 3.0, limit).collect()
+        assert {r.utt: round(r.cost, 9) for r in found} == expected
+        assert {r.utt: "".join(r.words) for r in found} == dict(enumerate(texts))
 
 
-def test_gibbs_is_repeatable_and_keeps_text(spark):
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["abab", "ababc", "cab", "abc"])], "utt long, text string")
+def test_sampled_words_dont_depend_on_partitions_or_the_way_of_the_model(spark):
+    given = [("abab", ["ab", "ab"]), ("ababc", ["ab", "ab", "c"]), ("cab", ["c", "ab"]), ("abcd", ["abc", "d"])]
+    rows = spark.createDataFrame([(i, t, w) for i, (t, w) in enumerate(given)], "utt long, text string, words array<string>")
     out = []
-    for parts, limit in ((1, 10**6), (3, 10**6)):
-        state = sampler.iterate(sampler.start(rows.repartition(parts), 1, 2), 7, 2, 4, 3, limit=limit)
+    for parts, limit in ((1, 10**6), (3, 0)):  # broadcast, and joined to chunks of sentences
+        settings = sampler.Settings(alphabet=4, seed=7, batches=2, limit=limit, chunk_letters=6)
+        state = sampler.iterate(sampler.start(rows.repartition(parts), 2, 2), settings)
         out.append({r.utt: r.words for r in state.segmentation.collect()})
     assert out[0] == out[1]
-    assert {k: "".join(v) for k, v in out[0].items()} == {0: "abab", 1: "ababc", 2: "cab", 3: "abc"}
+    assert {k: "".join(v) for k, v in out[0].items()} == {i: t for i, (t, _) in enumerate(given)}
+
+
+def test_planted_words_are_learnt(spark):
+    """Unsegmented sentences of a known lexicon, default options: word F rises, perplexity falls."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 5))) for _ in range(8)]
+    sentences = [rng.choices(words, k=rng.randint(4, 8)) for _ in range(120)]
+    rows = spark.createDataFrame([(i, "".join(s)) for i, s in enumerate(sentences)], "utt long, text string")
+    settings = sampler.Settings(alphabet=8)
+    state, f, perplexity = sampler.start(rows, 1, 2), [], []
+
+    def spans(ws):
+        ends = list(itertools.accumulate(map(len, ws)))
+        return set(zip([0, *ends], ends))
+
+    for _ in range(2):
+        state = sampler.iterate(state, settings)
+        found = {r.utt: r.words for r in state.segmentation.collect()}
+        right = sum(len(spans(s) & spans(found[i])) for i, s in enumerate(sentences))
+        f.append(2 * right / sum(len(s) + len(found[i]) for i, s in enumerate(sentences)))
+        stats, loglik = sampler.model_statistics(state, settings)
+        perplexity.append(loglik.first()["perplexity"])
+    assert f[1] > f[0] + 0.1
+    assert perplexity[1] < perplexity[0]
+    level = {(r.model, r.level): r for r in stats.collect()}
+    assert level["word", 0].n_words == sum(len(w) + 1 for w in found.values())
+    assert level["character", 1].n_tables == level["character", 0].n_words
+    before = state.word_hyper
+    after = sampler.retrain(sampler.switch_orders(state, 2, 3), settings, 1)
+    assert len(after.word_hyper.discount) == 2 and after.word_hyper.discount != [0.5, 0.5] and before is not after.word_hyper
 
 
 def test_poisson(spark):
@@ -190,7 +289,7 @@ def test_poisson(spark):
         assert p == pytest.approx(math.exp(-3) * 3 ** (k - 2) / math.factorial(k - 2) if k >= 2 else 0)
 
 
-@pytest.mark.parametrize("bad", [{"known_n": 0}, {"wer": True}, {"rescored_folder": "x"}, {"lattice_type": "cmu"}, {"sweep": PruningSweep(16, 0, 0)}])
+@pytest.mark.parametrize("bad", [{"known_n": 0}, {"wer": True}, {"rescored_folder": "x"}, {"lattice_type": "cmu"}, {"batches": 1}, {"init_sweeps": 2}, {"node_times": True}, {"sweep": PruningSweep(16, 0, 0)}])
 def test_options_are_checked(bad):
     with pytest.raises(ValueError):
         Options(**bad)

@@ -40,6 +40,6 @@ def test_query_matches_sql(spark, con, name):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, found.fetchall())
 
 
-@pytest.mark.parametrize("name", ["align_ops", "wer", "segmented_words", "shuffle_order", "lattice_drawing", "rescored_lattices"])
+@pytest.mark.parametrize("name", ["lattice_segmentation", "seating_totals"])
 def test_query_runs(spark, name):
     assert registry.queries()[name](spark, FOLDER).count() > 0

@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     add("-SymbolFile", dest="symbol_file")
     add("-InputArcInfosFile", dest="arc_info_file")
     add("-AmScale", dest="am_scale", type=float, default=1.0)
-    add("-Debug", dest="debug", type=int, default=0)
+    add("-Debug", dest="debug", type=int, default=0, help="above 0: model statistics every evaluated iteration, else after the last")
     add("-WordLengthModulation", dest="word_length_modulation", type=float, default=-1.0, help="-1 off, 0 by the observed mean, above 0 a fixed mean")
     add("-LatticeFileType", dest="lattice_type", choices=("text", "htk", "openfst", "att"), default="text")
     add("-EvalInterval", dest="eval_interval", type=int, default=1)
@@ -48,8 +48,7 @@ def parser() -> argparse.ArgumentParser:
     add("-AMScoreShift", dest="am_shift", type=float, default=0.0)
     add("-ReadNodeTimes", dest="node_times", action="store_true")
     add("-Seed", dest="seed", type=int, default=1)
-    add("-Batches", dest="batches", type=int, default=1)
-    add("-MaxWordLength", dest="max_word_length", type=int, default=12)
+    add("-Batches", dest="batches", type=int, default=0, help="batches of a sweep; 0: by the number of sentences")
     add("input_files", nargs="*")
     return p
 

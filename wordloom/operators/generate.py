@@ -1,7 +1,10 @@
-"""Words drawn from a letter n-gram model; each drawn row has its own random numbers."""
+"""Words drawn from a letter n-gram model; each letter of each drawn row has its own random number,
+taken from a digest of (seed, row, place), so that any engine can draw the same words."""
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,22 +12,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.operators.sampler import keyed_rng
 from wordloom.session import ship_package
 
 #: A letter model has at most alphabet ** order rows; above this it isn't broadcast.
 MODEL_ROWS = 2_000_000
 
 
+def uniform(seed: int, no: int, place: int) -> float:
+    """A number from 0 to 1: 52 bits of the digest."""
+    return int(hashlib.md5(f"{seed}-{no}-{place}".encode()).hexdigest()[:13], 16) / 2.0**52
+
+
 def words(probs: DataFrame, order: int, n: int, seed: int, end: str = "$", pad: str = "^", longest: int = 200) -> DataFrame:
     """(no, word): ``probs`` holds (ctx, w, p) of the seen n-grams; their shares are normalised."""
     spark = probs.sparkSession
     ship_package(spark)
-    if probs.limit(MODEL_ROWS + 1).count() > MODEL_ROWS:
+    found = probs.limit(MODEL_ROWS + 1).toPandas()
+    if len(found) > MODEL_ROWS:
         raise ValueError("the letter model is too large to broadcast; lower the order")
-    model: dict[str, tuple[list[str], np.ndarray]] = {}
-    for ctx, own in probs.toPandas().sort_values(["ctx", "w"]).groupby("ctx"):
-        model[ctx] = (own["w"].tolist(), np.cumsum(own["p"].to_numpy()))
+    model: dict[str, tuple[list[str], list[float]]] = {}
+    for ctx, own in found.sort_values(["ctx", "w"]).groupby("ctx"):
+        model[ctx] = (own["w"].tolist(), np.cumsum(own["p"].to_numpy()).tolist())
     shared = spark.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,10 +40,10 @@ def words(probs: DataFrame, order: int, n: int, seed: int, end: str = "$", pad:
         for pdf in batches:
             out = []
             for no in pdf["id"]:
-                rng, ctx, word = keyed_rng(seed, "word", int(no)), pad * (order - 1), ""
+                ctx, word = pad * (order - 1), ""
                 while len(word) < longest and ctx in letters:
                     choice, mass = letters[ctx]
-                    c = choice[int(np.searchsorted(mass, rng.random() * mass[-1], side="right"))]
+                    c = choice[min(bisect.bisect_right(mass, uniform(seed, int(no), len(word)) * mass[-1]), len(choice) - 1)]
                     if c == end:
                         break
                     word += c

@@ -1,32 +1,51 @@
-"""Weighted lattices as tables: arcs (utt, src, dst, label, weight) and finals (utt, state, weight).
+"""Weighted lattices as tables of arcs (utt, src, dst, label, weight).
 
-Weights are negative log probabilities. What looks at arcs one by one is DataFrame work; what walks
-a graph runs per utterance on Arrow batches (a graph is one utterance's, so it fits a task).
-State 0 is the start. Extra arc columns pass through where rows are only filtered.
+Weights are negative log probabilities. State 0 is the start, states without outgoing arcs are
+final; ``with_final_arcs`` brings final weights of other formats to this form. What looks at arcs
+one by one is DataFrame work. What walks a graph runs on partitions that hold whole utterances,
+sorted, many utterances to an Arrow batch (a graph is one utterance's, so it fits a task). Extra arc
+columns pass through where rows are only filtered.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.operators.align import DELETE, INSERT, SUBSTITUTE, unpack
 from wordloom.session import ship_package
 
 EPS = "<eps>"
+KEYS = ["utt", "src", "dst", "label"]
 
 
-def merge_parallel(arcs: DataFrame) -> DataFrame:
+def merge_parallel(arcs: DataFrame, order: str | None = None) -> DataFrame:
     """One arc per (utt, src, dst, label), weights added in the log semiring. Window and grouping
-    share one shuffle; the minimum keeps the exponentials in range."""
-    keys = ["utt", "src", "dst", "label"]
-    least = F.min("weight").over(Window.partitionBy(*keys))
-    rows = arcs.select(*keys, "weight", least.alias("least"))
-    return rows.groupBy(*keys, "least").agg(F.sum(F.exp(F.col("least") - F.col("weight"))).alias("s")).select(*keys, (F.col("least") - F.log("s")).alias("weight"))
+    share one shuffle; the minimum keeps the exponentials in range. With ``order``, a column that
+    orders arcs, other columns are those of the first arc."""
+    others = [c for c in arcs.columns if c not in (*KEYS, "weight")] if order else []
+    least = F.min("weight").over(Window.partitionBy(*KEYS))
+    rows = arcs.select(*KEYS, "weight", least.alias("least"), *others)
+    first = [F.min_by(c, order).alias(c) for c in others]
+    merged = rows.groupBy(*KEYS, "least").agg(F.sum(F.exp(F.col("least") - F.col("weight"))).alias("s"), *first)
+    return merged.select(*KEYS, (F.col("least") - F.log("s")).alias("weight"), *others)
+
+
+def with_final_arcs(arcs: DataFrame, finals: DataFrame) -> DataFrame:
+    """Arcs with final states (utt, state, weight) as <eps> arcs to a state of their own, one past
+    the highest, where they have a weight or arcs go on from them."""
+    goes_on = arcs.select("utt", F.col("src").alias("state")).distinct().withColumn("goes_on", F.lit(True))
+    needed = finals.join(goes_on, ["utt", "state"], "left").where((F.col("weight") != 0) | F.col("goes_on"))
+    last = arcs.groupBy("utt").agg((F.max(F.greatest("src", "dst")) + 1).alias("dst"))
+    # states that end without being final would count as final ones: then all finals move, as when one must
+    dead = final_states(arcs).join(finals.select("utt", "state"), ["utt", "state"], "left_anti")
+    moved = finals.join(needed.select("utt").unionByName(dead.select("utt")).distinct(), "utt", "left_semi").join(last, "utt")
+    return arcs.unionByName(moved.select("utt", F.col("state").alias("src"), "dst", F.lit(EPS).alias("label"), "weight"), allowMissingColumns=True)
 
 
 def final_states(arcs: DataFrame) -> DataFrame:
@@ -53,72 +72,150 @@ def sausage(rows: DataFrame, utt: Column, symbols: Column, alternative_weight: f
 
 
 class Graph:
-    """One utterance's arcs, in topological order of their source."""
-
-    def __init__(self, pdf: pd.DataFrame):
-        self.src, self.dst = pdf["src"].to_numpy(np.int64), pdf["dst"].to_numpy(np.int64)
-        self.weight = pdf["weight"].to_numpy(float)
-        out: dict[int, list[int]] = defaultdict(list)
-        waits: dict[int, int] = defaultdict(int)
-        for i, (a, b) in enumerate(zip(self.src.tolist(), self.dst.tolist())):
-            out[a].append(i)
-            waits[b] += 1
-        ready = sorted(s for s in {*self.src.tolist(), *self.dst.tolist()} if not waits[s])
+    """One utterance's arcs and its states in topological order."""
+
+    def __init__(self, src: list[int], dst: list[int], label: list[str], weight: list[float]):
+        self.src, self.dst, self.label, self.weight = src, dst, label, weight
+        self.out: dict[int, list[int]] = {}
+        waits: dict[int, int] = {}
+        for i, (a, b) in enumerate(zip(src, dst)):
+            self.out.setdefault(a, []).append(i)
+            waits[b] = waits.get(b, 0) + 1
+        ready = sorted(s for s in {*src, *dst} if s not in waits)
         self.states: list[int] = []
         for s in ready:
             self.states.append(s)
-            for i in out[s]:
-                t = int(self.dst[i])
+            for i in self.out.get(s, ()):
+                t = dst[i]
                 waits[t] -= 1
                 if not waits[t]:
                     ready.append(t)
         if any(waits.values()):
             raise ValueError("a lattice has a circle")
-        self.out = out
-        self.order = [i for s in self.states for i in out[s]]
-        self.ends = [s for s in self.states if not out[s]]
+        self.order = [i for s in self.states for i in self.out.get(s, ())]
+        self.ends = [s for s in self.states if s not in self.out]
 
-    def forward(self, start: int = 0) -> dict[int, float]:
+    def forward(self) -> dict[int, float]:
         """Least weight from the start."""
-        alpha = defaultdict(lambda: math.inf, {start: 0.0})
+        alpha = dict.fromkeys(self.states, math.inf)
+        alpha[0] = 0.0
+        src, dst, weight = self.src, self.dst, self.weight
         for i in self.order:
-            a, b = int(self.src[i]), int(self.dst[i])
-            alpha[b] = min(alpha[b], alpha[a] + self.weight[i])
+            if (w := alpha[src[i]] + weight[i]) < alpha[dst[i]]:
+                alpha[dst[i]] = w
         return alpha
 
-    def backward(self, finals: dict[int, float]) -> dict[int, float]:
+    def backward(self) -> dict[int, float]:
         """Least weight to a final state."""
-        beta = defaultdict(lambda: math.inf, finals)
+        beta = dict.fromkeys(self.states, math.inf)
+        beta.update(dict.fromkeys(self.ends, 0.0))
+        src, dst, weight = self.src, self.dst, self.weight
         for i in reversed(self.order):
-            a, b = int(self.src[i]), int(self.dst[i])
-            beta[a] = min(beta[a], beta[b] + self.weight[i])
+            if (w := beta[dst[i]] + weight[i]) < beta[src[i]]:
+                beta[src[i]] = w
         return beta
 
-    def levels(self, start: int = 0) -> dict[int, int]:
+    def through(self) -> tuple[list[float], float]:
+        """Per arc the least weight of a path through it, and of any path."""
+        alpha, beta = self.forward(), self.backward()
+        return [alpha[a] + w + beta[b] for a, w, b in zip(self.src, self.weight, self.dst)], beta.get(0, math.inf)
+
+    def levels(self) -> dict[int, int]:
         """Longest distance from the start in arcs."""
-        out = {start: 0}
+        out = {0: 0}
         for i in self.order:
-            a, b = int(self.src[i]), int(self.dst[i])
+            a, b = self.src[i], self.dst[i]
             if a in out:
                 out[b] = max(out.get(b, 0), out[a] + 1)
         return out
 
-
-def _per_utterance(arcs: DataFrame, work, schema: str) -> DataFrame:
+    def lattice(self) -> tuple[list[list[tuple[str, float, int]]], dict[int, float]]:
+        """The form that ``segment.Walk`` reads: states that the start reaches, numbered in order."""
+        reached = self.levels()
+        number = {s: n for n, s in enumerate([0, *(s for s in self.states if s in reached and s != 0)])}
+        arcs = [[(self.label[i], self.weight[i], number[self.dst[i]]) for i in self.out.get(s, ())] for s in number]
+        return arcs, {number[s]: 0.0 for s in self.ends if s in number}
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str = "utt") -> Iterator[tuple[pa.Table, list[int]]]:
+    """From batches sorted by a key: tables that hold whole groups, and where each group starts."""
+    held: list[pa.RecordBatch] = []
+
+    def bounds(keys: list) -> list[int]:
+        return [i for i, (a, b) in enumerate(zip([object(), *keys], keys)) if a != b]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_pylist()
+        last = bounds(keys)[-1]
+        if last == 0 and held and held[-1].column(key)[held[-1].num_rows - 1].as_py() == keys[0]:
+            held.append(batch)  # one long group goes on
+            continue
+        if last:
+            held.append(batch.slice(0, last))
+        if held:
+            table = pa.Table.from_batches(held)
+            yield table, bounds(table.column(key).to_pylist())
+        held = [batch.slice(last)]
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, bounds(table.column(key).to_pylist())
+
+
+def _together(arcs: DataFrame) -> DataFrame:
+    return arcs.repartition("utt").sortWithinPartitions("utt", "src", "weight", "label", "dst")
+
+
+def _graphs(table: pa.Table, starts: list[int]) -> Iterator[tuple[int, int, Graph]]:
+    src, dst, label, weight = (table.column(c).to_pylist() for c in ("src", "dst", "label", "weight"))
+    for a, b in zip(starts, [*starts[1:], table.num_rows]):
+        yield a, b, Graph(src[a:b], dst[a:b], label[a:b], weight[a:b])
+
+
+def grouped_graphs(arcs: DataFrame, work: Callable[[Graph], list[tuple]], schema: str) -> DataFrame:
+    """utt and the columns of ``schema``: the rows that ``work`` makes of each utterance's graph.
+    Arcs of a state come by (weight, label, target)."""
     ship_package(arcs.sparkSession)
-    return arcs.groupBy("utt").applyInPandas(work, schema)
+    kind = arcs.schema["utt"].dataType.simpleString()
+    full = f"utt {kind}, {schema}"
+    out_schema = _arrow_schema(full)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_groups(batches):
+            owner, rows = [], []
+            for a, _, graph in _graphs(table, starts):
+                made = work(graph)
+                owner += [a] * len(made)
+                rows += made
+            if rows:
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(out_schema)[1:])]
+                utts = table.column("utt").take(pa.array(owner, pa.int64())).combine_chunks()
+                yield pa.RecordBatch.from_arrays([utts, *columns], schema=out_schema)
+
+    return _together(arcs.select(*KEYS, "weight")).mapInArrow(run, full)
+
+
+def _arrow_schema(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
 
 
 def prune(arcs: DataFrame, threshold: float) -> DataFrame:
     """Arcs on a path within ``threshold`` of the best; infinity keeps every arc on some path."""
+    ship_package(arcs.sparkSession)
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = Graph(pdf)
-        alpha, beta = g.forward(), g.backward({s: 0.0 for s in g.ends})
-        through = np.array([alpha[a] + w + beta[b] for a, w, b in zip(g.src.tolist(), g.weight.tolist(), g.dst.tolist())])
-        return pdf[np.isfinite(through) & (through <= beta[0] + threshold + 1e-9)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_groups(batches):
+            kept: list[int] = []
+            for a, _, graph in _graphs(table, starts):
+                through, best = graph.through()
+                kept += [a + i for i, w in enumerate(through) if w < math.inf and w <= best + threshold + 1e-9]
+            yield from table.take(pa.array(kept, pa.int64())).combine_chunks().to_batches()
 
-    return _per_utterance(arcs, work, arcs.schema.simpleString()[7:-1])
+    return _together(arcs).mapInArrow(run, arcs.schema.simpleString()[7:-1])
 
 
 def connect(arcs: DataFrame) -> DataFrame:
@@ -128,121 +225,152 @@ def connect(arcs: DataFrame) -> DataFrame:
 
 def topological_levels(arcs: DataFrame) -> DataFrame:
     """(utt, state, level)."""
-    kind = arcs.schema["utt"].dataType.simpleString()
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = Graph(pdf).levels()
-        return pd.DataFrame({"utt": pdf["utt"].iloc[0], "state": list(found), "level": list(found.values())})
-
-    return _per_utterance(arcs, work, f"utt {kind}, state bigint, level bigint")
+    return grouped_graphs(arcs, lambda g: list(g.levels().items()), "state bigint, level bigint")
 
 
 def best_path(arcs: DataFrame) -> DataFrame:
-    """(utt, pos, src, dst, label, weight) of the best path; of equal ones the path whose arcs come
-    first by (weight, label)."""
-    kind = arcs.schema["utt"].dataType.simpleString()
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["src", "weight", "label", "dst"], kind="stable").reset_index(drop=True)
-        g = Graph(pdf)
-        beta = g.backward({s: 0.0 for s in g.ends})
-        at, path = 0, []
-        while g.out.get(at) and math.isfinite(beta[at]):
-            i = min(g.out[at], key=lambda i: (g.weight[i] + beta[int(g.dst[i])], i))
-            path.append(i)
-            at = int(g.dst[i])
-        out = pdf.loc[path, ["utt", "src", "dst", "label", "weight"]].reset_index(drop=True)
-        out.insert(1, "pos", range(len(out)))
+    """(utt, pos, src, dst, label, weight) of the best path; of equal ones (to nine decimals) the
+    path whose arcs come first by (weight, label, target)."""
+
+    def work(g: Graph) -> list[tuple]:
+        beta = g.backward()
+        at, out = 0, []
+        while g.out.get(at) and beta[at] < math.inf:
+            i = min(g.out[at], key=lambda i: (round(g.weight[i] + beta[g.dst[i]], 9), i))
+            out.append((len(out), at, g.dst[i], g.label[i], g.weight[i]))
+            at = g.dst[i]
         return out
 
-    return _per_utterance(arcs, work, f"utt {kind}, pos bigint, src bigint, dst bigint, label string, weight double")
+    return grouped_graphs(arcs, work, "pos bigint, src bigint, dst bigint, label string, weight double")
 
 
 def remove_epsilon(arcs: DataFrame) -> DataFrame:
     """The same label sequences and weights without <eps> arcs; a state that reaches a final state
-    by <eps> alone gets its arcs from what follows, and finals keep their number."""
-    kind = arcs.schema["utt"].dataType.simpleString()
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = Graph(pdf)
-        labels = pdf["label"].tolist()
-        reach: dict[int, dict[int, float]] = {}
-        for s in reversed(g.states):
-            own = {s: 0.0}
-            for i in g.out.get(s, ()):
-                if labels[i] == EPS:
-                    for t, w in reach[int(g.dst[i])].items():
-                        own[t] = min(own.get(t, math.inf), g.weight[i] + w)
-            reach[s] = own
-        best: dict[tuple[int, int, str], float] = {}
-        ends = set(g.ends)
-        for s in g.states:
-            for t, w in reach[s].items():
-                for i in g.out.get(t, ()):
-                    if labels[i] == EPS:
-                        continue
-                    d = int(g.dst[i])
-                    # a target that only reaches the end by <eps> is an end itself, as well as what it was
-                    for to, more in {d: 0.0, **{e: v for e, v in reach[d].items() if e in ends}}.items():
-                        key = (s, to, labels[i])
-                        best[key] = min(best.get(key, math.inf), w + g.weight[i] + more)
-        live = {0}
-        for s in g.states:
-            if s in live:
-                live |= {d for (a, d, _) in best if a == s}
-        rows = [(pdf["utt"].iloc[0], a, d, lab, w) for (a, d, lab), w in sorted(best.items()) if a in live]
-        goes = {a for _, a, *_ in rows}
-        rows = [r for r in rows if r[2] in goes or r[2] in ends]
-        return pd.DataFrame(rows, columns=["utt", "src", "dst", "label", "weight"])
+    by <eps> alone gets its arcs from what follows, and finals keep their number. Other columns are
+    those of the labelled arc that a new arc comes from."""
+    others = [c for c in arcs.columns if c not in (*KEYS, "weight")]
+    schema = ", ".join(f"{c} {arcs.schema[c].dataType.simpleString()}" for c in (*KEYS, "weight", *others))
+    ship_package(arcs.sparkSession)
 
-    return _per_utterance(arcs, work, f"utt {kind}, src bigint, dst bigint, label string, weight double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_groups(batches):
+            rows, owner = [], []
+            for a, _, graph in _graphs(table, starts):
+                for src, dst, weight, arc in _without_epsilon(graph):
+                    rows.append((src, dst, weight))
+                    owner.append(a + arc)
+            if rows:
+                taken = table.take(pa.array(owner, pa.int64()))
+                for c, values in zip(("src", "dst", "weight"), zip(*rows)):
+                    taken = taken.set_column(taken.column_names.index(c), c, pa.array(values, table.schema.field(c).type))
+                yield from taken.combine_chunks().to_batches()
+
+    return _together(arcs.select(*KEYS, "weight", *others)).mapInArrow(run, schema)
+
+
+def _without_epsilon(g: Graph) -> list[tuple[int, int, float, int]]:
+    """(src, dst, weight, arc that it comes from)."""
+    reach: dict[int, dict[int, float]] = {}
+    for s in reversed(g.states):
+        own = {s: 0.0}
+        for i in g.out.get(s, ()):
+            if g.label[i] == EPS:
+                for t, w in reach[g.dst[i]].items():
+                    own[t] = min(own.get(t, math.inf), g.weight[i] + w)
+        reach[s] = own
+    best: dict[tuple[int, int, str], tuple[float, int]] = {}
+    ends = set(g.ends)
+    targets: dict[int, set[int]] = {}
+    for s in g.states:
+        for t, w in reach[s].items():
+            for i in g.out.get(t, ()):
+                if g.label[i] == EPS:
+                    continue
+                d = g.dst[i]
+                # a target that only reaches the end by <eps> is an end itself, as well as what it was
+                for to, more in {d: 0.0, **{e: v for e, v in reach[d].items() if e in ends}}.items():
+                    key = (s, to, g.label[i])
+                    best[key] = min(best.get(key, (math.inf, i)), (w + g.weight[i] + more, i))
+                    targets.setdefault(s, set()).add(to)
+    live = {0}
+    for s in g.states:
+        if s in live:
+            live |= targets.get(s, set())
+    return [(a, d, w, i) for (a, d, _), (w, i) in sorted(best.items()) if a in live and (d in targets or d in ends)]
+
+
+def least_edits(g: Graph, ref: np.ndarray, kept: list[bool] | None = None) -> tuple[int, int] | None:
+    """(edits, substitutions) of the best alignment of a reference with any path over the kept arcs;
+    fewest edits first, then fewest substitutions. None if no path is left."""
+    n = len(ref)
+    steps = np.arange(n + 1, dtype=np.int64) * DELETE
+    cost: dict[int, np.ndarray] = {0: steps.copy()}
+    for s in g.states:
+        if s not in cost:
+            continue
+        row = cost[s] = np.minimum.accumulate(cost[s] - steps) + steps  # reference symbols without a partner
+        for i in g.out.get(s, ()):
+            if kept is not None and not kept[i]:
+                continue
+            if g.label[i] == EPS:
+                new = row
+            else:
+                new = row + INSERT
+                np.minimum(new[1:], row[:-1] + np.where(ref == g.label[i], 0, SUBSTITUTE), out=new[1:])
+            t = g.dst[i]
+            cost[t] = np.minimum(cost[t], new) if t in cost else new.copy()
+    found = [int(cost[s][n]) for s in g.ends if s in cost]
+    return unpack(min(found)) if found else None
+
+
+def _edits(arcs: DataFrame, references: DataFrame, factors: list[float]) -> DataFrame:
+    """(utt, factor, edits, substitutions, n_ref) of utterances with arcs and a reference (utt,
+    symbols): one pass; the weights of paths through arcs serve every factor."""
+    ship_package(arcs.sparkSession)
+    kind = arcs.schema["utt"].dataType.simpleString()
+    schema = f"utt {kind}, factor double, edits bigint, substitutions bigint, n_ref bigint"
+    # an utterance's reference is a row in front of its arcs
+    front = references.select("utt", F.lit(-1).cast("bigint").alias("src"), F.lit(-1).cast("bigint").alias("dst"), F.lit("").alias("label"), F.lit(0.0).alias("weight"), "symbols")
+    rows = arcs.select("utt", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "label", "weight", F.lit(None).cast("array<string>").alias("symbols"))
+
+    out_schema = _arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_groups(batches):
+            src, dst, label, weight = (table.column(c).to_pylist() for c in ("src", "dst", "label", "weight"))
+            out, owner = [], []
+            for a, b in zip(starts, [*starts[1:], table.num_rows]):
+                if src[a] != -1 or b == a + 1:
+                    continue
+                symbols = table.column("symbols")[a].as_py() or []
+                ref = np.array(symbols, dtype=object)
+                first = a + 1
+                while first < b and src[first] == -1:  # of repeated references the first
+                    first += 1
+                g = Graph(src[first:b], dst[first:b], label[first:b], weight[first:b])
+                through, best = g.through()
+                for f in factors:
+                    kept = None if math.isinf(f) else [w <= best + f + 1e-9 for w in through]
+                    if got := least_edits(g, ref, kept):
+                        owner.append(a)
+                        out.append((f, *got, len(ref)))
+            if out:
+                utts = table.column("utt").take(pa.array(owner, pa.int64())).combine_chunks()
+                yield pa.RecordBatch.from_arrays([utts, *(pa.array(c, f.type) for c, f in zip(zip(*out), list(out_schema)[1:]))], schema=out_schema)
+
+    return _together(rows.unionByName(front)).mapInArrow(run, schema)
 
 
 def error_rates(arcs: DataFrame, references: DataFrame) -> DataFrame:
     """Per utterance the best alignment of its reference (utt, symbols) with any lattice path:
     (utt, edits, substitutions, n_ref), fewest edits first, then fewest substitutions."""
-    kind = arcs.schema["utt"].dataType.simpleString()
-    ship_package(arcs.sparkSession)
-    from wordloom.operators.align import DELETE, INSERT, SUBSTITUTE, unpack
-
-    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"utt": [], "edits": [], "substitutions": [], "n_ref": []})
-        ref = np.array(list(right["symbols"].iloc[0]), dtype=object)
-        g, labels = Graph(left), left["label"].tolist()
-        n = len(ref)
-        steps = np.arange(n + 1, dtype=np.int64) * DELETE
-        far = np.int64(1) << 60
-        cost: dict[int, np.ndarray] = {0: steps.copy()}
-        for s in g.states:
-            if s not in cost:
-                continue
-            row = np.minimum.accumulate(cost[s] - steps) + steps  # reference symbols without a partner
-            cost[s] = row
-            for i in g.out.get(s, ()):
-                t = int(g.dst[i])
-                if labels[i] == EPS:
-                    new = row
-                else:
-                    new = row + INSERT
-                    new[1:] = np.minimum(new[1:], row[:-1] + np.where(ref == labels[i], 0, SUBSTITUTE))
-                cost[t] = np.minimum(cost[t], new) if t in cost else new.copy()
-        total = min((int(cost[s][n]) for s in g.ends if s in cost), default=int(far))
-        edits, subs = unpack(total)
-        return pd.DataFrame({"utt": [left["utt"].iloc[0]], "edits": [edits], "substitutions": [subs], "n_ref": [n]})
-
-    return arcs.groupBy("utt").cogroup(references.groupBy("utt")).applyInPandas(work, f"utt {kind}, edits bigint, substitutions bigint, n_ref bigint")
+    return _edits(arcs, references, [math.inf]).drop("factor")
 
 
 def error_sweep(arcs: DataFrame, references: DataFrame, factors: list[float]) -> DataFrame:
-    """Lattice error rate by pruning factor: (factor, edits, n_ref, rate). Each factor prunes a copy
-    of the lattices."""
-    out = None
-    for f in factors:
-        own = error_rates(prune(arcs, f), references).agg(F.sum("edits").alias("edits"), F.sum("n_ref").alias("n_ref"))
-        own = own.select(F.lit(float(f)).alias("factor"), "edits", "n_ref", (F.col("edits") / F.nullif("n_ref", F.lit(0))).alias("rate"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    """Lattice error rate by pruning factor: (factor, edits, n_ref, rate). The lattices stay as they are."""
+    sums = _edits(arcs, references, factors).groupBy("factor").agg(F.sum("edits").alias("edits"), F.sum("n_ref").alias("n_ref"))
+    return sums.select("factor", "edits", "n_ref", (F.col("edits") / F.nullif("n_ref", F.lit(0))).alias("rate"))
 
 
 def rescore(arcs: DataFrame, bigrams: DataFrame, floor: float = 1e-6, start: str = "^") -> DataFrame:
@@ -258,6 +386,79 @@ def rescore(arcs: DataFrame, bigrams: DataFrame, floor: float = 1e-6, start: str
     return rows.select("utt", "src", "src_label", "dst", F.col("label").alias("dst_label"), "label", weight.alias("weight"))
 
 
+def rescored(arcs: DataFrame, letters) -> DataFrame:
+    """(utt, src, src_ctx, dst, dst_ctx, label, weight): lattices composed with a character model of
+    any order (``letter`` and ``first_tail`` as in segment.Scores). A state is a state and the symbols
+    that led to it, blank-separated."""
+    shared = arcs.sparkSession.sparkContext.broadcast(letters)
+
+    def work(g: Graph) -> list[tuple]:
+        model = shared.value
+        tails: dict[int, set[tuple]] = {0: {model.first_tail()}}
+        out = []
+        for s in g.states:
+            for tail in sorted(tails.get(s, ())):
+                for i in g.out.get(s, ()):
+                    cost, after = (0.0, tail) if g.label[i] == EPS else model.letter(g.label[i], tail)
+                    tails.setdefault(g.dst[i], set()).add(after)
+                    out.append((s, " ".join(tail), g.dst[i], " ".join(after), g.label[i], g.weight[i] + cost))
+        return out
+
+    return grouped_graphs(arcs, work, "src bigint, src_ctx string, dst bigint, dst_ctx string, label string, weight double")
+
+
+def timed_path(arcs: DataFrame, words: DataFrame) -> DataFrame:
+    """(utt, pos, label, start_t, end_t, word_no): for each segmented utterance (utt, words, arrays of
+    symbols) the arcs of its best path with just those symbols. ``arcs`` have start_t and end_t."""
+    ship_package(arcs.sparkSession)
+    kind = arcs.schema["utt"].dataType.simpleString()
+    schema = f"utt {kind}, pos bigint, label string, start_t double, end_t double, word_no bigint"
+    blank = F.lit(None).cast("array<array<string>>")
+    rows = arcs.select("utt", "src", "dst", "label", "weight", F.col("start_t").cast("double").alias("start_t"), F.col("end_t").cast("double").alias("end_t"), blank.alias("words"))
+    minus_one = F.lit(-1).cast("bigint")
+    front = words.select("utt", minus_one.alias("src"), minus_one.alias("dst"), F.lit("").alias("label"), F.lit(0.0).alias("weight"), F.lit(None).cast("double").alias("start_t"), F.lit(None).cast("double").alias("end_t"), F.col("words").cast("array<array<string>>").alias("words"))
+
+    out_schema = _arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_groups(batches):
+            src, dst, label, weight, begin, end = (table.column(c).to_pylist() for c in ("src", "dst", "label", "weight", "start_t", "end_t"))
+            out, owner = [], []
+            for a, b in zip(starts, [*starts[1:], table.num_rows]):
+                if src[a] != -1 or b == a + 1:
+                    continue
+                marks = [(c, n) for n, w in enumerate(table.column("words")[a].as_py() or []) for c in w]
+                g = Graph(src[a + 1 : b], dst[a + 1 : b], label[a + 1 : b], weight[a + 1 : b])
+                for pos, i in enumerate(_path_of(g, [c for c, _ in marks])):
+                    owner.append(a)
+                    out.append((pos, g.label[i], begin[a + 1 + i], end[a + 1 + i], marks[pos][1]))
+            if out:
+                utts = table.column("utt").take(pa.array(owner, pa.int64())).combine_chunks()
+                yield pa.RecordBatch.from_arrays([utts, *(pa.array(c, f.type) for c, f in zip(zip(*out), list(out_schema)[1:]))], schema=out_schema)
+
+    return _together(rows.unionByName(front)).mapInArrow(run, schema)
+
+
+def _path_of(g: Graph, symbols: list[str]) -> list[int]:
+    """Arcs of the best path that spells the symbols; empty if there is none. <eps> arcs are not followed."""
+    cells: dict[tuple[int, int], tuple[float, int]] = {(0, 0): (0.0, -1)}
+    for s in g.states:
+        for i in g.out.get(s, ()):
+            for n in [n for n in range(len(symbols)) if (s, n) in cells and symbols[n] == g.label[i]]:
+                key, cost = (g.dst[i], n + 1), cells[s, n][0] + g.weight[i]
+                if key not in cells or cost < cells[key][0]:
+                    cells[key] = (cost, i)
+    ends = [(cells[s, len(symbols)][0], s) for s in g.ends if (s, len(symbols)) in cells]
+    out: list[int] = []
+    if ends:
+        at = (min(ends)[1], len(symbols))
+        while at[1]:
+            i = cells[at][1]
+            out.append(i)
+            at = (g.src[i], at[1] - 1)
+    return out[::-1]
+
+
 def draw(arcs: DataFrame) -> DataFrame:
     """(utt, dot): each lattice as Graphviz text."""
     line = F.format_string('  %d -> %d [label="%s/%.4f"];', "src", "dst", F.replace(F.col("label"), F.lit('"'), F.lit('\\"')), "weight")

@@ -53,8 +53,9 @@ def unknown_words(words: DataFrame, pronunciations: DataFrame) -> DataFrame:
     return words.select("word").distinct().join(pronunciations.select("word"), "word", "left_anti")
 
 
-def active(lexicon: DataFrame, texts: DataFrame, longest: int) -> DataFrame:
+def active(lexicon: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows of a lexicon whose word occurs as a substring of a text."""
     from wordloom.operators.sampler import active_words
 
-    return lexicon.where(F.length("word") <= longest).join(active_words(texts, longest).withColumnRenamed("w", "word"), "word", "left_semi")
+    lengths = [r[0] for r in lexicon.select(F.length("word")).distinct().collect()]  # as many as word lengths
+    return lexicon.join(active_words(texts, None, lengths=sorted(lengths) or [1]).withColumnRenamed("w", "word"), "word", "left_semi")

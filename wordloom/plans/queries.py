@@ -17,7 +17,6 @@ from wordloom.streaming import segmenting
 
 D, THETA = ngrams.DISCOUNT, ngrams.STRENGTH
 BEAM = 3
-LONGEST = 8
 LETTER_COST = 3.5
 
 # Pieces of SQL that several queries share.
@@ -237,7 +236,7 @@ def base_logs(lex: DataFrame) -> DataFrame:
 
 @register("word_base_prob", f"WITH {WORD_BASE} SELECT word, round(log_base, 6) AS log_base FROM b")
 def word_base_prob(spark: SparkSession, folder: str) -> DataFrame:
-    return base_logs(document_lexicon(spark, folder)).select("word", F.round("log_base", 6).alias("log_base"))
+    return base_logs(stored(document_lexicon(spark, folder), "lexicon")).select("word", F.round("log_base", 6).alias("log_base"))
 
 
 NESTED = f"""{WORD_BASE}, su AS (SELECT sum(n) AS c_u, count(*) AS t_u FROM lex),
@@ -245,7 +244,9 @@ nested AS (SELECT word, lex.n, (lex.n - {D} + ({THETA} + {D} * t_u) * exp(log_ba
 
 
 def nested_probs(lex: DataFrame) -> DataFrame:
-    """(word, n, p): unigram word model over the letter model."""
+    """(word, n, p): unigram word model over the letter model. The lexicon is used three times, so
+    it is stored and the texts are read once."""
+    lex = stored(lex, "lexicon")
     rows = lex.join(base_logs(lex), "word").select(F.lit("").alias("ctx"), F.col("word").alias("w"), "n", "log_base")
     return ngrams.predictive([rows], base=F.exp("log_base")).select(F.col("w").alias("word"), "n", "p")
 
@@ -271,20 +272,25 @@ def sentence_loglik(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_logs(spark, folder).withColumn("loglik", F.round("loglik", 6))
 
 
-@register("perplexity", f"WITH {SENTENCE_LL} SELECT CAST(sum(n_known) AS BIGINT) AS n_known, round(exp(-sum(loglik) / sum(n_known)), 4) AS perplexity FROM ll")
+WORD_BIGRAMS = f"""g2 AS (SELECT t[i] AS ctx, t[i + 1] AS w, count(*) AS n FROM (SELECT t, unnest(range(1, len(t))) AS i FROM (SELECT list_append(list_prepend('</s>', {WORDS}), '</s>') AS t FROM conversations)) GROUP BY 1, 2),
+{KN2[len(GRAMS2) + 2:]}"""
+
+
+# A word bigram model of the conversations themselves, sentence ends being words: as a run measures it.
+@register("perplexity", f"WITH {WORD_BIGRAMS} SELECT CAST(sum(n) AS BIGINT) AS n_words, round(exp(-sum(n * ln(p)) / sum(n)), 6) AS perplexity FROM p2")
 def perplexity(spark: SparkSession, folder: str) -> DataFrame:
-    return sentence_logs(spark, folder).agg(F.sum("n_known").alias("n_known"), F.round(F.exp(-F.sum("loglik") / F.sum("n_known")), 4).alias("perplexity"))
+    probs = word_bigrams(spark, folder)
+    return probs.agg(F.sum("n").alias("n_words"), F.round(F.exp(-F.sum(F.col("n") * F.log("p")) / F.sum("n")), 6).alias("perplexity"))
 
 
-WORD_BIGRAMS = f"""g2 AS (SELECT t[i] AS ctx, t[i + 1] AS w, count(*) AS n FROM (SELECT t, unnest(range(1, len(t))) AS i FROM (SELECT list_append(list_prepend('</s>', {WORDS}), '</s>') AS t FROM conversations)) GROUP BY 1, 2),
-{KN2[len(GRAMS2) + 2:]}"""
+def word_bigrams(spark: SparkSession, folder: str) -> DataFrame:
+    top = ngrams.word_ngrams(table(spark, folder, "conversations"), S.words(F.col("text")), 2)
+    return ngrams.predictive(ngrams.levels(top, 2, ngrams.WORD_PARENT), parent=ngrams.WORD_PARENT)
 
 
 @register("word_bigram_prob", f"WITH {WORD_BIGRAMS} SELECT ctx, w, n, round(p, 9) AS p FROM p2")
 def word_bigram_prob(spark: SparkSession, folder: str) -> DataFrame:
-    top = ngrams.word_ngrams(table(spark, folder, "conversations"), S.words(F.col("text")), 2)
-    levels = ngrams.levels(top, 2, ngrams.WORD_PARENT)
-    return ngrams.predictive(levels, parent=ngrams.WORD_PARENT).withColumn("p", F.round("p", 9))
+    return word_bigrams(spark, folder).withColumn("p", F.round("p", 9))
 
 
 # --- lexicon ----------------------------------------------------------------------------------
@@ -354,12 +360,12 @@ def oov_words(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "active_words",
-    f"""WITH {LEXICON}, b AS (SELECT {LETTERS} AS t FROM benchmark), s AS (SELECT DISTINCT t[i:i + k - 1] AS word FROM (SELECT t, i, unnest(range(1, least({LONGEST}, length(t) - i + 1) + 1)) AS k FROM (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM b)))
+    f"""WITH {LEXICON}, b AS (SELECT {LETTERS} AS t FROM benchmark), l AS (SELECT max(len) AS most FROM lex), s AS (SELECT DISTINCT t[i:i + k - 1] AS word FROM (SELECT t, i, unnest(range(1, least(most, length(t) - i + 1) + 1)) AS k FROM (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM b), l))
 SELECT word, n FROM lex SEMI JOIN s USING (word)""",
 )
 def active_words(spark: SparkSession, folder: str) -> DataFrame:
     texts = table(spark, folder, "benchmark").select(S.letters(F.col("text")).alias("text"))
-    return lexicon.active(document_lexicon(spark, folder), texts, LONGEST).select("word", "n")
+    return lexicon.active(stored(document_lexicon(spark, folder), "lexicon"), texts).select("word", "n")
 
 
 # --- alignment --------------------------------------------------------------------------------
@@ -372,22 +378,94 @@ def turn_pairs(spark: SparkSession, folder: str, symbols) -> DataFrame:
     return rows.select("conv_id", "turn", F.col("x").alias("ref")).join(after, ["conv_id", "turn"])
 
 
-@register("align_ops")
+# Alignment by anti-diagonals: cost 1,000,000 an edit and 1 more a substitution, so that of equally
+# many edits those with fewer substitutions win. d1 and d2 are the last two diagonals, by reference place.
+TURN_WORDS = f"w AS (SELECT conv_id, turn, {WORDS} AS x FROM conversations), p AS MATERIALIZED (SELECT a.conv_id * 1000 + a.turn AS id, a.x AS r, b.x AS h FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+LINES = "SELECT conv_id, turn, i, ls[i + 1] AS text FROM (SELECT conv_id, turn, ls, unnest(range(0, len(ls))) AS i FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS ls FROM conversations))"
+LINE_LETTERS = f"w AS (SELECT conv_id, turn, i, list_filter(string_split({LETTERS}, ''), lambda c: c <> '') AS x FROM ({LINES})), p AS MATERIALIZED (SELECT ((a.conv_id * 1000 + a.turn) * 1000 + a.i) AS id, a.x AS r, b.x AS h FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.i = b.i)"
+
+
+def _aligned(match: str = "x[4] = x[5]", key: str = "USING KEY (id)", other: str = "h") -> str:
+    """d: the diagonals of the pairs p (id, r, h); with ``key`` only the last of each pair. A cell's
+    three neighbours and its two symbols (and that of ``other``) are zipped; where there is no found
+    symbol, only a deletion leads to the cell."""
+    padded = lambda c: f"list_concat(list_resize(CAST([] AS VARCHAR[]), len(r) + 1), list_reverse({c}), list_resize(CAST([] AS VARCHAR[]), len(r) + 1))"
+    here = lambda c: f"{c}[n + 1 + m - k:n + 1 + m - k + n]"
+    return f"""pad AS MATERIALIZED (SELECT id, len(r) AS n, len(h) AS m, list_concat([CAST(NULL AS VARCHAR)], r) AS rr, {padded("h")} AS hh, {padded(other)} AS gg FROM p),
+d(id, k, d1, d2) {key} AS (
+  SELECT id, 0, list_concat([0], list_resize(CAST([] AS INTEGER[]), n)), list_resize(CAST([] AS INTEGER[]), n + 1) FROM pad
+  UNION {'' if key else 'ALL'}
+  SELECT d.id, k + 1, list_transform(list_zip(list_concat([CAST(NULL AS INTEGER)], d1[1:n]), d1, list_concat([CAST(NULL AS INTEGER)], d2[1:n]), rr, {here("hh")}, {here("gg")}),
+    lambda x: CASE WHEN x[5] IS NULL THEN x[1] + 1000000 ELSE least(x[1] + 1000000, x[2] + 1000000, x[3] + CASE WHEN {match} THEN 0 ELSE 1000001 END) END), d1
+  FROM d JOIN pad USING (id) WHERE k < n + m)"""
+
+
+def _costs(match: str = "y[3] = x.x", other: str = "h") -> str:
+    """c: edits and substitutions of the pairs p (id, r, h), row by row over the reference. A row holds
+    a place's cost less 1,000,000 for each found symbol before it, so that insertions are the least
+    value so far, taken by doubling steps."""
+    least = "list_transform(list_zip(y, list_concat([CAST(NULL AS BIGINT)], y), list_concat([CAST(NULL AS VARCHAR)], h), list_concat([CAST(NULL AS VARCHAR)], g)), lambda y: least(y[1] + 1000000, y[2] + CASE WHEN {match} THEN -1000000 ELSE 1 END))[1:len(h) + 1]".replace("{match}", match).replace("list_zip(y, list_concat([CAST(NULL AS BIGINT)], y)", "list_zip(a.s, list_concat([CAST(NULL AS BIGINT)], a.s)")
+    for step in (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096):
+        least = f"list_transform([{least}], lambda z: list_transform(list_zip(z, list_concat(list_resize(CAST([] AS BIGINT[]), {step}), z)[1:len(h) + 1]), lambda y: least(y[1], y[2])))[1]"
+    return f"""c AS (SELECT id, len(r) AS n_ref, len(h) AS n_found, cost // 1000000 AS edits, cost % 1000000 AS n_sub
+  FROM (SELECT id, r, h, list_reduce(list_transform(r, lambda v: {{'s': CAST([] AS BIGINT[]), 'x': v}}), lambda a, x: {{'s': {least}, 'x': x.x}}, {{'s': list_resize(CAST([] AS BIGINT[]), len(h) + 1, 0), 'x': ''}}).s[-1] + 1000000 * len(h) AS cost FROM (SELECT id, r, h, {other} AS g FROM p)))"""
+
+
+OPS = """o AS (SELECT id, (edits - n_sub + n_found - n_ref) // 2 AS n_ins, (edits - n_sub - n_found + n_ref) // 2 AS n_del, n_sub, n_ref - (edits - n_sub - n_found + n_ref) // 2 - n_sub AS n_cor, n_found, n_ref FROM c)"""
+RATES = """t AS (SELECT CAST(sum(n_ins) AS BIGINT) AS n_ins, CAST(sum(n_del) AS BIGINT) AS n_del, CAST(sum(n_sub) AS BIGINT) AS n_sub, CAST(sum(n_cor) AS BIGINT) AS n_cor, CAST(sum(n_found) AS BIGINT) AS n_found, CAST(sum(n_ref) AS BIGINT) AS n_ref FROM o),
+q AS (SELECT *, n_cor / n_found AS p, n_cor / n_ref AS r FROM t)
+SELECT n_ins, n_del, n_sub, n_cor, n_found, n_ref, round((n_ins + n_del + n_sub) / n_ref, 9) AS error_rate, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f_score FROM q"""
+
+
+def rounded_rates(rows: DataFrame) -> DataFrame:
+    return rows.select("n_ins", "n_del", "n_sub", "n_cor", "n_found", "n_ref", *(F.round(c, 9).alias(c) for c in ("error_rate", "precision", "recall", "f_score")))
+
+
+@register("align_ops", f"WITH RECURSIVE {TURN_WORDS}, {_costs()}, {OPS} SELECT id // 1000 AS conv_id, id % 1000 AS turn, CAST(n_ins AS BIGINT) AS n_ins, CAST(n_del AS BIGINT) AS n_del, CAST(n_sub AS BIGINT) AS n_sub, CAST(n_cor AS BIGINT) AS n_cor, CAST(n_found AS BIGINT) AS n_found, CAST(n_ref AS BIGINT) AS n_ref FROM o")
 def align_ops(spark: SparkSession, folder: str) -> DataFrame:
     return align.align(turn_pairs(spark, folder, S.words(F.col("text"))))
 
 
-@register("wer")
+@register("wer", f"WITH RECURSIVE {TURN_WORDS}, {_costs()}, {OPS}, {RATES}")
 def wer(spark: SparkSession, folder: str) -> DataFrame:
-    return align.rates(align_ops(spark, folder))
+    return rounded_rates(align.rates(align_ops(spark, folder)))
 
 
-@register("per")
+@register("per", f"WITH RECURSIVE {LINE_LETTERS}, {_costs()}, {OPS}, {RATES}")
 def per(spark: SparkSession, folder: str) -> DataFrame:
-    return align.rates(align.align(turn_pairs(spark, folder, S.symbol_array(S.letters(F.col("text"))))))
+    """Letters of each line of a turn as reference, those of the same line of the next turn as hypothesis."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "l"))
+    rows = rows.select("conv_id", "turn", "i", S.symbol_array(S.letters(F.col("l"))).alias("x"))
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), "i", F.col("x").alias("hyp"))
+    pairs = rows.withColumnRenamed("x", "ref").join(after, ["conv_id", "turn", "i"])
+    return rounded_rates(align.rates(align.align(pairs)))
 
 
-@register("edit_operation_lines")
+def line_utterances(spark: SparkSession, folder: str) -> DataFrame:
+    """(utt, text): the letters of each line of the turns."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "l"))
+    return rows.select(((F.col("conv_id") * 1000 + F.col("turn")) * 1000 + F.col("i")).alias("utt"), S.letters(F.col("l")).alias("text")).where("text <> ''")
+
+
+# Back from the last cell: a diagonal step if it explains the cost, else a deletion, else an insertion.
+@register(
+    "edit_operation_lines",
+    f"""WITH RECURSIVE {TURN_WORDS}, {_aligned(key="")},
+b(id, i, j, pos, op, rs, hs) AS (
+  SELECT id, len(r), len(h), 0, '', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM p
+  UNION ALL
+  SELECT id, CASE WHEN step = 'i' THEN i ELSE i - 1 END, CASE WHEN step = 'd' THEN j ELSE j - 1 END, pos - 1,
+         CASE WHEN step = 'm' THEN CASE WHEN same THEN 'c' ELSE 's' END ELSE step END, CASE WHEN step <> 'i' THEN x END, CASE WHEN step <> 'd' THEN y END
+  FROM (SELECT b.id, i, j, pos, p.r[i] AS x, p.h[j] AS y, p.r[i] = p.h[j] AS same,
+               CASE WHEN i > 0 AND j > 0 AND here.d1[i + 1] = two.d1[i] + CASE WHEN p.r[i] = p.h[j] THEN 0 ELSE 1000001 END THEN 'm'
+                    WHEN i > 0 AND here.d1[i + 1] = one.d1[i] + 1000000 THEN 'd' ELSE 'i' END AS step
+        FROM b JOIN p ON p.id = b.id JOIN d here ON here.id = b.id AND here.k = i + j
+             LEFT JOIN d one ON one.id = b.id AND one.k = i + j - 1 LEFT JOIN d two ON two.id = b.id AND two.k = i + j - 2
+        WHERE i + j > 0)),
+s AS (SELECT sym, 5 + row_number() OVER (ORDER BY sym) AS no FROM (SELECT DISTINCT unnest(list_concat(r, h)) AS sym FROM p))
+SELECT b.id AS utt, string_agg(op || ':[' || coalesce(CAST(x.no AS VARCHAR), '0') || ',' || coalesce(rs, '<eps>') || ' --> ' || coalesce(CAST(y.no AS VARCHAR), '0') || ',' || coalesce(hs, '<eps>') || ']', ' ' ORDER BY pos) AS value
+FROM b LEFT JOIN s x ON x.sym = rs LEFT JOIN s y ON y.sym = hs WHERE op <> '' GROUP BY 1""",
+)
 def edit_operation_lines(spark: SparkSession, folder: str) -> DataFrame:
     pairs = turn_pairs(spark, folder, S.words(F.col("text"))).select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt"), "ref", "hyp")
     words = pairs.select(F.explode(F.concat("ref", "hyp")).alias("sym"))
@@ -402,21 +480,48 @@ def sentence_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- segmentation -----------------------------------------------------------------------------
 
+# Per text the best costs and segmentations of the last places, as many as the longest word has
+# letters, and the place before them from which an unknown word costs least. Costs are compared to
+# nine decimals, then the shorter last word wins.
+BEST_WORDS = f"""{LEXICON}, total AS (SELECT sum(n) AS n FROM lex), k AS MATERIALIZED (SELECT word, len, -ln(lex.n / total.n) AS cost FROM lex, total), most AS MATERIALIZED (SELECT max(len) AS m FROM lex),
+t AS MATERIALIZED (SELECT {UTT} AS utt, {LETTERS} AS s FROM conversations),
+e AS MATERIALIZED (SELECT utt, j, list(coalesce(cost, {LETTER_COST} * (q + 1)) ORDER BY q) AS cs
+      FROM (SELECT utt, j, q, s[j - q + 1:j] AS word FROM (SELECT utt, s, j, unnest(range(1, least(j, m) + 1)) AS q FROM (SELECT utt, s, unnest(range(1, length(s) + 1)) AS j FROM t), most)) LEFT JOIN k USING (word) GROUP BY 1, 2),
+b(utt, j, best, words, spot, far, begun) USING KEY (utt) AS (
+  SELECT utt, 0, [CAST(0 AS DOUBLE)], [''], CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR) FROM t
+  UNION
+  SELECT utt, j, list_append(best, cost)[-(m + 1):], list_append(words, before || CASE WHEN before = '' THEN '' ELSE ' ' END || s[j - size + 1:j])[-(m + 1):], spot, far, begun
+  FROM (SELECT *, CASE WHEN size <= m THEN best[-size] + cs[size] ELSE far + {LETTER_COST} * (size + 1) END AS cost, CASE WHEN size <= m THEN words[-size] ELSE begun END AS before
+    FROM (SELECT *, least(list_min(list_transform(cs, lambda c, q: {{'c': round(best[-q] + c, 9), 'q': q}})), CASE WHEN spot IS NOT NULL THEN {{'c': round(far + {LETTER_COST} * (j - spot + 1), 9), 'q': j - spot}} END).q AS size
+      FROM (SELECT utt, j, best, words, s, m, cs, CASE WHEN nearer THEN j - m - 1 ELSE spot END AS spot, CASE WHEN nearer THEN best[1] ELSE far END AS far, CASE WHEN nearer THEN words[1] ELSE begun END AS begun
+        FROM (SELECT b.utt, b.j + 1 AS j, best, words, spot, far, begun, s, m, cs, b.j >= m AND coalesce(best[1] - {LETTER_COST} * (b.j - m) <= far - {LETTER_COST} * spot + 1e-9, true) AS nearer
+              FROM b JOIN t USING (utt) JOIN e ON e.utt = b.utt AND e.j = b.j + 1, most)))))"""
+BEST_COST = f"WITH RECURSIVE {BEST_WORDS} SELECT utt, round(best[-1], 6) AS cost FROM b"
+
+
 def best_words(spark: SparkSession, folder: str) -> DataFrame:
-    costs = segment.unigram_costs(document_lexicon(spark, folder))
-    return segment.viterbi_unigram(turns(spark, folder), costs, LETTER_COST, LONGEST)
+    costs = stored(segment.unigram_costs(stored(document_lexicon(spark, folder), "lexicon")), "costs")
+    return segment.viterbi_unigram(turns(spark, folder), costs, LETTER_COST)
 
 
-@register("viterbi_unigram")
+@register("viterbi_unigram", BEST_COST)
 def viterbi_unigram(spark: SparkSession, folder: str) -> DataFrame:
     return best_words(spark, folder).select("utt", F.round("cost", 6).alias("cost"))
 
 
-@register("segmented_words")
+@register("segmented_words", f"WITH RECURSIVE {BEST_WORDS} SELECT utt, words[-1] || CASE WHEN words[-1] = '' THEN '' ELSE ' ' END || '</s>' AS value FROM b")
 def segmented_words(spark: SparkSession, folder: str) -> DataFrame:
     return best_words(spark, folder).select("utt", sinks.sentence_lines(F.col("words"), 1).alias("value"))
 
 
+@register("lattice_segmentation")
+def lattice_segmentation(spark: SparkSession, folder: str) -> DataFrame:
+    """Branching lattices over the items of the benchmark, each with its best path and words together."""
+    rows = table(spark, folder, "benchmark").select(F.col("item_id").alias("utt"), S.letters(F.col("text")).alias("text")).where("text <> ''")
+    costs = stored(segment.unigram_costs(stored(document_lexicon(spark, folder), "lexicon")), "costs")
+    return segment.lattice_words(lattice.remove_epsilon(branching(rows)), costs, LETTER_COST).select("utt", F.round("cost", 6).alias("cost"), F.array_join("words", " ").alias("words"))
+
+
 # --- lattices ---------------------------------------------------------------------------------
 
 
@@ -431,6 +536,40 @@ arcs AS (SELECT utt, src, dst, l AS label, CAST(0 AS DOUBLE) AS weight FROM c
   UNION ALL SELECT utt, src, dst, CASE WHEN l = 'z' THEN 'a' ELSE chr(ascii(l) + 1) END, CAST(2 AS DOUBLE) FROM c)"""
 
 
+def branching(rows: DataFrame) -> DataFrame:
+    """Lattices of (utt, text) with two finals, arcs that skip a letter, and <eps> arcs: a sausage
+    with other weights, from every sixth state an arc over two letters, after every ninth one that
+    reads nothing, and from the last but one an arc to a final of its own."""
+    plain = lattice.sausage(rows, F.col("utt"), F.split("text", ""))
+    chosen = F.when(F.col("weight") == 0, F.col("src") % 7 * 0.01).otherwise(2.0 + F.col("src") * 3 % 5 * 0.1)
+    spots = rows.select("utt", F.posexplode(F.split("text", "")).alias("src", "label"), F.length("text").alias("n")).withColumn("src", F.col("src").cast("bigint"))
+    skips = spots.where("src % 6 = 1").select("utt", (F.col("src") - 1).alias("src"), (F.col("src") + 1).alias("dst"), "label", F.lit(1.25).alias("weight"))
+    silent = spots.where("src % 9 = 4").select("utt", "src", (F.col("src") + 1).alias("dst"), F.lit("<eps>").alias("label"), F.lit(1.75).alias("weight"))
+    other = spots.where("src = n - 1").select("utt", "src", (F.col("src") + 2).alias("dst"), F.lit("q").alias("label"), F.lit(0.5).alias("weight"))
+    return plain.withColumn("weight", F.round(chosen, 6)).unionByName(skips).unionByName(silent).unionByName(other)
+
+
+BRANCHING = f"""t AS (SELECT {UTT} AS utt, {LETTERS} AS text FROM conversations),
+c AS (SELECT utt, i - 1 AS src, text[i] AS l, length(text) AS n FROM (SELECT utt, text, unnest(range(1, length(text) + 1)) AS i FROM t)),
+arcs AS (SELECT utt, src, src + 1 AS dst, l AS label, CAST(round(src % 7 * 0.01, 6) AS DOUBLE) AS weight FROM c
+  UNION ALL SELECT utt, src, src + 1, CASE WHEN l = 'z' THEN 'a' ELSE chr(ascii(l) + 1) END, CAST(round(2.0 + src * 3 % 5 * 0.1, 6) AS DOUBLE) FROM c
+  UNION ALL SELECT utt, src - 1, src + 1, l, CAST(1.25 AS DOUBLE) FROM c WHERE src % 6 = 1
+  UNION ALL SELECT utt, src, src + 1, '<eps>', CAST(1.75 AS DOUBLE) FROM c WHERE src % 9 = 4
+  UNION ALL SELECT utt, src, src + 2, 'q', CAST(0.5 AS DOUBLE) FROM c WHERE src = n - 1)"""
+# Least weights to and from each state; arcs go one or two states on.
+ALPHA = """steps AS MATERIALIZED (SELECT utt, dst AS state, min(weight) FILTER (dst - src = 1) AS w1, min(weight) FILTER (dst - src = 2) AS w2 FROM arcs GROUP BY 1, 2),
+alpha(utt, state, a, a0) AS (SELECT utt, 0, CAST(0 AS DOUBLE), CAST(NULL AS DOUBLE) FROM t WHERE text <> ''
+  UNION ALL SELECT x.utt, s.state, least(x.a + w1, x.a0 + w2), x.a FROM alpha x JOIN steps s ON s.utt = x.utt AND s.state = x.state + 1)"""
+BETA = """ways AS MATERIALIZED (SELECT utt, src AS state, min(weight) FILTER (dst - src = 1) AS w1, min(weight) FILTER (dst - src = 2) AS w2 FROM arcs GROUP BY 1, 2),
+beta(utt, state, b, b1) AS (SELECT utt, length(text), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM t WHERE text <> ''
+  UNION ALL SELECT x.utt, s.state, least(x.b + w1, x.b1 + w2), x.b FROM beta x JOIN ways s ON s.utt = x.utt AND s.state = x.state - 1),
+backward AS (SELECT utt, state, b FROM beta UNION ALL SELECT utt, length(text) + 1, CAST(0 AS DOUBLE) FROM t WHERE text <> '')"""
+
+
+def branching_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return branching(turns(spark, folder).where("text <> ''"))
+
+
 def doubled(spark: SparkSession, folder: str) -> DataFrame:
     """Sausages whose vowels have a second, worse arc of the same label."""
     arcs = sausages(spark, folder)
@@ -446,57 +585,85 @@ def merge_arcs(spark: SparkSession, folder: str) -> DataFrame:
     return lattice.merge_parallel(doubled(spark, folder)).withColumn("weight", F.round("weight", 9))
 
 
-@register("final_states", f"WITH {SAUSAGE} SELECT utt, max(dst) AS state FROM arcs GROUP BY 1")
+@register("final_states", f"WITH {BRANCHING} SELECT DISTINCT utt, unnest([n, n + 1]) AS state FROM c")
 def final_states(spark: SparkSession, folder: str) -> DataFrame:
-    return lattice.final_states(sausages(spark, folder)).withColumn("state", F.col("state").cast("bigint"))
+    return lattice.final_states(branching_turns(spark, folder))
 
 
-@register("lattice_sizes", f"WITH {SAUSAGE} SELECT utt, max(dst) + 1 AS n_states, count(*) AS n_arcs FROM arcs GROUP BY 1")
+@register("lattice_sizes", f"WITH {BRANCHING} SELECT utt, max(dst) + 1 AS n_states, count(*) AS n_arcs FROM arcs GROUP BY 1")
 def lattice_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return lattice.sizes(sausages(spark, folder))
+    return lattice.sizes(branching_turns(spark, folder))
 
 
-@register("prune_arcs", f"WITH {SAUSAGE}, scaled AS (SELECT utt, src, dst, label, weight * (1 + src % 3) AS weight FROM arcs) SELECT utt, src, dst, label, weight FROM scaled WHERE weight <= 3")
+@register(
+    "prune_arcs",
+    f"""WITH RECURSIVE {BRANCHING}, {ALPHA}, {BETA}, best AS (SELECT utt, b FROM beta WHERE state = 0)
+SELECT arcs.utt, arcs.src, arcs.dst, label, weight FROM arcs JOIN alpha ON alpha.utt = arcs.utt AND alpha.state = src JOIN backward y ON y.utt = arcs.utt AND y.state = dst JOIN best ON best.utt = arcs.utt
+WHERE a + weight + y.b <= best.b + 2.2 + 1e-9""",
+)
 def prune_arcs(spark: SparkSession, folder: str) -> DataFrame:
-    arcs = sausages(spark, folder).withColumn("weight", F.col("weight") * (1 + F.col("src") % 3))
-    return lattice.prune(arcs, 3.0).select("utt", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "label", "weight")
+    return lattice.prune(branching_turns(spark, folder), 2.2)
 
 
-@register("topological_levels", f"WITH {SAUSAGE} SELECT DISTINCT utt, state, state AS level FROM (SELECT utt, src AS state FROM arcs UNION SELECT utt, dst FROM arcs)")
+@register("topological_levels", f"WITH {BRANCHING} SELECT DISTINCT utt, state, CASE WHEN state = n + 1 THEN n ELSE state END AS level FROM (SELECT utt, n, unnest(range(0, n + 2)) AS state FROM c)")
 def topological_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return lattice.topological_levels(sausages(spark, folder))
+    return lattice.topological_levels(branching_turns(spark, folder))
 
 
-@register("lattice_best", f"WITH {SAUSAGE} SELECT utt, src AS pos, src, dst, l AS label, CAST(0 AS DOUBLE) AS weight FROM c")
+@register(
+    "lattice_best",
+    f"""WITH RECURSIVE {BRANCHING}, {BETA},
+choice AS MATERIALIZED (SELECT arcs.utt, arcs.src, dst, label, weight FROM arcs JOIN backward y ON y.utt = arcs.utt AND y.state = dst
+  QUALIFY row_number() OVER (PARTITION BY arcs.utt, arcs.src ORDER BY round(weight + b, 9), weight, label, dst) = 1),
+path(utt, pos, src, dst, label, weight) AS (SELECT utt, CAST(0 AS BIGINT), src, dst, label, weight FROM choice WHERE src = 0
+  UNION ALL SELECT c.utt, pos + 1, c.src, c.dst, c.label, c.weight FROM path JOIN choice c ON c.utt = path.utt AND c.src = path.dst)
+SELECT * FROM path""",
+)
 def lattice_best(spark: SparkSession, folder: str) -> DataFrame:
-    return lattice.best_path(sausages(spark, folder))
+    return lattice.best_path(branching_turns(spark, folder))
 
 
+# <eps> arcs stand far apart: the next state's arcs start here too, and an arc in front of an <eps> into a final ends there too.
 @register(
     "epsilon_free",
-    f"WITH {SAUSAGE} SELECT utt, src, dst, label, weight FROM arcs",
+    f"""WITH {BRANCHING}, own AS (SELECT * FROM arcs WHERE label <> '<eps>'), eps AS (SELECT * FROM arcs WHERE label = '<eps>'),
+u AS (SELECT * FROM own UNION ALL SELECT e.utt, e.src, o.dst, o.label, e.weight + o.weight FROM eps e JOIN own o ON o.utt = e.utt AND o.src = e.dst),
+v AS (SELECT * FROM u UNION ALL SELECT u.utt, u.src, e.dst, u.label, u.weight + e.weight FROM u JOIN eps e ON e.utt = u.utt AND e.src = u.dst JOIN t ON t.utt = e.utt WHERE e.dst = length(text))
+SELECT utt, src, dst, label, round(min(weight), 9) AS weight FROM v GROUP BY 1, 2, 3, 4""",
 )
 def epsilon_free(spark: SparkSession, folder: str) -> DataFrame:
-    """Every arc split by an <eps> arc in front, and removed again."""
-    arcs = sausages(spark, folder)
-    spread = arcs.select("utt", (F.col("src") * 2 + 1).alias("src"), (F.col("dst") * 2).alias("dst"), "label", "weight")
-    silent = arcs.select("utt", (F.col("src") * 2).alias("src"), (F.col("src") * 2 + 1).alias("dst"), F.lit("<eps>").alias("label"), F.lit(0.0).alias("weight")).distinct()
-    out = lattice.remove_epsilon(spread.unionByName(silent))
-    return out.select("utt", F.floor(F.col("src") / 2).alias("src"), F.floor(F.col("dst") / 2).alias("dst"), "label", "weight")
+    return lattice.remove_epsilon(branching_turns(spark, folder)).withColumn("weight", F.round("weight", 9))
+
+
+def altered(letters) -> object:
+    """Without every seventh letter, every fifth moved by two."""
+    moved = F.transform(letters, lambda c, i: F.when(i % 5 == 0, F.chr((F.ascii(c) - 97 + 2) % 26 + 97)).otherwise(c))
+    return F.filter(moved, lambda c, i: i % 7 != 6)
+
 
+# A sausage has two letters at each place: a reference letter matches either.
+SAUSAGE_PAIRS = f"""t AS (SELECT ({UTT}) * 1000 + i AS id, list_filter(string_split({LETTERS}, ''), lambda c: c <> '') AS x FROM ({LINES})),
+p AS MATERIALIZED (SELECT id, list_transform(list_filter(range(1, len(x) + 1), lambda i: (i - 1) % 7 <> 6), lambda i: CASE WHEN (i - 1) % 5 = 0 THEN chr((ascii(x[i]) - 97 + 2) % 26 + 97) ELSE x[i] END) AS r,
+             x AS h, list_transform(x, lambda c: CASE WHEN c = 'z' THEN 'a' ELSE chr(ascii(c) + 1) END) AS g FROM t WHERE len(x) > 0)"""
+SWEEP_PAIRS = f"""t AS (SELECT ({UTT}) * 1000 + i AS id, list_filter(string_split({LETTERS}, ''), lambda c: c <> '') AS x FROM ({LINES})),
+p AS MATERIALIZED (SELECT id * 2 + pruned AS id, list_transform(range(1, len(x) + 1), lambda i: CASE WHEN (i - 1) % 5 = 0 AND x[i] <> 'z' THEN chr(ascii(x[i]) + 1) ELSE x[i] END) AS r,
+             x AS h, CASE WHEN pruned = 1 THEN x ELSE list_transform(x, lambda c: CASE WHEN c = 'z' THEN 'a' ELSE chr(ascii(c) + 1) END) END AS g FROM t, (VALUES (0), (1)) v(pruned) WHERE len(x) > 0)"""
+EITHER = "y[3] = x.x OR y[4] = x.x"
 
-@register("lattice_per", f"WITH {SAUSAGE} SELECT utt, CAST(0 AS BIGINT) AS edits, CAST(0 AS BIGINT) AS substitutions, count(*) AS n_ref FROM c GROUP BY 1")
+
+@register("lattice_per", f"WITH RECURSIVE {SAUSAGE_PAIRS}, {_costs(EITHER, "g")} SELECT id AS utt, CAST(edits AS BIGINT) AS edits, CAST(n_sub AS BIGINT) AS substitutions, CAST(n_ref AS BIGINT) AS n_ref FROM c")
 def lattice_per(spark: SparkSession, folder: str) -> DataFrame:
-    """Each turn against its own lattice read one letter on: the reference lies in it."""
-    refs = turns(spark, folder).where("text <> ''").select("utt", F.split("text", "").alias("symbols"))
-    return lattice.error_rates(sausages(spark, folder), refs)
+    """Each line of the turns, altered, against its own lattice."""
+    rows = line_utterances(spark, folder)
+    refs = rows.select("utt", altered(F.split("text", "")).alias("symbols"))
+    return lattice.error_rates(lattice.sausage(rows, F.col("utt"), F.split("text", "")), refs)
 
 
-@register("lattice_per_sweep")
+@register("lattice_per_sweep", f"WITH RECURSIVE {SWEEP_PAIRS}, {_costs(EITHER, "g")} SELECT CAST(2 - id % 2 AS DOUBLE) AS factor, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(n_ref) AS BIGINT) AS n_ref, round(sum(edits) / sum(n_ref), 9) AS rate FROM c GROUP BY 1")
 def lattice_per_sweep(spark: SparkSession, folder: str) -> DataFrame:
     shifted = F.transform(F.split("text", ""), lambda c, i: F.when((i % 5 == 0) & (c != "z"), F.chr(F.ascii(c) + 1)).otherwise(c))
-    refs = turns(spark, folder).where("text <> ''").select("utt", shifted.alias("symbols"))
-    return lattice.error_sweep(sausages(spark, folder), refs, [2.0, 1.0])
+    rows = line_utterances(spark, folder)
+    return lattice.error_sweep(lattice.sausage(rows, F.col("utt"), F.split("text", "")), rows.select("utt", shifted.alias("symbols")), [2.0, 1.0]).withColumn("rate", F.round("rate", 9))
 
 
 @register(
@@ -540,38 +707,45 @@ def att_lattices(spark: SparkSession, folder: str) -> DataFrame:
 def openfst_lattices(spark: SparkSession, folder: str) -> DataFrame:
     arcs = sausages(spark, folder)
     names = S.symbol_table(arcs.select(F.col("label").alias("sym"), F.col("label").alias("at")))
-    return lattices.named(lattices.openfst(lattices.to_openfst(arcs, names)), names)
+    return lattices.named(lattices.openfst(lattices.to_openfst(arcs, names))[0], names).drop("ilabel")
 
 
-@register("lattice_drawing")
+@register(
+    "lattice_drawing",
+    f"""WITH {BRANCHING} SELECT utt, 'digraph lattice {{' || chr(10) || string_agg(printf('  %d -> %d [label="%s/%.4f"];', src, dst, label, weight), chr(10) ORDER BY src, dst, label) || chr(10) || '}}' || chr(10) AS dot FROM arcs GROUP BY 1""",
+)
 def lattice_drawing(spark: SparkSession, folder: str) -> DataFrame:
-    return lattice.draw(sausages(spark, folder))
+    return lattice.draw(branching_turns(spark, folder))
 
 
 # --- sampling ---------------------------------------------------------------------------------
 
 
-@register("shuffle_order")
+@register("shuffle_order", f"SELECT {UTT} AS utt, md5(({UTT}) || '-1-1') AS place FROM conversations")
 def shuffle_order(spark: SparkSession, folder: str) -> DataFrame:
     return sampler.shuffled(turns(spark, folder), 1, 1).select("utt", "place")
 
 
+def document_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(utt, text): the letters of each line of the documents; a line's number within all documents."""
+    rows = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    return rows.select((F.col("doc_id") * 100_000 + F.col("line")).alias("utt"), S.letters(F.col("l")).alias("text")).where("text <> ''")
+
+
 @register("gibbs_iteration")
 def gibbs_iteration(spark: SparkSession, folder: str) -> DataFrame:
-    """One sweep over the items of the benchmark from unsegmented letters."""
-    rows = table(spark, folder, "benchmark").select(F.col("item_id").alias("utt"), S.letters(F.col("text")).alias("text"), S.words(F.col("text")).alias("words"))
-    state = sampler.iterate(sampler.start(rows, 1, 2), seed=1, batches=2, longest=LONGEST, alphabet=26)
+    """One sweep over all lines of the documents, from unsegmented letters."""
+    state = sampler.iterate(sampler.start(document_lines(spark, folder), 1, 2), sampler.Settings(alphabet=26, batches=4))
     return state.segmentation.select("utt", F.array_join("words", " ").alias("words"))
 
 
 @register("seating_totals")
 def seating_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers, tables and contexts by level of a drawn word bigram seating of the benchmark."""
-    rows = table(spark, folder, "benchmark").select(S.words(F.col("text")).alias("words"))
-    words, chars = sampler.model_rows(rows, 2, 2, sampler.Hyper.start(2), sampler.Hyper.start(2), 1, 1)
-    totals = lambda x, name: x.groupBy("k").agg(F.sum("n").alias("n_words"), F.sum(F.size("tables")).alias("n_tables"), F.count_distinct("ctx").alias("n_contexts")).withColumn("model", F.lit(name))
-    return totals(words, "word").unionByName(totals(chars, "character"))
-
+    """Customers, tables and contexts by level of a drawn word bigram seating of the documents."""
+    rows = table(spark, folder, "documents").select(S.words(F.col("text")).alias("words"))
+    counts = stored(sampler.counted(rows, 2), "counts")
+    words, chars = sampler.model_rows(counts, 2, 2, sampler.Hyper.start(2), sampler.Hyper.start(2), 1, 1, 26)
+    return sampler.level_totals(words).withColumn("model", F.lit("word")).unionByName(sampler.level_totals(chars).withColumn("model", F.lit("character")))
 
 
 # --- streams ----------------------------------------------------------------------------------
@@ -587,26 +761,50 @@ def stream_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     return segmenting.latest_counts(spark, f"{where}/out")
 
 
-@register("stream_segmentation")
+@register("stream_segmentation", BEST_COST)
 def stream_segmentation(spark: SparkSession, folder: str) -> DataFrame:
     """Turns as a stream, segmented with the lexicon of the documents."""
     source = table(spark, folder, "conversations")
     rows = segmenting.table_stream(spark, folder, "conversations", source.schema)
     rows = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt"), S.letters(F.col("text")).alias("text"))
     where = new_folder(spark, "stream-segmentation")
-    costs = stored(segment.unigram_costs(document_lexicon(spark, folder)), "stream-costs")
-    segmenting.segment_stream(rows, costs, LETTER_COST, LONGEST, f"{where}/out", f"{where}/checkpoint").awaitTermination()
+    costs = stored(segment.unigram_costs(stored(document_lexicon(spark, folder), "lexicon")), "stream-costs")
+    segmenting.segment_stream(rows, costs, LETTER_COST, f"{where}/out", f"{where}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{where}/out").select("utt", F.round("cost", 6).alias("cost"))
 
 
-@register("rescored_lattices")
+@register(
+    "rescored_lattices",
+    f"""WITH {KN2}, {SAUSAGE},
+before AS (SELECT DISTINCT utt, dst AS state, label AS ctx FROM arcs UNION SELECT DISTINCT utt, 0, '^' FROM arcs)
+SELECT arcs.utt, arcs.src, CASE before.ctx WHEN '^' THEN '</unk>' ELSE before.ctx END AS src_ctx, arcs.dst, arcs.label AS dst_ctx, arcs.label,
+       round(arcs.weight - ln(coalesce(p2.p, CASE WHEN s2.c_u IS NULL THEN p1.p ELSE ({THETA} + {D} * s2.t_u) * p1.p / ({THETA} + s2.c_u) END)), 6) AS weight
+FROM arcs JOIN before ON before.utt = arcs.utt AND before.state = arcs.src JOIN p1 ON p1.w = arcs.label
+LEFT JOIN s2 ON s2.ctx = before.ctx LEFT JOIN p2 ON p2.ctx = before.ctx AND p2.w = arcs.label""",
+)
 def rescored_lattices(spark: SparkSession, folder: str) -> DataFrame:
-    """Sausages with a letter bigram model of the documents on top."""
-    probs = ngrams.predictive(char_levels(spark, folder, 2))
-    return lattice.rescore(sausages(spark, folder), probs.select("ctx", "w", "p"))
-
-
-@register("generate_words")
+    """Sausages with a letter bigram model of the documents on top, a table for each letter after a letter."""
+    levels = char_levels(spark, folder, 2)
+    rows = [((*("</unk>" if c == "^" else c for c in r.ctx),), r.w, r.n, 1) for level in levels for r in level.collect()]  # letter pairs
+    letters = sampler.Letters(rows, None, sampler.Hyper([D, D], [THETA, THETA]), sum(1 for c, *_ in rows if not c) - 1)
+    out = lattice.rescored(sausages(spark, folder), letters)
+    return out.withColumn("weight", F.round("weight", 6))
+
+
+# A letter is drawn by the number that 52 bits of a digest of (seed, row, place) give.
+DRAWN = f"""{LEXICON},
+g3 AS (SELECT t[i:i + 1] AS ctx, t[i + 2] AS w, count(*) AS n FROM (SELECT t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT '^^' || word || '$' AS t FROM lex)) GROUP BY 1, 2),
+{P123[len(GRAMS3) + 2:]},
+m AS (SELECT ctx, w, sum(p) OVER (PARTITION BY ctx ORDER BY w) AS mass, sum(p) OVER (PARTITION BY ctx) AS whole, row_number() OVER (PARTITION BY ctx ORDER BY w DESC) = 1 AS at_last FROM p3),
+r(no, word, ctx, ended) AS (SELECT no, '', '^^', false FROM (SELECT unnest(range(0, 10000)) AS no)
+  UNION ALL
+  SELECT no, CASE WHEN w = '$' THEN word ELSE word || w END, CASE WHEN w = '$' THEN ctx ELSE (ctx || w)[2:] END, w = '$' OR length(word) >= 199
+  FROM (SELECT r.no, r.word, r.ctx, m.w FROM r JOIN m USING (ctx) WHERE NOT ended AND (mass > ('0x' || substr(md5('1-' || no || '-' || length(word)), 1, 13))::BIGINT / 4503599627370496.0 * whole OR at_last)
+        QUALIFY row_number() OVER (PARTITION BY r.no ORDER BY m.w) = 1)),
+words AS (SELECT no, max_by(word, length(word)) AS word FROM r GROUP BY 1)"""
+
+
+@register("generate_words", f"WITH RECURSIVE {DRAWN} SELECT no, word FROM words")
 def generate_words(spark: SparkSession, folder: str) -> DataFrame:
     """10,000 words from the letter trigrams of the document lexicon's words."""
     lex = document_lexicon(spark, folder)
@@ -614,10 +812,15 @@ def generate_words(spark: SparkSession, folder: str) -> DataFrame:
     return generate.words(ngrams.predictive(levels).select("ctx", "w", "p"), 3, 10_000, seed=1)
 
 
-@register("length_modulation")
+@register(
+    "length_modulation",
+    f"""WITH RECURSIVE {DRAWN}, h AS (SELECT len + 1 AS length, sum(n) AS n FROM lex GROUP BY 1), a AS (SELECT sum(length * n) / sum(n) AS mean FROM h),
+g AS (SELECT length(word) + 1 AS length, count(*) / 10000 AS share FROM words GROUP BY 1)
+SELECT length, round(CASE WHEN length < 2 THEN 0 ELSE exp(-(mean - 2) + (length - 2) * ln(mean - 2) - lgamma(greatest(length - 1, 1))) / share END, 6) AS scale FROM g, a""",
+)
 def length_modulation(spark: SparkSession, folder: str) -> DataFrame:
     """Share of lengths of 10,000 words drawn from letter trigrams, and the factor that brings them
     to the Poisson of the lexicon's mean."""
     mean = lexicon.mean_length(lexicon.length_histogram(document_lexicon(spark, folder))).first()["mean"]
     shares = generate.length_shares(stored(generate_words(spark, folder), "generated"))
-    return lexicon.length_scale(F.lit(mean), shares)
+    return lexicon.length_scale(F.lit(mean), shares).select("length", F.round("scale", 6).alias("scale"))

@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.symbols import acoustic_weight, silence_to_eps
@@ -19,21 +19,27 @@ FST_VERSION = 2
 NO_STATE = -1
 
 
+def _fields(line: Column) -> Column:
+    """The fields of an SLF line by name; a field given twice is an error."""
+    return F.str_to_map(F.trim(line), F.lit(r"\s+"), F.lit("="))
+
+
 def slf_links(files: DataFrame) -> DataFrame:
     """(utt, link, src, dst, label, am, lm) of SLF texts (utt, content). Fields of a link may come in
     any order; quotes around a label go; a missing score is 0."""
     rows = files.select("utt", F.explode(F.split("content", r"\r?\n")).alias("l")).where(F.col("l").rlike(r"^J="))
-    # only the named field: at the line's start or after white space
-    field = lambda k: F.regexp_extract("l", rf"(?:^|\s){k}=(\S+)", 1)
-    number = lambda k: F.coalesce(F.nullif(field(k), F.lit("")).cast("double"), F.lit(0.0))
-    label = F.regexp_replace(field("W"), r'^"(.*)"$', "$1")
+    rows = rows.select("utt", _fields(F.col("l")).alias("f"))
+    field = lambda k: F.try_element_at("f", F.lit(k))
+    number = lambda k: F.coalesce(field(k).cast("double"), F.lit(0.0))
+    label = F.regexp_replace(F.coalesce(field("W"), F.lit("")), r'^"(.*)"$', "$1")
     return rows.select("utt", field("J").cast("bigint").alias("link"), field("S").cast("bigint").alias("src"), field("E").cast("bigint").alias("dst"), label.alias("label"), number("a").alias("am"), number("l").alias("lm"))
 
 
 def slf_nodes(files: DataFrame) -> DataFrame:
     """(utt, node, t) of SLF texts."""
     rows = files.select("utt", F.explode(F.split("content", r"\r?\n")).alias("l")).where(F.col("l").rlike(r"^I="))
-    return rows.select("utt", F.regexp_extract("l", r"^I=(\d+)", 1).cast("bigint").alias("node"), F.nullif(F.regexp_extract("l", r"\st=(\S+)", 1), F.lit("")).cast("double").alias("t"))
+    rows = rows.select("utt", _fields(F.col("l")).alias("f"))
+    return rows.select("utt", F.try_element_at("f", F.lit("I")).cast("bigint").alias("node"), F.try_element_at("f", F.lit("t")).cast("double").alias("t"))
 
 
 def slf_name(files: DataFrame) -> DataFrame:
@@ -41,17 +47,16 @@ def slf_name(files: DataFrame) -> DataFrame:
     return files.select("utt", F.regexp_extract("content", r"(?m)^UTTERANCE=(.*?)\s*$", 1).alias("name"))
 
 
-def slf(files: DataFrame, am_shift: float = 0.0, lm_scale: float = 0.0) -> DataFrame:
-    """Arcs of SLF texts: scores to weights, silence to <eps>, parallel arcs merged."""
-    rows = slf_links(files)
-    return merge_parallel(rows.select("utt", "src", "dst", silence_to_eps(F.col("label")).alias("label"), acoustic_weight(F.col("am"), F.col("lm"), am_shift, lm_scale).alias("weight")))
-
-
-def slf_timed(files: DataFrame) -> DataFrame:
-    """Links with the times of their nodes: (utt, link, src, dst, label, start_t, end_t)."""
+def slf(files: DataFrame, am_shift: float = 0.0, lm_scale: float = 0.0, node_times: bool = False) -> DataFrame:
+    """Arcs of SLF texts: scores to weights, silence to <eps>, parallel arcs merged. With
+    ``node_times`` also start_t and end_t, the times of an arc's nodes (of merged arcs the first's)."""
+    rows = slf_links(files).select("utt", "link", "src", "dst", silence_to_eps(F.col("label")).alias("label"), acoustic_weight(F.col("am"), F.col("lm"), am_shift, lm_scale).alias("weight"))
+    if not node_times:
+        return merge_parallel(rows.drop("link"))
     nodes = slf_nodes(files)
     ends = lambda c, t: nodes.select("utt", F.col("node").alias(c), F.col("t").alias(t))
-    return slf_links(files).select("utt", "link", "src", "dst", silence_to_eps(F.col("label")).alias("label")).join(ends("src", "start_t"), ["utt", "src"], "left").join(ends("dst", "end_t"), ["utt", "dst"], "left")
+    timed = rows.join(ends("src", "start_t"), ["utt", "src"], "left").join(ends("dst", "end_t"), ["utt", "dst"], "left")
+    return merge_parallel(timed, "link").drop("link")
 
 
 def to_slf(arcs: DataFrame) -> DataFrame:
@@ -123,25 +128,29 @@ def decode_fst(data: bytes) -> tuple[int, dict[int, float], list[tuple[int, int,
     return start, finals, arcs
 
 
-def openfst(files: DataFrame) -> DataFrame:
-    """(utt, src, dst, ilabel, olabel, weight) of OpenFST contents (utt, content)."""
+def openfst(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(arcs, finals) of OpenFST contents (utt, content): (utt, src, dst, ilabel, olabel, weight) and
+    (utt, state, weight)."""
     ship_package(files.sparkSession)
     kind = files.schema["utt"].dataType.simpleString()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for utt, data in zip(pdf["utt"], pdf["content"]):
-                arcs = decode_fst(data)[2]
-                yield pd.DataFrame(arcs, columns=["src", "dst", "ilabel", "olabel", "weight"]).assign(utt=utt)[["utt", "src", "dst", "ilabel", "olabel", "weight"]]
+                start, finals, arcs = decode_fst(data)
+                number = lambda s: 0 if s == start else start if s == 0 else s  # noqa: E731  state 0 is the start
+                rows = [(number(s), number(t), i, o, w) for s, t, i, o, w in arcs] + [(number(s), NO_STATE, 0, 0, w) for s, w in finals.items()]
+                yield pd.DataFrame(rows, columns=["src", "dst", "ilabel", "olabel", "weight"]).assign(utt=utt)[["utt", "src", "dst", "ilabel", "olabel", "weight"]]
 
-    return files.select("utt", "content").mapInPandas(work, f"utt {kind}, src bigint, dst bigint, ilabel int, olabel int, weight double")
+    rows = files.select("utt", "content").mapInPandas(work, f"utt {kind}, src bigint, dst bigint, ilabel int, olabel int, weight double")
+    return rows.where(F.col("dst") != NO_STATE), rows.where(F.col("dst") == NO_STATE).select("utt", F.col("src").alias("state"), "weight")
 
 
 def named(arcs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Arcs with labels in place of ids; an unknown id is an error."""
+    """Arcs with labels in place of output ids; an unknown id is an error."""
     names = symbols.select(F.col("id").alias("olabel"), F.col("sym").alias("label"))
     label = F.coalesce("label", F.raise_error(F.concat(F.lit("no symbol "), F.col("olabel").cast("string"))).cast("string"))
-    return arcs.join(names, "olabel", "left").select("utt", "src", "dst", label.alias("label"), "weight")
+    return arcs.join(names, "olabel", "left").select("utt", "src", "dst", label.alias("label"), "weight", "ilabel")
 
 
 def to_openfst(arcs: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -18,8 +18,10 @@ def write_sentences(rows: DataFrame, path: str, order: int) -> None:
     rows.sort("utt").select(sentence_lines(F.col("words"), order).alias("value")).write.text(path)
 
 
-def timed_lines(rows: DataFrame) -> DataFrame:
-    return rows.select(F.concat_ws(" ", F.col("utt").cast("string"), "word", F.col("start_t").cast("string"), F.col("end_t").cast("string")).alias("value"))
+def write_timed(rows: DataFrame, path: str) -> None:
+    """Lines ``utt word start end``, in order."""
+    line = F.concat_ws(" ", F.col("utt").cast("string"), "word", F.col("start_t").cast("string"), F.col("end_t").cast("string"))
+    rows.sort("utt", "word_no").select(line.alias("value")).write.text(path)
 
 
 def operation_lines(ops: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -37,12 +39,21 @@ def write_symbols(symbols: DataFrame, path: str, with_ids: bool = False) -> None
     symbols.sort("id").select(F.concat_ws("\t", name, F.col("id").cast("string")).alias("value")).coalesce(1).write.text(path)  # a symbol table is small
 
 
-def write_arc_infos(rows: DataFrame, path: str) -> None:
-    rows.sort("ilabel").select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("label", "start_t", "end_t"))).alias("value")).write.text(path)
+def write_arc_infos(arcs: DataFrame, path: str) -> None:
+    """Lines ``label start end`` of arcs with times."""
+    arcs.sort("utt", "src", "dst", "label").select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("label", "start_t", "end_t"))).alias("value")).write.text(path)
 
 
-def write_lattices(arcs: DataFrame, path: str) -> None:
-    arcs.write.parquet(path)
+def write_lattices(arcs: DataFrame, symbols: DataFrame, path: str) -> None:
+    """A folder with the arcs as Parquet, each lattice in OpenFST form (utt, content) and the symbol
+    table, and the arcs' times if they have any."""
+    from wordloom.sources.lattices import to_openfst
+
+    arcs.write.parquet(f"{path}/arcs")
+    to_openfst(arcs, symbols).write.parquet(f"{path}/fst")
+    write_symbols(symbols, f"{path}/symbols")
+    if "start_t" in arcs.columns:
+        write_arc_infos(arcs, f"{path}/input_arcs")
 
 
 def iteration_path(folder: str, what: str, iteration: int) -> str:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.symbols import RESERVED, WORD_END
@@ -15,11 +16,38 @@ def file_list(spark: SparkSession, path: str) -> list[str]:
     return [r.value.strip() for r in spark.read.text(path).collect() if r.value.strip()]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path in the form in which rows name their file."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).getPath()
+    return re.sub("^file:/+", "file:///", found.toUri().toString())
+
+
+def file_column() -> Column:
+    """The file of a row, with local files in one form."""
+    return F.regexp_replace("_metadata.file_path", "^file:/+", "file:///")
+
+
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, line, value) with the line counted from 1 within its file. Files are read whole to
-    number their lines, so give large corpora as many files."""
-    whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\r?\n\z", "").alias("value"))
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
+    """(file, line, value) with the line counted from 1 within its file. Files are read in splits: a
+    line's number is its place in its split and the number of lines in the splits before it."""
+    split = ["file", "block"]
+    rows = spark.read.text(paths).select(file_column().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    sizes = rows.groupBy(*split).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*split, (before - F.col("first") + 1).alias("shift"))
+    return rows.join(starts, split).select("file", (F.col("id") + F.col("shift")).cast("int").alias("line"), "value")
+
+
+def numbered(rows: DataFrame, spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Adds place, a line's number over all files in the order of ``paths``: the lines of the files
+    before it are added. One row a file reaches the driver."""
+    counts = {r.file: r.n for r in rows.groupBy("file").agg(F.max("line").alias("n")).collect()}
+    offset, offsets = 0, []
+    for path in dict.fromkeys(qualified(spark, p) for p in paths):
+        offsets.append((path, offset))
+        offset += counts.get(path, 0)
+    return rows.join(F.broadcast(spark.createDataFrame(offsets, "file string, _offset int")), "file").withColumn("place", F.col("line") + F.col("_offset")).drop("_offset")
 
 
 def sentences(rows: DataFrame, strict: bool = True) -> DataFrame:
@@ -77,19 +105,30 @@ def spoken(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     return by_utt.select("utt", F.transform("x", lambda x: x["word"]).alias("words"), F.flatten(F.transform("x", lambda x: x["phones"])).alias("symbols"))
 
 
-def read_input(spark: SparkSession, kind: str, paths: list[str], **options) -> DataFrame:
-    """Dispatch by lattice type: arcs (utt, src, dst, label, weight)."""
+def files_of(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(utt, content) of text files, one utterance a file."""
+    return spark.read.text(paths, wholetext=True).select(file_column().alias("utt"), F.col("value").alias("content"))
+
+
+def read_input(spark: SparkSession, kind: str, paths: list[str], symbols: DataFrame | None = None, times: DataFrame | None = None, node_times: bool = False, **options) -> DataFrame:
+    """Dispatch by lattice type: arcs (utt, src, dst, label, weight), start_t and end_t too if the
+    input has times: ``node_times`` reads those of HTK nodes, ``times`` (ilabel, label, start_t,
+    end_t) gives those of OpenFST input labels. Final weights become <eps> arcs."""
+    from wordloom.operators.lattice import with_final_arcs
     from wordloom.sources import lattices
 
     if kind == "text":
         return arcs_of(sentences(lines(spark, paths)).select(F.col("name").alias("utt"), "symbols"))
     if kind == "htk":
-        return lattices.slf(spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("utt"), F.col("value").alias("content")), **options)
+        return lattices.slf(files_of(spark, paths), node_times=node_times, **options)
     if kind == "openfst":
-        symbols = options.pop("symbols")
-        return lattices.named(lattices.openfst(spark.read.format("binaryFile").load(paths).select(F.col("path").alias("utt"), "content")), symbols)
+        arcs, finals = lattices.openfst(spark.read.format("binaryFile").load(paths).select(file_column().alias("utt"), "content"))
+        named = lattices.named(arcs, symbols)
+        if times is not None:
+            named = named.join(F.broadcast(times.select("ilabel", "start_t", "end_t")), "ilabel", "left")
+        return with_final_arcs(named.drop("ilabel"), finals)
     if kind == "att":
-        return lattices.att(spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("utt"), F.col("value").alias("content")))[0]
+        return with_final_arcs(*lattices.att(files_of(spark, paths)))
     raise ValueError(f"lattice type {kind!r} isn't supported")
 
 
