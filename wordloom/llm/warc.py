@@ -32,7 +32,6 @@ from wordloom.session import new_folder, ship_package, stored
 
 FILE_BYTES = 256 << 20
 READ_BYTES = 1 << 20
-SALT = 16
 DATE = "2000-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public namespace of URLs
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -89,13 +88,14 @@ def with_references(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"))
     keyed = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n"))
-    shared = keyed.where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    shared = keyed.where((F.col("n") >= min_revisit_bytes) & (F.col("n") > 0)).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     shared = stored(shared.select(F.col("digest").alias("shared_digest"), "first_id"), "warc-shared")
-    # equal payloads, as all empty ones, share a digest: pages are dealt to SALT parts of it. A payload
-    # of its own meets no row of ``shared``, which holds repeated digests only
-    salted = shared.select("shared_digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")
-    joined = rows.withColumn("part", part).join(salted, (F.sha1("payload") == F.col("shared_digest")) & (F.col("part") == F.col("salt")), "left")
+    full = rows.where(F.octet_length("payload") > 0)
+    joined = full.join(shared, F.sha1("payload") == F.col("shared_digest"), "left").drop("shared_digest")
+    # empty payloads, often very many, share one digest and needn't meet in one task
+    empty = rows.where(F.octet_length("payload") == 0)
+    first = keyed.where("n = 0").agg(F.min("page_id")).first()[0] if min_revisit_bytes <= 0 else None
+    joined = joined.unionByName(empty.withColumn("first_id", F.lit(first).cast("bigint")))
     return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
 
