@@ -94,6 +94,23 @@ def test_lattice_error_is_the_best_path(spark):
     assert (row.edits, row.substitutions) == min(distance(["a", "c", "c"], list(p)) for p in paths(GRAPH))
 
 
+def test_error_sweep_prunes_a_copy_for_each_factor(spark):
+    """Each factor as pruning and aligning with every path of what is left."""
+    rng, rows, refs = random.Random(6), [], []
+    for utt in range(12):
+        n = rng.randint(1, 5)
+        for s in range(n):
+            rows += [(utt, s, t, rng.choice(["a", "b", "<eps>"]), round(rng.random() * 2, 3)) for t in {s + 1, min(n, s + 2)} for _ in range(rng.randint(1, 2))]
+        refs.append((utt, rng.choices("abc", k=rng.randint(0, 5))))
+    arcs = spark.createDataFrame(rows, ARCS)
+    factors = [float("inf"), 1.0, 0.3]
+    got = {r.factor: (r.edits, r.n_ref) for r in lattice.error_sweep(arcs, spark.createDataFrame(refs, "utt long, symbols array<string>"), factors).collect()}
+    for f in factors:
+        kept = [tuple(r) for r in lattice.prune(arcs, f).collect()]
+        edits = sum(min(distance(ref, list(p)) for p in paths([r for r in kept if r[0] == utt]))[0] for utt, ref in refs)
+        assert got[f] == (edits, sum(len(r) for _, r in refs))
+
+
 def test_parallel_arcs_add_up(spark):
     rows = [(1, 0, 1, "a", 1.0), (1, 0, 1, "a", 1.5), (1, 0, 1, "b", 800.0), (1, 0, 1, "b", 801.0)]
     got = {r.label: r.weight for r in lattice.merge_parallel(spark.createDataFrame(rows, ARCS)).collect()}

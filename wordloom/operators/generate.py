@@ -54,6 +54,35 @@ def words(probs: DataFrame, order: int, n: int, seed: int, end: str = "$", pad:
     return spark.range(n).mapInPandas(work, "no bigint, word string")
 
 
+def sentences(probs: DataFrame, n: int, seed: int, end: str = "</s>", longest: int = 100) -> DataFrame:
+    """(no, words): sentences drawn from a word bigram model (ctx, w, p) over its words, none of them
+    new; a sentence begins after ``end`` and ends with it."""
+    spark = probs.sparkSession
+    ship_package(spark)
+    found = probs.select("ctx", "w", "p").limit(MODEL_ROWS + 1).toPandas()
+    if len(found) > MODEL_ROWS:
+        raise ValueError("the word model is too large to broadcast")
+    model = {ctx: (own["w"].tolist(), np.cumsum(own["p"].to_numpy()).tolist()) for ctx, own in found.sort_values(["ctx", "w"]).groupby("ctx")}
+    shared = spark.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        after = shared.value
+        for pdf in batches:
+            out = []
+            for no in pdf["id"]:
+                ctx, drawn = end, []
+                while len(drawn) < longest and ctx in after:
+                    choice, mass = after[ctx]
+                    ctx = choice[min(bisect.bisect_right(mass, uniform(seed, int(no), len(drawn)) * mass[-1]), len(choice) - 1)]
+                    if ctx == end:
+                        break
+                    drawn.append(ctx)
+                out.append(drawn)
+            yield pd.DataFrame({"no": pdf["id"], "words": out})
+
+    return spark.range(n).mapInPandas(work, "no bigint, words array<string>")
+
+
 def length_shares(drawn: DataFrame) -> DataFrame:
     """(length, n, share) of drawn words, the length counting the word end."""
     from wordloom.operators.lexicon import length_histogram
