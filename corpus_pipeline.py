@@ -1,5 +1,12 @@
 """From raw documents to token ids: quality rules, near-duplicates, decontamination, personal data,
-byte-pair encoding. Each stage reads what its predecessor wrote."""
+byte-pair encoding. Each stage reads what its predecessor wrote.
+
+Defined cases, for every stage: a null or empty text counts as the empty text, which the quality rules
+reject (later stages, given one, keep it; equal ones are near-duplicates); rows with a null doc_id are
+judged by their text, and stay in near-duplicate removal, where they can't be told apart; of rows that
+repeat a doc_id each is judged by its own text, and near-duplicate removal keeps one; texts of any
+length are whole; an empty table gives an empty table; columns beyond those of documents, whatever their names,
+stay as they are up to the encoding, which returns its own columns."""
 
 from __future__ import annotations
 

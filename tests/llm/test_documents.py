@@ -119,6 +119,12 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == [(False, 0), (False, 2), (False, 5), (True, 0)]
 
 
+def test_one_document_of_each_group_stays_without_repeated_ids(spark):
+    rows = docs(spark, [LONG, LONG, "other words that are here", (LONG,)])
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.keep_one(rows).collect()) == [(False, 0), (False, 2), (True, 0)]
+    assert simhash.keep_one(rows.limit(0)).count() == 0
+
+
 # --- quality ----------------------------------------------------------------------------------
 
 
@@ -534,6 +540,40 @@ def test_pipeline_follows_its_stages(spark, tmp_path):
     assert set(range(8)) <= set(kept)
     if 11 in kept:
         assert "[EMAIL]" in kept[11] and "q@x.yz" not in kept[11]
+    # what the stages must leave, and its ids by the library
+    mail = texts[11].replace("q@x.yz", "[EMAIL]")
+    expected = {i: t for i, t in enumerate(good)}
+    assert {i: t for i, t in kept.items() if i != 11} == expected and kept.get(11, mail) == mail
+    library = __import__("tokenizers").Tokenizer.from_file(WORD_BPE)
+    digest = lambda t: hashlib.sha256(np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
     out = corpus_pipeline.run(spark, folder)
-    assert sorted(r.doc_id for r in out.collect()) == sorted(kept)
+    assert {r.doc_id: r.ids_sha256 for r in out.collect()} == {i: digest(t) for i, t in kept.items()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "personal_data", "encoding"]
+
+
+def test_pipeline_stages_take_odd_rows_and_none(spark, tmp_path):
+    good = [" ".join(f"w{RNG.randint(0, 400)}" for _ in range(60)) for _ in range(3)]
+    rows = [(1, None), (2, ""), (None, good[0]), (3, good[1]), (3, good[1]), (4, "x" * 200_000), (5, good[2] + " a@b.cd")]
+    table = spark.createDataFrame([(i, t, "l", "s", len(t or ""), "w", "m") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _text string, words string")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    expected = {"quality_rules": 4, "near_duplicates": 5, "decontamination": 7, "personal_data": 7, "encoding": 7}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, table, f"file://{tmp_path}")
+        assert got.count() == expected[name], name
+        assert name == "encoding" or got.columns == table.columns
+        assert stage(spark, table.limit(0), f"file://{tmp_path}").count() == 0
+
+
+def test_repeated_rows_share_their_spans(spark):
+    rows = docs(spark, ["mail q@x.y"]).unionByName(docs(spark, ["mail q@x.y"])).unionByName(docs(spark, [("mail q@x.y",)]))
+    assert [r.s for r in pii.spans(rows).select(pii.rendered(F.col("spans")).alias("s")).collect()] == ["email:5:10"] * 3
+    assert [r.text for r in pii.redact(rows).collect()] == ["mail [EMAIL]"] * 3
+    assert pii.redact(rows.limit(0)).count() == 0
+
+
+def test_only_failures_of_the_ledger(spark):
+    rows = docs(spark, ["one two", "# " * 40, " ".join(f"w{i}" for i in range(40))])
+    table = {r.rule: (r.n_failed, r.n_only) for r in quality.ablation(quality.ledger(rows)).collect()}
+    failed = [r.failed for r in quality.ledger(rows).collect()]
+    bits = {r.name: 1 << i for i, r in enumerate(quality.RULES)}
+    assert table == {n: (sum(bool(f & b) for f in failed), sum(f == b for f in failed)) for n, b in bits.items()}

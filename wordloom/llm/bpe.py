@@ -13,7 +13,7 @@ special tokens matched in the raw text. Other forms raise ValueError.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; null doc_ids pass
 through; repeated rows are encoded alike; very long texts are handled in pieces cut at blanks, very
-long words by a heap; extra columns are ignored.
+long words by a heap; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations

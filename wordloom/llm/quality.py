@@ -7,7 +7,8 @@ expression: no shuffle, no Python.
 
 Words are runs of characters other than the space and U+0009 to U+000D; characters are code points.
 Defined cases: a null or empty text has no words and fails ``few_words``; very long texts are
-handled in place with memory in proportion to the text; repeated rows are judged alike; columns of
+handled in place with memory in proportion to the text; repeated rows are judged alike; null doc_ids
+pass through; a measure equal to a bound doesn't fail; an empty table gives an empty table; columns of
 the input other than doc_id and text are ignored by ``ledger`` and kept by ``keep_good``.
 """
 

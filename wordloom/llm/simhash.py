@@ -248,11 +248,14 @@ def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     """The rows whose doc_id is their component's, one row for each such doc_id (of repeated rows
     the one with the smallest text). Rows with a null doc_id can't be told apart and stay."""
     found = near_duplicates(docs, **options)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    kept = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")), "simhash-kept")
     key = "_kept_doc_id"
     joined = docs.join(kept.select(F.col("doc_id").alias(key), F.col("copies").alias("_kept_copies")), F.col("doc_id") == F.col(key))
     single = joined.where("_kept_copies = 1").select(*docs.columns)
+    single = single.unionByName(docs.where(F.col("doc_id").isNull()))
+    if kept.where("copies > 1").isEmpty():  # no doc_id repeats: texts are read and joined once
+        return single
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     repeated = joined.where("_kept_copies > 1").groupBy("doc_id").agg(F.min_by(F.struct("text", *others), F.coalesce("text", F.lit(""))).alias("_row"))
     repeated = repeated.select("doc_id", "_row.*").select(*docs.columns)
-    return single.unionByName(repeated).unionByName(docs.where(F.col("doc_id").isNull()))
+    return single.unionByName(repeated)
