@@ -58,10 +58,6 @@ def sizes(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy("utt").agg((F.size(F.array_union(F.collect_set("src"), F.collect_set("dst")))).cast("bigint").alias("n_states"), F.count(F.lit(1)).alias("n_arcs"))
 
 
-def drop_weights(arcs: DataFrame) -> DataFrame:
-    return arcs.withColumn("weight", F.lit(0.0))
-
-
 def sausage(rows: DataFrame, utt: Column, symbols: Column, alternative_weight: float = 2.0) -> DataFrame:
     """A chain lattice from symbols a to z: each letter at weight 0 and the next letter of the
     alphabet at ``alternative_weight``."""
