@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from wordloom.llm import bpe, chat, decontaminate, licenses, pii, quality, simhash, token_counts, token_store, warc
+from wordloom.llm import bpe, chat, decontaminate, licenses, minhash, pii, prefix_trie, quality, simhash, token_counts, token_store, warc, whitening
 from wordloom.session import table
 
 
@@ -61,6 +61,20 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
 
+def op11_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), shingle_words=2)
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    lists = prefix_trie.turn_lists(table(spark, folder, "conversations"))
+    rows = prefix_trie.prefix_trie(prefix_trie.with_shared_openings(lists))
+    return rows.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -136,9 +150,64 @@ FROM linked
 """
 
 
+# Sets that share 80 percent differ in size by 20 percent at most, and share one of their rarest
+# shingles, a fifth of the set and one more.
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+ranked AS (
+  SELECT doc_id, n, g, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) AS place
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS f FROM flat)),
+rare AS (SELECT doc_id, n, g FROM ranked WHERE place <= n - ceil(0.8 * n) + 1),
+pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM rare a JOIN rare b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n),
+shared AS (SELECT a, b, count(*) AS common FROM pairs JOIN flat x ON x.doc_id = a JOIN flat y ON y.doc_id = b AND y.g = x.g GROUP BY a, b),
+links AS (
+  SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+  WHERE 100 * common >= 80 * (len(x.s) + len(y.s) - common)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.a, l.b FROM reached r JOIN both_ways l ON l.a = r.b)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) ON a = doc_id
+"""
+
+OP12_SQL = r"""
+WITH codes AS (
+  SELECT list(c ORDER BY n) AS crc FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS n))),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+         lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), codes),
+rebuilt AS (
+  SELECT i.conv_id, place, role, text FROM ids i JOIN turns t ON t.conv_id = i.conv_id - i.conv_id % 100 AND place <= h
+  UNION ALL SELECT i.conv_id, place, role, text FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND place > h),
+lists AS (SELECT i.conv_id, list(md5(length(role) || ':' || role || text) ORDER BY place) FILTER (WHERE text IS NOT NULL) AS s, list(length(text) ORDER BY place) FILTER (WHERE text IS NOT NULL) AS c FROM ids i LEFT JOIN rebuilt r ON r.conv_id = i.conv_id GROUP BY i.conv_id),
+members AS (SELECT conv_id, coalesce(len(s), 0) AS size, unnest(range(0, coalesce(len(s), 0) + 1)) AS depth, coalesce(s, []) AS s, c FROM lists),
+nodes AS (
+  SELECT s[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth > 0 THEN c[depth] ELSE 0 END) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+  FROM members GROUP BY s[1:depth], depth),
+kids AS (SELECT node[1:depth - 1] AS node, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY node[1:depth - 1], depth - 1),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.node = n.node AND k.depth = n.depth),
+below AS (
+  SELECT node[1:up] AS node, up AS depth, sum((n_convs - 1) * chars) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM own) GROUP BY node[1:up], up)
+SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, CAST(o.n_children AS BIGINT) AS n_children, CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, o.ends_sha256
+FROM own o JOIN below b ON b.node = o.node AND b.depth = o.depth LEFT JOIN nodes p ON p.depth = o.depth - 1 AND p.node = o.node[1:o.depth - 1]
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_license_scan, op3_chat_format, op4_token_counts, op5_token_store, op6_warc, op7_pii, op8_quality_rules, op9_bpe_encoding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_license_scan, op3_chat_format, op4_token_counts, op5_token_store, op6_warc, op7_pii, op8_quality_rules, op9_bpe_encoding, op10_decontamination, op11_minhash_near_dedup, op12_prefix_trie, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op3_chat_format": OP3_SQL, "op8_quality_rules": OP8_SQL, "op11_minhash_near_dedup": OP11_SQL, "op12_prefix_trie": OP12_SQL}
