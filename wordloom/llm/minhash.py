@@ -7,16 +7,18 @@ Documents with equal sets are one class from the start, so copies cost nothing f
 
 Candidates come as stars, never as all pairs of a bucket:
 
-1. the smallest class of each bucket is its centre; a class is compared (by signature) with the centres
+1. each bucket has a class as its centre; a class is compared (by signature) with the centres
    of its buckets, and the likeliest one becomes its edge: one edge a class. Edges are confirmed on
-   full sets, and confirmed edges make components;
-2. only buckets that still hold several components go on: members of different components whose
-   signatures agree in ``MIN_AGREEMENT`` of the bins or more are confirmed too. Such a bucket is cut
-   into chunks of ``CHUNK`` members, and pairs of chunks meet in tasks of their own, so no task holds
-   a bucket and no member is left out.
+   full sets, and confirmed edges make components. Buckets that still hold several components go
+   through ``STAR_ROUNDS`` such rounds, each with other centres;
+2. of what is still mixed, members of different components whose signatures agree in
+   ``MIN_AGREEMENT`` of the bins or more are confirmed too, the likeliest partners first and in the end
+   all, so no link is left out for want of a centre, and few pairs are left when all are asked for.
+   Such a bucket is cut into chunks of ``CHUNK`` members, and pairs of chunks meet in tasks of their
+   own, so no task holds a bucket and no member is left out.
 
 A link at 0.8 shares no band with a probability below one in two millions, and its signatures agree
-in fewer than ``MIN_AGREEMENT`` of the bins (six standard deviations) still more rarely.
+in fewer than ``MIN_AGREEMENT`` of the bins (four standard deviations below) in one of a hundred thousand.
 
 Defined cases: a null text, an empty one or one without words has an empty set, links with nothing and
 names itself; a text of fewer words than a shingle has its whole sequence as only shingle; repeated rows
@@ -42,7 +44,11 @@ SHINGLE_WORDS = 5
 SIMILARITY = 80
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
-MIN_AGREEMENT = 0.65
+MIN_AGREEMENT = 0.7
+#: Rounds of stars; centres that one round may give to a group of copies.
+STAR_ROUNDS, LANES = 2, 4
+#: Partners of a member that the rounds after the stars try: ever more, in the end all.
+LIKELIEST = (2, 16, None)
 #: Members of a bucket that a task compares with as many others.
 CHUNK = 1024
 #: Words whose hashes a task remembers.
@@ -194,19 +200,37 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle_wor
     return out
 
 
-def star_edges(dealt: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): for each class that isn't the centre of all its buckets, its likeliest centre."""
-    centres = dealt.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("key", "a")
-    spokes = dealt.join(centres, "key").where("node > a").select("a", F.col("node").alias("b")).distinct()
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(node, key, lane): the members of all buckets of two classes or more."""
+    dealt = classes.select("node", F.posexplode("keys").alias("band", "key")).select("node", "key", (F.col("band") % LANES).alias("lane"))
+    several = dealt.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
+    return dealt.join(several, "key")
+
+
+def mixed_buckets(buckets: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Members with their component, and (key, n) of the buckets that hold several components."""
+    named = buckets.join(labels, "node") if labels is not None else buckets.withColumn("label", F.col("node"))
+    several = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    return named, several.select("key", "n")
+
+
+def star_edges(buckets: DataFrame, classes: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """(a, b), a < b: each class with the likeliest of the centres of its buckets, if they are of
+    different components. Centres change with the turn, and there are several to a group of copies."""
+    named, several = mixed_buckets(buckets, labels)
+    order = F.xxhash64("node", "lane", F.lit(turn))
+    centres = named.join(several.select("key"), "key").groupBy("key").agg(F.min_by("node", order).alias("a"), F.min_by("label", order).alias("a_label"))
+    spokes = named.join(centres, "key").where("label <> a_label").select("a", F.col("node").alias("b")).distinct()
     likely = agreements(spokes, classes).where(F.col("agreement") >= MIN_AGREEMENT)
-    return likely.groupBy("b").agg(F.max_by("a", F.struct("agreement", "a")).alias("a")).select("a", "b")
+    best = likely.groupBy("b").agg(F.max_by("a", F.struct("agreement", "a")).alias("a"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def crossing_pairs(dealt: DataFrame, classes: DataFrame, labels: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(a, b), a < b: members of one bucket but of different components whose signatures agree."""
-    named = dealt.join(labels, "node")
-    mixed_buckets = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
-    rows = named.join(mixed_buckets, "key").join(classes.select("node", "signature"), "node")
+def crossing_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, best: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(a, b), a < b: members of one bucket but of different components whose signatures agree; for
+    each member (of a cell) only its ``best`` likeliest partners, if given."""
+    named, several = mixed_buckets(buckets, labels)
+    rows = named.join(several.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "key").join(classes.select("node", "signature"), "node")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     # chunk i meets chunk j >= i in cell (i, j)
@@ -224,11 +248,11 @@ def crossing_pairs(dealt: DataFrame, classes: DataFrame, labels: DataFrame, chun
             bins = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(-1, BINS)
             same = cell[1] == cell[2]
             for i in range(len(held)):
-                if not same and part[i] != cell[1]:
-                    continue
-                at = np.flatnonzero((label != label[i]) & ((node > node[i]) if same else (part == cell[2])))
+                at = np.flatnonzero((label != label[i]) & ((part != part[i]) if not same else (node > node[i]) if best is None else True))
                 if len(at):
-                    at = at[(bins[at] == bins[i]).mean(axis=1) >= MIN_AGREEMENT]
+                    share = (bins[at] == bins[i]).mean(axis=1)
+                    keep = np.argsort(-share, kind="stable")[:best]
+                    at = at[keep[share[keep] >= MIN_AGREEMENT]]
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[at], node[i])), pa.array(np.maximum(node[at], node[i]))], ["a", "b"])
 
@@ -246,9 +270,14 @@ def crossing_pairs(dealt: DataFrame, classes: DataFrame, labels: DataFrame, chun
     return grouped.mapInArrow(work, "a bigint, b bigint").distinct()
 
 
-def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(classes: DataFrame, links: list[DataFrame]) -> DataFrame:
     """(node, label) of all classes."""
-    return classes.select("node").join(connected_components(links), "node", "left").select("node", F.coalesce("root", "node").alias("label"))
+    if not links:
+        return classes.select("node", F.col("node").alias("label"))
+    together = links[0]
+    for more in links[1:]:
+        together = together.unionByName(more)
+    return classes.select("node").join(connected_components(together), "node", "left").select("node", F.coalesce("root", "node").alias("label"))
 
 
 def kept_first(doc_id: Column, component_id: Column) -> Column:
@@ -264,19 +293,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similar
     sketch = F.first(F.struct("signature", "keys")).alias("sketch")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), sketch)
     classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "first_id", "sketch.*"), "minhash-classes")
-    dealt = classes.select("node", F.explode("keys").alias("key"))
-    edges = stored(star_edges(dealt, classes), "minhash-edges")
-    links = confirmed(edges, classes, docs, shingle_words, similarity)
-    labels = stored(_labelled(classes, links), "minhash-labels")
-    more = stored(crossing_pairs(dealt, classes, labels, chunk).join(edges, ["a", "b"], "left_anti"), "minhash-edges")
-    if not more.isEmpty():
-        further = confirmed(more, classes, docs, shingle_words, similarity)
-        if not further.isEmpty():
-            before = labels
-            labels = stored(_labelled(classes, links.unionByName(further)), "minhash-labels")
+    buckets = stored(shared_buckets(classes), "minhash-buckets")
+    labels, links, edges = None, [], []
+    for turn in range(STAR_ROUNDS + len(LIKELIEST)):
+        if turn < STAR_ROUNDS:
+            pairs = star_edges(buckets, classes, labels, turn)
+        else:
+            pairs = crossing_pairs(buckets, classes, labels, LIKELIEST[turn - STAR_ROUNDS], chunk)
+        for tested in edges:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        edges.append(stored(pairs, "minhash-edges"))
+        if not edges[-1].isEmpty():
+            links.append(confirmed(edges[-1], classes, docs, shingle_words, similarity))
+        elif labels is not None:
+            continue
+        before, labels = labels, stored(_labelled(classes, links), "minhash-labels")
+        if before is not None:
             discard(before)
-        discard(further)
-    for done in (edges, more, links):
+    for done in (buckets, *edges, *links):
         discard(done)
     named = classes.select("node", "digest", "first_id").join(labels, "node")
     heads = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
