@@ -48,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
     add("-AMScoreShift", dest="am_shift", type=float, default=0.0)
     add("-ReadNodeTimes", dest="node_times", action="store_true")
     add("-Seed", dest="seed", type=int, default=1)
-    add("-Batches", dest="batches", type=int, default=0, help="batches of a sweep; 0: by the number of sentences")
+    add("-Batches", dest="batches", type=int, default=0, help="groups of sentences that are drawn side by side; 0: by the letters of the input")
     add("input_files", nargs="*")
     return p
 

@@ -88,7 +88,7 @@ class Options:
         need((self.word_sentences is None) == (self.pronunciations is None), "word sentences and pronunciations come together")
         need(math.isinf(self.sweep.start) or self.sweep.step > 0, "a finite pruning sweep needs a positive step")
         need(self.eval_interval >= 1, "the evaluation interval is 1 or more")
-        need(self.batches == 0 or self.batches >= 2, "batches are 2 or more, or 0 for a default by the number of sentences")
+        need(self.batches >= 0, "batches are 1 or more, or 0 for a default by the letters of the input")
         need(not self.init_sweeps or bool(self.init_transcription or self.word_sentences), "sweeps over initial sentences need such sentences")
         need(not self.arc_info_file or self.lattice_type == "openfst", "arc times from a file belong to OpenFST lattices")
         need(not self.node_times or self.lattice_type == "htk", "node times are those of HTK lattices")
