@@ -231,6 +231,9 @@ def prefix_trie(lists: DataFrame, container_rows: int = CONTAINER_ROWS, containe
     nodes = stored(small.mapInArrow(_sweep, NODE), "trie-nodes")
     opened.append(nodes)
 
+    if not heads:  # no conversations
+        return nodes.drop("head", "up", "top")
+
     total = lambda tops: tops.groupBy(F.col("up").alias("head")).agg(F.count(F.lit(1)).alias("kids"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
     below = stored(total(nodes.where("top")), "trie-sums")
     opened.append(below)
