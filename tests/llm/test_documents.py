@@ -6,6 +6,7 @@ import random
 import re
 import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -520,6 +521,49 @@ def test_every_license_of_a_block_is_reported():
     assert [r[:3] for r in scanner.judge("my driving license")] == [(0, 18, None)]
 
 
+@pytest.mark.parametrize(
+    "notice, name",
+    [
+        ("This project is licensed under the terms of the MIT license.", "MIT"),
+        ("License: MIT", "MIT"),
+        ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        ("GPLv3 license", "GPL-3.0"),
+        ("Distributed under the GNU GPL version 2 license.", "GPL-2.0"),
+    ],
+)
+def test_short_notices(notice, name):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for text in (notice, f"{prose(200, 'a')}\n{notice}\n{prose(200, 'b')}"):
+        assert [r[2] for r in scanner.judge(text)] == [name]
+
+
+def test_the_ranking_decides():
+    """Of two templates that the wording confirms alike the one that saves more bytes counts."""
+    one, two = "alpha beta gamma delta epsilon license", "alpha beta gamma delta epsilon zeta license kappa lambda"
+    scanner = licenses.Scanner({"A": one, "B": two})
+    text = "alpha beta gamma delta epsilon zeta license kappa lambda"
+    assert scanner.ranked(text)[0][1] == "B" and [r[2] for r in scanner.judge(text)] == ["B"]
+    assert [r[2] for r in scanner.judge(one)] == ["A"]
+    assert scanner.unconfirmed("my kappa lambda license zeta")[2] == 9
+
+
+def test_proposed_templates_are_those_of_the_nearest_wording():
+    """Against aligning every template and taking the one with most matching words."""
+    scanner, rng, same = licenses.Scanner(licenses.TEMPLATES), random.Random(12), 0
+    names = sorted(licenses.TEMPLATES)
+    for _ in range(150):
+        own = licenses.words(licenses.TEMPLATES[rng.choice(names)])
+        for _ in range(rng.choice([0, 0, 1, 2]) if len(own) > 12 else 0):
+            own[rng.randrange(len(own))] = "changed"
+        text = f"{prose(60, str(rng.random()))} {' '.join(own)} {prose(60, str(rng.random()))}"
+        own, places = licenses._placed_words(text, 0, len(text))
+        coded, counts, telling = scanner.code(own), Counter(own), [licenses.telling(w) for w in own]
+        every = [(len(scanner.texts[k]) - w[0], k) for k in names if (w := scanner.wording(k, coded, counts, telling))]
+        got = scanner.confirmed(text, own, places)
+        same += (got is None and not every) or (got is not None and got[0] == max(every)[0])
+    assert same >= 0.9 * 150
+
+
 # --- pipeline ---------------------------------------------------------------------------------
 
 

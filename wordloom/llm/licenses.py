@@ -6,13 +6,16 @@ wording: the part of the words nearest to a template is aligned with it, and the
 deleted and replaced are counted. A part is confirmed if those are at most ``MAX_DIFFERENCE`` of the
 template's words and none of them tells licenses apart: names, versions and other numbers
 (``TELLING``) must be the template's, each as often, with the word that follows not going on with
-one. So a near relative, as another version, isn't confirmed, and stays a block without a license. A confirmed part is taken out and what lies on either
-side is searched again, so each notice is a row of its own. Each part is compressed alone and with its template as a
-zstandard raw dictionary; the share of the size that the dictionary saves is measured on the part
-only, ranks confirmed templates of equal wording, and ranks templates for blocks without a notice.
+one. So a near relative, as another version, isn't confirmed, and stays a block without a license.
 
-Defined cases: null and empty texts have no blocks; of confirmed templates the one with most matching
-words counts, then the higher saving, then the first name; a confirmed part's own place is reported,
+Templates are proposed by conditional compression: the words are compressed alone and with each template
+as a zstandard raw dictionary, and the templates are ranked by the bytes they save. The wording accepts
+or rejects them in that order, down to the last one. A confirmed part is taken out and what lies on
+either side is ranked and searched again, so each notice is a row of its own. The saving that is
+reported is the share of the part's own size. A block without a notice gets the template that saves most.
+
+Defined cases: null and empty texts have no blocks; of confirmed templates that save nearly the same the one
+with fewest differences counts, then the higher saving, then the first name; a confirmed part's own place is reported,
 closing punctuation included; a block without a confirmed part, or what such parts leave of it if
 that has a cue, is reported with a null license; repeated rows give repeated results; null doc_ids pass through; a very long line is
 cut around its license words, so a block's size is bounded, but notices are looked for in the words
@@ -22,6 +25,7 @@ around it too; an empty table gives an empty table; extra columns, whatever thei
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -68,17 +72,31 @@ TEMPLATES = {
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: SPDX identifiers whose identifier lines are notices.
+IDENTIFIERS = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-1.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-1.1 MPL-2.0 Unlicense WTFPL Zlib".split()
+TEMPLATES |= {f"{name}-identifier": f"SPDX-License-Identifier: {name}" for name in IDENTIFIERS}
+TEMPLATES |= {
+    "Apache-2.0-terms": "licensed under the terms of the Apache License 2.0",
+    "GPL-2.0-terms": "Distributed under the GNU GPL version 2 license.",
+    "GPL-3.0-name": "GPLv3 license",
+    "GPL-3.0-terms": "Distributed under the GNU GPL version 3 license.",
+    "MIT-name": "License: MIT",
+    "MIT-terms": "licensed under the terms of the MIT license.",
+}
 # words of a cue may stand on two lines, with a comment mark between
 _GAP = r"[\x20\t\r\n#*/;>%-]+"
 CUE = rf"(?i)licen[sc]e|copyright|creative{_GAP}commons|public{_GAP}domain|redistribut|hereby{_GAP}granted|\bCC0\b"
 _CUE = re.compile(CUE)
-_WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
+# a full stop joins digits only: a sentence may end without a space
+_WORD = re.compile(r"[^\W_]+(?:(?:-|(?<=\d)\.(?=\d))[^\W_]+)*")
 _CLOSING = re.compile(r"[^\w\s]*")
 
 BLOCK_CHARS = 2000
 #: Characters on either side of a block in which the words of a notice are looked for.
 REACH_CHARS = 8000
 MAX_DIFFERENCE = 0.2
+#: Share of the winner's saved bytes from which another template's differences count as well.
+NEARLY = 0.9
 #: Parts of words that tell licenses apart.
 TELLING = frozenset("affero agpl apache artistic attribution boost bsd by cc cc0 commons creative eclipse epl free gnu gpl isc lesser lgpl library mit mozilla mpl nc nd noncommercial noderivatives noderivs public sa sharealike unencumbered unported wtfpl zlib".split())
 _NUMBER = re.compile(r"v?[0-9]+(?:\.[0-9]+)*")
@@ -161,34 +179,54 @@ class Scanner:
         data = block.encode("utf-8", "replace")
         return 1 - len(self.known[name].compress(data)) / len(self.plain.compress(data))
 
+    def ranked(self, block: str) -> list[tuple[int, str]]:
+        """(bytes saved, template) of all templates as dictionaries of a block, the highest first."""
+        data = block.encode("utf-8", "replace")
+        alone = len(self.plain.compress(data))
+        return sorted(((alone - len(known.compress(data)), name) for name, known in self.known.items()), key=lambda x: (-x[0], x[1]))
+
+    def wording(self, name: str, coded: np.ndarray, counts: Counter, own_telling: list[tuple[str, ...]]) -> tuple[int, int, int] | None:
+        """(words that differ, first word, last word (exclusive)) of the part nearest to a template, if it is confirmed."""
+        template = self.texts[name]
+        limit = int(MAX_DIFFERENCE * len(template))
+        if (self.counts[name] & counts).total() < len(template) - limit:
+            return None
+        cost, start = edits(self.coded[name], coded)
+        ends = np.flatnonzero(cost <= limit)
+        for end in ends[np.argsort(cost[ends], kind="stable")].tolist():
+            a = int(start[end])
+            if a < end and Counter(p for ps in own_telling[a:end] for p in ps) == self.telling[name]:
+                return int(cost[end]), a, end
+        return None
+
     def confirmed(self, text: str, own: list[str], places: list[tuple[int, int]]) -> tuple | None:
-        """The best confirmed part of some words of the text: (matching words, saving, template,
-        first word, last word (exclusive), words that differ)."""
-        found = []
-        coded = self.code(own)
-        counts = Counter(own)
-        own_telling = [telling(w) for w in own]
-        for name, template in self.texts.items():
-            limit = int(MAX_DIFFERENCE * len(template))
-            if (self.counts[name] & counts).total() < len(template) - limit:
-                continue
-            cost, start = edits(self.coded[name], coded)
-            ends = np.flatnonzero(cost <= limit)
-            for end in ends[np.argsort(cost[ends], kind="stable")].tolist():
-                a = int(start[end])
-                if a < end and Counter(p for ps in own_telling[a:end] for p in ps) == self.telling[name]:
-                    saving = self.saving(name, text[places[a][0] : places[end - 1][1]])
-                    found.append((len(template) - int(cost[end]), saving, name, a, end, int(cost[end])))
-                    break
-        return min(found, key=lambda x: (-x[0], -x[1], x[2]), default=None)
+        """The confirmed part of some words of the text that saves most: (matching words, saving, template,
+        first word, last word (exclusive), words that differ). Templates are proposed in order of the bytes
+        they save; the first that the wording confirms counts, or one that saves nearly as much with
+        fewer differences."""
+        if not own:
+            return None
+        coded, counts, own_telling = self.code(own), Counter(own), [telling(w) for w in own]
+        found, least = [], -math.inf
+        for saved, name in self.ranked(text[places[0][0] : places[-1][1]]):
+            if saved < least:
+                break
+            got = self.wording(name, coded, counts, own_telling)
+            if got:
+                least = max(least, NEARLY * saved)
+                found.append((got[0], -saved, name, *got[1:]))
+        if not found:
+            return None
+        wrong, _, name, a, end = min(found)
+        return len(self.texts[name]) - wrong, self.saving(name, text[places[a][0] : places[end - 1][1]]), name, a, end, wrong
 
     def unconfirmed(self, block: str) -> tuple[float, int, int]:
-        """(saving, words that differ, words of the template) of the template nearest to a block."""
+        """(saving, words that differ, words of the template) of the template that saves most of a block."""
         if block in self.seen:
             return self.seen[block]
-        own = self.code(words(block))
-        wrong, saving, _, name = min((int(edits(v, own)[0].min()), -self.saving(k, block), len(v), k) for k, v in self.coded.items())
-        found = (round(-saving, 6), wrong, len(self.texts[name]))
+        name = self.ranked(block)[0][1]
+        wrong = int(edits(self.coded[name], self.code(words(block)))[0].min())
+        found = (round(self.saving(name, block), 6), wrong, len(self.texts[name]))
         if len(self.seen) < 100_000:
             self.seen[block] = found
         return found
@@ -238,7 +276,9 @@ class Scanner:
 
 
 def license_of(template: str) -> str:
-    return template.removesuffix("-header").removesuffix("-text")
+    for form in ("-header", "-text", "-identifier", "-terms", "-name"):
+        template = template.removesuffix(form)
+    return template
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
