@@ -11,14 +11,12 @@ Candidates come as stars, never as all pairs of a bucket:
    of its buckets, and the likeliest one becomes its edge: one edge a class. Edges are confirmed on
    full sets, and confirmed edges make components. Buckets that still hold several components go
    through ``STAR_ROUNDS`` such rounds, each with other centres;
-2. of what is still mixed, members of different components whose signatures agree in
-   ``MIN_AGREEMENT`` of the bins or more are confirmed too, the likeliest partners first and in the end
-   all, so no link is left out for want of a centre, and few pairs are left when all are asked for.
-   Such a bucket is cut into chunks of ``CHUNK`` members, and pairs of chunks meet in tasks of their
-   own, so no task holds a bucket and no member is left out.
+2. of what is still mixed, members of different components are compared by 32 bits of each shingle (of
+   very long texts a sample by hash); what that shows to be a link, one for each member and other
+   component, is confirmed as well. Such a bucket is cut into chunks of ``CHUNK`` members, and pairs of
+   chunks meet in tasks of their own, so no task holds a bucket, and no member is left out.
 
-A link at 0.8 shares no band with a probability below one in two millions, and its signatures agree
-in fewer than ``MIN_AGREEMENT`` of the bins (four standard deviations below) in one of a hundred thousand.
+A link at 0.8 shares no band with a probability below one in two millions.
 
 Defined cases: a null text, an empty one or one without words has an empty set, links with nothing and
 names itself; a text of fewer words than a shingle has its whole sequence as only shingle; repeated rows
@@ -47,8 +45,8 @@ BINS = BANDS * ROWS
 MIN_AGREEMENT = 0.7
 #: Rounds of stars; centres that one round may give to a group of copies.
 STAR_ROUNDS, LANES = 2, 4
-#: Partners of a member that the rounds after the stars try: ever more, in the end all.
-LIKELIEST = (2, 16, None)
+#: Shingles of a set up to which all of them go along to its buckets.
+MEMBERS = 4096
 #: Members of a bucket that a task compares with as many others.
 CHUNK = 1024
 #: Words whose hashes a task remembers.
@@ -179,23 +177,28 @@ def agreements(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "a bigint, b bigint, agreement double")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle_words: int, similarity: int) -> DataFrame:
-    """Those pairs (a, b) of classes whose full sets share ``similarity`` percent of their union."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(ends.join(classes, "node").select("node", "digest", "first_id"), "minhash-wanted")
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, members) of some classes, from the texts of their first documents."""
+    wanted = stored(nodes.join(classes, "node").select("node", "digest", "first_id"), "minhash-wanted")
     texts = docs.select("doc_id", "text")
     own = texts.join(wanted.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     if not wanted.where("first_id is null").isEmpty():
         own = own.unionByName(texts.where("doc_id is null"))
     # rows that repeat a doc_id may have other sets, and equal sets come once
-    sets = shingle_sets(own, shingle_words).join(wanted, "digest").groupBy("node").agg(F.first("members").alias("members"))
-    sets = stored(sets, "minhash-sets")
+    sets = stored(shingle_sets(own, shingle_words).join(wanted, "digest").groupBy("node").agg(F.first("members").alias("members")), "minhash-sets")
+    discard(wanted)
+    return sets
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle_words: int, similarity: int) -> DataFrame:
+    """Those pairs (a, b) of classes whose full sets share ``similarity`` percent of their union."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = full_sets(ends, classes, docs, shingle_words)
     side = lambda name: sets.select(F.col("node").alias(name), F.col("members").alias(f"{name}_members"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("a_members", "b_members"))
     union = F.size("a_members") + F.size("b_members") - common
     out = stored(both.where(common * 100 >= union * similarity).select("a", "b"), "minhash-links")
-    discard(wanted)
     discard(sets)
     return out
 
@@ -226,50 +229,101 @@ def star_edges(buckets: DataFrame, classes: DataFrame, labels: DataFrame | None,
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def crossing_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, best: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(a, b), a < b: members of one bucket but of different components whose signatures agree; for
-    each member (of a cell) only its ``best`` likeliest partners, if given."""
+def small_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, rate, few): 32 bits of each shingle of a class; of a set of more than MEMBERS only those whose
+    hash is divisible by 2 ** rate."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rates, few = [], []
+            for own in batch.column(1):
+                h = own.values.to_numpy().view(np.uint64)
+                rate = max(0, (len(h) - 1).bit_length() - (MEMBERS - 1).bit_length())
+                h = mixed(h)
+                rates.append(rate)
+                few.append(np.unique((h[h & np.uint64((1 << rate) - 1) == 0] & np.uint64(0xFFFFFFFF)).astype("<u4")).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rates, pa.int32()), pa.array(few, pa.binary())], ["node", "rate", "few"])
+
+    return full_sets(nodes, classes, docs, shingle_words).mapInArrow(work, "node bigint, rate int, few binary")
+
+
+def crossing_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, shingle_words: int, similarity: int, chunk: int = CHUNK) -> DataFrame:
+    """(a, b), a < b: members of one bucket but of different components that their small sets show to
+    be linked: the likeliest partner of a member in each other component, and all partners where
+    the sets are samples and leave it open."""
     named, several = mixed_buckets(buckets, labels)
-    rows = named.join(several.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "key").join(classes.select("node", "signature"), "node")
+    rows = stored(named.join(several.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "key"), "minhash-mixed")
+    small = stored(small_sets(rows.select("node").distinct(), classes, docs, shingle_words), "minhash-small")
+    rows = rows.join(small, "node")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     # chunk i meets chunk j >= i in cell (i, j)
-    cells = rows.withColumn("part", part).select("key", "node", "label", "signature", "part", other)
-    cells = cells.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label", "signature")
+    cells = rows.withColumn("part", part).select("key", "node", "label", "rate", "few", "part", other)
+    cells = cells.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label", "rate", "few")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []
-
-        def pairs() -> Iterator[pa.RecordBatch]:
-            if len(held) < 2:
-                return
-            node, label = (np.array([x[i] for x in held], np.int64) for i in (1, 2))
-            part = np.array([x[0] for x in held], np.int32)
-            bins = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(-1, BINS)
-            same = cell[1] == cell[2]
-            for i in range(len(held)):
-                at = np.flatnonzero((label != label[i]) & ((part != part[i]) if not same else (node > node[i]) if best is None else True))
-                if len(at):
-                    share = (bins[at] == bins[i]).mean(axis=1)
-                    keep = np.argsort(-share, kind="stable")[:best]
-                    at = at[keep[share[keep] >= MIN_AGREEMENT]]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[at], node[i])), pa.array(np.maximum(node[at], node[i]))], ["a", "b"])
-
         for batch in batches:
-            for *key, p, n, l, s in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != cell:
-                    if cell is not None:
-                        yield from pairs()
-                    cell, held = key, []
-                held.append((p, n, l, s))
-        if cell is not None:
-            yield from pairs()
+            for k, a, b, p, n, l, r, f in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, a, b) != cell:
+                    if len(held) > 1:
+                        yield from linked(held, cell[1] != cell[2], similarity)
+                    cell, held = (k, a, b), []
+                held.append((p, n, l, r, f))
+        if len(held) > 1:
+            yield from linked(held, cell[1] != cell[2], similarity)
 
     grouped = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return grouped.mapInArrow(work, "a bigint, b bigint").distinct()
 
 
+def linked(held: list[tuple], across: bool, similarity: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a cell's members (part, node, label, rate, small set); ``across``: of different parts only."""
+    part, node, label, rate = (np.array([x[i] for x in held], np.int64) for i in range(4))
+    sets = [np.frombuffer(x[4], "<u4") for x in held]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    common = np.bincount(np.unique(label, return_inverse=True)[1]).argmax()
+    rare = np.flatnonzero(label != np.unique(label)[common])  # every crossing pair has one of them
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(at, kind="stable")
+    by_value, ends = owner[order], np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(values)))))
+    first = np.cumsum(sizes) - sizes
+    left, right = [], []
+    for i in rare.tolist():
+        may = label != label[i]
+        if across:
+            may &= part != part[i]
+        if not may.any():
+            continue
+        best: dict[int, tuple[float, int]] = {}
+        for r in np.unique(rate[may]).tolist():
+            most = max(r, int(rate[i]))
+            own = at[first[i] : first[i] + sizes[i]]
+            mask = np.uint32((1 << most) - 1)
+            own = own[values[own] & mask == 0]
+            spans = [by_value[ends[v] : ends[v + 1]] for v in own.tolist()]
+            shared = np.bincount(np.concatenate(spans), minlength=len(sets)) if spans else np.zeros(len(sets), np.int64)
+            there = np.flatnonzero(may & (rate == r))
+            theirs = sizes[there] if most == r else np.array([(sets[k] & mask == 0).sum() for k in there])
+            share = shared[there] / np.maximum(theirs + len(own) - shared[there], 1)
+            if most:  # a sample: six standard deviations below
+                n = np.maximum(theirs + len(own) - shared[there], 1)
+                open_ = there[share >= similarity / 100 - 6 * np.sqrt(0.16 / n)]
+                left += [node[i]] * len(open_)
+                right += node[open_].tolist()
+                continue
+            sure = share >= similarity / 100 - 1e-9
+            for k, x in zip(there[sure].tolist(), share[sure].tolist()):
+                if (x, -k) > best.get(int(label[k]), (0.0, 0)):
+                    best[int(label[k])] = (x, -k)
+        left += [node[i]] * len(best)
+        right += [node[-k] for _, k in best.values()]
+    if left:
+        a, b = np.array(left, np.int64), np.array(right, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
 def _labelled(classes: DataFrame, links: list[DataFrame]) -> DataFrame:
     """(node, label) of all classes."""
     if not links:
@@ -295,11 +349,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similar
     classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "first_id", "sketch.*"), "minhash-classes")
     buckets = stored(shared_buckets(classes), "minhash-buckets")
     labels, links, edges = None, [], []
-    for turn in range(STAR_ROUNDS + len(LIKELIEST)):
+    for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:
             pairs = star_edges(buckets, classes, labels, turn)
         else:
-            pairs = crossing_pairs(buckets, classes, labels, LIKELIEST[turn - STAR_ROUNDS], chunk)
+            pairs = crossing_pairs(buckets, classes, labels, docs, shingle_words, similarity, chunk)
         for tested in edges:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         edges.append(stored(pairs, "minhash-edges"))
