@@ -1,5 +1,9 @@
 """Benchmark decontamination by q-gram counts in diagonal bands and banded alignment.
 
+Of an item's windows with one wording the first counts, so a repetitive item (a table of numbers, a
+refrain) has few, and a repetitive text is cut until its shared q-grams fit: memory doesn't grow with
+the product of item and text.
+
 Texts are lower-cased and every run of characters other than letters and digits becomes a blank. A
 benchmark item is covered by windows of ``WINDOW`` characters at every place (a shorter item is one
 window). A window of w characters is found in a document if some region of it lies within
@@ -43,6 +47,8 @@ GROUPS_A_SCAN = 4
 CHUNK = 1 << 20
 GROUP_CHARS = 2 << 20
 MAX_ITEM = 1 << 20
+#: Shared q-grams held at once, as long as pieces of a text can still be cut.
+SHARED = 1 << 20
 #: Windows aligned at once, and runs looked at to save alignments.
 ALIGNED = 1024
 SKIPPED = 64
@@ -73,15 +79,15 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def qgram_hashes(chars: np.ndarray) -> np.ndarray:
-    """A polynomial hash of every Q characters, built by doubling: 1, 2, 4, ... characters."""
-    n = len(chars) - Q + 1
+def qgram_hashes(chars: np.ndarray, q: int = Q) -> np.ndarray:
+    """A polynomial hash of every q characters, built by doubling: 1, 2, 4, ... characters."""
+    n = len(chars) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
         part, size, power = chars.astype(np.uint64), 1, np.uint64(0x100000001B3)
         out, done = None, 0
-        rest = Q
+        rest = q
         while rest:
             if rest & 1:
                 out = part if out is None else out[: len(part) - done] * power + part[done:]
@@ -99,6 +105,16 @@ def budget(width: int) -> int:
     return max(0, min(int(RATE * width), (width - Q) // Q))
 
 
+def first_windows(chars: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of an item: by start, whether its window is the first of its wording, and by place, whether the
+    q-gram there lies in such a window. A repetitive item has few, and others would find nothing more."""
+    first = np.zeros(len(chars) - width + 1, bool)
+    first[np.unique(qgram_hashes(chars, width), return_index=True)[1]] = True
+    before = np.concatenate(([0], np.cumsum(first)))
+    place = np.arange(len(chars) - Q + 1)
+    return first, before[np.minimum(place, len(first) - 1) + 1] > before[np.maximum(place - (width - Q), 0)]
+
+
 class Index:
     """q-grams of items: (item, place) by hash."""
 
@@ -119,10 +135,19 @@ class Index:
         self.width = np.array([min(WINDOW, len(c)) for c in self.chars], np.int64)
         self.edits = np.array([budget(w) for w in self.width], np.int64)
         self.need = self.width - Q + 1 - Q * self.edits
-        grams = [qgram_hashes(c) for c in self.chars]
+        self.first, places, grams = [], [], []
+        for c, w in zip(self.chars, self.width.tolist()):
+            first, used = first_windows(c, w)
+            self.first.append(first)
+            places.append(np.flatnonzero(used))
+            grams.append(qgram_hashes(c)[used])
+        self.sizes = np.array([len(c) for c in self.chars], np.int64)
+        # how many first windows come before each start, all items in a row
+        self.n_first = np.concatenate([np.concatenate(([0], np.cumsum(f))) for f in self.first] or [np.zeros(1, np.int64)])
+        self.first_before = np.cumsum([0, *(len(f) + 1 for f in self.first)])[:-1]
         hashes = np.concatenate([*grams, np.empty(0, np.uint64)])
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int64)
-        place = np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, np.int64)]).astype(np.int64)
+        place = np.concatenate([*places, np.empty(0, np.int64)]).astype(np.int64)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.item, self.place = hashes[order], item[order], place[order]
         self.seen = np.zeros(1 << 20, bool)
@@ -148,6 +173,14 @@ class Index:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "automaton"}
 
+    def n_shared(self, chars: np.ndarray) -> int:
+        """How many rows ``shared`` gives."""
+        if not len(self.hashes):
+            return 0
+        grams = qgram_hashes(chars)
+        grams = grams[self.seen[grams >> np.uint64(44)]]
+        return int((np.searchsorted(self.hashes, grams, "right") - np.searchsorted(self.hashes, grams, "left")).sum())
+
     def shared(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Item, place in it and place in the text of each shared q-gram."""
         none = np.empty(0, np.int64)
@@ -195,8 +228,18 @@ class Index:
         here, last = np.flatnonzero(fits), last[fits]
         same = (item[here] == item[last]) & (band[here] == band[last]) & (place[last] - place[here] <= self.width[item[here]] - Q)
         here, last = here[same], last[same]
+        # of the windows that hold such a run only the first of their wording count: those from low to high
+        start, end = place[here], place[last] + Q
+        width, size = self.width[item[here]], self.sizes[item[here]]
+        low, high = np.maximum(end - width, 0), np.minimum(start, size - width)
+        at = self.first_before[item[here]]
+        some = (low <= high) & (self.n_first[at + high + 1] > self.n_first[at + low])
+        here, last, low, high = here[some], last[some], low[some], high[some]
         if not len(here):
             return none
+        # neighbours that ask for the same windows ask once
+        kept = np.append(True, (np.diff(item[here]) != 0) | (np.diff(band[here]) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0))
+        here, last = here[kept], last[kept]
         out = []
         before, done = None, 0
         for i, b, first, end in zip(item[here].tolist(), band[here].tolist(), place[here].tolist(), (place[last] + Q).tolist()):
@@ -205,7 +248,7 @@ class Index:
                 before, done = (i, b), 0
             diagonal = b * max(int(self.edits[i]), 1)
             low, high = max(end - width, done), min(first, size - width)
-            out += [(i, s, diagonal) for s in range(low, high + 1)]
+            out += [(i, s, diagonal) for s in (low + np.flatnonzero(self.first[i][low : high + 1])).tolist()]
             done = max(done, high + 1)
         return np.array(out, np.int64).reshape(-1, 3)
 
@@ -247,8 +290,14 @@ def regions(index: Index, text: str) -> list[tuple[int, int, int, int]]:
     whole = codes(plain)
     hits: list[tuple[int, int, int, int]] = index.verbatim(plain)
     overlap = 2 * WINDOW
-    for base in range(0, max(1, len(whole) - overlap), CHUNK):
-        chars = whole[base : base + CHUNK + overlap]
+    pieces = [(base, min(CHUNK + overlap, len(whole) - base)) for base in range(0, max(1, len(whole) - overlap), CHUNK)]
+    while pieces:
+        base, n = pieces.pop()
+        chars = whole[base : base + n]
+        if n > 4 * overlap and index.n_shared(chars) > SHARED:  # a repetitive text is cut into smaller pieces
+            half = n // 2
+            pieces += [(base, half + overlap), (base + half, n - half)]
+            continue
         shared = index.shared(chars)
         exact = index.excerpts(chars, *shared)
         hits += [(index.ids[i], base + d, base + d + n, 0) for i, _, d, n in exact]
@@ -257,15 +306,18 @@ def regions(index: Index, text: str) -> list[tuple[int, int, int, int]]:
             inside = (found[:, 0] == i) & (found[:, 1] >= p) & (found[:, 1] + index.width[i] <= p + n)
             lag = d - p - found[:, 2]
             found = found[~(inside & (lag >= 0) & (lag < 2 * max(int(index.edits[i]), 1)))]
-        pieces = ((w, found[index.width[found[:, 0]] == w]) for w in (np.unique(index.width[found[:, 0]]) if len(found) else ()))
-        for w, own in ((w, rows[k : k + ALIGNED]) for w, rows in pieces for k in range(0, len(rows), ALIGNED)):
+        sizes = ((w, found[index.width[found[:, 0]] == w]) for w in (np.unique(index.width[found[:, 0]]) if len(found) else ()))
+        for w, own in ((w, rows[k : k + ALIGNED]) for w, rows in sizes for k in range(0, len(rows), ALIGNED)):
             e = budget(int(w))
             left = own[:, 1] + own[:, 2] - e
             columns = left[:, None] + np.arange(w + 4 * e)
             inside = (columns >= 0) & (columns < len(chars))
             text_rows = np.where(inside, chars[np.clip(columns, 0, max(0, len(chars) - 1))], 0)
             pattern = np.array([index.chars[i][s : s + w] for i, s, _ in own.tolist()])
-            cost, first, end = aligned(pattern, text_rows, e)
+            # equal pairs of wordings are aligned once
+            keys = qgram_hashes(np.hstack((pattern, text_rows)).ravel(), int(2 * w + 4 * e))[:: int(2 * w + 4 * e)]
+            _, once, back = np.unique(keys, return_index=True, return_inverse=True)
+            cost, first, end = (x[back] for x in aligned(pattern[once], text_rows[once], e))
             for k in np.flatnonzero(cost <= e).tolist():
                 a, b = max(0, int(left[k] + first[k])), min(len(chars), int(left[k] + end[k]))
                 hits.append((index.ids[int(own[k, 0])], base + a, base + b, int(cost[k])))
