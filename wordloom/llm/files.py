@@ -10,9 +10,12 @@ removed with the commit.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 
 from pyarrow import fs
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def resolve(uri: str) -> tuple[fs.FileSystem, str]:
@@ -45,10 +48,50 @@ class Pending:
         self.system.delete_file(self.path)
 
 
+#: Bytes of a range in small and in large tables, and the ranges up to which a table is small.
+SMALL_RANGE, LARGE_RANGE, MANY_RANGES = 4 << 20, 2 << 30, 200
+#: Rows that place the bounds of a range.
+SAMPLED = 64
+
+
 def parts_for(n_bytes: int) -> int:
     """Ranges that so many bytes are dealt to, by their number alone, so that the same table gives the
-    same files: 4 MB each up to 200 ranges, from 25 GB on 128 MB each."""
-    return max(1, min(-(-n_bytes // (4 << 20)), max(200, -(-n_bytes // (128 << 20)))))
+    same files: 4 MB each up to 200 ranges, in large tables 2 GB each, which the writers' own bound cuts into files."""
+    return max(1, min(-(-n_bytes // SMALL_RANGE), max(MANY_RANGES, -(-n_bytes // LARGE_RANGE))))
+
+
+def dealt(rows: DataFrame, key: Column, tie: Column, size: Column, source: DataFrame | None = None) -> DataFrame:
+    """``rows`` with part, the number of a range of (key, tie), both longs, null first: ranges of about
+    equal bytes, sorted by part, key and tie within partitions. Bounds come from the rows whose hash says
+    so, about SAMPLED a range, whatever the session ran before: the same table gives the same ranges.
+    A partition may hold several ranges, but no range lies in two. ``source``: the same keys and sizes from
+    a plan that costs less."""
+    mark = lambda df: df.withColumn("_key", F.coalesce(key, F.lit(-(1 << 63)))).withColumn("_tie", tie)
+    marked = mark(rows)
+    sizes = mark(source if source is not None else rows).select("_key", "_tie", F.coalesce(size, F.lit(0)).cast("bigint").alias("n"))
+    count, total = sizes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    parts = parts_for(total or 0)
+    bounds: list[tuple[int, int]] = []
+    if parts > 1:
+        every = max(1, count // (parts * SAMPLED))
+        found = sizes.where(F.pmod(F.xxhash64("_key", "_tie"), F.lit(every)) == 0).collect()  # some SAMPLED rows a range
+        sample = sorted((r._key, r._tie, r.n) for r in found)
+        whole, n = sum(x[2] for x in sample), 0
+        for k, t, own in sample:
+            if n >= whole * (len(bounds) + 1) / parts and (not bounds or (k, t) > bounds[-1]):
+                bounds.append((k, t))
+            n += own
+    # the bounds as one constant of two levels, so that a row looks at few of them
+    step = max(1, math.isqrt(len(bounds)))
+    chunks = [[{"k": k, "t": t} for k, t in bounds[a : a + step]] for a in range(0, len(bounds), step)]
+    kind = "array<array<struct<k:bigint,t:bigint>>>"
+    table = F.from_json(F.lit(json.dumps(chunks)), kind)
+    reached = lambda b: (b["k"] < F.col("_key")) | ((b["k"] == F.col("_key")) & (b["t"] <= F.col("_tie")))
+    chunk = F.size(F.filter(table, lambda c: reached(c[0])))
+    inside = F.when(chunk == 0, 0).otherwise((chunk - 1) * step + F.size(F.filter(F.element_at(table, F.greatest(chunk, F.lit(1))), reached)))
+    numbered = marked.withColumn("part", inside.cast("int") if bounds else F.lit(0))
+    order = ["part", "_key", "_tie"]
+    return numbered.repartitionByRange(parts, "part").sortWithinPartitions(*order).drop("_key", "_tie")
 
 
 def write_bytes(folder: str, name: str, data: bytes) -> None:

@@ -257,33 +257,32 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int, shard_byte
     width = np.dtype(_encoder(shared.value).kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         model = _encoder(shared.value)
         end = int(end_id).to_bytes(width, "little")
-        part = TaskContext.get().partitionId()
-        done, shard = [], None
+        part, seq, done, shard = None, 0, [], None
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP_ROWS):
                 some = batch.slice(at, GROUP_ROWS)
-                for key, ids in zip(some.column(0).to_pylist(), model.encode_all([x or b"" for x in some.column(1).to_pylist()])):
+                for key, own, ids in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), model.encode_all([x or b"" for x in some.column(1).to_pylist()])):
+                    if own != part:
+                        if shard is not None:
+                            done.append((part, seq, shard.commit()))
+                        part, seq, shard = own, 0, None
                     if shard is None:
-                        shard = _Shard(folder, f"shard-{part:06d}-{len(done):05d}", width)
+                        shard = _Shard(folder, f"shard-{part:06d}-{seq:05d}", width)
                     shard.add(key, ids + end)
                     if shard.ids.size >= shard_bytes or len(shard.keys) >= SHARD_DOCS:
-                        done.append(shard.commit())
-                        shard = None
+                        done.append((part, seq, shard.commit()))
+                        seq, shard = seq + 1, None
         if shard is not None:
-            done.append(shard.commit())
-        rows = [[part] * len(done), list(range(len(done))), *([d[k] for d in done] for k in ("names", "n_docs", "n_ids", "first", "last"))]
+            done.append((part, seq, shard.commit()))
+        rows = [[d[0] for d in done], [d[1] for d in done], *([d[2][k] for d in done] for k in ("names", "n_docs", "n_ids", "first", "last"))]
         kinds = [pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["part", "seq", "names", "n_docs", "n_ids", "first", "last"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # The text's hash orders repeated ids, and lets a much repeated id be dealt to several shards.
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = rows.repartitionByRange(files.parts_for(size), *order).sortWithinPartitions(*order)
+    ordered = files.dealt(rows, F.col("doc_id"), F.xxhash64("text"), F.octet_length("text"))
     shards = ordered.mapInArrow(run, "part int, seq int, names array<string>, n_docs bigint, n_ids bigint, first bigint, last bigint").collect()
     start, entries = 0, []
     for s in sorted(shards, key=lambda s: (s.part, s.seq)):

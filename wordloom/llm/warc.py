@@ -83,10 +83,14 @@ def member(data: bytes) -> bytes:
     return gzip.compress(data, 6, mtime=0)
 
 
+def payloads(pages: DataFrame) -> DataFrame:
+    payload = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"))
+
+
 def with_references(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """page_id, url, payload and refers_to (null for responses) of each page."""
-    payload = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"))
+    rows = payloads(pages)
     keyed = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n"))
     shared = keyed.where((F.col("n") >= min_revisit_bytes) & (F.col("n") > 0)).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     shared = stored(shared.select(F.col("digest").alias("shared_digest"), "first_id"), "warc-shared")
@@ -103,30 +107,30 @@ def write(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, file_bytes:
     ship_package(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, done, out, n = TaskContext.get().partitionId(), [], None, 0
+        part, seq, done, out, n = None, 0, [], None, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
-                for page_id, url, payload, refers_to in zip(*(some.column(i).to_pylist() for i in range(4))):
+                for page_id, url, payload, refers_to, own in zip(*(some.column(i).to_pylist() for i in range(5))):
+                    if own != part:
+                        if out is not None:
+                            done.append((part, seq, out.commit(), n))
+                        part, seq, out = own, 0, None
                     if out is None:
-                        stem = f"pages-{part:06d}-{len(done):05d}"
+                        stem = f"pages-{part:06d}-{seq:05d}"
                         out, n = files.Pending(folder, stem, ".warc.gz"), 0
                         out.write(member(info_record(stem, date)))
                     out.write(member(record(page_id, url, payload, refers_to, refers_to is not None, date)))
                     n += 1
                     if out.size >= file_bytes:
-                        done.append((part, len(done), out.commit(), n))
-                        out = None
+                        done.append((part, seq, out.commit(), n))
+                        seq, out = seq + 1, None
         if out is not None:
-            done.append((part, len(done), out.commit(), n))
+            done.append((part, seq, out.commit(), n))
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.string(), pa.int64()))], ["part", "seq", "name", "n"])
 
     # the payload's hash orders rows of one page_id and lets them be dealt to several files
-    order = [F.col("page_id").asc_nulls_first(), F.xxhash64("payload", "url")]
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    ordered = with_references(pages, min_revisit_bytes).repartitionByRange(files.parts_for(size), *order).sortWithinPartitions(*order)
+    ordered = files.dealt(with_references(pages, min_revisit_bytes), F.col("page_id"), F.xxhash64("payload", "url"), F.octet_length("payload"), payloads(pages))
     found = sorted(ordered.mapInArrow(run, "part int, seq int, name string, n bigint").collect())
     manifest = {"files": [{"names": [f.name], "n_records": f.n} for f in found]}
     files.write_manifest(folder, manifest)
