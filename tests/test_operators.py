@@ -329,3 +329,39 @@ def test_command_line():
 
     o = options(["-KnownN", "2", "-NumIter", "3", "-PruneFactor", "inf", "-SwitchIter", "2", "2", "6", "0", "1", "a.txt", "b.txt"])
     assert (o.known_n, o.iterations, o.prune_factor, o.switch.unknown_n, o.input_files) == (2, 3, math.inf, 6, ("a.txt", "b.txt"))
+
+
+def random_lattices(rng, n):
+    """(utt, src, dst, label, weight) of branching lattices with <eps> arcs."""
+    rows = []
+    for u in range(n):
+        states = rng.randint(4, 7)
+        for s in range(states - 1):
+            for _ in range(rng.randint(1, 2)):
+                rows.append((u, s, rng.randint(s + 1, min(states - 1, s + 2)), rng.choice(["a", "b", "c", "<eps>"]), round(rng.random(), 3)))
+            rows.append((u, s, s + 1, rng.choice("abc"), round(rng.random() + 1, 3)))
+    return rows
+
+
+def test_lattices_with_a_joined_lexicon(spark):
+    """A lexicon above the limit, joined by its prefixes, gives the words and costs of the broadcast one."""
+    arcs = spark.createDataFrame(random_lattices(random.Random(5), 12), "utt long, src long, dst long, label string, weight double")
+    costs = spark.createDataFrame([("ab", 1.0), ("abc", 1.2), ("c", 0.7), ("ba", 1.1), ("zz", 0.1), ("aa", 0.9)], "word string, cost double")
+    one, two = ({r.utt: (round(r.cost, 9), r.words) for r in segment.lattice_words(arcs, costs, 2.0, limit).collect()} for limit in (1000, 0))
+    assert {u: c for u, (c, _) in one.items()} == {u: c for u, (c, _) in two.items()} and len(one) == 12
+
+
+def test_lattices_with_a_joined_model(spark):
+    """Drawn words of lattices don't depend on whether the model is broadcast or joined by where its words stand."""
+    from wordloom.plans.train import with_states_in_order
+
+    arcs = spark.createDataFrame(random_lattices(random.Random(7), 8), "utt long, src long, dst long, label string, weight double")
+    one = F.struct(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "label", "weight")
+    rows = with_states_in_order(arcs).groupBy("utt").agg(F.array_sort(F.collect_list(one)).alias("arcs"))
+    fixed = spark.createDataFrame([(["ab", "c"],), (["ab", "ab", "c"],), (["ba", "c"],), (["ca"],)], "words array<string>")
+    out = []
+    for limit in (10**6, 0):
+        settings = sampler.Settings(alphabet=3, seed=7, batches=2, limit=limit)
+        state = sampler.iterate(sampler.start(rows, 2, 2), settings, fixed=fixed)
+        out.append({r.utt: r.words for r in state.segmentation.collect()})
+    assert out[0] == out[1] and any(out[0].values())
