@@ -365,3 +365,18 @@ def test_lattices_with_a_joined_model(spark):
         state = sampler.iterate(sampler.start(rows, 2, 2), settings, fixed=fixed)
         out.append({r.utt: r.words for r in state.segmentation.collect()})
     assert out[0] == out[1] and any(out[0].values())
+
+
+def test_a_resumed_run_is_the_whole_run(spark, tmp_path):
+    """Three iterations are two and a resumed third, row by row."""
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["abab", "ababc", "cab", "abcab"])], "utt long, text string")
+    settings, folder = sampler.Settings(alphabet=3, seed=4, batches=1, modulation=0.0), f"file://{tmp_path}/state"
+    assert sampler.load(spark, folder) is None
+    state = sampler.start(rows, 1, 2)
+    for _ in range(2):
+        state = sampler.iterate(state, settings)
+        sampler.save(state, folder)
+    again = sampler.iterate(sampler.load(spark, folder), settings)
+    state = sampler.iterate(state, settings)
+    both = [sorted((r.utt, r.words) for r in s.segmentation.collect()) for s in (state, again)]
+    assert both[0] == both[1] and again.iteration == 3 and again.word_hyper == state.word_hyper

@@ -49,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     add("-ReadNodeTimes", dest="node_times", action="store_true")
     add("-Seed", dest="seed", type=int, default=1)
     add("-Batches", dest="batches", type=int, default=0, help="groups of sentences that are drawn side by side; 0: by the letters of the input")
+    add("-StateFolder", dest="state_folder", help="keeps the state of each iteration; a run that finds one resumes from it")
     add("input_files", nargs="*")
     return p
 

@@ -73,6 +73,7 @@ class Options:
     node_times: bool = False
     seed: int = 1
     batches: int = 0
+    state_folder: str | None = None
 
     def __post_init__(self):
         def need(ok: bool, why: str) -> None:

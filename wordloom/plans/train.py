@@ -164,13 +164,14 @@ def segment(spark: SparkSession, options: Options) -> Run:
 
     fixed = stored(initial.select(F.transform("words", codes.text).alias("words")), "initial") if initial is not None else None
     settings = sampler.Settings(alphabet=table.where("not reserved").count(), seed=options.seed, batches=options.batches, beam=options.beam_width, modulation=options.word_length_modulation)
-    state = sampler.start(sentences, options.known_n, options.unknown_n, options.add_char_n)
-    if fixed is not None and options.init_sweeps:
+    resumed = sampler.load(spark, options.state_folder) if options.state_folder else None
+    state = resumed or sampler.start(sentences, options.known_n, options.unknown_n, options.add_char_n)
+    if resumed is None and fixed is not None and options.init_sweeps:
         began = time.time()
         state = sampler.retrain(state, settings, options.init_sweeps, fixed)
         measure_model(run, state, settings, fixed, 0)
         run.timed("training", began)
-    for n in range(1, options.iterations + 1):
+    for n in range(state.iteration + 1, options.iterations + 1):
         began = time.time()
         state = sampler.iterate(state, settings, options.uses_viterbi(n), options.characters_off(n), fixed)
         run.timed("sampling", began)
@@ -189,6 +190,8 @@ def segment(spark: SparkSession, options: Options) -> Run:
             state = sampler.switch_orders(state, options.switch.known_n, options.switch.unknown_n, options.switch.add_char_n)
             state = sampler.retrain(state, settings, options.switch.retrain_sweeps, fixed)
             run.timed("training", began)
+        if options.state_folder:
+            sampler.save(state, options.state_folder)
     if options.rescored_folder and arcs is not None:
         counts = sampler.summed(sampler.counted(state.segmentation, state.known_n), *sampler.fixed_counts(fixed, state.known_n))
         letters = sampler.added_letters(state, stored(counts, "running"), settings, state.iteration + 1)
