@@ -751,7 +751,7 @@ def document_lines(spark: SparkSession, folder: str) -> DataFrame:
 @register("gibbs_iteration")
 def gibbs_iteration(spark: SparkSession, folder: str) -> DataFrame:
     """One sweep over all lines of the documents, from unsegmented letters."""
-    state = sampler.iterate(sampler.start(document_lines(spark, folder), 1, 2), sampler.Settings(alphabet=26, batches=4))
+    state = sampler.iterate(sampler.start(document_lines(spark, folder), 1, 2), sampler.Settings(alphabet=26))
     return state.segmentation.select("utt", F.array_join("words", " ").alias("words"))
 
 
