@@ -173,23 +173,17 @@ class Index:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "automaton"}
 
-    def n_shared(self, chars: np.ndarray) -> int:
-        """How many rows ``shared`` gives."""
+    def found(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in the text of the q-grams that may be known, the first entry of each and how many there are."""
         if not len(self.hashes):
-            return 0
-        grams = qgram_hashes(chars)
-        grams = grams[self.seen[grams >> np.uint64(44)]]
-        return int((np.searchsorted(self.hashes, grams, "right") - np.searchsorted(self.hashes, grams, "left")).sum())
-
-    def shared(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Item, place in it and place in the text of each shared q-gram."""
-        none = np.empty(0, np.int64)
-        if not len(self.hashes):
-            return none, none, none
+            return (np.empty(0, np.int64),) * 3
         grams = qgram_hashes(chars)
         at = np.flatnonzero(self.seen[grams >> np.uint64(44)])
         low = np.searchsorted(self.hashes, grams[at], "left")
-        count = np.searchsorted(self.hashes, grams[at], "right") - low
+        return at, low, np.searchsorted(self.hashes, grams[at], "right") - low
+
+    def shared(self, at: np.ndarray, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, place in it and place in the text of each shared q-gram."""
         total = int(count.sum())
         doc_at = np.repeat(at, count)
         entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(total)
@@ -294,11 +288,12 @@ def regions(index: Index, text: str) -> list[tuple[int, int, int, int]]:
     while pieces:
         base, n = pieces.pop()
         chars = whole[base : base + n]
-        if n > 4 * overlap and index.n_shared(chars) > SHARED:  # a repetitive text is cut into smaller pieces
+        known = index.found(chars)
+        if n > 4 * overlap and int(known[2].sum()) > SHARED:  # a repetitive text is cut into smaller pieces
             half = n // 2
             pieces += [(base, half + overlap), (base + half, n - half)]
             continue
-        shared = index.shared(chars)
+        shared = index.shared(*known)
         exact = index.excerpts(chars, *shared)
         hits += [(index.ids[i], base + d, base + d + n, 0) for i, _, d, n in exact]
         found = index.windows(*shared)
@@ -314,10 +309,12 @@ def regions(index: Index, text: str) -> list[tuple[int, int, int, int]]:
             inside = (columns >= 0) & (columns < len(chars))
             text_rows = np.where(inside, chars[np.clip(columns, 0, max(0, len(chars) - 1))], 0)
             pattern = np.array([index.chars[i][s : s + w] for i, s, _ in own.tolist()])
-            # equal pairs of wordings are aligned once
-            keys = qgram_hashes(np.hstack((pattern, text_rows)).ravel(), int(2 * w + 4 * e))[:: int(2 * w + 4 * e)]
-            _, once, back = np.unique(keys, return_index=True, return_inverse=True)
-            cost, first, end = (x[back] for x in aligned(pattern[once], text_rows[once], e))
+            if len(own) < ALIGNED:
+                cost, first, end = aligned(pattern, text_rows, e)
+            else:  # a repetitive text: equal pairs of wordings are aligned once
+                keys = qgram_hashes(np.hstack((pattern, text_rows)).ravel(), int(2 * w + 4 * e))[:: int(2 * w + 4 * e)]
+                _, once, back = np.unique(keys, return_index=True, return_inverse=True)
+                cost, first, end = (x[back] for x in aligned(pattern[once], text_rows[once], e))
             for k in np.flatnonzero(cost <= e).tolist():
                 a, b = max(0, int(left[k] + first[k])), min(len(chars), int(left[k] + end[k]))
                 hits.append((index.ids[int(own[k, 0])], base + a, base + b, int(cost[k])))
