@@ -49,13 +49,14 @@ def test_repetitive_items_are_found_as_by_brute_force(period):
 
 def test_repetitive_texts_take_bounded_time_and_memory():
     index = decontaminate.Index([(1, ("0 1 " * 200)[:600]), (2, "a" * 500)])
-    tracemalloc.start()
     began = time.process_time()
     assert decontaminate.regions(index, "0 1 " * 10_000) == [(1, 0, 39_999, 0)]
     assert decontaminate.regions(index, "a" * 30_000) == [(2, 0, 30_000, 0)]
-    assert tracemalloc.get_traced_memory()[1] < 500e6
-    tracemalloc.stop()
     assert time.process_time() - began < 60
+    tracemalloc.start()  # slows everything down, so a shorter text
+    assert decontaminate.regions(index, "0 1 " * 2_000) == [(1, 0, 7_999, 0)]
+    assert tracemalloc.get_traced_memory()[1] < 250e6
+    tracemalloc.stop()
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables aren't here")
