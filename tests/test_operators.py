@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,49 @@ def test_alignment_matches_the_plain_table():
         assert sum(o == "s" for o, *_ in ops) == subs and sum(o != "c" for o, *_ in ops) == ins + gone + subs
 
 
+def traced(ref, hyp):
+    """Operations from a whole table of costs."""
+    whole = [align._first_row(len(hyp))]
+    a, b = align._coded(ref, hyp)
+    for x in a:
+        whole.append(align._next_row(whole[-1], x, b))
+    i, j, out = len(ref), len(hyp), []
+    while i or j:
+        same = i and j and ref[i - 1] == hyp[j - 1]
+        if i and j and whole[i][j] == whole[i - 1][j - 1] + (0 if same else align.SUBSTITUTE):
+            out.append(("c" if same else "s", ref[i - 1], hyp[j - 1]))
+            i, j = i - 1, j - 1
+        elif i and whole[i][j] == whole[i - 1][j] + align.DELETE:
+            out.append(("d", ref[i - 1], None))
+            i -= 1
+        else:
+            out.append(("i", None, hyp[j - 1]))
+            j -= 1
+    return out[::-1]
+
+
+@pytest.mark.parametrize("cells", [1, 7, 40, 1 << 20])
+def test_operations_in_ranges_are_those_of_the_whole_table(monkeypatch, cells):
+    monkeypatch.setattr(align, "CELLS", cells)
+    rng = random.Random(cells)
+    for _ in range(150):
+        a, b = (rng.choices("abc", k=rng.choice([0, 1, 2, 9, 30])) for _ in range(2))
+        assert align.operations(a, b) == traced(a, b)
+
+
+def test_long_pairs_align_in_little_memory():
+    rng = random.Random(8)
+    a = rng.choices("abcdefgh", k=6000)
+    b = [rng.choice("abcdefgh") if rng.random() < 0.2 else c for c in a if rng.random() > 0.1]
+    tracemalloc.start()
+    ops = align.operations(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6  # the whole table has 260 million bytes
+    ins, gone, subs, right = align.counts(a, b)
+    assert [sum(o == k for o, *_ in ops) for k in "idsc"] == [ins, gone, subs, right]
+
+
 def test_rates_of_nothing_are_null(spark):
     empty = spark.createDataFrame([], "utt long, ref array<string>, hyp array<string>")
     row = align.rates(align.align(empty)).first()

@@ -19,6 +19,8 @@ from wordloom.session import ship_package
 LOW = 32
 INSERT = DELETE = 1 << LOW
 SUBSTITUTE = (1 << LOW) + 1
+#: Cells of the cost table that tracing back holds at a time, unless a row has more.
+CELLS = 1 << 20
 
 
 def unpack(cost: int) -> tuple[int, int]:
@@ -31,23 +33,25 @@ def _coded(ref, hyp) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.fromiter((ids.setdefault(x, len(ids)) for x in s), np.int64, len(s)) for s in (ref, hyp))
 
 
-def alignment_rows(ref, hyp) -> Iterator[np.ndarray]:
-    """The cost table row by row, a row per prefix of ref."""
-    a, b = _coded(ref, hyp)
-    steps = np.arange(len(b) + 1, dtype=np.int64) * INSERT
-    row = steps.copy()
-    yield row
-    for x in a:
-        new = row + DELETE
-        new[1:] = np.minimum(new[1:], row[:-1] + np.where(b == x, 0, SUBSTITUTE))
-        row = np.minimum.accumulate(new - steps) + steps
-        yield row
+def _first_row(n: int) -> np.ndarray:
+    return np.arange(n + 1, dtype=np.int64) * INSERT
+
+
+def _next_row(row: np.ndarray, symbol: int, found: np.ndarray) -> np.ndarray:
+    """The row below one of the cost table, which has a row per prefix of ref; ``found`` are the
+    symbols of as many columns."""
+    steps = np.arange(len(row), dtype=np.int64) * INSERT
+    new = row + DELETE
+    new[1:] = np.minimum(new[1:], row[:-1] + np.where(found[: len(row) - 1] == symbol, 0, SUBSTITUTE))
+    return np.minimum.accumulate(new - steps) + steps
 
 
 def counts(ref, hyp) -> tuple[int, int, int, int]:
     """(insertions, deletions, substitutions, correct) in memory linear in hyp."""
-    for row in alignment_rows(ref, hyp):
-        pass
+    a, b = _coded(ref, hyp)
+    row = _first_row(len(b))
+    for x in a:
+        row = _next_row(row, x, b)
     edits, subs = unpack(int(row[-1]))
     ins = (edits - subs + len(hyp) - len(ref)) // 2
     gone = edits - subs - ins
@@ -55,20 +59,38 @@ def counts(ref, hyp) -> tuple[int, int, int, int]:
 
 
 def operations(ref, hyp) -> list[tuple[str, str | None, str | None]]:
-    """(op, reference symbol, found symbol) with op c, s, d or i."""
-    table = np.array(list(alignment_rows(ref, hyp)))
-    i, j, out = len(ref), len(hyp), []
-    while i or j:
-        here = table[i, j]
-        if i and j and here == table[i - 1, j - 1] + (0 if ref[i - 1] == hyp[j - 1] else SUBSTITUTE):
-            out.append(("c" if ref[i - 1] == hyp[j - 1] else "s", ref[i - 1], hyp[j - 1]))
-            i, j = i - 1, j - 1
-        elif i and here == table[i - 1, j] + DELETE:
-            out.append(("d", ref[i - 1], None))
-            i -= 1
-        else:
-            out.append(("i", None, hyp[j - 1]))
-            j -= 1
+    """(op, reference symbol, found symbol) with op c, s, d or i, traced back from the end: of equal ways
+    a pair first, then a deletion. Memory grows with the sum of the lengths: a range of rows that is too large
+    to hold is halved, its lower half traced first and the upper half computed again up to where that began."""
+    a, b = _coded(ref, hyp)
+    j, out = len(b), []
+    ranges = [(0, len(a), _first_row(len(b)))]
+    while ranges:
+        low, high, first = ranges.pop()
+        first = first[: j + 1]
+        if high - low > 1 and (high - low) * (j + 1) > CELLS:
+            middle, row = (low + high) // 2, first
+            for x in a[low:middle]:
+                row = _next_row(row, x, b)
+            ranges += [(low, middle, first), (middle, high, row)]
+            continue
+        table = [first]
+        for x in a[low:high]:
+            table.append(_next_row(table[-1], x, b))
+        i = high
+        while i > low:
+            above, here = table[i - 1 - low], table[i - low][j]
+            same = j > 0 and a[i - 1] == b[j - 1]
+            if j and here == above[j - 1] + (0 if same else SUBSTITUTE):
+                out.append(("c" if same else "s", ref[i - 1], hyp[j - 1]))
+                i, j = i - 1, j - 1
+            elif here == above[j] + DELETE:
+                out.append(("d", ref[i - 1], None))
+                i -= 1
+            else:
+                out.append(("i", None, hyp[j - 1]))
+                j -= 1
+    out += [("i", None, symbol) for symbol in hyp[:j][::-1]]
     return out[::-1]
 
 

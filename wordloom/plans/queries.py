@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import symbols as S
-from wordloom.operators import align, generate, lattice, lexicon, ngrams, sampler, segment
+from wordloom.operators import align, beam, generate, lattice, lexicon, ngrams, sampler, segment
 from wordloom.plans.registry import register
 from wordloom.session import new_folder, stored, table
 from wordloom.sources import lattices, sinks, text
@@ -692,6 +692,30 @@ def beam_topk(spark: SparkSession, folder: str) -> DataFrame:
     return segment.beam_topk(three, BEAM).select("utt", "step", "label", "weight", "rank")
 
 
+# Hypotheses of a step, r by cost and creation; taken: each arc's first one and the <eps> arcs behind it, in the
+# order of the search (no two <eps> arcs of these lattices meet). pop is the place of the one before.
+TAKEN = """(WITH o AS (SELECT * FROM hyps QUALIFY row_number() OVER (PARTITION BY utt, step, src, dst, label ORDER BY r) = 1),
+  e AS (SELECT o.utt, o.step, o.r, a.src, a.dst, a.label, a.weight, o.cost + a.weight AS cost FROM o JOIN arcs a ON a.utt = o.utt AND a.src = o.dst AND a.label = '<eps>'
+    QUALIFY row_number() OVER (PARTITION BY o.utt, o.step, a.src ORDER BY o.cost + a.weight, o.r) = 1),
+  u AS (SELECT utt, step, r, src, dst, label, weight, cost, 0 AS silent FROM o UNION ALL SELECT utt, step, r, src, dst, label, weight, cost, 1 FROM e)
+  SELECT *, row_number() OVER (PARTITION BY utt, step ORDER BY cost, silent, r) AS place FROM u)"""
+
+
+@register(
+    "lattice_beam",
+    f"""WITH RECURSIVE {BRANCHING.replace("arcs AS (", "arcs AS MATERIALIZED (")},
+hyps(utt, step, pop, r, src, dst, label, weight, cost) AS (SELECT utt, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), '', CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM t WHERE text <> ''
+  UNION ALL SELECT utt, step + 1, place, r, src, dst, label, weight, cost FROM (SELECT p.utt, p.step, p.place, a.src, a.dst, a.label, a.weight, p.cost + a.weight AS cost,
+    row_number() OVER (PARTITION BY p.utt ORDER BY p.cost + a.weight, p.place, a.weight, a.label, a.dst) AS r
+    FROM {TAKEN} p JOIN arcs a ON a.utt = p.utt AND a.src = p.dst AND a.label <> '<eps>') WHERE r <= {BEAM}),
+taken AS MATERIALIZED {TAKEN},
+late AS (SELECT p.utt, p.step, p.place FROM taken p JOIN hyps n ON n.utt = p.utt AND n.step = p.step + 1 AND n.pop < p.place AND n.cost <= p.cost GROUP BY 1, 2, 3 HAVING count(*) = {BEAM})
+SELECT DISTINCT utt, src, dst, label, weight FROM taken ANTI JOIN late USING (utt, step, place) WHERE step > 0 OR label <> ''""",
+)
+def lattice_beam(spark: SparkSession, folder: str) -> DataFrame:
+    return beam.trim(branching_turns(spark, folder), BEAM)
+
+
 @register(
     "timed_words",
     f"""WITH w AS (SELECT {UTT} AS utt, {WORDS} AS ws FROM conversations),
