@@ -34,16 +34,16 @@ def prefix_sums(values: Column) -> Column:
     return let(values, lambda v: F.when(F.size(v) == 0, v).when(F.size(v) <= PIECE, _running(v)).otherwise(pieces(v)))
 
 
-def found_spans(text: Column, pattern: str, left: int = 0) -> Column:
+def found_spans(text: Column, pattern: str, with_left: bool = False) -> Column:
     """The leftmost non-overlapping matches of a Java pattern, as structs (s, e, m): start and end
-    in code points, end exclusive, and the matched text. Matches must not be empty. With ``left``
-    also l: up to so many characters before the match, at least back to the start of the match before."""
+    in code points, end exclusive, and the matched text. Matches must not be empty. With
+    ``with_left`` also l: the characters from the start of the match before, or of the text."""
 
     def placed(hits: Column) -> Column:
-        return let(F.split(text, pattern, -1), lambda g: with_left(hits, g)) if left else plain(hits, F.split(text, pattern, -1))
+        return let(F.split(text, pattern, -1), lambda g: led(hits, g)) if with_left else plain(hits, F.split(text, pattern, -1))
 
-    def with_left(hits: Column, cuts: Column) -> Column:
-        before = F.transform(hits, lambda m, i: F.right(F.concat(F.coalesce(F.get(hits, i - 1), F.lit("")), F.get(cuts, i)), F.lit(left)))
+    def led(hits: Column, cuts: Column) -> Column:
+        before = F.transform(hits, lambda m, i: F.concat(F.coalesce(F.get(hits, i - 1), F.lit("")), F.get(cuts, i)))
         return F.zip_with(plain(hits, cuts), before, lambda x, b: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), b.alias("l")))
 
     def plain(hits: Column, cuts: Column) -> Column:
@@ -52,5 +52,5 @@ def found_spans(text: Column, pattern: str, left: int = 0) -> Column:
         ends = F.zip_with(prefix_sums(gaps), prefix_sums(sizes), lambda g, n: g + n)
         return F.zip_with(hits, ends, lambda m, e: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("m")))
 
-    empty = F.array().cast("array<struct<s:bigint,e:bigint,m:string,l:string>>" if left else "array<struct<s:bigint,e:bigint,m:string>>")
+    empty = F.array().cast("array<struct<s:bigint,e:bigint,m:string,l:string>>" if with_left else "array<struct<s:bigint,e:bigint,m:string>>")
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) == 0, empty).otherwise(placed(hits)))

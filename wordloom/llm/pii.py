@@ -3,9 +3,11 @@
 Base spans: e-mail addresses, IP addresses, card numbers and phone numbers by fixed patterns and
 checks. Bootstrapping: the base entities and self-evident secrets (long hexadecimal strings, key
 ids) are seeds, wherever they stand. A *candidate* is a token with a digit, of any length, that
-follows a cue, either ``name = "`` or ``name:`` or two plain words; its cue is the *pattern*, its
-text the *instance*. Seeds behind a cue are instances whatever their shape. Over the bipartite
-graph of patterns and instances, seeds start with score 1; a pattern's score is the mean score of
+follows a cue, either ``name = "`` or ``name:`` or two plain words, of any length too; its cue is the
+*pattern*, its text the *instance*. Tokens of fewer than ``min_evidence`` characters (a parameter) are
+no instances, since a figure such as 7 stands behind countless cues and would tie them together; behind
+a trusted cue they are found like any other. Seeds behind a cue are instances whatever their shape. Over
+the bipartite graph of patterns and instances, seeds start with score 1; a pattern's score is the mean score of
 its instances, shrunk for small support, an instance's score is one minus the product of (1 - score)
 over its patterns, and a few rounds of both follow. Candidates of patterns that score at least
 ``MIN_SCORE`` and hold at least ``MIN_SEEDS`` distinct seeds become spans of kind ``secret``, as do
@@ -20,6 +22,8 @@ ignored by ``spans`` and kept by ``redact``. An empty table gives an empty table
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +46,11 @@ PATTERNS = {
 NEEDS = {"email": "@", "phone": "+"}
 IP_PART = r"^0*+(?:[0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
-CUE = r"(?<![A-Za-z0-9_])(?:[A-Za-z_]{2,24}\x20?[=:]\x20?[\"']?|[A-Za-z]{2,24}\x20[A-Za-z]{2,24}\x20)"
-CUE_CHARS = 50
-TOKEN = r"(?=[A-Za-z@._%+/-]*+[0-9])[A-Za-z0-9+][A-Za-z0-9@._%+/-]{6,}+"
-CANDIDATE = f"({CUE})({TOKEN})"
+#: Forms of a cue. Each is searched by itself, so that a token behind one form never hides the other.
+CUES = (r"(?<![A-Za-z0-9_])[A-Za-z_]{2,}+\x20?[=:]\x20?[\"']?", r"(?<![A-Za-z0-9_])[A-Za-z]{2,}+\x20[A-Za-z]{2,}+\x20")
+CUE = "(?:" + "|".join(CUES) + ")"
+TOKEN = r"(?=[A-Za-z@._%+/-]*+[0-9])[A-Za-z0-9+][A-Za-z0-9@._%+/-]*+"
+CANDIDATES = tuple(f"({c})({TOKEN})" for c in CUES)
 SEED = r"^(?:[0-9a-f]{16,}+|[0-9A-F]{16,}+|AKIA[0-9A-Z]{12,20})$"
 #: A seed anywhere. Digits alone are no evident secret without a cue.
 BARE_SEED = r"(?<![A-Za-z0-9_])(?:(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])(?:[0-9a-f]{16,}+|[0-9A-F]{16,}+)|AKIA[0-9A-Z]{12,20}+)(?![A-Za-z0-9_])"
@@ -54,6 +59,8 @@ ROUNDS = 3
 MIN_SCORE = 0.7
 MIN_SEEDS = 5
 SHRINK = 1.0
+#: Default of the parameter: shorter tokens are found, but say nothing about their cue.
+MIN_EVIDENCE = 7
 TAG = {k: f"[{k.upper()}]" for k in (*KINDS, FOUND)}
 
 SPANS = "array<struct<s:bigint,k:int,e:bigint>>"
@@ -93,7 +100,7 @@ def _hits(text: Column) -> Column:
 
     def of(k: int, kind: str) -> Column:
         pattern = PATTERNS.get(kind, BARE_SEED)
-        hits = F.filter(found_spans(text, pattern, CUE_CHARS + 2), lambda x: _valid(kind, x["m"]))
+        hits = F.filter(found_spans(text, pattern, with_left=True), lambda x: _valid(kind, x["m"]))
         spans = F.transform(hits, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["m"].alias("m"), x["l"].alias("l")))
         has = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9]" if kind != FOUND else "[0-9A-Fa-f]{16}|AKIA")
         return F.when(has, spans).otherwise(F.array().cast(HITS))
@@ -114,18 +121,21 @@ def _candidates(text: Column, hits: Column) -> Column:
     """Structs (s, e, cue, token, plain) of the candidates of a text, and of its base spans behind a
     cue and its seeds, whatever their shape (cue null: none). plain: a seed by its own form."""
 
-    def split(hit: Column) -> Column:
-        cue = F.regexp_extract(hit["m"], f"^{CANDIDATE}$", 1)
+    def splitter(pattern: str) -> Callable[[Column], Column]:
+        return lambda hit: split(hit, F.regexp_extract(hit["m"], f"^{pattern}$", 1))
+
+    def split(hit: Column, cue: Column) -> Column:
         token = lambda c: F.substring(hit["m"], F.length(c) + 1, F.length(hit["m"]))
         return let(cue, lambda c: F.struct((hit["s"] + F.length(c)).alias("s"), hit["e"].alias("e"), _cue(c).alias("cue"), token(c).alias("token"), token(c).rlike(SEED).alias("plain")))
 
     def own(x: Column) -> Column:
-        cue = F.nullif(F.regexp_extract(x["l"], f"{CUE}$", 0), F.lit(""))
+        cue = F.nullif(F.regexp_extract(x["l"], rf"{CUE}\z", 0), F.lit(""))
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), _cue(cue).alias("cue"), x["m"].alias("token"), (x["k"] == len(KINDS)).alias("plain"))
 
     empty = F.array().cast("array<struct<s:bigint,e:bigint,cue:string,token:string,plain:boolean>>")
     behind = F.filter(F.transform(hits, own), lambda x: x["plain"] | x["cue"].isNotNull())
-    return F.concat(F.when(text.rlike("[0-9]"), F.transform(found_spans(text, CANDIDATE), split)).otherwise(empty), behind)
+    after = [F.transform(found_spans(text, p), splitter(p)) for p in CANDIDATES]
+    return F.concat(F.when(text.rlike("[0-9]"), F.concat(*after)).otherwise(empty), behind)
 
 
 def _overlaps(spans: Column, s: Column, e: Column) -> Column:
@@ -156,16 +166,17 @@ def trusted_patterns(candidates: DataFrame, rounds: int = ROUNDS, min_score: flo
     return patterns.join(seeds, "cue").where((F.col("pattern_score") >= min_score) & (F.col("seeds") >= min_seeds)).select("cue", F.col("pattern_score").alias("score"), "seeds")
 
 
-def with_spans(scanned: DataFrame) -> DataFrame:
+def with_spans(scanned: DataFrame, min_evidence: int = MIN_EVIDENCE) -> DataFrame:
     """doc_id, text_hash, base and spans (all spans, sorted) of the rows of ``scan``, which must be
     stored: it is read twice."""
     found = scanned.where(F.size("candidates") > 0).select("doc_id", "text_hash", "base", F.explode("candidates").alias("c"))
     # a span found in two ways is one row
     found = found.groupBy("doc_id", "text_hash", "base", F.col("c.s").alias("s"), F.col("c.e").alias("e")).agg(F.max(F.struct("c.cue", "c.token")).alias("c"), F.max("c.plain").alias("plain"))
-    found = found.select("doc_id", "text_hash", "s", "e", "c.*", "plain", _overlaps(F.col("base"), F.col("s"), F.col("e")).alias("known"))
+    found = found.select("doc_id", "text_hash", "s", "e", "c.*", "plain", _overlaps(F.col("base"), F.col("s"), F.col("e")).alias("known"), F.exists("base", lambda x: (x["s"] == F.col("s")) & (x["e"] == F.col("e"))).alias("own"))
     # of spans that start together, as a seed and the token it begins, one is an instance: the seed
     one = F.max(F.struct((F.col("known") | F.col("plain")).alias("seed"), "e", "cue", "token")).alias("i")
-    seeds = found.where(F.col("cue").isNotNull()).groupBy("doc_id", "text_hash", "s").agg(one).select("i.cue", "i.token", "i.seed")
+    evidence = (F.length("token") >= min_evidence) | F.col("plain") | F.col("own")
+    seeds = found.where(F.col("cue").isNotNull() & evidence).groupBy("doc_id", "text_hash", "s").agg(one).select("i.cue", "i.token", "i.seed")
     trusted = stored(trusted_patterns(seeds), "pii-patterns")
     new = found.where(~F.col("known")).join(trusted.select("cue", F.lit(True).alias("trusted")), "cue", "left").where(F.col("plain") | F.col("trusted"))
     span = F.struct(F.col("s"), F.lit(len(KINDS)).alias("k"), F.col("e"))
@@ -181,8 +192,8 @@ def rendered(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    return with_spans(stored(scan(docs), "pii-scan"))
+def spans(docs: DataFrame, min_evidence: int = MIN_EVIDENCE) -> DataFrame:
+    return with_spans(stored(scan(docs), "pii-scan"), min_evidence)
 
 
 def _redacted(text: Column, found: Column) -> Column:
@@ -204,10 +215,10 @@ def _redacted(text: Column, found: Column) -> Column:
     return F.when(F.size(found) == 0, text).otherwise(let(F.aggregate(found, start, step, lambda acc: acc["kept"]), joined))
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, min_evidence: int = MIN_EVIDENCE) -> DataFrame:
     """All rows and columns of ``docs``, spans in text replaced by tags; n_chars, if there, follows
     the new text."""
-    found = spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).distinct()
+    found = spans(docs, min_evidence).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).distinct()
     joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
     text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(_redacted(docs["text"], F.coalesce("_spans", F.array().cast(SPANS))))
     kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
