@@ -239,6 +239,8 @@ def test_bpe_is_the_librarys(spark, library):
     ids = [library.encode(t or "", add_special_tokens=False).ids for t in every]
     expected = sorted((len(i), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(i, skip_special_tokens=False).encode()).hexdigest()) for i in ids)
     rows = bpe.decode(bpe.encode(docs(spark, texts), WORD_BPE), WORD_BPE)
+    once = bpe.round_trip(docs(spark, texts), WORD_BPE)
+    assert once.columns == rows.columns and sorted(map(str, once.collect())) == sorted(map(str, rows.collect()))
     got = rows.select("n_tokens", bpe.sha256_hex(F.col("ids")).alias("a"), bpe.sha256_hex(F.col("decoded")).alias("b")).collect()
     assert sorted(tuple(r) for r in got) == expected
 
