@@ -43,8 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, and its ids."""
-    vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    rows = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    rows = bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
     return rows.select("doc_id", "n_tokens", "ids", bpe.sha256_hex(rows["ids"]).alias("ids_sha256"), bpe.sha256_hex(rows["decoded"]).alias("decoded_sha256"))
 
 
