@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm import keyed
 from wordloom.session import ship_package, stored
 
 Q = 10
@@ -371,5 +372,5 @@ def find(docs: DataFrame, benchmark: DataFrame, group_chars: int = GROUP_CHARS,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no region of a benchmark item."""
-    bad = stored(find(docs, benchmark).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_hash")), "left_anti")
+    bad = stored(find(docs, benchmark).select("doc_id", "text_hash").distinct(), "contaminated")
+    return keyed.without(docs, bad)

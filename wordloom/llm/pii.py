@@ -27,6 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm import keyed
 from wordloom.llm.expr import found_spans, let
 from wordloom.session import stored
 
@@ -218,11 +219,11 @@ def _redacted(text: Column, found: Column) -> Column:
 def redact(docs: DataFrame, min_evidence: int = MIN_EVIDENCE) -> DataFrame:
     """All rows and columns of ``docs``, spans in text replaced by tags; n_chars, if there, follows
     the new text."""
-    found = spans(docs, min_evidence).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).distinct()
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
-    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(_redacted(docs["text"], F.coalesce("_spans", F.array().cast(SPANS))))
-    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
-    out = joined.select(*(docs[c] for c in docs.columns if c != "text"), text.alias("text"))
-    if kind is not None:
+    found = spans(docs, min_evidence).where(F.size("spans") > 0).select("doc_id", "text_hash", F.col("spans").alias("_pii_spans")).distinct()
+    maybe, others = keyed.with_values(docs, stored(found, "pii-found"), "_pii_spans")
+    text = F.when(F.col("_pii_spans").isNull(), maybe["text"]).otherwise(_redacted(maybe["text"], F.coalesce("_pii_spans", F.array().cast(SPANS))))
+    out = others.union(maybe.select(*(text.alias(c) if c == "text" else maybe[c] for c in docs.columns)))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*docs.columns)
+    return out

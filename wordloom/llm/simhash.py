@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm import keyed
 from wordloom.llm.components import connected_components
 from wordloom.session import ship_package, stored
 
@@ -71,16 +72,18 @@ def fingerprint(data: bytes | None, shingle_words: int = SHINGLE_WORDS, seed: in
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+        prints = np.array([fingerprint(x.as_py()) for x in batch.column("text")], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], [*batch.schema.names[:-1], "print"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, print) of each row; print holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, print) of each row, and ``carried`` columns of it between them; print holds the 64
+    bits as a signed long."""
     ship_package(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, f"doc_id {kind}, print bigint")
+    kept = ("doc_id", *carried)
+    rows = docs.select(*kept, F.col("text").cast("binary").alias("text"))
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(_fingerprint_batches, f"{schema}, print bigint")
 
 
 def blocks_for(n: int, distance: int = DISTANCE) -> int:
@@ -230,10 +233,10 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int | None = None
     return near.unionByName(far.distinct())
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int | None = None, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int | None = None, bucket_limit: int = BUCKET_LIMIT, carried: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id
-    reachable over links, itself included)."""
-    prints = stored(fingerprints(docs), "simhash-prints")
+    reachable over links, itself included), and its ``carried`` columns."""
+    prints = stored(fingerprints(docs, carried), "simhash-prints")
     classes = prints.groupBy("print").agg(F.min("doc_id").alias("first_id"))
     blocks = blocks or blocks_for(prints.count(), distance)  # rows, of which the distinct ones are no more
     roots = connected_components(links(classes.select("print"), distance, blocks, bucket_limit))
@@ -241,21 +244,25 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int | Non
     classes = stored(classes, "simhash-classes")
     heads = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = classes.join(heads, "root").select("print", "component_id")
-    return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", *carried)
 
 
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     """The rows whose doc_id is their component's, one row for each such doc_id (of repeated rows
-    the one with the smallest text). Rows with a null doc_id can't be told apart and stay."""
-    found = near_duplicates(docs, **options)
-    kept = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")), "simhash-kept")
-    key = "_kept_doc_id"
-    joined = docs.join(kept.select(F.col("doc_id").alias(key), F.col("copies").alias("_kept_copies")), F.col("doc_id") == F.col(key))
-    single = joined.where("_kept_copies = 1").select(*docs.columns)
-    single = single.unionByName(docs.where(F.col("doc_id").isNull()))
-    if kept.where("copies > 1").isEmpty():  # no doc_id repeats: texts are read and joined once
-        return single
+    the one with the smallest text). Of rows that repeat a doc_id each is judged by its own text.
+    Rows with a null doc_id can't be told apart and stay."""
+    key = ("doc_id", "text_hash")
+    found = near_duplicates(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), carried=("text_hash",), **options)
+    found = stored(found.select(*key, "component_id"), "simhash-found")
+    gone = stored(found.where("doc_id <> component_id").select(*key), "simhash-gone")
+    kept = keyed.without(docs, gone)
+    firsts = found.where("doc_id = component_id")
+    repeated = stored(firsts.groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-repeated")
+    if repeated.isEmpty():  # no doc_id repeats
+        return kept
+    twice = stored(firsts.join(repeated, "doc_id").select(*key).distinct().withColumn("_simhash_twice", F.lit(True)), "simhash-twice")
+    maybe, single = keyed.with_values(kept, twice, "_simhash_twice")
+    single = single.union(maybe.where(F.col("_simhash_twice").isNull()).select(*docs.columns))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    repeated = joined.where("_kept_copies > 1").groupBy("doc_id").agg(F.min_by(F.struct("text", *others), F.coalesce("text", F.lit(""))).alias("_row"))
-    repeated = repeated.select("doc_id", "_row.*").select(*docs.columns)
-    return single.unionByName(repeated)
+    least = maybe.where(F.col("_simhash_twice")).groupBy("doc_id").agg(F.min_by(F.struct("text", *others), F.coalesce("text", F.lit(""))).alias("_row"))
+    return single.union(least.select("doc_id", "_row.*").select(*docs.columns))
