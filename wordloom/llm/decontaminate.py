@@ -25,6 +25,7 @@ are ignored by ``find`` and kept by ``drop_contaminated``.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -53,6 +54,8 @@ SHARED = 1 << 20
 #: Windows aligned at once, and runs looked at to save alignments.
 ALIGNED = 1024
 SKIPPED = 64
+#: Rows of an alignment between looks at what is over the budget.
+LOOK = 8
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -60,24 +63,40 @@ def normalise(text: str) -> str:
     return _OTHER.sub(" ", text.replace("Σ", "σ").lower()).strip(" ")
 
 
-def source_positions(text: str) -> list[int]:
-    """For each character of ``normalise(text)``, the place of the character it comes from."""
-    out: list[int] = []
-    blank = False
-    for at, c in enumerate(text):
-        for x in c.replace("Σ", "σ").lower():
-            if _OTHER.match(x):
-                blank = True
-                continue
-            if blank and out:
-                out.append(at)
-            blank = False
-            out.append(at)
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+@functools.cache
+def letters_and_digits() -> np.ndarray:
+    """By code point, whether ``normalise`` keeps the character."""
+    every = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    out = np.ones(len(every), bool)
+    for m in _OTHER.finditer(every):
+        out[m.start() : m.end()] = False
     return out
 
 
-def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+class Plain:
+    """``codes(normalise(text))`` as ``chars``; for each of them, on demand, the place in the text that it comes from."""
+
+    def __init__(self, text: str):
+        self.text = text
+        lowered = codes(text.replace("Σ", "σ").lower())
+        self.word = letters_and_digits().take(lowered)
+        # of a run of others the last character, right before a word, becomes the blank
+        self.kept = self.word.copy()
+        self.kept[:-1] |= self.word[1:]
+        self.kept[: int(self.word.argmax()) if len(self.word) else 0] = False
+        self.chars = np.where(self.word, lowered, np.uint32(32))[self.kept]
+
+    def source(self) -> np.ndarray:
+        """A blank comes from the character after it."""
+        places = np.flatnonzero(self.kept)
+        places += ~self.word[places]
+        if "İ" in self.text:  # the one character whose lower case is two
+            return np.repeat(np.arange(len(self.text)), np.where(codes(self.text) == ord("İ"), 2, 1))[places]
+        return places
 
 
 def qgram_hashes(chars: np.ndarray, q: int = Q) -> np.ndarray:
@@ -116,6 +135,15 @@ def first_windows(chars: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     return first, before[np.minimum(place, len(first) - 1) + 1] > before[np.maximum(place - (width - Q), 0)]
 
 
+def crowd(item: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """For each shared q-gram, how many lie in its band of the item and the fuller of the two beside it.
+    They are counted by slots of a table: slots that collide give more, never fewer."""
+    size = 1 << min(18, (4 * len(item)).bit_length())
+    slot = (item * 0x9E3779B1 + band) & (size - 1)
+    n = np.bincount(slot, minlength=size)
+    return n[slot] + np.maximum(n[(slot + 1) & (size - 1)], n[(slot - 1) & (size - 1)])
+
+
 class Index:
     """q-grams of items: (item, place) by hash."""
 
@@ -145,14 +173,21 @@ class Index:
         self.sizes = np.array([len(c) for c in self.chars], np.int64)
         # how many first windows come before each start, all items in a row
         self.n_first = np.concatenate([np.concatenate(([0], np.cumsum(f))) for f in self.first] or [np.zeros(1, np.int64)])
+        # the starts of first windows, and how many lie in the items before
+        self.firsts = np.concatenate([np.flatnonzero(f) for f in self.first] or [np.empty(0, np.int64)])
+        self.firsts_before = np.cumsum([0, *(int(f.sum()) for f in self.first)])[:-1]
         self.first_before = np.cumsum([0, *(len(f) + 1 for f in self.first)])[:-1]
         hashes = np.concatenate([*grams, np.empty(0, np.uint64)])
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int64)
         place = np.concatenate([*places, np.empty(0, np.int64)]).astype(np.int64)
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.item, self.place = hashes[order], item[order], place[order]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[hashes >> np.uint64(44)] = True
+        self.item, self.place = item[order], place[order]
+        # each hash once, its first entry and how many there are
+        self.hashes, self.low, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
+        # the hashes' upper 20 bits, and the 20 below
+        self.upper, self.lower = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
+        self.upper[hashes >> np.uint64(44)] = True
+        self.lower[hashes >> np.uint64(24) & np.uint64(0xFFFFF)] = True
 
     def verbatim(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, 0) of the short items in a normalised text, as whole words."""
@@ -175,20 +210,27 @@ class Index:
         return {k: v for k, v in self.__dict__.items() if k != "automaton"}
 
     def found(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in the text of the q-grams that may be known, the first entry of each and how many there are."""
+        """Places in the text of the known q-grams, the first entry of each and how many there are."""
         if not len(self.hashes):
             return (np.empty(0, np.int64),) * 3
         grams = qgram_hashes(chars)
-        at = np.flatnonzero(self.seen[grams >> np.uint64(44)])
-        low = np.searchsorted(self.hashes, grams[at], "left")
-        return at, low, np.searchsorted(self.hashes, grams[at], "right") - low
+        at = np.flatnonzero(self.upper.take((grams >> np.uint64(44)).view(np.int64)))
+        at = at[self.lower[grams[at] >> np.uint64(24) & np.uint64(0xFFFFF)]]
+        grams = grams[at]
+        own = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
+        same = self.hashes[own] == grams
+        own = own[same]
+        return at[same], self.low[own], self.count[own]
 
     def shared(self, at: np.ndarray, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Item, place in it and place in the text of each shared q-gram."""
+        """Item, place in it and place in the text of each shared q-gram, but for those in bands with fewer
+        than a window needs. An excerpt, on one diagonal, has more than any window needs."""
         total = int(count.sum())
         doc_at = np.repeat(at, count)
         entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(total)
-        return self.item[entry], self.place[entry], doc_at
+        item, place = self.item[entry], self.place[entry]
+        some = crowd(item, (doc_at - place) // np.maximum(self.edits, 1)[item]) >= self.need[item]
+        return item[some], place[some], doc_at[some]
 
     def excerpts(self, chars: np.ndarray, item: np.ndarray, place: np.ndarray, doc_at: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, first place in it, first place in the text, length) of the verbatim excerpts."""
@@ -229,23 +271,20 @@ class Index:
         low, high = np.maximum(end - width, 0), np.minimum(start, size - width)
         at = self.first_before[item[here]]
         some = (low <= high) & (self.n_first[at + high + 1] > self.n_first[at + low])
-        here, last, low, high = here[some], last[some], low[some], high[some]
+        here, low, high, at = here[some], low[some], high[some], at[some]
         if not len(here):
             return none
         # neighbours that ask for the same windows ask once
         kept = np.append(True, (np.diff(item[here]) != 0) | (np.diff(band[here]) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0))
-        here, last = here[kept], last[kept]
-        out = []
-        before, done = None, 0
-        for i, b, first, end in zip(item[here].tolist(), band[here].tolist(), place[here].tolist(), (place[last] + Q).tolist()):
-            width, size = int(self.width[i]), len(self.chars[i])
-            if (i, b) != before:
-                before, done = (i, b), 0
-            diagonal = b * max(int(self.edits[i]), 1)
-            low, high = max(end - width, done), min(first, size - width)
-            out += [(i, s, diagonal) for s in (low + np.flatnonzero(self.first[i][low : high + 1])).tolist()]
-            done = max(done, high + 1)
-        return np.array(out, np.int64).reshape(-1, 3)
+        here, low, high, at = here[kept], low[kept], high[kept], at[kept]
+        item, band = item[here], band[here]
+        # runs of a band go on where the one before ended
+        again = (np.diff(item) == 0) & (np.diff(band) == 0)
+        low[1:] = np.where(again, np.maximum(low[1:], high[:-1] + 1), low[1:])
+        begin = self.n_first[at + low]
+        count = self.n_first[at + high + 1] - begin
+        rank = np.repeat(self.firsts_before[item] + begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return np.column_stack((np.repeat(item, count), self.firsts[rank], np.repeat(band * np.maximum(self.edits[item], 1), count)))
 
 
 def starts(size: int, width: int) -> list[int]:
@@ -255,7 +294,8 @@ def starts(size: int, width: int) -> list[int]:
 
 def aligned(pattern: np.ndarray, text: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of ``pattern`` (n, w) against rows of ``text`` (n, w + 4 * edits): the least edits of an
-    alignment in the band, and its first and last column (the end exclusive)."""
+    alignment in the band, and its first and last column (the end exclusive); w edits and no columns
+    where the least are known to be more than ``edits``."""
     n, w = pattern.shape
     width = text.shape[1] - w + 1
     # edits in the high bits, the first column in the low ones: of equal edits the longest match;
@@ -264,7 +304,15 @@ def aligned(pattern: np.ndarray, text: np.ndarray, edits: int) -> tuple[np.ndarr
     pattern, text = np.ascontiguousarray(pattern.T), np.ascontiguousarray(text.T)
     steps = (np.arange(width, dtype=np.int32) * one)[:, None]
     row = np.repeat(np.arange(width, dtype=np.int32)[:, None], n, axis=1)
+    best, first, last = np.full(n, w, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int64)
+    rows = np.arange(n)
     for i in range(w):
+        if i and i % LOOK == 0:  # costs never fall: those over the budget go
+            near = np.flatnonzero(row.min(axis=0) >> 16 <= edits)
+            if 4 * len(near) <= 3 * len(rows):
+                rows, row, pattern, text = rows[near], row[:, near], pattern[:, near], text[:, near]
+            if not len(rows):
+                return best, first, last
         new = row + (text[i : i + width] != pattern[i]) * one
         np.minimum(new[:-1], row[1:] + one, out=new[:-1])  # the text lacks a character
         new -= steps  # the pattern lacks some: prefix minima by doubling
@@ -274,16 +322,17 @@ def aligned(pattern: np.ndarray, text: np.ndarray, edits: int) -> tuple[np.ndarr
             size *= 2
         row = new + steps
     end = (row >> 16).argmin(axis=0)
-    best = row[end, np.arange(n)]
-    return best >> 16, best & (one - 1), end + w
+    cost = row[end, np.arange(len(rows))]
+    best[rows], first[rows], last[rows] = cost >> 16, cost & (one - 1), end + w
+    return best, first, last
 
 
 def regions(index: Index, text: str) -> list[tuple[int, int, int, int]]:
     """(item_id, start, end, edits) in the text's own characters, end exclusive: unions of verified
     windows, with the least edits of one window."""
-    plain = normalise(text)
-    whole = codes(plain)
-    hits: list[tuple[int, int, int, int]] = index.verbatim(plain)
+    plain = Plain(text)
+    whole = plain.chars
+    hits: list[tuple[int, int, int, int]] = index.verbatim(normalise(text)) if index.short else []
     overlap = 2 * WINDOW
     pieces = [(base, min(CHUNK + overlap, len(whole) - base)) for base in range(0, max(1, len(whole) - overlap), CHUNK)]
     while pieces:
@@ -328,8 +377,8 @@ def regions(index: Index, text: str) -> list[tuple[int, int, int, int]]:
             merged[-1][3] = min(merged[-1][3], cost)
         else:
             merged.append([item_id, a, b, cost])
-    at = source_positions(text)
-    return [(i, at[a], at[b - 1] + 1, cost) for i, a, b, cost in merged]
+    at = plain.source()
+    return [(i, int(at[a]), int(at[b - 1]) + 1, cost) for i, a, b, cost in merged]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, group_chars: int = GROUP_CHARS, min_item: int = SHORTEST) -> DataFrame:
