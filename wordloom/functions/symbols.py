@@ -70,6 +70,15 @@ def scaled(weight: Column, scale: float) -> Column:
     return F.when(weight == F.lit(float("inf")), weight).otherwise(weight * F.lit(scale))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as SQL engines do that scale, round half away from zero and scale back: also of
+    numbers that have more digits than a double tells apart, and with the sign of a zero (``round`` drops it)."""
+    power = F.lit(10.0**digits)
+    out = F.round(x * power) / power
+    out = F.when(out == 0, x * F.lit(0.0)).otherwise(out)
+    return F.when(F.isnan(out) | (F.abs(out) == float("inf")), x).otherwise(out)
+
+
 def spelling(word: Column) -> Column:
     """A word (array of symbols) as one string."""
     return F.array_join(word, "")

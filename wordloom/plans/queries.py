@@ -110,14 +110,14 @@ def silence_map(spark: SparkSession, folder: str) -> DataFrame:
 @register("am_transform", "SELECT event_id, round(-(value + 1.5) / ln(10) + 0.8 * (-(user_id % 7)) / ln(10), 9) AS weight FROM events")
 def am_transform(spark: SparkSession, folder: str) -> DataFrame:
     weight = S.acoustic_weight(F.col("value"), (F.col("user_id") % 7).cast("double"), 1.5, 0.8)
-    return table(spark, folder, "events").select("event_id", F.round(weight, 9).alias("weight"))
+    return table(spark, folder, "events").select("event_id", S.rounded(weight, 9).alias("weight"))
 
 
 @register("am_scale", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'Infinity'::DOUBLE ELSE round(value * 0.3, 9) END AS weight FROM events")
 def am_scale(spark: SparkSession, folder: str) -> DataFrame:
     weight = F.when(F.col("event_type") == "error", F.lit(float("inf"))).otherwise(F.col("value"))
     out = S.scaled(weight, 0.3)
-    return table(spark, folder, "events").select("event_id", F.when(out == float("inf"), out).otherwise(F.round(out, 9)).alias("weight"))
+    return table(spark, folder, "events").select("event_id", S.rounded(out, 9).alias("weight"))
 
 
 @register("separator_fields", "SELECT event_id, split_part('id=' || event_type || '=x', '=', 2) || '=x' AS field FROM events")
