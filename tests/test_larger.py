@@ -16,3 +16,28 @@ def test_rounding_is_that_of_sql(spark):
     own = {r.i: r.r for r in spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", S.rounded(F.col("v"), 9).alias("r")).collect()}
     sql = duckdb.connect().execute("SELECT generate_subscripts($1::DOUBLE[], 1) - 1, round(unnest($1::DOUBLE[]), 9)", [values]).fetchall()
     assert [(i, repr(own[i])) for i, _ in sql] == [(i, repr(x)) for i, x in sql]
+
+
+def test_small_frames_of_arcs_are_not_broadcast(spark):
+    """Spark takes arcs that it explodes for as small as the texts they come from."""
+    from wordloom.operators import lattice
+    from wordloom.sources import lattices
+
+    rows = spark.createDataFrame([(1, "abca"), (2, "b"), (7, "zya")], "utt long, text string")
+    arcs = lattice.sausage(rows, F.col("utt"), F.split("text", ""))
+    names = S.symbol_table(arcs.select(F.col("label").alias("sym"), F.col("label").alias("at")))
+    coded = lattices.to_openfst(arcs, names)
+    back = lattices.named(lattices.openfst(coded)[0], names)
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == plan.count("Join ") >= 2
+    key = lambda r: (r.utt, r.src, r.dst, r.label, r.weight)
+    assert sorted(map(key, back.collect())) == sorted(map(key, arcs.collect()))
+    ids = {r.sym: r.id for r in names.collect()}
+    for r in coded.collect():
+        own = sorted((x.src, ids[x.label], x.dst, x.weight) for x in arcs.where(F.col("utt") == r.utt).collect())
+        by_state: dict = {}
+        for s, i, t, w in own:
+            by_state.setdefault(s, []).append((i, i, w, t))
+        n = max(t for _, _, t, _ in own) + 1
+        assert bytes(r.content) == lattices.encode_fst(0, {n - 1: 0.0}, by_state, n)
+        assert lattices.decode_fst(bytes(r.content))[:2] == (0, {n - 1: 0.0})

@@ -133,7 +133,7 @@ class Graph:
         return arcs, {number[s]: 0.0 for s in self.ends if s in number}
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], key: str = "utt") -> Iterator[tuple[pa.Table, list[int]]]:
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str = "utt") -> Iterator[tuple[pa.Table, list[int]]]:
     """From batches sorted by a key: tables that hold whole groups, and where each group starts."""
     held: list[pa.RecordBatch] = []
 
@@ -175,10 +175,10 @@ def grouped_graphs(arcs: DataFrame, work: Callable[[Graph], list[tuple]], schema
     ship_package(arcs.sparkSession)
     kind = arcs.schema["utt"].dataType.simpleString()
     full = f"utt {kind}, {schema}"
-    out_schema = _arrow_schema(full)
+    out_schema = arrow_schema(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_groups(batches):
+        for table, starts in whole_groups(batches):
             owner, rows = [], []
             for a, _, graph in _graphs(table, starts):
                 made = work(graph)
@@ -192,7 +192,7 @@ def grouped_graphs(arcs: DataFrame, work: Callable[[Graph], list[tuple]], schema
     return _together(arcs.select(*KEYS, "weight")).mapInArrow(run, full)
 
 
-def _arrow_schema(schema: str) -> pa.Schema:
+def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -204,7 +204,7 @@ def prune(arcs: DataFrame, threshold: float) -> DataFrame:
     ship_package(arcs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_groups(batches):
+        for table, starts in whole_groups(batches):
             kept: list[int] = []
             for a, _, graph in _graphs(table, starts):
                 through, best = graph.through()
@@ -249,7 +249,7 @@ def remove_epsilon(arcs: DataFrame) -> DataFrame:
     ship_package(arcs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_groups(batches):
+        for table, starts in whole_groups(batches):
             rows, owner = [], []
             for a, _, graph in _graphs(table, starts):
                 for src, dst, weight, arc in _without_epsilon(graph):
@@ -329,10 +329,10 @@ def _edits(arcs: DataFrame, references: DataFrame, factors: list[float]) -> Data
     front = references.select("utt", F.lit(-1).cast("bigint").alias("src"), F.lit(-1).cast("bigint").alias("dst"), F.lit("").alias("label"), F.lit(0.0).alias("weight"), "symbols")
     rows = arcs.select("utt", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "label", "weight", F.lit(None).cast("array<string>").alias("symbols"))
 
-    out_schema = _arrow_schema(schema)
+    out_schema = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_groups(batches):
+        for table, starts in whole_groups(batches):
             src, dst, label, weight = (table.column(c).to_pylist() for c in ("src", "dst", "label", "weight"))
             out, owner = [], []
             for a, b in zip(starts, [*starts[1:], table.num_rows]):
@@ -414,10 +414,10 @@ def timed_path(arcs: DataFrame, words: DataFrame) -> DataFrame:
     minus_one = F.lit(-1).cast("bigint")
     front = words.select("utt", minus_one.alias("src"), minus_one.alias("dst"), F.lit("").alias("label"), F.lit(0.0).alias("weight"), F.lit(None).cast("double").alias("start_t"), F.lit(None).cast("double").alias("end_t"), F.col("words").cast("array<array<string>>").alias("words"))
 
-    out_schema = _arrow_schema(schema)
+    out_schema = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_groups(batches):
+        for table, starts in whole_groups(batches):
             src, dst, label, weight, begin, end = (table.column(c).to_pylist() for c in ("src", "dst", "label", "weight", "start_t", "end_t"))
             out, owner = [], []
             for a, b in zip(starts, [*starts[1:], table.num_rows]):

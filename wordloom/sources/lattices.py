@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.symbols import acoustic_weight, silence_to_eps
-from wordloom.operators.lattice import final_states, merge_parallel
+from wordloom.operators.lattice import arrow_schema, final_states, merge_parallel, whole_groups
 from wordloom.session import ship_package
 
 # Fixed values of the OpenFST vector format.
 FST_MAGIC = 2125659606
 FST_VERSION = 2
 NO_STATE = -1
+STATE, STATE_SIZE = "<fq", struct.calcsize("<fq")
+ARC = np.dtype([("ilabel", "<i4"), ("olabel", "<i4"), ("weight", "<f4"), ("dst", "<i4")])
 
 
 def _fields(line: Column) -> Column:
@@ -87,10 +91,11 @@ def to_att(arcs: DataFrame) -> DataFrame:
     return both.select("utt", F.concat(F.array_join(F.transform("x", lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
 
 
-def encode_fst(start: int, finals: dict[int, float], arcs: dict[int, list[tuple[int, int, float, int]]], n: int) -> bytes:
-    """OpenFST vector bytes; an arc is (in label, out label, weight, next state)."""
+def encode_fst(start: int, finals: dict[int, float], arcs: dict[int, list[tuple[int, int, float, int]]], n: int, sizes: tuple[int, int] | None = None) -> bytes:
+    """OpenFST vector bytes; an arc is (in label, out label, weight, next state). With ``sizes``, numbers of
+    states and arcs, the head of what others write."""
     text = lambda s: struct.pack("<i", len(s)) + s
-    head = struct.pack("<i", FST_MAGIC) + text(b"vector") + text(b"log") + struct.pack("<iiQqqq", FST_VERSION, 0, 0, start, n, sum(map(len, arcs.values())))
+    head = struct.pack("<i", FST_MAGIC) + text(b"vector") + text(b"log") + struct.pack("<iiQqqq", FST_VERSION, 0, 0, start, *(sizes or (n, sum(map(len, arcs.values())))))
     body = []
     for s in range(n):
         own = arcs.get(s, [])
@@ -99,8 +104,8 @@ def encode_fst(start: int, finals: dict[int, float], arcs: dict[int, list[tuple[
     return head + b"".join(body)
 
 
-def decode_fst(data: bytes) -> tuple[int, dict[int, float], list[tuple[int, int, int, int, float]]]:
-    """(start, final weights, arcs (src, dst, in label, out label, weight))."""
+def _arcs_of(data: bytes) -> tuple[int, dict[int, float], np.ndarray, np.ndarray]:
+    """(start, final weights, source by arc, arcs as ARC): states one by one, arcs by their places."""
     def text(at: int) -> tuple[bytes, int]:
         (n,) = struct.unpack_from("<i", data, at)
         return data[at + 4 : at + 4 + n], at + 4 + n
@@ -115,17 +120,28 @@ def decode_fst(data: bytes) -> tuple[int, dict[int, float], list[tuple[int, int,
     at += struct.calcsize("<iiQqqq")
     if flags & 3:
         raise ValueError("embedded symbol tables aren't supported")
-    finals, arcs = {}, []
+    finals, counts, body = {}, [0] * n, at
     for s in range(n):
-        weight, count = struct.unpack_from("<fq", data, at)
-        at += 12
-        if weight != float("inf"):
+        weight, counts[s] = struct.unpack_from(STATE, data, at)
+        at += STATE_SIZE + ARC.itemsize * counts[s]
+        if weight != math.inf:
             finals[s] = weight
-        for _ in range(count):
-            i, o, w, t = struct.unpack_from("<iifi", data, at)
-            at += 16
-            arcs.append((s, t, i, o, w))
-    return start, finals, arcs
+    if at > len(data):
+        raise ValueError("an OpenFST file ends early")
+    src = np.repeat(np.arange(n), counts)
+    places = body + STATE_SIZE * (src + 1) + ARC.itemsize * np.arange(len(src))
+    arcs = np.frombuffer(data, np.uint8)[places[:, None] + np.arange(ARC.itemsize)]
+    return start, finals, src, np.ascontiguousarray(arcs).view(ARC).reshape(-1)
+
+
+def decode_fst(data: bytes) -> tuple[int, dict[int, float], list[tuple[int, int, int, int, float]]]:
+    """(start, final weights, arcs (src, dst, in label, out label, weight))."""
+    start, finals, src, arcs = _arcs_of(data)
+    return start, finals, list(zip(src.tolist(), *(arcs[c].tolist() for c in ("dst", "ilabel", "olabel", "weight"))))
+
+
+#: Rows of lattices that leave a task together.
+ROWS = 200_000
 
 
 def openfst(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -133,22 +149,39 @@ def openfst(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     (utt, state, weight)."""
     ship_package(files.sparkSession)
     kind = files.schema["utt"].dataType.simpleString()
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for utt, data in zip(pdf["utt"], pdf["content"]):
-                start, finals, arcs = decode_fst(data)
-                number = lambda s: 0 if s == start else start if s == 0 else s  # noqa: E731  state 0 is the start
-                rows = [(number(s), number(t), i, o, w) for s, t, i, o, w in arcs] + [(number(s), NO_STATE, 0, 0, w) for s, w in finals.items()]
-                yield pd.DataFrame(rows, columns=["src", "dst", "ilabel", "olabel", "weight"]).assign(utt=utt)[["utt", "src", "dst", "ilabel", "olabel", "weight"]]
-
-    rows = files.select("utt", "content").mapInPandas(work, f"utt {kind}, src bigint, dst bigint, ilabel int, olabel int, weight double")
+    schema = f"utt {kind}, src bigint, dst bigint, ilabel int, olabel int, weight double"
+    out_schema = arrow_schema(schema)
+
+    def columns(data: bytes) -> list[np.ndarray]:
+        start, finals, src, arcs = _arcs_of(data)
+        number = lambda s: np.where(s == start, 0, np.where(s == 0, start, s))  # noqa: E731  state 0 is the start
+        ends = np.fromiter(finals, np.int64, len(finals))
+        none = np.zeros(len(ends), np.int32)
+        weights = np.fromiter(finals.values(), np.float64, len(finals))
+        rows = zip((number(src), number(arcs["dst"].astype(np.int64)), arcs["ilabel"], arcs["olabel"], arcs["weight"].astype(np.float64)), (number(ends), np.full(len(ends), NO_STATE), none, none, weights))
+        return [np.concatenate(x) for x in rows]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, owner, n = [], [], 0
+            for i in range(batch.num_rows):
+                held.append(columns(batch.column("content")[i].as_py()))
+                owner.append(np.full(len(held[-1][0]), i))
+                n += len(owner[-1])
+                if n >= ROWS or i == batch.num_rows - 1:
+                    utts = batch.column("utt").take(pa.array(np.concatenate(owner)))
+                    parts = [pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*held), list(out_schema)[1:])]
+                    yield pa.RecordBatch.from_arrays([utts, *parts], schema=out_schema)
+                    held, owner, n = [], [], 0
+
+    rows = files.select("utt", "content").mapInArrow(work, schema)
     return rows.where(F.col("dst") != NO_STATE), rows.where(F.col("dst") == NO_STATE).select("utt", F.col("src").alias("state"), "weight")
 
 
 def named(arcs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Arcs with labels in place of output ids; an unknown id is an error."""
-    names = symbols.select(F.col("id").alias("olabel"), F.col("sym").alias("label"))
+    """Arcs with labels in place of output ids; an unknown id is an error. Symbols are few: they are
+    broadcast, never the arcs, whatever sizes Spark takes both for."""
+    names = F.broadcast(symbols.select(F.col("id").alias("olabel"), F.col("sym").alias("label")))
     label = F.coalesce("label", F.raise_error(F.concat(F.lit("no symbol "), F.col("olabel").cast("string"))).cast("string"))
     return arcs.join(names, "olabel", "left").select("utt", "src", "dst", label.alias("label"), "weight", "ilabel")
 
@@ -157,14 +190,34 @@ def to_openfst(arcs: DataFrame, symbols: DataFrame) -> DataFrame:
     """(utt, content): arcs as OpenFST bytes; states without arcs are final."""
     ship_package(arcs.sparkSession)
     kind = arcs.schema["utt"].dataType.simpleString()
-    coded = arcs.join(symbols.select(F.col("sym").alias("label"), "id"), "label").select("utt", "src", "dst", "id", "weight")
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        own: dict[int, list] = {}
-        for s, t, i, w in pdf.sort_values(["src", "id", "dst"])[["src", "dst", "id", "weight"]].itertuples(index=False):
-            own.setdefault(int(s), []).append((int(i), int(i), float(w), int(t)))
-        n = int(pdf[["src", "dst"]].to_numpy().max()) + 1
-        ends = {int(t): 0.0 for t in set(pdf["dst"]) - set(pdf["src"])}
-        return pd.DataFrame({"utt": [pdf["utt"].iloc[0]], "content": [encode_fst(0, ends, own, n)]})
-
-    return coded.groupBy("utt").applyInPandas(work, f"utt {kind}, content binary")
+    coded = arcs.join(F.broadcast(symbols.select(F.col("sym").alias("label"), "id")), "label").select("utt", "src", "dst", "id", "weight")
+
+    schema = f"utt {kind}, content binary"
+    out_schema = arrow_schema(schema)
+
+    def content(src: np.ndarray, dst: np.ndarray, label: np.ndarray, weight: np.ndarray) -> bytes:
+        n = int(max(src.max(), dst.max())) + 1
+        counts = np.bincount(src, minlength=n)
+        ends = np.setdiff1d(dst, src)
+        states = np.zeros(n, [("weight", "<f4"), ("count", "<i8")])
+        states["weight"], states["count"] = np.inf, counts
+        states["weight"][ends] = 0.0
+        arcs = np.empty(len(src), ARC)
+        arcs["ilabel"] = arcs["olabel"] = label
+        arcs["weight"], arcs["dst"] = weight, dst
+        body = np.empty(STATE_SIZE * n + ARC.itemsize * len(src), np.uint8)
+        places = STATE_SIZE * np.arange(n) + ARC.itemsize * (np.cumsum(counts) - counts)
+        body[places[:, None] + np.arange(STATE_SIZE)] = states.view(np.uint8).reshape(n, -1)
+        places = STATE_SIZE * (src + 1) + ARC.itemsize * np.arange(len(src))
+        body[places[:, None] + np.arange(ARC.itemsize)] = arcs.view(np.uint8).reshape(len(src), -1)
+        return encode_fst(0, {}, {}, 0, (n, len(src))) + body.tobytes()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches):
+            src, dst, label, weight = (table.column(c).to_numpy() for c in ("src", "dst", "id", "weight"))
+            made = [content(src[a:b], dst[a:b], label[a:b], weight[a:b]) for a, b in zip(starts, [*starts[1:], table.num_rows])]
+            utts = table.column("utt").take(pa.array(starts, pa.int64())).combine_chunks()
+            yield pa.RecordBatch.from_arrays([utts, pa.array(made, out_schema.field("content").type)], schema=out_schema)
+
+    rows = coded.select("utt", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), F.col("id").cast("int").alias("id"), F.col("weight").cast("double").alias("weight"))
+    return rows.repartition("utt").sortWithinPartitions("utt", "src", "id", "dst").mapInArrow(work, schema)
