@@ -41,3 +41,23 @@ def test_small_frames_of_arcs_are_not_broadcast(spark):
         n = max(t for _, _, t, _ in own) + 1
         assert bytes(r.content) == lattices.encode_fst(0, {n - 1: 0.0}, by_state, n)
         assert lattices.decode_fst(bytes(r.content))[:2] == (0, {n - 1: 0.0})
+
+
+def test_texts_segmented_together_are_those_segmented_alone(monkeypatch):
+    """Ties, long words and texts, letters beyond ASCII, groups of any size."""
+    import pyarrow as pa
+
+    from wordloom.operators import words
+    from wordloom.operators.segment import best_unigrams, suffixes_of
+
+    rng = random.Random(1)
+    for _ in range(60):
+        letters = rng.choice(["ab", "abc", "aé\U0001f600"])
+        known = {"".join(rng.choices(letters, k=rng.randint(1, rng.choice((3, 8, 60))))): rng.choice([1.0, 2.5, rng.uniform(0.1, 30)]) for _ in range(rng.randint(0, 30))}
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, rng.choice((5, 40, 200))))) for _ in range(20)] + ["".join(rng.choices(list(known) or ["a"], k=4)) for _ in range(5)]
+        monkeypatch.setattr(words, "CELLS", rng.choice((50, 150_000)))
+        monkeypatch.setattr(words, "LONG_TEXT", rng.choice((30, 8_000)))
+        index = words.WordIndex(pa.table({"word": pa.array(list(known), pa.string()), "cost": pa.array(list(known.values()), pa.float64())}))
+        for text, (cost, found) in zip(texts, index.segment(texts, 1.5)):
+            expected = best_unigrams(text, known, suffixes_of(known), 1.5)
+            assert abs(cost - expected[0]) < 1e-9 and found == expected[1]

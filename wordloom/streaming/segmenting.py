@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wordloom.functions.symbols import words
-from wordloom.operators.segment import shared_lexicon, viterbi_unigram
+from wordloom.operators.segment import shared_index, viterbi_unigram
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
@@ -27,7 +27,7 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType
 def segment_stream(sentences: DataFrame, costs: DataFrame, letter_cost: float, out: str, checkpoint: str):
     """Starts a query that segments a stream (utt, text) into ``out``; it ends when the input does.
     The lexicon is shared once, not with every batch."""
-    shared = shared_lexicon(costs)
+    shared = shared_index(costs)
 
     def batch(rows: DataFrame, number: int) -> None:
         viterbi_unigram(rows, costs, letter_cost, shared=shared).write.mode("overwrite").parquet(f"{out}/batch={number}")
