@@ -61,3 +61,20 @@ def test_texts_segmented_together_are_those_segmented_alone(monkeypatch):
         for text, (cost, found) in zip(texts, index.segment(texts, 1.5)):
             expected = best_unigrams(text, known, suffixes_of(known), 1.5)
             assert abs(cost - expected[0]) < 1e-9 and found == expected[1]
+
+
+def test_sentences_of_a_joined_model_are_those_of_a_broadcast_one(spark, monkeypatch):
+    """Contexts of many words in several ranges; a word that nothing follows."""
+    from wordloom.operators import generate
+
+    monkeypatch.setattr(generate, "RANGE_WORDS", 3)
+    rng = random.Random(2)
+    names = [f"w{k}" for k in range(12)]
+    rows = [(c, w, rng.random() * (0.01 if rng.random() < 0.5 else 1)) for c in ["</s>", *names[:-1]] for w in [*names, "</s>"] if w != "</s>" or c != "</s>"]
+    probs = spark.createDataFrame(rows, "ctx string, w string, p double")
+    whole = {r.no: r.words for r in generate.sentences(probs, 200, seed=3, longest=6).collect()}
+    joined = [(r.no, r.words) for r in generate.sentences(probs, 200, seed=3, longest=6, model_rows=10).collect()]
+    assert len(joined) == 200 and dict(joined) == whole
+    assert {len(w) for w in whole.values()} >= {1, 2, 6}
+    empty = generate.sentences(probs.where("ctx <> '</s>'"), 3, seed=3, model_rows=1).collect()
+    assert sorted((r.no, r.words) for r in empty) == [(0, []), (1, []), (2, [])]
