@@ -78,3 +78,37 @@ def test_sentences_of_a_joined_model_are_those_of_a_broadcast_one(spark, monkeyp
     assert {len(w) for w in whole.values()} >= {1, 2, 6}
     empty = generate.sentences(probs.where("ctx <> '</s>'"), 3, seed=3, model_rows=1).collect()
     assert sorted((r.no, r.words) for r in empty) == [(0, []), (1, []), (2, [])]
+
+
+def test_chains_aligned_together_are_those_aligned_alone(spark, monkeypatch):
+    """Also beside lattices that are none: arcs that skip, <eps>, pruned arcs, empty references."""
+    import numpy as np
+
+    from wordloom.operators import lattice
+
+    rng, arcs, refs = random.Random(8), [], []
+    for utt in range(80):
+        n = rng.randint(1, rng.choice((3, 30)))
+        for s in range(n):
+            arcs += [(utt, s, s + 1, rng.choice("abcd"), round(rng.random() * 2, 3)) for _ in range(rng.randint(1, 3))]
+        if utt % 5 == 0:
+            arcs.append((utt, 0, n, rng.choice(["a", "<eps>"]), 0.7))
+        refs.append((utt, rng.choices("abcde", k=rng.randint(0, 30))))
+    factors = [math.inf, 0.9, 0.2]
+    expected = set()
+    for utt, ref in refs:
+        own = sorted(x[1:] for x in arcs if x[0] == utt)
+        g = lattice.Graph(*(list(c) for c in zip(*own)))
+        through, best = g.through()
+        for f in factors:
+            got = lattice.least_edits(g, np.array(ref, dtype=object), [w <= best + f + 1e-9 for w in through])
+            expected.add((utt, f, *got, len(ref)))
+    together, chain_edits = [], lattice.chain_edits
+    df, rs = spark.createDataFrame(arcs, "utt long, src long, dst long, label string, weight double"), spark.createDataFrame(refs, "utt long, symbols array<string>")
+    assert {tuple(r) for r in lattice._edits(df, rs, factors).collect()} == expected
+    pairs = [(np.array(rng.choices(range(4), k=rng.randint(0, 20))), np.array([rng.choices(range(-1, 4), k=w), rng.choices(range(4), k=w)])) for w in [rng.randint(1, 20) for _ in range(50)]]
+    alone = [chain_edits([p])[0] for p in pairs]
+    for most in (30, 400, 65_536):
+        monkeypatch.setattr(lattice, "TOGETHER", most)
+        together.append(chain_edits(pairs))
+    assert together == [alone] * 3

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,26 +138,29 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str = "utt") -> Iterato
     """From batches sorted by a key: tables that hold whole groups, and where each group starts."""
     held: list[pa.RecordBatch] = []
 
-    def bounds(keys: list) -> list[int]:
-        return [i for i, (a, b) in enumerate(zip([object(), *keys], keys)) if a != b]
+    def bounds(keys: pa.Array | pa.ChunkedArray) -> list[int]:
+        keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+        changed = pc.not_equal(keys[1:], keys[:-1]).fill_null(True)
+        if keys.null_count:  # nulls are one group
+            changed = pc.and_(changed, pc.invert(pc.and_(keys[1:].is_null(), keys[:-1].is_null())))
+        return [0, *(np.flatnonzero(changed.to_numpy(zero_copy_only=False)) + 1).tolist()]
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(key).to_pylist()
-        last = bounds(keys)[-1]
-        if last == 0 and held and held[-1].column(key)[held[-1].num_rows - 1].as_py() == keys[0]:
+        last = bounds(batch.column(key))[-1]
+        if last == 0 and held and held[-1].column(key)[held[-1].num_rows - 1].as_py() == batch.column(key)[0].as_py():
             held.append(batch)  # one long group goes on
             continue
         if last:
             held.append(batch.slice(0, last))
         if held:
             table = pa.Table.from_batches(held)
-            yield table, bounds(table.column(key).to_pylist())
+            yield table, bounds(table.column(key))
         held = [batch.slice(last)]
     if held:
         table = pa.Table.from_batches(held)
-        yield table, bounds(table.column(key).to_pylist())
+        yield table, bounds(table.column(key))
 
 
 def _together(arcs: DataFrame) -> DataFrame:
@@ -319,40 +323,145 @@ def least_edits(g: Graph, ref: np.ndarray, kept: list[bool] | None = None) -> tu
     return unpack(min(found)) if found else None
 
 
+#: Longest chain together with its reference that goes by 32-bit costs; their digits for substitutions; letters
+#: that are aligned together, and held for that.
+CHAIN, LOW_BITS, TOGETHER, HELD = 16_000, 16, 65_536, 200_000
+
+
+def _chain_labels(src: np.ndarray, dst: np.ndarray, label: np.ndarray, weight: np.ndarray, factors: list[float], eps: int) -> list[np.ndarray | None] | None:
+    """For each factor the labels of each step, (arcs, steps) with -1 where there is no arc, None if no path
+    is left. None if the arcs, sorted by source, aren't a chain from state 0 on without <eps>."""
+    step = np.diff(src)
+    if src[0] or (dst != src + 1).any() or ((step != 0) & (step != 1)).any() or (label == eps).any() or (label < 0).any():
+        return None
+    starts = np.flatnonzero(np.concatenate(([True], step != 0)))
+    rank = np.arange(len(src)) - starts[src]
+    least = np.minimum.reduceat(weight, starts)
+    alpha = np.concatenate(([0.0], np.cumsum(least)))
+    beta = np.concatenate((np.cumsum(least[::-1])[::-1], [0.0]))
+    through = alpha[src] + weight + beta[dst]
+    out: list[np.ndarray | None] = []
+    for f in factors:
+        kept = np.ones(len(src), bool) if math.isinf(f) else through <= beta[0] + f + 1e-9
+        labels = np.full((int(rank.max()) + 1, len(starts)), -1, np.int32)
+        labels[rank[kept], src[kept]] = label[kept]
+        out.append(labels if (labels >= 0).any(axis=0).all() else None)
+    return out
+
+
+def chain_edits(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """(edits, substitutions) of references (codes) with chains (labels by arc and step, see above), as
+    ``least_edits`` has them: diagonal by diagonal, pairs of similar size together."""
+    out: list = [None] * len(pairs)
+    size = [(len(labels), len(ref) + labels.shape[1]) for ref, labels in pairs]
+    order, at = sorted(range(len(pairs)), key=lambda i: size[i], reverse=True), 0
+    while at < len(order):
+        longest = size[order[at]]
+        group = order[at : at + max(1, TOGETHER // (longest[1] + 1))]
+        group = [i for i in group if size[i][0] == longest[0] and size[i][1] * 4 >= longest[1] * 3]
+        at += len(group)
+        for i, cost in zip(group, _diagonals([pairs[i] for i in group])):
+            out[i] = cost >> LOW_BITS, cost & ((1 << LOW_BITS) - 1)
+    return out
+
+
+def _diagonals(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+    edit, sub, far = np.int32(1 << LOW_BITS), np.int32((1 << LOW_BITS) + 1), np.int32(1 << 30)
+    n, m, count = max(len(r) for r, _ in pairs), max(x.shape[1] for _, x in pairs), len(pairs)
+    refs = np.full((n, count), -2, np.int32)
+    chains = np.full((len(pairs[0][1]), m + 1, count), -1, np.int32)  # the last step first; one that isn't there
+    for t, (ref, labels) in enumerate(pairs):
+        refs[: len(ref), t] = ref
+        chains[:, m - labels.shape[1] : m, t] = labels[:, ::-1]
+    ends = np.array([len(r) + x.shape[1] for r, x in pairs])
+    places = np.array([len(r) for r, _ in pairs])
+    out = np.zeros(count, np.int64)
+    before, last = np.full((n + 2, count), far), np.full((n + 2, count), far)
+    last[0] = 0
+    out[ends == 0] = 0
+    for d in range(1, n + m + 1):  # cells of i reference symbols and d - i steps
+        low, high = max(0, d - m), min(n, d)
+        a, new = max(low, 1), np.empty((n + 2, count), np.int32)
+        if low == 0:
+            new[0] = edit * np.int32(d)
+        if high >= a:
+            there = slice(m - d + a, m - d + high + 1)
+            other = refs[a - 1 : high] != chains[0, there]
+            for labels in chains[1:]:
+                other &= refs[a - 1 : high] != labels[there]
+            pair = other * sub
+            pair += before[a - 1 : high]
+            alone = np.minimum(last[a - 1 : high], last[a : high + 1])
+            alone += edit
+            np.minimum(pair, alone, out=new[a : high + 1])
+        new[high + 1] = far
+        before, last = last, new
+        for t in np.flatnonzero(ends == d):
+            out[t] = new[places[t], t]
+    return out.tolist()
+
+
 def _edits(arcs: DataFrame, references: DataFrame, factors: list[float]) -> DataFrame:
     """(utt, factor, edits, substitutions, n_ref) of utterances with arcs and a reference (utt,
-    symbols): one pass; the weights of paths through arcs serve every factor."""
+    symbols): one pass; the weights of paths through arcs serve every factor. Chains are aligned together."""
     ship_package(arcs.sparkSession)
     kind = arcs.schema["utt"].dataType.simpleString()
     schema = f"utt {kind}, factor double, edits bigint, substitutions bigint, n_ref bigint"
     # an utterance's reference is a row in front of its arcs
     front = references.select("utt", F.lit(-1).cast("bigint").alias("src"), F.lit(-1).cast("bigint").alias("dst"), F.lit("").alias("label"), F.lit(0.0).alias("weight"), "symbols")
-    rows = arcs.select("utt", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "label", "weight", F.lit(None).cast("array<string>").alias("symbols"))
+    rows = arcs.select("utt", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "label", F.col("weight").cast("double").alias("weight"), F.lit(None).cast("array<string>").alias("symbols"))
 
     out_schema = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held: list[tuple] = []  # (utt, factor, reference, chain)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            found = chain_edits([x[2:] for x in held])
+            rows = out + [(utt, f, *got, len(ref)) for (utt, f, ref, _), got in zip(held, found)]
+            out.clear()
+            held.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out_schema)], schema=out_schema)
+
+        size = 0
         for table, starts in whole_groups(batches):
-            src, dst, label, weight = (table.column(c).to_pylist() for c in ("src", "dst", "label", "weight"))
-            out, owner = [], []
+            src, dst, weight = (table.column(c).to_numpy() for c in ("src", "dst", "weight"))
+            coded = table.column("label").combine_chunks().dictionary_encode()
+            names = coded.dictionary
+            label = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            eps = names.to_pylist().index(EPS) if EPS in names.to_pylist() else -1
+            lists = table.column("symbols").combine_chunks()
+            codes = pc.index_in(lists.values, value_set=names).fill_null(-2).to_numpy(zero_copy_only=False)
+            cuts = lists.offsets.to_numpy()
             for a, b in zip(starts, [*starts[1:], table.num_rows]):
                 if src[a] != -1 or b == a + 1:
                     continue
-                symbols = table.column("symbols")[a].as_py() or []
-                ref = np.array(symbols, dtype=object)
                 first = a + 1
                 while first < b and src[first] == -1:  # of repeated references the first
                     first += 1
-                g = Graph(src[first:b], dst[first:b], label[first:b], weight[first:b])
+                if first == b:
+                    continue
+                utt = table.column("utt")[a].as_py()
+                ref = codes[cuts[a] : cuts[a + 1]]
+                own = slice(first, b)
+                chains = _chain_labels(src[own], dst[own], label[own], weight[own], factors, eps) if b - first + len(ref) <= CHAIN else None
+                if chains is not None:
+                    held += [(utt, f, ref, x) for f, x in zip(factors, chains) if x is not None]
+                    size += (len(ref) + b - first) * len(factors)
+                    continue
+                symbols = np.array(table.column("symbols")[a].as_py() or [], dtype=object)
+                g = Graph(src[own].tolist(), dst[own].tolist(), table.column("label").slice(first, b - first).to_pylist(), weight[own].tolist())
                 through, best = g.through()
                 for f in factors:
                     kept = None if math.isinf(f) else [w <= best + f + 1e-9 for w in through]
-                    if got := least_edits(g, ref, kept):
-                        owner.append(a)
-                        out.append((f, *got, len(ref)))
-            if out:
-                utts = table.column("utt").take(pa.array(owner, pa.int64())).combine_chunks()
-                yield pa.RecordBatch.from_arrays([utts, *(pa.array(c, f.type) for c, f in zip(zip(*out), list(out_schema)[1:]))], schema=out_schema)
+                    if got := least_edits(g, symbols, kept):
+                        out.append((utt, f, *got, len(symbols)))
+            if size >= HELD:
+                yield from done()
+                size = 0
+        yield from done()
 
     return _together(rows.unionByName(front)).mapInArrow(run, schema)
 
