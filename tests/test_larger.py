@@ -112,3 +112,20 @@ def test_chains_aligned_together_are_those_aligned_alone(spark, monkeypatch):
         monkeypatch.setattr(lattice, "TOGETHER", most)
         together.append(chain_edits(pairs))
     assert together == [alone] * 3
+
+
+def test_att_texts_need_arcs_once_or_where_they_are(spark):
+    """One exchange for arcs of anywhere, none for those of one row; the same texts."""
+    from wordloom.operators import lattice
+    from wordloom.sources import lattices
+
+    rows = spark.createDataFrame([(1, "abz"), (2, "q")], "utt long, text string")
+    arcs = lattice.sausage(rows, F.col("utt"), F.split("text", ""))
+    grouped = lattices.to_att(arcs)
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    alone = rows.select("utt", lattices.att_text(lattice.sausage_arcs(F.split("text", ""))).alias("content"))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, grouped.collect())) == sorted(map(tuple, alone.collect()))
+    skips = spark.createDataFrame([(1, 0, 1, "b", 0.5), (1, 0, 1, "a", 1.0), (1, 0, 10, "c", 2.0), (1, 1, 9, "d", 0.0)], "utt long, src long, dst long, label string, weight double")
+    assert lattices.to_att(skips).first().content == "0 1 a a 1.0\n0 1 b b 0.5\n0 10 c c 2.0\n1 9 d d 0.0\n9\n10\n"

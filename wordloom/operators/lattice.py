@@ -68,6 +68,18 @@ def sausage(rows: DataFrame, utt: Column, symbols: Column, alternative_weight: f
     return spelled.select("utt", "src", "dst", choice).select("utt", "src", "dst", F.col("c.l").alias("label"), F.col("c.w").alias("weight"))
 
 
+def sausage_arcs(symbols: Column, alternative_weight: float = 2.0) -> Column:
+    """The arcs of a sausage as one array of (src, dst, label, weight), where an utterance needn't be put together again."""
+
+    def both(c: Column, i: Column) -> Column:
+        src = i.cast("bigint")
+        other = F.when(c == "z", F.lit("a")).otherwise(F.chr(F.ascii(c) + 1))
+        arc = lambda label, weight: F.struct(src.alias("src"), (src + 1).alias("dst"), label.alias("label"), F.lit(float(weight)).alias("weight"))
+        return F.array(arc(c, 0.0), arc(other, alternative_weight))
+
+    return F.flatten(F.transform(symbols, both))
+
+
 class Graph:
     """One utterance's arcs and its states in topological order."""
 

@@ -740,7 +740,9 @@ def slf_lattices(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("att_lattices", f"WITH {SAUSAGE} SELECT utt, src, dst, label, weight FROM arcs")
 def att_lattices(spark: SparkSession, folder: str) -> DataFrame:
-    return lattices.att(lattices.to_att(sausages(spark, folder)))[0]
+    """Sausages written as AT&T text, each where its turn is, and read again."""
+    rows = segment.spread(turns(spark, folder).where("text <> ''")).select("utt", lattice.sausage_arcs(F.split("text", "")).alias("x"))
+    return lattices.att(rows.select("utt", lattices.att_text(F.col("x")).alias("content")))[0]
 
 
 @register("openfst_lattices", f"WITH {SAUSAGE} SELECT utt, src, dst, label, weight FROM arcs")

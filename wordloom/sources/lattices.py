@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.symbols import acoustic_weight, silence_to_eps
-from wordloom.operators.lattice import arrow_schema, final_states, merge_parallel, whole_groups
+from wordloom.operators.lattice import arrow_schema, merge_parallel, whole_groups
 from wordloom.session import ship_package
 
 # Fixed values of the OpenFST vector format.
@@ -82,13 +82,18 @@ def att(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return arcs, rows.where(F.size("p") <= 2).select("utt", F.get("p", 0).cast("bigint").alias("state"), weight(1).alias("weight"))
 
 
+def att_text(arcs: Column) -> Column:
+    """An utterance's arcs (array of src, dst, label, weight) as AT&T text; states without arcs are final."""
+    line = lambda x: F.format_string("%d %d %s %s %s", x["src"], x["dst"], x["label"], x["label"], x["weight"].cast("string"))
+    lines = F.transform(F.array_sort(F.transform(arcs, lambda x: F.struct(x["src"], x["dst"], x["label"], line(x).alias("line")))), lambda x: x["line"])
+    ends = F.array_sort(F.array_except(F.transform(arcs, lambda x: x["dst"]), F.transform(arcs, lambda x: x["src"])))
+    return F.concat(F.array_join(F.concat(lines, F.transform(ends, lambda s: s.cast("string"))), "\n"), F.lit("\n"))
+
+
 def to_att(arcs: DataFrame) -> DataFrame:
-    """(utt, content)."""
-    arc = F.format_string("%d %d %s %s %s", "src", "dst", "label", "label", F.col("weight").cast("string"))
-    rows = arcs.select("utt", "src", "dst", "label", arc.alias("line"))
-    ends = final_states(arcs).select("utt", F.col("state").alias("src"), F.lit(-1).cast("bigint").alias("dst"), F.lit("").alias("label"), F.col("state").cast("string").alias("line"))
-    both = rows.unionByName(ends).groupBy("utt").agg(F.array_sort(F.collect_list(F.struct(F.col("dst") < 0, "src", "dst", "label", "line"))).alias("x"))
-    return both.select("utt", F.concat(F.array_join(F.transform("x", lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
+    """(utt, content): arcs meet once, by utterance."""
+    both = arcs.groupBy("utt").agg(F.collect_list(F.struct("src", "dst", "label", "weight")).alias("x"))
+    return both.select("utt", att_text(F.col("x")).alias("content"))
 
 
 def encode_fst(start: int, finals: dict[int, float], arcs: dict[int, list[tuple[int, int, float, int]]], n: int, sizes: tuple[int, int] | None = None) -> bytes:
