@@ -129,3 +129,16 @@ def test_att_texts_need_arcs_once_or_where_they_are(spark):
     assert sorted(map(tuple, grouped.collect())) == sorted(map(tuple, alone.collect()))
     skips = spark.createDataFrame([(1, 0, 1, "b", 0.5), (1, 0, 1, "a", 1.0), (1, 0, 10, "c", 2.0), (1, 1, 9, "d", 0.0)], "utt long, src long, dst long, label string, weight double")
     assert lattices.to_att(skips).first().content == "0 1 a a 1.0\n0 1 b b 0.5\n0 10 c c 2.0\n1 9 d d 0.0\n9\n10\n"
+
+
+def test_many_customers_at_few_tables_take_no_integral(monkeypatch):
+    import numpy as np
+
+    from wordloom.operators import stirling
+
+    n, base, a, u = np.array([300, 900, 4000, 257]), np.array([1e-6, 1e-3, 1e-4, 1e-2]), np.array([3.1, 40.1, 700.0, 2.0]), np.array([0.5, 0.99, 0.2, 0.7])
+    with monkeypatch.context() as m:
+        m.setattr(stirling, "FEW_N", 0)
+        expected = stirling.draw_counts(n, base, a, 0.5, u).tolist()
+    monkeypatch.setattr(stirling, "_on_hairpin", None)
+    assert stirling.draw_counts(n, base, a, 0.5, u).tolist() == expected
